@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veriloom.llm.base import table
+from veriloom.llm.decontam import leaks
 from veriloom.llm.jaccard import jaccard_components
+from veriloom.llm.packing import pack
+from veriloom.llm.toxicity import toxicity
+
+
+def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1024 tokens."""
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op3_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; labels with crc32(doc_id) mod 5 = 0 are held out."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 5, 0)
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,9 +28,17 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, threshold=90)
 
 
+def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all documents."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_vector_packing": op2_vector_packing,
+        "op3_toxic_segments": op3_toxic_segments,
         "op4_ngram_jaccard": op4_ngram_jaccard,
+        "op5_spaced_seeds": op5_spaced_seeds,
     }
 
 
