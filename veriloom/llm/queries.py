@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veriloom.llm import cascade as rules
 from veriloom.llm.base import table
 from veriloom.llm.decontam import leaks
 from veriloom.llm.jaccard import jaccard_components
@@ -33,14 +34,20 @@ def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules over all documents, cheapest rejections first."""
+    return rules.cascade(table(spark, sf_dir, "documents")).drop("failed_rule")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_vector_packing": op2_vector_packing,
         "op3_toxic_segments": op3_toxic_segments,
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_spaced_seeds": op5_spaced_seeds,
+        "op7_rule_cascade": op7_rule_cascade,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_rule_cascade": rules.ORACLE}
