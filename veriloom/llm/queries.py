@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veriloom.llm import cascade as rules
-from veriloom.llm.base import table
+from veriloom.llm import warc
+from veriloom.llm.base import shared_dir, table
 from veriloom.llm.decontam import leaks
 from veriloom.llm.jaccard import jaccard_components
 from veriloom.llm.packing import pack
@@ -39,6 +40,13 @@ def op7_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.cascade(table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
+def op10_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written as archives and read back."""
+    folder = warc.new_folder(shared_dir(spark))
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_vector_packing": op2_vector_packing,
@@ -46,8 +54,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_spaced_seeds": op5_spaced_seeds,
         "op7_rule_cascade": op7_rule_cascade,
+        "op10_warc_shards": op10_warc_shards,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_rule_cascade": rules.ORACLE}
+    return {"op7_rule_cascade": rules.ORACLE, "op10_warc_shards": warc.ORACLE}
