@@ -42,6 +42,15 @@ def _needed(a, b, t: int):
     return -((-(a + b) * t) // (100 + t))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Group counts in a byte each where they fit, else in four."""
+    return counts.astype("u1" if counts.max(initial=0) < 256 else "<u4").tobytes()
+
+
+def _unpacked(raw: list[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(x, "u1" if len(x) == GROUPS else "<u4") for x in raw]).astype(np.int64)
+
+
 def _frequent(k: int):
     """Shingles that occur in several documents of a part, with their number there."""
 
@@ -81,7 +90,7 @@ def _points(k: int, t: int, hot: np.ndarray):
                     n.append(len(s))
                     h1.append(int(m.sum(dtype=U).view(np.int64)))
                     h2.append(int(mix(m).sum(dtype=U).view(np.int64)))
-                counts.append(np.bincount((m >> U(32)).astype(np.int64) % GROUPS, minlength=GROUPS).astype("<u4").tobytes())
+                counts.append(_packed(np.bincount((m >> U(32)).astype(np.int64) % GROUPS, minlength=GROUPS)))
                 p = len(s) - _ceil_share(len(s), t) + 1
                 # fewer than t/(100-t) common elements allow no difference at all: such sets only match equal ones
                 if len(s) * (100 - t) < t or p <= 0:
@@ -182,7 +191,7 @@ def _searched(t: int):
                 ids = np.array([x["doc"] for x in m], np.int64)
                 comp = np.array([x["comp"] for x in m], np.int64)
                 tile = np.array([x["tile"] for x in m])
-                counts = np.stack([np.frombuffer(x["counts"], "<u4") for x in m]).astype(np.int64)
+                counts = _unpacked([x["counts"] for x in m])
                 one = row["ta"] == row["tb"]
                 left, right = (np.arange(len(m)),) * 2 if one else (np.flatnonzero(tile == row["ta"]), np.flatnonzero(tile == row["tb"]))
                 if not len(left) or not len(right):
@@ -199,6 +208,20 @@ def _searched(t: int):
     return run
 
 
+def _bounded(t: int):
+    """Of pairs with both group counts: those whose summed minima reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = _unpacked(batch.column(2).to_pylist()), _unpacked(batch.column(3).to_pylist())
+            keep = pa.array(np.minimum(x, y).sum(axis=1) >= _needed(x.sum(axis=1), y.sum(axis=1), t))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return run
+
+
 def _check(pairs: DataFrame, docs: DataFrame, k: int, t: int) -> DataFrame:
     """Verify (a, b) on whole texts: only the documents of some pair are read again."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -234,15 +257,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> Data
     buckets = entries.groupBy("key").agg(F.min("doc").alias("low"), F.count("*").alias("m")).where("m > 1")
     met = staged(entries.join(buckets, "key").select("key", "doc", "n", "low", "m"), "met")
 
-    size = usable.select(F.col("doc").alias("low"), F.col("n").alias("n_low"))
-    star = met.where("doc <> low").select(F.col("doc").alias("b"), F.col("low"), "n").distinct().join(size, "low")
-    star = star.where(F.least("n", "n_low") * 100 >= F.greatest("n", "n_low") * threshold).select(F.col("low").alias("a"), "b")
+    size = usable.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
+    star = met.where("doc <> low").select(F.col("low").alias("a"), F.col("doc").alias("b"), F.col("n").alias("nb")).distinct().join(size, "a")
+    star = star.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold)
+    star = star.join(usable.select(F.col("doc").alias("b"), F.col("counts").alias("cb")), "b").select("a", "b", "ca", "cb").mapInArrow(_bounded(threshold), "a long, b long")
     first = staged(_check(staged(star, "star"), docs, k, threshold), "links")
     comp = staged(components(first), "components")
 
     # with bounded tiles: a bucket of m classes is dealt to pairs of its ceil(m / TILE) tiles
     named = met.join(comp, met.doc == comp.node, "left").select("key", "doc", "low", "m", F.coalesce("component", "doc").alias("comp"))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
+    # and buckets of the same documents, of which close copies have many, are searched once
+    same = [F.sum(F.xxhash64("doc", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)]
+    mixed = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), *same, F.count("*").alias("size")).where("c0 <> c1")
+    mixed = mixed.groupBy("s1", "s2", "size").agg(F.min("key").alias("key")).select("key")
     inside = named.join(mixed, "key").join(usable.select("doc", "counts"), "doc")
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     inside = inside.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))

@@ -12,6 +12,7 @@ from veriloom.llm.base import shared_dir, table
 from veriloom.llm.decontam import leaks
 from veriloom.llm.jaccard import jaccard_components
 from veriloom.llm.packing import pack
+from veriloom.llm.pii import personal_data
 from veriloom.llm.toxicity import toxicity
 
 
@@ -40,6 +41,11 @@ def op7_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.cascade(table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
+def op9_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, written as archives and read back."""
     folder = warc.new_folder(shared_dir(spark))
@@ -54,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_spaced_seeds": op5_spaced_seeds,
         "op7_rule_cascade": op7_rule_cascade,
+        "op9_contextual_pii": op9_contextual_pii,
         "op10_warc_shards": op10_warc_shards,
     }
 
