@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from veriloom.llm import cascade as rules
 from veriloom.llm import warc
 from veriloom.llm.base import shared_dir, table
+from veriloom.llm.chat import repair
 from veriloom.llm.decontam import leaks
 from veriloom.llm.jaccard import jaccard_components
 from veriloom.llm.packing import pack
 from veriloom.llm.pii import personal_data
+from veriloom.llm.quality_gam import quality
 from veriloom.llm.toxicity import toxicity
 
 
@@ -36,11 +38,21 @@ def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_pairwise_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents; labels with crc32(doc_id) mod 4 = 2 are held out."""
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 4, 2)
+
+
 def op7_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules over all documents, cheapest rejections first."""
     return rules.cascade(table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
+def op8_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, repaired and rendered."""
+    return repair(table(spark, sf_dir, "conversations"))
+
+
 def op9_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     return personal_data(table(spark, sf_dir, "documents"))
@@ -59,7 +71,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxic_segments": op3_toxic_segments,
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_spaced_seeds": op5_spaced_seeds,
+        "op6_pairwise_gam": op6_pairwise_gam,
         "op7_rule_cascade": op7_rule_cascade,
+        "op8_role_repair": op8_role_repair,
         "op9_contextual_pii": op9_contextual_pii,
         "op10_warc_shards": op10_warc_shards,
     }
