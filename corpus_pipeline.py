@@ -5,15 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veriloom.llm.base import staged, table
+from veriloom.llm.decontam import drop_leaking
 from veriloom.llm.jaccard import keep_one_per_group
+from veriloom.llm.packing import pack
+from veriloom.llm.pii import redact
+from veriloom.llm.toxicity import drop_toxic
 
 
-def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted toxic go."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near duplicates (5 words, 0.8): one document of each group stays."""
     return keep_one_per_group(docs, k=5, threshold=80)
 
 
-STAGES = [("ngram_jaccard", one_per_group)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark passage go."""
+    return drop_leaking(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is masked; every document stays."""
+    return redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, as pieces of packed token sequences."""
+    return pack(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("ngram_jaccard", ngram_jaccard),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", packing),
+]
 
 #: A trained classifier, graph iteration and packing have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None

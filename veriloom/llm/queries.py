@@ -11,6 +11,7 @@ from veriloom.llm import warc
 from veriloom.llm.base import shared_dir, table
 from veriloom.llm.chat import repair
 from veriloom.llm.decontam import leaks
+from veriloom.llm.html_main import main_text
 from veriloom.llm.jaccard import jaccard_components
 from veriloom.llm.packing import pack
 from veriloom.llm.pii import personal_data
@@ -18,6 +19,11 @@ from veriloom.llm.quality_gam import quality
 from veriloom.llm.toxicity import toxicity
 
 
+def op1_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens."""
     return pack(table(spark, sf_dir, "documents"))
@@ -67,6 +73,7 @@ def op10_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_template_removal": op1_template_removal,
         "op2_vector_packing": op2_vector_packing,
         "op3_toxic_segments": op3_toxic_segments,
         "op4_ngram_jaccard": op4_ngram_jaccard,
