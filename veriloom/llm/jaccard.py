@@ -181,29 +181,47 @@ class Tree:
 
 
 def _searched(t: int):
-    """Rows (tile_a, tile_b, low, members): pairs of different components whose bound reaches the threshold."""
+    """Rows (key, ta, tb, low, doc, comp, tile, counts), sorted by the first three: pairs of different components within
+    each (key, ta, tb) whose bound reaches the threshold. One such group, of at most two tiles, is held at a time."""
+
+    def pairs_of(group: pa.Table) -> np.ndarray:
+        ids, comp, tile = (group.column(c).to_numpy() for c in ("doc", "comp", "tile"))
+        ta, tb, low = (group.column(c)[0].as_py() for c in ("ta", "tb", "low"))
+        left, right = (np.arange(len(ids)),) * 2 if ta == tb else (np.flatnonzero(tile == ta), np.flatnonzero(tile == tb))
+        out = [np.zeros((0, 2), np.int64)]
+        if len(left) and len(right) and len(ids) > 1:
+            counts = _unpacked(group.column("counts").to_pylist())
+            tree = Tree(counts[right], comp[right])
+            for i in left:
+                j = right[tree.search(counts[i], comp[i], t)]
+                # pairs with the bucket's smallest document were verified in the first round
+                j = j[(comp[j] != comp[i]) & (ids[j] != low) & ((j > i) | (ta != tb))] if ids[i] != low else j[:0]
+                if len(j):
+                    out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1))
+        return np.concatenate(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                pairs = pairs_of(pa.Table.from_batches(held).combine_chunks())
+                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        last = None
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for row in batch.to_pylist():
-                m = row["members"]
-                ids = np.array([x["doc"] for x in m], np.int64)
-                comp = np.array([x["comp"] for x in m], np.int64)
-                tile = np.array([x["tile"] for x in m])
-                counts = _unpacked([x["counts"] for x in m])
-                one = row["ta"] == row["tb"]
-                left, right = (np.arange(len(m)),) * 2 if one else (np.flatnonzero(tile == row["ta"]), np.flatnonzero(tile == row["tb"]))
-                if not len(left) or not len(right):
-                    continue
-                tree = Tree(counts[right], comp[right])
-                for i in left:
-                    for j in right[tree.search(counts[i], comp[i], t)]:
-                        # pairs with the bucket's smallest document were verified in the first round
-                        if comp[i] != comp[j] and (not one or i < j) and row["low"] not in (ids[i], ids[j]):
-                            out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-            pairs = np.unique(np.array(out, np.int64).reshape(-1, 2), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            if not batch.num_rows:
+                continue
+            k = np.stack([batch.column(c).to_numpy() for c in range(3)])
+            cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                now = tuple(k[:, lo])
+                if now != last:
+                    yield from done()
+                    last = now
+                held.append(batch.slice(lo, hi - lo))
+        yield from done()
 
     return run
 
@@ -274,8 +292,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> Data
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     inside = inside.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
     inside = inside.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-    work = inside.groupBy("key", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb")).agg(F.min("low").alias("low"), F.collect_list(F.struct("doc", "comp", "tile", "counts")).alias("members"))
-    found = work.select("ta", "tb", "low", "members").mapInArrow(_searched(threshold), "a long, b long").distinct()
+    work = inside.select("key", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "low", "doc", "comp", "tile", "counts")
+    work = work.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb")
+    found = work.mapInArrow(_searched(threshold), "a long, b long").distinct()
     second = staged(_check(staged(found, "found"), docs, k, threshold), "links")
     final = staged(components(first.unionByName(second)), "components")
 
