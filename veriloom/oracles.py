@@ -91,9 +91,9 @@ CTE: dict[str, str] = {
           FROM edges e JOIN edges a ON a.type = 'ACHIEVED' AND a.dst_key = e.src_key JOIN project p ON p.project_id = a.src_key JOIN built b ON b.project_id = a.src_key LEFT JOIN school s ON s.project_id = a.src_key WHERE e.type = 'DEMONSTRATES'
         UNION SELECT person_id, e.dst_key, name, 'Project', e.type, name, NULL, education FROM edges e JOIN project p ON p.project_id = e.src_key JOIN built b ON b.project_id = e.src_key LEFT JOIN school s ON s.project_id = e.src_key WHERE e.type = 'USED'
         UNION SELECT t.src_key, e.dst_key, institution, 'Education', e.type, NULL, NULL, NULL FROM edges e JOIN education d ON d.education_id = e.src_key JOIN edges t ON t.type = 'STUDIED_AT' AND t.dst_key = e.src_key WHERE e.type = 'LEARNED'""",
-    "context": """SELECT DISTINCT person_id, unnest([{'kind': 'project', 'name': pname}, {'kind': 'role', 'name': title}], recursive := true) FROM (
-        SELECT b.src_key AS person_id, p.name AS pname, r.title FROM edges b JOIN edges d ON d.type = 'DURING' AND d.src_key = b.dst_key JOIN edges a ON a.type = 'AT' AND a.src_key = d.dst_key
-        JOIN project p ON p.project_id = b.dst_key JOIN role r ON r.role_id = d.dst_key WHERE b.type = 'BUILT')""",
+    "path": """SELECT b.src_key AS person_id, p.name AS pname, r.title FROM edges b JOIN edges d ON d.type = 'DURING' AND d.src_key = b.dst_key JOIN edges a ON a.type = 'AT' AND a.src_key = d.dst_key
+        JOIN project p ON p.project_id = b.dst_key JOIN role r ON r.role_id = d.dst_key WHERE b.type = 'BUILT'""",
+    "context": "SELECT person_id, 'project' AS kind, pname AS name FROM path UNION SELECT person_id, 'role', title FROM path",
     "ev": f"""SELECT *, CASE WHEN s >= 4 THEN 'strong' WHEN s >= 2 THEN 'moderate' ELSE 'weak' END AS evidence_strength FROM (
         SELECT *, CASE source_type WHEN 'Achievement' THEN 2 WHEN 'Education' THEN -1 ELSE 1 END + CASE WHEN professional_context THEN 2 ELSE 0 END + CASE WHEN regexp_matches(source, '{METRIC}') THEN 1 ELSE 0 END AS s FROM (
         SELECT e.*, (EXISTS (FROM context c WHERE c.person_id = e.person_id AND c.kind = 'project' AND c.name = e.project) OR EXISTS (FROM context c WHERE c.person_id = e.person_id AND c.kind = 'role' AND c.name = e.role)) AS professional_context FROM expanded e))""",
@@ -146,8 +146,8 @@ CTE: dict[str, str] = {
           CASE WHEN class = 'professional' THEN coalesce(nullif(o.role_title, ''), o.label) ELSE group_key END AS title, CASE WHEN class = 'professional' THEN group_key END AS organization,
           CASE WHEN class = 'education' THEN o.program END AS program, CASE WHEN class = 'education' THEN o.status END AS status, CASE WHEN class = 'independent' THEN o.person_role END AS person_role, CASE WHEN class <> 'education' THEN o.location END AS location,
           CASE WHEN class <> 'education' THEN o.work_mode END AS work_mode, o.start_date, o.end_date, coalesce(m.metrics, []) AS metrics, score, supported,
-          list_sort(list_filter(g.skills, lambda x: x IN (SELECT name FROM skill WHERE category IN ('technical', 'tool')))) AS technologies,
-          (class = 'independent' AND n_achievements = 0 AND len(list_filter(g.skills, lambda x: NOT list_contains(coalesce(languages, []), x))) = 0) AS lang_only
+          list_sort(list_filter(g.skills, lambda x: split_part(x, ' ', -1) IN ('ring', 'widget', 'bolt', 'gear'))) AS technologies,
+          (class = 'independent' AND g.n_achievements = 0 AND len(list_filter(g.skills, lambda x: NOT list_contains(coalesce(languages, []), x))) = 0) AS lang_only
         FROM g JOIN o USING (job_id, person_id, class, group_key) JOIN scored USING (job_id, person_id, class, group_key) LEFT JOIN m USING (job_id, person_id, class, group_key) LEFT JOIN langs USING (job_id, person_id) WHERE k = 1""",
     "x": """SELECT *, CASE WHEN NOT lang_only AND score >= 5 THEN 'include' ELSE 'optional' END AS recommendation, CASE WHEN lang_only THEN 'Only language-skill evidence found -- relevant only if the role values that language.'
         WHEN score >= 5 THEN 'Strong, relevant matched evidence for this job description.' ELSE 'Some relevant evidence, but limited in strength or breadth.' END AS reason FROM xp""",
@@ -190,8 +190,8 @@ CTE: dict[str, str] = {
     "wskill": rf"""SELECT name, upper(name) AS display_name, list_sort(list(DISTINCT alias)) AS aliases, CASE WHEN length(name) % 2 = 0 THEN 'tool' ELSE 'capability' END AS category FROM (
         SELECT array_to_string(w[1:2], ' ') AS name, array_to_string(w[3:4], ' ') AS alias FROM (SELECT regexp_split_to_array(lower(text), '\s+') AS w FROM benchmark)) WHERE len({_terms('name')}) > 0 GROUP BY 1""",
     "cands": "SELECT name AS skill, category, unnest(list_concat([name], aliases)) AS c, generate_subscripts(list_concat([name], aliases), 1) AS place FROM wskill",
-    "kw": r"""SELECT job_id, skill, category, arg_min(at, place) AS at, arg_min(length(c), place) AS ln, any_value(text) AS text FROM (
-        SELECT doc_id::VARCHAR AS job_id, skill, k.category, c, place, text, length(regexp_extract(lower(text), '(?s)^(.*?)(^|[^a-z0-9])' || regexp_escape(c) || '([^a-z0-9]|$)', 1)) + length(regexp_extract(lower(text), '(?s)^(.*?)(^|[^a-z0-9])' || regexp_escape(c) || '([^a-z0-9]|$)', 2)) + 1 AS at
+    "kw": r"""SELECT job_id, skill, category, arg_min(pos, place) AS pos, arg_min(length(c), place) AS ln, any_value(text) AS text FROM (
+        SELECT doc_id::VARCHAR AS job_id, skill, k.category, c, place, text, length(regexp_extract(lower(text), '(?s)^(.*?)(^|[^a-z0-9])' || regexp_escape(c) || '([^a-z0-9]|$)', 1)) + length(regexp_extract(lower(text), '(?s)^(.*?)(^|[^a-z0-9])' || regexp_escape(c) || '([^a-z0-9]|$)', 2)) + 1 AS pos
         FROM documents JOIN cands k ON c <> '' AND contains(lower(text), c) WHERE regexp_matches(lower(text), '(^|[^a-z0-9])' || regexp_escape(c) || '([^a-z0-9]|$)')) GROUP BY ALL""",
     "same": r"""SELECT item_id, doc_id FROM (SELECT item_id, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 200) AS probe FROM benchmark) JOIN (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS body FROM documents) ON contains(body, probe) WHERE length(probe) > 40""",
 }
@@ -215,19 +215,19 @@ ORACLES: dict[str, str] = {
         SELECT * FROM c UNION ALL SELECT kind, '(all)', sum(n)::BIGINT FROM c GROUP BY ALL""",
     "b02_person_roles": """SELECT h.src_key AS person_id, role_id, title, a.dst_key AS company, start_date, row_number() OVER (PARTITION BY h.src_key ORDER BY coalesce(start_date, '0000'), role_id, coalesce(a.dst_key, '')) AS place
         FROM edges h JOIN role ON role_id = h.dst_key LEFT JOIN edges a ON a.type = 'AT' AND a.src_key = role_id WHERE h.type = 'HAD_ROLE'""",
-    "b03_person_projects": "SELECT src_key AS person_id, project_id, name, row_number() OVER (PARTITION BY src_key ORDER BY name, project_id) AS place FROM edges JOIN project ON project_id = dst_key WHERE type = 'BUILT'",
+    "b03_person_projects": "SELECT src_key AS person_id, project_id, name, row_number() OVER (PARTITION BY src_key ORDER BY name, project_id) AS place FROM edges JOIN project ON project_id = dst_key WHERE edges.type = 'BUILT'",
     "b04_person_education": "SELECT c_custkey::VARCHAR AS person_id, c_name AS name, education_id, institution, program FROM customer LEFT JOIN edges ON type = 'STUDIED_AT' AND src_key = c_custkey::VARCHAR LEFT JOIN education ON education_id = dst_key",
-    "b05_curriculum_projects": "SELECT institution, array_to_string(list_sort(list(DISTINCT name)), '|') AS projects FROM edges JOIN project ON project_id = src_key JOIN education ON education_id = dst_key WHERE type = 'PART_OF' GROUP BY 1",
+    "b05_curriculum_projects": "SELECT institution, array_to_string(list_sort(list(DISTINCT name)), '|') AS projects FROM edges JOIN project ON project_id = src_key JOIN education ON education_id = dst_key WHERE edges.type = 'PART_OF' GROUP BY 1",
     "b06_nodes_of_label": "SELECT * FROM role",
     "b07_neighbours": "SELECT src_label AS label, src_key AS key, 'out' AS direction, type, dst_label AS other_label, dst_key AS other_key FROM edges UNION ALL SELECT dst_label, dst_key, 'in', type, src_label, src_key FROM edges",
     "b08_node_refs": "SELECT label || ':' || key AS ref FROM nodes",
     "b09_expansion": """WITH n AS (SELECT src_label AS label, src_key AS key, type, dst_label AS ol, dst_key AS ok FROM edges UNION ALL SELECT dst_label, dst_key, type, src_label, src_key FROM edges),
         h0 AS (SELECT 'Education' AS root_label, education_id AS root_key, 'Education' AS label, education_id AS key, 0 AS hop FROM education),
-        h1 AS (SELECT DISTINCT root_label, root_key, ol AS label, ok AS key, 1 AS hop FROM (SELECT root_label, root_key, label, key, ol, ok, row_number() OVER (PARTITION BY root_label, root_key, label, key ORDER BY min(type), ol, ok) AS k FROM h0 JOIN n USING (label, key)
-          WHERE NOT EXISTS (FROM h0 s WHERE s.root_key = h0.root_key AND s.label = ol AND s.key = ok) GROUP BY ALL) WHERE k <= 10),
+        h1 AS (SELECT DISTINCT root_label, root_key, ol AS label, ok AS key, 1 AS hop FROM (SELECT *, row_number() OVER (PARTITION BY root_label, root_key, label, key ORDER BY t, ol, ok) AS k FROM (SELECT root_label, root_key, label, key, ol, ok, min(type) AS t FROM h0 JOIN n USING (label, key)
+          WHERE NOT EXISTS (FROM h0 s WHERE s.root_key = h0.root_key AND s.label = ol AND s.key = ok) GROUP BY ALL)) WHERE k <= 10),
         s1 AS (FROM h0 UNION ALL FROM h1),
-        h2 AS (SELECT DISTINCT root_label, root_key, ol AS label, ok AS key, 2 AS hop FROM (SELECT root_label, root_key, label, key, ol, ok, row_number() OVER (PARTITION BY root_label, root_key, label, key ORDER BY min(type), ol, ok) AS k FROM h1 JOIN n USING (label, key)
-          WHERE NOT EXISTS (FROM s1 s WHERE s.root_key = h1.root_key AND s.label = ol AND s.key = ok) GROUP BY ALL) WHERE k <= 10)
+        h2 AS (SELECT DISTINCT root_label, root_key, ol AS label, ok AS key, 2 AS hop FROM (SELECT *, row_number() OVER (PARTITION BY root_label, root_key, label, key ORDER BY t, ol, ok) AS k FROM (SELECT root_label, root_key, label, key, ol, ok, min(type) AS t FROM h1 JOIN n USING (label, key)
+          WHERE NOT EXISTS (FROM s1 s WHERE s.root_key = h1.root_key AND s.label = ol AND s.key = ok) GROUP BY ALL)) WHERE k <= 10)
         SELECT * FROM s1 UNION ALL SELECT * FROM h2""",
     "b10_display_labels": "SELECT * FROM nodes",
     "b11_standalone_projects": "SELECT project_id, name FROM project WHERE NOT EXISTS (FROM edges WHERE type = 'PART_OF' AND src_key = project_id)",
@@ -247,7 +247,7 @@ ORACLES: dict[str, str] = {
         SELECT job_id, seq, CASE WHEN cap IS NOT NULL THEN cap || ':llm_semantic' ELSE coalesce(r, '') END AS related FROM req LEFT JOIN s ON query = skill_query""",
     "c13_vocabulary_check": "SELECT query, match_type IN ('canonical_exact', 'alias_exact') AS exists, canonical_skill, display_name, category, match_type FROM resolved LEFT JOIN skill ON name = canonical_skill WHERE query IN (SELECT skill_query FROM req)",
     "c14_keyword_requirements": "SELECT job_id, skill AS skill_query, 'preferred' AS importance, CASE WHEN category IN ('technical', 'tool', 'language') THEN 'technology' ELSE 'capability' END AS category FROM kw",
-    "c15_snippets": r"SELECT job_id, skill AS skill_query, coalesce(nullif(regexp_replace(substring(text, greatest(1, at - 60), at + ln + 60 - greatest(1, at - 60)), '^\s+|\s+$', '', 'g'), ''), upper(skill)) AS raw FROM kw",
+    "c15_snippets": r"SELECT job_id, skill AS skill_query, coalesce(nullif(regexp_replace(substring(text, greatest(1, pos - 60), pos + ln + 60 - greatest(1, pos - 60)), '^\s+|\s+$', '', 'g'), ''), upper(skill)) AS raw FROM kw",
     "c16_requirement_category": "SELECT name, CASE WHEN category IN ('technical', 'tool', 'language') THEN 'technology' ELSE 'capability' END AS requirement_category FROM skill",
     "c17_same_document": "SELECT * FROM same",
     "c18_composition": """WITH h AS (SELECT doc_id::VARCHAR AS job_id, min(item_id) AS item_id FROM same GROUP BY 1) SELECT job_id, 'curated' AS skill_query, 'required' AS importance, 'domain' AS category, 'cached_manual' AS mode FROM h
@@ -302,7 +302,7 @@ ORACLES: dict[str, str] = {
     "f12_achievement_evidence": f"SELECT {GROUPX}, label, achievement_id, text, metric, regexp_matches(text, '{METRIC}') OR metric IS NOT NULL AS has_metric, array_to_string(sk, '|') AS skills FROM achev",
     "f13_zero_roles": "SELECT * EXCLUDE (titles), array_to_string(titles, '|') AS titles FROM zr",
     "f14_zero_projects": "SELECT * FROM zp",
-    "f15_curriculum": "SELECT DISTINCT institution, name FROM edges JOIN project ON project_id = src_key JOIN education ON education_id = dst_key WHERE type = 'PART_OF'",
+    "f15_curriculum": "SELECT DISTINCT institution, name FROM edges JOIN project ON project_id = src_key JOIN education ON education_id = dst_key WHERE edges.type = 'PART_OF'",
     "f16_order": f"""SELECT {JPX}, experience_id, title, experience_type, score, row_number() OVER (PARTITION BY {JPX} ORDER BY score DESC, CASE WHEN experience_type = 'professional' THEN 0 ELSE 1 END, CASE class WHEN 'professional' THEN 1 WHEN 'independent' THEN 2 ELSE 3 END, first_rank) AS place FROM x""",
     "f17_registry": "SELECT * FROM reg",
     "f18_requirement_summary": f"SELECT s.job_id, s.person_id, seq, bucket AS literal_status, source, source_type, relationship, project, experience, evidence_strength FROM status s JOIN located l USING (job_id, person_id, canonical_skill)",
