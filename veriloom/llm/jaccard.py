@@ -240,13 +240,49 @@ def _bounded(t: int):
     return run
 
 
+def _sparse(k: int):
+    """doc_id, text -> the document as a point of 65,536 group counts, kept as the sorted group numbers of its shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.sort((mix(shingles(w, k) ^ U(0xA0761D6478BD642F)) >> U(48)).astype("<u2")).tobytes() for w in word_hashes(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "g"])
+
+    return run
+
+
+def _close(t: int):
+    """Pairs of such points whose summed minima reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[i].as_py(), "<u2") for c in (2, 3))
+                (gx, cx), (gy, cy) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
+                _, ix, iy = np.intersect1d(gx, gy, assume_unique=True, return_indices=True)
+                keep[i] = np.minimum(cx[ix], cy[iy]).sum() >= _needed(len(x), len(y), t)
+            keep = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return run
+
+
 def _check(pairs: DataFrame, docs: DataFrame, k: int, t: int) -> DataFrame:
-    """Verify (a, b) on whole texts: only the documents of some pair are read again."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi")
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(_verified(k, t), "a long, b long")
+    """Verify (a, b): first by finer group counts, much smaller than texts, then on whole texts. Only the documents of
+    some pair are read again."""
+
+    def joined(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
+        for side in "ab":
+            pairs = pairs.join(values.select(F.col("doc_id").alias(side), F.col(name).alias(f"{name}_{side}")), side)
+        return pairs.select("a", "b", f"{name}_a", f"{name}_b")
+
+    def texts(pairs: DataFrame) -> DataFrame:
+        return docs.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+    fine = staged(texts(pairs).mapInArrow(_sparse(k), "doc_id long, g binary"), "sparse")
+    near = staged(joined(pairs, fine, "g").mapInArrow(_close(t), "a long, b long"), "near")
+    return joined(near, texts(near), "text").mapInArrow(_verified(k, t), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
