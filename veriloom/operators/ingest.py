@@ -17,9 +17,12 @@ SECTIONS = {"roles": ("Role", "roleId"), "companies": ("Company", "name"), "proj
 REQUIREMENT_LIST = "requirements array<struct<raw:string,skillQuery:string,importance:string,category:string,relatedCapabilities:array<struct<skillQuery:string,reason:string,source:string>>>>"
 
 
-def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Seed documents -> ``nodes(label, key, props)`` and ``edges``; a missing section is empty, lists are kept as JSON."""
-    doc = spark.read.schema(SEED).json(path, multiLine=True)
+def read_graph(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Seed documents -> ``nodes(label, key, props)`` and ``edges``; a missing section is empty, lists are kept as JSON.
+
+    A file is one document, or one a line without ``multi_line`` (which also lets Spark split it).
+    """
+    doc = spark.read.schema(SEED).json(path, multiLine=multi_line)
     nodes = doc.where("person is not null").select(F.lit("Person").alias("label"), F.col("person")["personId"].alias("key"), F.col("person").alias("props"))
     for section, (label, key) in SECTIONS.items():
         one = doc.select(F.explode(section).alias("p"))

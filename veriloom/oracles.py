@@ -187,6 +187,18 @@ CTE: dict[str, str] = {
     "prof": """SELECT job_id, person_id, 'Software Engineer' AS headline, coalesce('Software engineer with hands-on experience building full-stack applications and AI-assisted tooling using ' || tech_text || '.', 'Software engineer with hands-on, project-based engineering experience.')
         || CASE WHEN e OR p THEN ' Experience gained through ' || concat_ws(', ', CASE WHEN e THEN 'professional engineering work' END, CASE WHEN p THEN 'independent full-stack projects' END) || '.' ELSE '' END AS profile
         FROM app LEFT JOIN (SELECT job_id, person_id, bool_or(coalesce(section = 'experience', false)) AS e, bool_or(coalesce(section = 'project', false)) AS p FROM routed GROUP BY ALL) USING (job_id, person_id) LEFT JOIN techt USING (job_id, person_id)""",
+    "lined": """SELECT job_id, person_id, section, rank, title, array_to_string(list_concat(['### ' || title || coalesce(' — ' || nullif(organization, ''), '')], CASE WHEN meta <> '' THEN ['*' || meta || '*'] ELSE [] END, [''],
+          list_transform(bullets, lambda b: '- ' || regexp_replace(b, ' \\[[^\\]]*\\]$', '')), ['']), chr(10)) AS block FROM (
+        SELECT *, concat_ws(' | ', nullif(location, ''), CASE WHEN start_date <> '' THEN start_date || ' – ' || coalesce(nullif(end_date, ''), 'Present') END) AS meta FROM (
+        SELECT *, 'experience' AS section FROM exp_entries UNION ALL SELECT *, 'project' FROM pro_entries UNION ALL SELECT *, 'education' FROM edu_entries))""",
+    "bodies": "SELECT job_id, person_id, section, string_agg(block, chr(10) ORDER BY rank, title) AS body FROM lined GROUP BY ALL",
+    "rendered": r"""SELECT job_id, person_id, regexp_replace(concat_ws(chr(10), '# ' || c_name || chr(10), '### ' || headline || chr(10), profile || chr(10), '## Experience' || chr(10) || e.body, '## Projects' || chr(10) || p.body, '## Education' || chr(10) || d.body,
+          '## Technical Skills' || chr(10) || nullif(t, '') || chr(10), '## Languages' || chr(10) || l || chr(10)), '^\s+|\s+$', '', 'g') || chr(10) AS text
+        FROM prof JOIN customer ON c_custkey::VARCHAR = person_id LEFT JOIN (FROM bodies WHERE section = 'experience') e USING (job_id, person_id) LEFT JOIN (FROM bodies WHERE section = 'project') p USING (job_id, person_id)
+        LEFT JOIN (FROM bodies WHERE section = 'education') d USING (job_id, person_id)
+        LEFT JOIN (SELECT job_id, person_id, string_agg('**' || CASE bucket WHEN 'programming' THEN 'Languages' WHEN 'tools' THEN 'Tools' ELSE 'Capabilities' END || ':** ' || array_to_string(names, ', '), chr(10)
+          ORDER BY list_position(['programming', 'tools', 'capabilities'], bucket)) AS t FROM bucketed GROUP BY ALL) USING (job_id, person_id)
+        LEFT JOIN (SELECT job_id, person_id, array_to_string(list_sort(list(display_name)), ', ') AS l FROM skills WHERE category = 'language' GROUP BY ALL) USING (job_id, person_id)""",
     "wskill": rf"""SELECT name, upper(name) AS display_name, list_sort(list(DISTINCT alias)) AS aliases, CASE WHEN length(name) % 2 = 0 THEN 'tool' ELSE 'capability' END AS category FROM (
         SELECT array_to_string(w[1:2], ' ') AS name, array_to_string(w[3:4], ' ') AS alias FROM (SELECT regexp_split_to_array(lower(text), '\s+') AS w FROM benchmark)) WHERE len({_terms('name')}) > 0 GROUP BY 1""",
     "cands": "SELECT name AS skill, category, unnest(list_concat([name], aliases)) AS c, generate_subscripts(list_concat([name], aliases), 1) AS place FROM wskill",
@@ -204,6 +216,10 @@ NB = "array_to_string(bullets, '|') AS bullets"
 E0 = "experience_id, experience_type, title"
 
 ORACLES: dict[str, str] = {
+    "a01_read_graph": """SELECT DISTINCT 'node' AS kind, 'Person' AS name, o_custkey::VARCHAR AS key, NULL AS other FROM orders UNION ALL SELECT 'node', 'Project', o_orderkey::VARCHAR, o_orderpriority FROM orders
+        UNION ALL SELECT 'edge', 'BUILT', o_custkey::VARCHAR, o_orderkey::VARCHAR FROM orders""",
+    "a08_written_documents": "SELECT bucket, count(*) AS n, count(*) FILTER (strongest IS NULL) AS n_null FROM status GROUP BY 1",
+    "a09_staged_documents": "SELECT job_id, person_id, seq, bucket, canonical_skill FROM status",
     "a02_upsert_nodes": "SELECT 'Project' AS label, o_orderkey::VARCHAR AS key, 'Project ' || o_orderkey AS name, CASE WHEN o_orderstatus = 'F' THEN 'closed' END AS type, o_orderstatus AS status FROM orders",
     "a03_upsert_edges": "SELECT * FROM edges WHERE type = 'USED' UNION SELECT 'USED', 'Project', l_orderkey::VARCHAR, 'Skill', p_name FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag <> 'A'",
     "a04_rejected": "SELECT 'node' AS kind, 'Order' AS name, o_orderkey::VARCHAR AS key FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'edge', 'MADE', src_key || '>' || dst_key FROM edges WHERE type = 'BUILT'",
@@ -331,6 +347,10 @@ ORACLES: dict[str, str] = {
     "g11_prominent_tech": "SELECT job_id, person_id, array_to_string(tech, '|') AS tech, tech_text FROM techt",
     "g12_profiles": "SELECT * FROM prof",
     "g13_languages": "SELECT job_id, person_id, array_to_string(list_sort(list(display_name)), '|') AS languages FROM skills WHERE category = 'language' GROUP BY ALL",
+    "g15_rendered_text": "SELECT * FROM rendered",
+    "g17_audit": """SELECT job_id, person_id, 'gap_named' AS issue, what FROM (SELECT DISTINCT job_id, person_id, skill_query AS what FROM status WHERE bucket = 'gap') JOIN rendered USING (job_id, person_id)
+        WHERE regexp_matches(lower(text), '(^|[^a-z0-9])' || regexp_escape(what) || '([^a-z0-9]|$)')
+        UNION ALL SELECT job_id, person_id, 'banned_phrase', what FROM rendered, unnest(['Note on role alignment', 'Skills used:', 'Evidence-backed match', 'no evidence found', 'match-confidence', 'matchConfidence']) AS b(what) WHERE contains(lower(text), lower(what))""",
     "g16_prompts": "SELECT doc_id::VARCHAR AS job_id, md5('List the hiring requirements of the following text as JSON, each with its wording, a short skill query, an importance and a category.' || chr(10) || chr(10) || 'TEXT:' || chr(10) || chr(10) || text) AS prompt_md5 FROM documents",
 }
 

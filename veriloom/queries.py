@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -18,7 +19,7 @@ from veriloom.plans import package as P
 from veriloom.plans import resolve as R
 from veriloom.plans import stories as S
 from veriloom.sources import graph as G
-from veriloom.sources.staging import staged
+from veriloom.sources.staging import shared_dir, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -157,6 +158,21 @@ FIELDS = E.FIELDS
 # ---- ingest
 
 
+@query("a01_read_graph")
+def _(t):
+    k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    project = F.create_map(F.lit("projectId"), k, F.lit("name"), F.concat(F.lit("Project "), k), F.lit("context"), F.col("o_orderpriority"))
+    end = lambda label, key: F.struct(F.lit(label).alias("label"), key.alias("key"))
+    built = F.struct(F.lit("BUILT").alias("type"), end("Person", c).alias("from"), end("Project", k).alias("to"))
+    seeds = t.read("orders").groupBy("o_custkey").agg(F.collect_list(project).alias("projects"), F.collect_list(built).alias("relationships"))
+    seeds = seeds.select(F.create_map(F.lit("personId"), F.col("o_custkey").cast("string")).alias("person"), "projects", "relationships")
+    path = f"{shared_dir(t.spark)}/veriloom-seeds-{uuid.uuid4().hex}"
+    seeds.write.json(path)
+    nodes, edges = IN.read_graph(t.spark, path, multi_line=False)
+    nodes = nodes.select(F.lit("node").alias("kind"), F.col("label").alias("name"), "key", F.col("props")["context"].alias("other"))
+    return nodes.unionByName(edges.select(F.lit("edge").alias("kind"), F.col("type").alias("name"), F.col("src_key").alias("key"), F.col("dst_key").alias("other")))
+
+
 @query("a02_upsert_nodes")
 def _(t):
     k = F.col("o_orderkey")
@@ -207,6 +223,20 @@ def _(t):
     return IN.not_blank(t.jobs).select("job_id", F.length("text").cast("long").alias("n_chars"))
 
 
+@query("a08_written_documents")
+def _(t):
+    path = f"{shared_dir(t.spark)}/veriloom-documents-{uuid.uuid4().hex}"
+    IN.write_documents(t.status.select(*JP, "seq", "bucket", "canonical_skill", "strongest"), path)
+    return t.spark.read.text(path).groupBy(F.get_json_object("value", "$.bucket").alias("bucket")).agg(F.count("*").alias("n"), F.count_if(F.col("value").contains('"strongest":null')).alias("n_null"))
+
+
+@query("a09_staged_documents")
+def _(t):
+    path = f"{shared_dir(t.spark)}/veriloom-documents-{uuid.uuid4().hex}"
+    IN.write_documents(t.status.select(*JP, "seq", "bucket", "canonical_skill"), path)
+    return IN.read_staged(t.spark, path, "person_id string, seq long, bucket string, canonical_skill string, job_id string")
+
+
 # ---- graph reads
 
 
