@@ -1,6 +1,6 @@
 """Exact n-gram Jaccard join with count-vector R-trees.
 
-Tokens (k-word shingles) are hashed into ``GROUPS`` groups; a document is the point of its group counts. For two
+Tokens (k-word shingles) are hashed into groups; a document is the point of its group counts. For two
 documents the overlap is at most the sum of their coordinate minima, and a box of points bounds it by the minima against
 the box's upper corner. R-trees over the points are searched with that bound, and surviving pairs are verified on the
 shingle sets themselves.
@@ -42,13 +42,30 @@ def _needed(a, b, t: int):
     return -((-(a + b) * t) // (100 + t))
 
 
+def groups_for(n: int) -> int:
+    """How many groups a set of n elements is counted in: a power of two, so points fold onto those of smaller sets. With
+    about eight elements a group the counts of unrelated large sets differ by much more than the threshold allows."""
+    return max(GROUPS, 1 << max(0, (max(n, 1) - 1) // 8).bit_length())
+
+
+def grouped(s: np.ndarray, groups: int) -> np.ndarray:
+    """Elements by group."""
+    return np.bincount((mix(s ^ U(0xA0761D6478BD642F)) >> U(32)).astype(np.int64) % groups, minlength=groups)
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """The same point (or points, by row) in fewer groups."""
+    return counts.reshape(*counts.shape[:-1], -1, groups).sum(axis=-2)
+
+
 def _packed(counts: np.ndarray) -> bytes:
-    """Group counts in a byte each where they fit, else in four."""
-    return counts.astype("u1" if counts.max(initial=0) < 256 else "<u4").tobytes()
+    """Group counts in a byte each where they fit, else in four; the first byte says which."""
+    wide = counts.max(initial=0) > 255
+    return (b"\4" if wide else b"\1") + counts.astype("<u4" if wide else "u1").tobytes()
 
 
-def _unpacked(raw: list[bytes]) -> np.ndarray:
-    return np.stack([np.frombuffer(x, "u1" if len(x) == GROUPS else "<u4") for x in raw]).astype(np.int64)
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u4" if raw[0] == 4 else "u1", offset=1).astype(np.int64)
 
 
 def _frequent(k: int):
@@ -90,7 +107,7 @@ def _points(k: int, t: int, hot: np.ndarray):
                     n.append(len(s))
                     h1.append(int(m.sum(dtype=U).view(np.int64)))
                     h2.append(int(mix(m).sum(dtype=U).view(np.int64)))
-                counts.append(_packed(np.bincount((m >> U(32)).astype(np.int64) % GROUPS, minlength=GROUPS)))
+                counts.append(_packed(grouped(s, groups_for(len(s)))))
                 p = len(s) - _ceil_share(len(s), t) + 1
                 # fewer than t/(100-t) common elements allow no difference at all: such sets only match equal ones
                 if len(s) * (100 - t) < t or p <= 0:
@@ -124,7 +141,7 @@ def _verified(k: int, t: int):
                         del known[i]
             for i, words in zip(new, word_hashes(list(new.values()))):
                 s = shingles(words, k)
-                known[i] = s, np.bincount((mix(s ^ U(0xA0761D6478BD642F)) >> U(32)).astype(np.int64) % GROUPS, minlength=GROUPS)
+                known[i] = s, grouped(s, GROUPS)
 
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -187,15 +204,25 @@ def _searched(t: int):
     def pairs_of(group: pa.Table) -> np.ndarray:
         ids, comp, tile = (group.column(c).to_numpy() for c in ("doc", "comp", "tile"))
         ta, tb, low = (group.column(c)[0].as_py() for c in ("ta", "tb", "low"))
-        left, right = (np.arange(len(ids)),) * 2 if ta == tb else (np.flatnonzero(tile == ta), np.flatnonzero(tile == tb))
+        left, right = (np.ones(len(ids), bool),) * 2 if ta == tb else (tile == ta, tile == tb)
         out = [np.zeros((0, 2), np.int64)]
-        if len(left) and len(right) and len(ids) > 1:
-            counts = _unpacked(group.column("counts").to_pylist())
-            tree = Tree(counts[right], comp[right])
-            for i in left:
-                j = right[tree.search(counts[i], comp[i], t)]
-                # pairs with the bucket's smallest document were verified in the first round
-                j = j[(comp[j] != comp[i]) & (ids[j] != low) & ((j > i) | (ta != tb))] if ids[i] != low else j[:0]
+        if not left.any() or not right.any() or len(ids) < 2:
+            return out[0]
+        points = [_unpacked(x) for x in group.column("counts").to_pylist()]
+        size = np.array([len(p) for p in points])
+        # sets within the threshold differ in size by less than two times, so in groups by one step at most
+        for groups in np.unique(np.concatenate([size, size // 2])):
+            here = (size == groups) | (size == 2 * groups)
+            i_all, j_all = np.flatnonzero(left & here), np.flatnonzero(right & here)
+            if not (size[here] == groups).any() or not len(i_all) or not len(j_all):
+                continue
+            at = {k: folded(points[k], groups) for k in np.flatnonzero(here)}
+            tree = Tree(np.stack([at[j] for j in j_all]), comp[j_all])
+            for i in i_all:
+                if ids[i] == low:  # pairs with the bucket's smallest document were verified in the first round
+                    continue
+                j = j_all[tree.search(at[i], comp[i], t)]
+                j = j[(comp[j] != comp[i]) & (ids[j] != low) & ((j > i) | (ta != tb)) & ((size[i] == groups) | (size[j] == groups))]
                 if len(j):
                     out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1))
         return np.concatenate(out)
@@ -233,8 +260,12 @@ def _bounded(t: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = _unpacked(batch.column(2).to_pylist()), _unpacked(batch.column(3).to_pylist())
-            keep = pa.array(np.minimum(x, y).sum(axis=1) >= _needed(x.sum(axis=1), y.sum(axis=1), t))
+            keep = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                x, y = (_unpacked(batch.column(c)[i].as_py()) for c in (2, 3))
+                groups = min(len(x), len(y))
+                keep[i] = np.minimum(folded(x, groups), folded(y, groups)).sum() >= _needed(x.sum(), y.sum(), t)
+            keep = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     return run
@@ -345,5 +376,5 @@ def keep_one_per_group(docs: DataFrame, k: int = 5, threshold: int = 80) -> Data
     Rows with a null doc_id or without words stay. Rows that repeat the smallest doc_id itself stay as they are.
     """
     found = jaccard_components(docs, k, threshold)
-    gone = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(maybe_broadcast(gone, 16), "doc_id", "left_anti")
+    gone = staged(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return docs.join(maybe_broadcast(gone, 16), F.col("doc_id") == F.col("__gone"), "left_anti")
