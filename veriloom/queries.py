@@ -410,8 +410,8 @@ def _(t):
 
 @query("c19_freshness")
 def _(t):
-    n = t.read("benchmark").agg(F.max("item_id").alias("m"))
-    texts = t.read("documents").join(F.broadcast(n)).select(F.col("doc_id").cast("string").alias("job_id"), (F.col("doc_id") % (F.col("m") + 10)).alias("item_id"), "text")
+    last = t.read("benchmark").agg(F.max("item_id")).first()[0]
+    texts = t.read("documents").select(F.col("doc_id").cast("string").alias("job_id"), (F.col("doc_id") % (last + 10)).alias("item_id"), "text")
     valid = t.read("benchmark").select("item_id", (F.length("text") % 3 != 0).alias("ok"))
     return EX.freshness(texts, t.read("benchmark").select("item_id", "text"), valid)
 
