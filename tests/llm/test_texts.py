@@ -108,6 +108,25 @@ def test_packing_round_trip(spark):
     assert pack(docs.limit(0)).collect() == []
 
 
+def test_packing_gives_added_tokens_their_ids(spark, tmp_path):
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["say <|endoftext|> now", "<|endoftext|><|endoftext|>x", "<<|endoftext|>> é", "plain", "<|endoftext"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {}
+    for i, x in enumerate(texts):
+        ids = np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4")
+        want[i] = (len(ids), zlib.crc32(ids.tobytes()))
+    for rows in (queries.op2_vector_packing(spark, str(tmp_path)).collect(), corpus_pipeline.packing(spark, df, "").collect()):
+        whole = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in rows if r.length == r.doc_tokens}
+        assert {r.doc_id: r.doc_tokens for r in rows} == {i: n for i, (n, _) in want.items()}
+        assert whole and all(want[i] == x for i, x in whole.items())
+
+
 def test_packer_keeps_all_limits():
     r = np.random.default_rng(2)
     packer, out = Packer((64, 5, 50)), []

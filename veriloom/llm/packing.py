@@ -10,6 +10,7 @@ shuffled, and a lost task packs the same sequences again.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -108,14 +109,14 @@ class Packer:
             yield from self.fill()
 
 
-def _encoder(path: str):
-    """An encoder of whole texts from a file of ranks; strings of special tokens are ordinary text."""
+def _encoder(path: str, added: dict[str, int]):
+    """An encoder of whole texts from a file of ranks and the added tokens, by their strings."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -125,12 +126,21 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
+def added_tokens(name: str = "byte_bpe_50k.json") -> dict[str, int]:
+    """The added tokens of a public vocabulary: ``tokenizers`` gives them their own ids wherever a text holds their strings."""
+    with open(vocabulary(name), encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in found):
+        raise ValueError("added tokens must be plain strings")
+    return {t["content"]: t["id"] for t in found}
+
+
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long"
 
 
-def _pack(path: str, limits: tuple[int, int, int], with_ids: bool):
+def _pack(path: str, limits: tuple[int, int, int], with_ids: bool, added: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = _encoder(path, added)
         packer = Packer(limits)
         sequence = TaskContext.get().partitionId() << 36
         rows: list[tuple] = []
@@ -156,7 +166,7 @@ def _pack(path: str, limits: tuple[int, int, int], with_ids: bool):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for i, doc in enumerate(ids):
-                got = encoder.encode_to_numpy(texts[i].as_py() or "", disallowed_special=())
+                got = encoder.encode_to_numpy(texts[i].as_py() or "", allowed_special="all")
                 got = np.append(got, END).astype("<u4")
                 put(packer.add(Piece(doc, got, 0, len(got))))
                 if len(rows) > 20_000:
@@ -167,16 +177,17 @@ def _pack(path: str, limits: tuple[int, int, int], with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, segments: int = SEGMENTS, loss_tokens: int = LENGTH, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, segments: int = SEGMENTS, loss_tokens: int = LENGTH, with_ids: bool = False, added: dict[str, int] | None = None) -> DataFrame:
     """``docs(doc_id, text)`` -> one row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     padded_to`` and, on request, ``ids`` (little-endian unsigned 32-bit).
 
     A document is its ids and a closing id 0; a null text counts as empty, so it is the closing id alone. No sequence
     holds more than ``length`` ids, ``segments`` pieces or ``loss_tokens`` loss-bearing ids, and each is full or a power
     of two long, so nothing is padded under the default limits. Repeated rows and null ids are packed like any other;
-    an empty table gives no rows; extra columns are ignored. ``path`` names the file of vocabulary ranks.
+    an empty table gives no rows; extra columns are ignored. ``path`` names the file of vocabulary ranks. The
+    strings of ``added`` get their ids wherever they stand (see :func:`added_tokens`); without it they are ordinary text.
     """
     if min(length, segments) < 1 or loss_tokens < 0:
         raise ValueError("limits must leave room for one id")
     docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return docs.mapInArrow(_pack(path or vocabulary(), (length, segments, loss_tokens), with_ids), COLUMNS + ", ids binary" * with_ids)
+    return docs.mapInArrow(_pack(path or vocabulary(), (length, segments, loss_tokens), with_ids, added or {}), COLUMNS + ", ids binary" * with_ids)

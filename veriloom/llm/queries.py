@@ -13,7 +13,7 @@ from veriloom.llm.chat import repair
 from veriloom.llm.decontam import leaks
 from veriloom.llm.html_main import main_text
 from veriloom.llm.jaccard import jaccard_components
-from veriloom.llm.packing import pack
+from veriloom.llm.packing import added_tokens, pack
 from veriloom.llm.pii import personal_data
 from veriloom.llm.quality_gam import quality
 from veriloom.llm.toxicity import toxicity
@@ -26,7 +26,7 @@ def op1_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens."""
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), added=added_tokens())
 
 
 def op3_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
