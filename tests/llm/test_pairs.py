@@ -126,6 +126,40 @@ def test_leaks_with_substitutions(spark):
     assert leaks(df, bench.limit(0)).collect() == [] and leaks(df.limit(0), bench).collect() == []
 
 
+def found_leaks(items, docs):
+    """(document, item, words equal) without Spark; both are lists of lists of words."""
+    import pyarrow as pa
+    from veriloom.llm.decontam import Index, _find
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs)), pa.int64()), pa.array([" ".join(d) for d in docs], pa.string())], ["doc_id", "text"])
+    (got,) = _find(Index(list(range(len(items))), [" ".join(i) for i in items]))([batch])
+    return {(r["doc_id"], r["item_id"]): r["n_equal"] for r in got.to_pylist()}
+
+
+def test_short_items_equal_brute_force():
+    import itertools
+    import math
+
+    r = random.Random(11)
+    items = [["what"] + [f"i{n}x{j}" for j in range(n - 1)] for n in range(2, 17)]  # the same first word in all
+    items += [["lone"], ["what", "else"], ["what", "is", "what", "is", "what"], list("abcabcabcabc")]
+    docs = []
+    for item in items:
+        n = len(item)
+        differ = n - math.ceil(n * 4 / 5 - 1e-9)
+        choices = [c for k in range(differ + 2) for c in itertools.combinations(range(n), min(k, n))]
+        for c in choices if len(choices) < 200 else r.sample(choices, 200):
+            docs.append(["noise"] * r.choice([0, 3]) + ["other" if i in c else w for i, w in enumerate(item)] + ["noise"] * r.choice([0, 2]))
+        docs += [item[k:] for k in range(1, differ + 2)] + [item[: n - k] for k in range(1, differ + 2)]
+    want = {}
+    for d, words in enumerate(docs):
+        for i, item in enumerate(items):
+            n = max(sum(0 <= at + j < len(words) and words[at + j] == w for j, w in enumerate(item)) for at in range(-len(item), len(words)))
+            if 10 * n >= 8 * len(item):
+                want[d, i] = n
+    assert found_leaks(items, docs) == want
+
+
 def test_leaks_find_every_whole_item(spark):
     d = "/root/testdata/sf0.001"
     docs, bench = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")

@@ -7,6 +7,7 @@ benchmark comes in blocks of bounded size, each sent to every task, so no docume
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ MASKS = ("11101011", "110100111", "1011001101", "111111")
 BLOCK_CHARS = 32 << 20
 LEAST_WORDS = 13
 IDENTITY = 0.8
+#: Items of so many words may differ in ``SHORT - LEAST_WORDS`` words at most; their masks survive every such choice.
+SHORT = 16
 
 
 def _seeds(words: np.ndarray, mask: str) -> np.ndarray:
@@ -36,6 +39,25 @@ def _seeds(words: np.ndarray, mask: str) -> np.ndarray:
     return mix(h)
 
 
+def _needed(n: int) -> int:
+    """Words of an item of ``n`` that must be equal: 13, or 80 % (of a shorter one), in whole numbers."""
+    return min(LEAST_WORDS, -(-4 * n // 5))
+
+
+def _short_masks(n: int) -> list[tuple[int, str]]:
+    """(first word, mask) for items of ``n`` words: the words in groups, two more than may differ, and a mask for every
+    choice of differing groups. Whichever words differ, or lie beyond the document, some mask compares none of them."""
+    differ = n - _needed(n)
+    groups = [g for g in np.array_split(np.arange(n), differ + 2 if differ else 1) if len(g)]
+    out = []
+    for left in itertools.combinations(range(len(groups)), differ):
+        ones = np.concatenate([g for i, g in enumerate(groups) if i not in left])
+        mask = np.full(ones[-1] - ones[0] + 1, "0")
+        mask[ones - ones[0]] = "1"
+        out.append((int(ones[0]), "".join(mask)))
+    return out
+
+
 def _words(texts: list[str | None]) -> Iterator[np.ndarray]:
     return word_hashes([(x or "").lower() for x in texts], PUNCT, lower=False)
 
@@ -49,22 +71,31 @@ class Index:
         self.start = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         self.words = np.concatenate(parts) if parts else np.zeros(0, U)
         owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        self.seeds = []
+        self.length = np.diff(self.start)
+        self.seeds: list[tuple[str, np.ndarray, np.ndarray]] = []
         self.maybe = np.zeros(1 << 22, bool)
+        starts: dict[str, list[np.ndarray]] = {}
+        long = self.length[owner] > SHORT
         for mask in MASKS:
-            h = _seeds(self.words, mask)
-            at = np.flatnonzero(owner[: len(h)] == owner[len(mask) - 1 :][: len(h)]) if len(h) else np.zeros(0, int)
-            order = at[np.argsort(h[at], kind="stable")]
-            self.seeds.append((h[order], order))
-            self.maybe[h[order] >> U(42)] = True
-        # items too short for the shortest mask are looked up by their first word and compared whole
-        self.short = {int(p[0]): i for i, p in reversed(list(enumerate(parts))) if 0 < len(p) < min(map(len, MASKS))}
+            n = len(owner) - len(mask) + 1
+            if n > 0:
+                starts[mask] = [np.flatnonzero(long[:n] & (owner[:n] == owner[len(mask) - 1 :]))]
+        for n in np.unique(self.length[(self.length > 0) & (self.length <= SHORT)]).tolist():
+            for first, mask in _short_masks(n):
+                starts.setdefault(mask, []).append(self.start[:-1][self.length == n] + first)
+        for mask, found in starts.items():
+            at = np.concatenate(found)
+            h = _seeds(self.words, mask)[at]
+            order = np.argsort(h, kind="stable")
+            self.seeds.append((mask, h[order], at[order]))
+            self.maybe[h >> U(42)] = True
         self.owner = owner
 
     def diagonals(self, words: np.ndarray) -> np.ndarray:
         """Distinct (item, document position of the item's first word) that some seed proposes."""
         found = []
-        for mask, (seeds, at) in zip(MASKS, self.seeds):
+        span = len(words) + (int(self.length.max()) if len(self.length) else 0) + 1
+        for mask, seeds, at in self.seeds:
             h = _seeds(words, mask)
             if not len(h) or not len(seeds):
                 continue
@@ -75,12 +106,35 @@ class Index:
             if len(pos):
                 k = at[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
                 item = self.owner[k]
-                found.append(np.stack([item, np.repeat(pos, n) - (k - self.start[item])], axis=1))
-        if self.short:
-            pos = np.flatnonzero(np.isin(words, np.array(list(self.short), U)))
-            if len(pos):
-                found.append(np.array([(self.short[int(words[p])], p) for p in pos]))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+                # the position may lie before the first word, by less than the longest item
+                found.append(np.unique(item * span + np.repeat(pos, n) - (k - self.start[item]) + (span - len(words) - 1)))
+        if not found:
+            return np.zeros((0, 2), np.int64)
+        every = np.unique(np.concatenate(found))
+        return np.stack([every // span, every % span - (span - len(words) - 1)], axis=1)
+
+    def whole(self, words: np.ndarray, ends: np.ndarray, pairs: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """The leaks among proposals of short items, all at once: (text, item, its word in the text, item word, words
+        compared, words equal). ``ends`` are the ends of the texts in ``words``."""
+        text_of = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        begins = ends - np.diff(ends, prepend=0)
+        for n in np.unique(self.length[pairs[:, 0]]).tolist():
+            some = pairs[self.length[pairs[:, 0]] == n]
+            for i in range(0, len(some), 1 << 16):
+                item, at = some[i : i + (1 << 16)].T
+                place = at[:, None] + np.arange(n)
+                inside = (place >= 0) & (place < len(words))
+                place = place.clip(0, len(words) - 1)
+                same = inside & (words[place] == self.words[self.start[item][:, None] + np.arange(n)])
+                text = text_of[place]
+                # the words of a proposal may lie in several texts: each is tried
+                for d in range(n):
+                    new = inside[:, d] if d == 0 else inside[:, d] & (~inside[:, d - 1] | (text[:, d] != text[:, d - 1]))
+                    equal = (same & (text == text[:, d : d + 1])).sum(axis=1)
+                    for j in np.flatnonzero(new & (equal >= _needed(n))):
+                        t = int(text[j, d])
+                        lo, hi = max(0, int(begins[t] - at[j])), min(n, int(ends[t] - at[j]))
+                        yield t, int(item[j]), int(at[j] - begins[t]) + lo, lo, hi - lo, int(equal[j])
 
     def aligned(self, words: np.ndarray, item: int, at: int) -> tuple[int, int, int] | None:
         """(first item word, words compared, words equal) of the best stretch, if it is a leak."""
@@ -116,8 +170,13 @@ def _find(index: Index):
                 ends = np.cumsum([len(w) for w in held])
                 every = np.concatenate(held)
                 best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-                for item, at in index.diagonals(every):
-                    length = index.start[item + 1] - index.start[item]
+                pairs = index.diagonals(every)
+                short = index.length[pairs[:, 0]] <= SHORT
+                for d, item, *got in index.whole(every, ends, pairs[short]):
+                    if got[3] > best.get((d, item), (0, 0, 0, 0))[3]:
+                        best[d, item] = tuple(got)
+                for item, at in pairs[~short].tolist():
+                    length = int(index.length[item])
                     # a seed may lie across two texts of the group: each text that the diagonal touches is tried
                     for d in range(int(np.searchsorted(ends, max(at, 0), "right")), int(np.searchsorted(ends, min(at + length, len(every)) - 1, "right")) + 1):
                         base = int(ends[d] - len(held[d]))
