@@ -160,6 +160,30 @@ def test_short_items_equal_brute_force():
     assert found_leaks(items, docs) == want
 
 
+def test_any_stretch_of_a_long_item_counts():
+    from veriloom.llm.decontam import Index
+
+    item = [f"i{j}" for j in range(59)]
+    three = item[10:22] + ["x", "y", "z"] + item[25:37]
+    fifth = [w if j % 5 else "x" for j, w in enumerate(item[20:50])]
+    got = found_leaks([item], [["noise"] * 9 + three + ["noise"] * 40, ["noise"] * 40 + fifth + ["noise"] * 40, ["noise"] * 40 + item[3:15] + ["noise"] * 40])
+    assert got == {(0, 0): 24, (1, 0): 24}
+    # against all stretches by brute force
+    r = random.Random(5)
+    index = Index([0], [" ".join(item)])
+    hashes = index.words
+    for _ in range(300):
+        same = [r.random() < 0.75 for _ in item]
+        words = hashes.copy()
+        words[[not x for x in same]] ^= type(words[0])(1)
+        best = max((sum(same[i:j]) for i in range(59) for j in range(i + 13, 60) if 5 * sum(same[i:j]) >= 4 * (j - i)), default=0)
+        found = index.aligned(words, 0, 0)
+        assert (found is not None) == (best >= 13)
+        if found:
+            begin, size, n = found
+            assert n == sum(same[begin : begin + size]) >= 13 and 5 * n >= 4 * size
+
+
 def test_leaks_find_every_whole_item(spark):
     d = "/root/testdata/sf0.001"
     docs, bench = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")

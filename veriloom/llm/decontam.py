@@ -23,6 +23,8 @@ MASKS = ("11101011", "110100111", "1011001101", "111111")
 BLOCK_CHARS = 32 << 20
 LEAST_WORDS = 13
 IDENTITY = 0.8
+#: What a difference weighs against an equal word at that share.
+WEIGHT = round(IDENTITY / (1 - IDENTITY))
 #: Items of so many words may differ in ``SHORT - LEAST_WORDS`` words at most; their masks survive every such choice.
 SHORT = 16
 
@@ -143,16 +145,25 @@ class Index:
         if hi <= lo:
             return None
         same = text[lo:hi] == words[at + lo : at + hi]
-        n = int(same.sum())
-        least = min(LEAST_WORDS, int(np.ceil(IDENTITY * len(text))))
-        if n >= least and n >= IDENTITY * (hi - lo):
+        n, least = int(same.sum()), _needed(len(text))
+        if n < least:
+            return None
+        if n >= WEIGHT * (hi - lo - n):
             return lo, hi - lo, n
         # the stretch with the largest sum, in which a difference weighs as much as IDENTITY allows
-        c = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -IDENTITY / (1 - IDENTITY)))])
-        gain = c - np.minimum.accumulate(c)
-        end = int(gain.argmax())
+        c = np.concatenate([[0], np.cumsum(np.where(same, 1, -WEIGHT))])
+        least_before = np.minimum.accumulate(c)
+        end = int((c - least_before).argmax())
         begin = int(c[: end + 1].argmin())
         n = int(same[begin:end].sum())
+        if n < least:
+            # it is too short: of all stretches without a negative sum, the one with the most equal words; for each
+            # end that is the earliest begin whose sum is not above the end's
+            begins = np.searchsorted(-least_before, -c, "left")
+            equal = np.concatenate([[0], np.cumsum(same)])
+            end = int((equal - equal[begins]).argmax())
+            begin = int(begins[end])
+            n = int(equal[end] - equal[begin])
         return (lo + begin, end - begin, n) if n >= least else None
 
 
