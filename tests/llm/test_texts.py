@@ -258,6 +258,42 @@ def test_repairs_are_cheapest_and_legal(spark):
             assert cost == want[c]
 
 
+def test_chunks_are_cut_by_rows(spark, monkeypatch):
+    sizes = []
+
+    def watched(conversations, chunk):
+        staged = chat.staged
+
+        def keep(df, label):
+            out = staged(df, label)
+            sizes.extend(r.n for r in out.selectExpr("size(turns) as n").collect())
+            return out
+
+        monkeypatch.setattr(chat, "staged", keep)
+        got = chat.repair(conversations, chunk).collect()
+        monkeypatch.setattr(chat, "staged", staged)
+        return got
+
+    r = np.random.default_rng(7)
+    rows = [(None, None if i % 2 else 3, ["user", "assistant", None][int(r.integers(0, 3))], "same") for i in range(700)]
+    rows += [(1, 5, ["user", "assistant", "tool"][int(r.integers(0, 3))], f"t{i % 9}") for i in range(500)]
+    rows += [(2, i, ["user", "assistant"][i % 2], "x") for i in range(40)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    cut = watched(df, 16)
+    assert max(sizes) <= 16 and sum(sizes) == len(rows)
+    none = lambda x: (x is not None, x)
+    whole = chat.repair(df, 100_000).collect()
+    for conv in (None, 1, 2):
+        a, b = ([x for x in sorted(g, key=lambda x: (x.chunk, x.place)) if x.conv_id == conv] for g in (cut, whole))
+        want = sorted(((t, role, text) for c, t, role, text in rows if c == conv), key=lambda x: tuple(map(none, x)))
+        assert [x.chunk * 16 + x.place for x in a] == list(range(len(want))) == [x.place for x in b]
+        assert [(x.turn, x.role) for x in a] == [(x.turn, x.role) for x in b] == [x[:2] for x in want]
+        assert len({x.conv_cost for x in a + b}) == 1
+        for got in (a, b):
+            cost = sum(chat.INSERT * t.n_inserted + chat.MERGE * (t.action == "merge") + (0 if t.new_role == t.role else chat.RELABEL if chat.role_of(t.role) else chat.RELABEL_UNKNOWN) for t in got)
+            assert cost == got[0].conv_cost
+
+
 def test_odd_conversations(spark):
     rows = [(None, None, None, None), (1, 0, "Human", "a"), (1, 0, "Human", "a"), (2, 5, "bot", "b")]
     got = chat.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()

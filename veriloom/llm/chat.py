@@ -4,8 +4,9 @@ A legal conversation is one optional system turn, then user and assistant turns
 Each input turn may keep its role, take another (relabel), or join the turn before it (merge); empty turns may be
 inserted. Dynamic programming over the automaton of the last emitted role finds the cheapest repair. The automaton has
 four states, so a stretch of turns is a 4 x 4 table of costs between entry and exit, and tables of stretches compose:
-a conversation is cut into chunks, their tables are joined per conversation, and each chunk is then traced with its
-entry and exit fixed. No task needs a whole conversation.
+the rows of all conversations are sorted over range partitions and cut, by their number in the conversation, into
+chunks; their tables are joined per conversation, and each chunk is then traced with its entry and exit fixed. No task
+needs the turns of a whole conversation, however many rows it has and whatever their turn numbers are.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,6 +93,68 @@ def shown(role: int, text: str) -> str:
     return f"<|{ROLES[role - 1]}|>\n{text}\n"
 
 
+_TURNS = pa.list_(pa.struct([("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())]))
+PIECES = "conv_id long, part long, nth long, local long, size long, turns array<struct<turn:long,role:string,text:string>>"
+PIECE_CHARS = 8 << 20
+
+
+def _cut(chunk: int):
+    """Sorted rows as pieces of at most ``chunk`` turns of one conversation: ``nth`` numbers the conversations of the
+    partition, ``local`` the piece's first row among the conversation's rows there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, nth, local, chars = TaskContext.get().partitionId(), -1, 0, 0
+        conv: int | None = None
+        turns: list[dict] = []
+        out: list[tuple] = []
+
+        def put() -> None:
+            nonlocal turns, local
+            if turns:
+                out.append((conv, part, nth, local, len(turns), turns))
+                local += len(turns)
+                turns = []
+
+        def batch_of() -> pa.RecordBatch:
+            cols = list(zip(*out)) if out else [[]] * 6
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 5 + [_TURNS])], ["conv_id", "part", "nth", "local", "size", "turns"])
+
+        for b in batches:
+            for c, turn, role, text in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if nth < 0 or c != conv:
+                    put()
+                    conv, nth, local = c, nth + 1, 0
+                turns.append({"turn": turn, "role": role, "text": text})
+                chars += len(text or "")
+                if len(turns) == chunk:
+                    put()
+                if chars > PIECE_CHARS:
+                    yield batch_of()
+                    chars = 0
+        put()
+        yield batch_of()
+
+    return run
+
+
+def _offsets(pieces: DataFrame) -> list[tuple[int, int]]:
+    """(partition, rows of its first conversation in the partitions before), where there are some. One row a partition
+    comes to the driver."""
+    rows = F.col("local") + F.col("size")
+    first = F.col("nth") == 0
+    ends = pieces.groupBy("part").agg(
+        F.max(F.struct("nth", rows.alias("rows"), "conv_id")).alias("last"), F.max(F.when(first, rows)).alias("rows"), F.max(F.when(first, F.col("conv_id"))).alias("conv_id")
+    )
+    out, before = [], None
+    for e in sorted(ends.collect(), key=lambda e: e.part):
+        offset = before[1] if before and before[0] == e.conv_id else 0
+        if offset:
+            out.append((e.part, offset))
+        before = (e.last.conv_id, e.last.rows + (offset if e.last.nth == 0 else 0))
+    return out
+
+
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         m = [table_of([role_of(t["role"]) for t in turns]).ravel().tolist() for turns in b.column(2).to_pylist()]
@@ -122,10 +186,11 @@ def _ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 REPAIRED = "conv_id long, chunk long, place long, turn long, role string, action string, new_role string, n_inserted long, conv_cost long, rendered string"
 
 
-def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repaired(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The turns of pieces, each at its number in the conversation: the ``place`` in the ``chunk``."""
     for b in batches:
         out = []
-        for conv, chunk, turns, entry, leave, cost, is_last in zip(*(b.column(i).to_pylist() for i in range(7))):
+        for conv, at, turns, entry, leave, cost, is_last in zip(*(b.column(i).to_pylist() for i in range(7))):
             steps = trace([role_of(t["role"]) for t in turns], entry, leave)
             for i, (t, (before, after, action)) in enumerate(zip(turns, steps)):
                 text = t["text"] or ""
@@ -136,7 +201,7 @@ def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     tail = (USER, ASSISTANT) if after == SYSTEM else (ASSISTANT,) if after == USER else ()
                     rendered += "".join(shown(g, "") for g in tail)
                     n += len(tail)
-                out.append((conv, chunk, i, t["turn"], t["role"], action, ROLES[after - 1], n, cost, rendered))
+                out.append((conv, (at + i) // size, (at + i) % size, t["turn"], t["role"], action, ROLES[after - 1], n, cost, rendered))
         cols = list(zip(*out)) if out else [[]] * 10
         kinds = [pa.int64()] * 4 + [pa.string()] * 3 + [pa.int64()] * 2 + [pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [c.split()[0] for c in REPAIRED.split(", ")])
@@ -152,12 +217,17 @@ def repair(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     conversation of its own; a null turn stands before all. An empty table gives no rows; extra columns are ignored.
     """
     one = only(conversations, "conv_id", "turn", "role", "text").withColumns({"conv_id": F.col("conv_id").cast("long"), "turn": F.col("turn").cast("long")})
-    one = one.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-(1 << 40))).cast("long"))
-    turns = one.groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    turns = staged(turns, "chunks")
+    order = ("conv_id", "turn", "role", "text", "_id")  # the last one parts equal rows
+    one = one.withColumn("_id", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("_id")
+    pieces = staged(one.mapInArrow(_cut(chunk), PIECES), "chunks")
+    offsets = _offsets(pieces)
+    more = F.broadcast(one.sparkSession.createDataFrame(offsets, "part long, before long"))
+    turns = pieces.join(more, "part", "left")
+    # a piece's number is that of its first row in the conversation
+    turns = turns.withColumn("chunk", F.col("local") + F.when(F.col("nth") == 0, F.coalesce("before", F.lit(0))).otherwise(0)).select("conv_id", "chunk", "turns")
     tables = turns.mapInArrow(_tables, "conv_id long, chunk long, costs array<long>")
     whole = tables.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "costs"))).alias("chunks"))
     ways = whole.mapInArrow(_ways, "conv_id long, chunk long, entry long, leave long, cost long, is_last boolean")
     ways = ways.withColumnsRenamed({"conv_id": "_conv", "chunk": "_chunk"})
     both = turns.join(ways, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("chunk") == F.col("_chunk")))
-    return both.select("conv_id", "chunk", "turns", "entry", "leave", "cost", "is_last").mapInArrow(_repaired, REPAIRED)
+    return both.select("conv_id", "chunk", "turns", "entry", "leave", "cost", "is_last").mapInArrow(lambda batches: _repaired(batches, chunk), REPAIRED)
