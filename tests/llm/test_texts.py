@@ -67,6 +67,16 @@ def test_templates_go_and_copies_stay(spark):
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_names_of_authors_are_no_marks():
+    article = """<body class="page-with-sidebar"><main><article><div class="entry-header"><h1>Title</h1></div><div class="header"><p>Lead</p></div><h2 id="search-and-replace">Search it</h2><p>One</p>
+    <h2 id="header-files">Files</h2><h2 id="comments">Remarks</h2><section id="related-work"><p>Works</p></section><table class="side-by-side menu"><tr><td>Cell</table><div class="notice"><p>Careful</p></div>
+    <div class="social-share">Share</div><div class="share-buttons">Share</div></article><section id="comments"><p>A remark that is by far longer than all of the article, and yet only a remark on it, as it is so very long, and longer still.</p></section></main></body>"""
+    assert Page(article).main_text(set(), set()) == "Title Lead Search it One Files Remarks Works Cell Careful"
+    for name in ("page-with-sidebar", "header-fixed", "post comments-open", "widget"):
+        page = f'<body><div class="{name}"><p>All of the text of the page</p></div><div class="related-posts">More</div><div class="cookie-notice">Cookies</div><div id="sidebar">Side</div></body>'
+        assert Page(page).main_text(set(), set()) == "All of the text of the page", name
+
+
 def test_deep_pages():
     assert Page("<div>" * 5000 + "x").main_text(set(), set()) == "x"
 

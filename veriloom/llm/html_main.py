@@ -3,7 +3,8 @@
 Every element's subtree gets a hash of its tags and text. Spark counts, per host, the distinct pages that hold a subtree,
 and subtrees that recur on a large part of a host's pages are its template: they are deleted. What marks itself as no
 article (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts) goes as well, since on hosts with
-few pages nothing recurs. Prose inside an ``article`` or ``main`` is deleted only when most pages of a large host have
+few pages nothing recurs. A mark is a whole class or id; headings, tables and what holds most of a page's prose are never
+deleted for theirs, and inside an article words that authors use as well are none. Prose inside an ``article`` or ``main`` is deleted only when most pages of a large host have
 it, so a quoted passage or a copied page isn't taken for a template.
 """
 
@@ -47,11 +48,24 @@ SCOPES = {"p": frozenset("article aside body button div footer form header main
 NO_TEXT = frozenset(
     "script style noscript template head nav footer aside form button select textarea input svg iframe object canvas audio video dialog menu map datalist noembed noframes".split()
 )
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|menubar|breadcrumbs?|sidebar|side|widgets?|footer|masthead|topbar|header|cookies?|consent|gdpr|notices?|notification|alert|popup|"
-    r"modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|replies|reply|pagination|pager|skip|toolbar|search|copyright)(?:$|[\s_-])",
-    re.I,
+_MARKS = (
+    "ads?|advert\\w*|adsense|adbox|sponsor\\w*|promo\\w*|nav|navbar|navigation|menu|menubar|breadcrumbs?|sidebar|widgets?|footer|topbar|cookies?|consent|gdpr|popup|"
+    "modal|newsletter|subscribe|subscription|signup|login|share|sharing|social|comments?|commentlist|disqus|respond|replies|reply|pagination|pager|toolbar|copyright"
 )
+#: Layout outside an article, but words of authors inside: titles, warnings, tables side by side.
+_OUTSIDE = "banner|side|masthead|header|notices?|notification|alert|overlay|related|recommend\\w*|skip|search"
+_PLAIN = "bar|bars|box|boxes|buttons?|icons?|links?|list|area|wrap|wrapper|container|section|block|panel|posts?|articles?|form|site|page|main|top|bottom|left|right|global|primary|secondary"
+
+
+def _class(marks: str) -> re.Pattern:
+    """Whole classes of which a part is a mark and every other part a mark or a plain word of layout."""
+    return re.compile(rf"(?=(?:[a-z0-9]+[_-]+)*(?:{marks})(?:[_-]|$))(?:(?:{_MARKS}|{_OUTSIDE}|{_PLAIN})(?:[_-]+|$))+", re.I)
+
+
+MARKED, MARKED_OUTSIDE = _class(_MARKS), _class(f"{_MARKS}|{_OUTSIDE}")
+#: An id may be the slug of a title, so only single words mark.
+MARKED_ID, MARKED_ID_OUTSIDE = re.compile(_MARKS, re.I), re.compile(f"{_MARKS}|{_OUTSIDE}", re.I)
+UNMARKED = frozenset("h1 h2 h3 h4 h5 h6 hgroup table caption thead tbody tfoot tr td th colgroup col".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 
 P, Q, MASK = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
@@ -61,7 +75,9 @@ class Page:
     """The elements of a page, as far as text needs them."""
 
     def __init__(self, source: str) -> None:
-        self.tag, self.parent, self.marked, self.hash = ["#root"], [-1], [False], [0]
+        self.tag, self.parent, self.hash = ["#root"], [-1], [0]
+        #: Hidden or by role; by class or id; by class or id outside an article.
+        self.marked, self.named, self.named_outside = [False], [False], [False]
         self.pieces: list[tuple[int, str]] = []
         self._stack, self._open = [0], {}
         at = 0
@@ -130,12 +146,16 @@ class Page:
         self.tag.append(name)
         self.parent.append(self._stack[-1])
         self.hash.append(0)
-        marked = False
+        marked = named = outside = False
         if attributes and name not in ("html", "body"):
             for k, v in _ATTRIBUTE.findall(attributes):
                 k, v = k.lower(), v.strip("\"'")
-                if k in ("class", "id"):
-                    marked = marked or bool(MARKED.search(v))
+                if k == "class":
+                    named = named or any(map(MARKED.fullmatch, v.split()))
+                    outside = outside or any(map(MARKED_OUTSIDE.fullmatch, v.split()))
+                elif k == "id":
+                    named = named or bool(MARKED_ID.fullmatch(v.strip()))
+                    outside = outside or bool(MARKED_ID_OUTSIDE.fullmatch(v.strip()))
                 elif k == "role":
                     marked = marked or v.lower() in ROLES
                 elif k == "hidden" or k == "aria-hidden" and v.lower() == "true":
@@ -143,6 +163,8 @@ class Page:
                 elif k == "style":
                     marked = marked or "display:none" in v.lower().replace(" ", "")
         self.marked.append(marked)
+        self.named.append(named and name not in UNMARKED)
+        self.named_outside.append(outside and name not in UNMARKED)
         if name in BLOCK:
             self.pieces.append((node, " "))
         if name not in VOID:
@@ -171,23 +193,32 @@ class Page:
                 holds[self.parent[i]] = True
         gone, article = [False] * n, [0] * n
         letters, linked, links = [0] * n, [0] * n, [0] * n
-        inside = [False] * n
+        inside, silent, apart = [False] * n, [False] * n, [False] * n
         for i in range(1, n):
             inside[i] = inside[self.parent[i]] or self.tag[i] == "a"
+            silent[i] = silent[self.parent[i]] or self.tag[i] in NO_TEXT or self.marked[i]
+            apart[i] = apart[self.parent[i]] or self.tag[i] == "article"
+        articles = "article" in self.tag
+        prose = [0] * n
         for node, value in self.pieces:
             size = len(value.strip())
             letters[node] += size
             linked[node] += size if inside[node] else 0
+            prose[node] += 0 if inside[node] or silent[node] else size
         for i in range(n - 1, 0, -1):
             up = self.parent[i]
             letters[up] += letters[i]
             linked[up] += linked[i]
+            prose[up] += prose[i]
             links[up] += links[i] + (self.tag[i] == "a")
         for i in range(1, n):
             up, tag = self.parent[i], self.tag[i]
             article[i] = 1 if article[up] or tag in ("article", "main") else 0
             bad = gone[up] or tag in NO_TEXT or tag == "header" and not article[up] and not holds[i]
             bad = bad or self.marked[i] and not holds[i]
+            if not bad and not holds[i] and (self.named[i] or self.named_outside[i] and not article[i]):
+                # what holds most of the prose is the text, whatever its name, unless it stands beside an article
+                bad = prose[i] * 2 <= prose[0] or articles and not apart[i]
             h = self.hash[i]
             if h and not bad and tag not in ("html", "body", "article", "main"):
                 signed = h - (1 << 64) if h >> 63 else h
