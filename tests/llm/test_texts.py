@@ -352,6 +352,19 @@ def test_personal_data_and_patterns(spark):
     assert pii.personal_data(df.limit(0)).collect() == []
 
 
+def test_believed_values_are_seeds_of_further_patterns(spark):
+    codes = [f"QX{7000 + i}-B" for i in range(12)]
+    rows = [f"member id: user{i}@mail.example.org" for i in range(40)] + [f"member id: {c}" for c in codes]
+    rows += [f"badge shown: {c}" for c in codes] + ["badge shown: ZZ99887-K"]  # no fixed form stands behind this
+    rows += [f"access key: k{i}@mail.example.org" for i in range(20)] + [f"access key: AK{i}55512" for i in range(10)]  # a third is unknown
+    rows += [f"of the p{i}@mail.example.org" for i in range(60)] + ["of the 20240131"] + [f"some word of all the texts {'abcdefghij'[i % 10]}" for i in range(60)]
+    rows += [f"batch of paint {88000000 + i}" for i in range(30)]
+    got = [r.text for r in pii.redact(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got[40:52] == ["member id: <ID>"] * 12 and got[52:65] == ["badge shown: <ID>"] * 13
+    assert got[65:95] == ["access key: <EMAIL>"] * 20 + ["access key: <ID>"] * 10
+    assert "of the 20240131" in got and got[-30:] == rows[-30:]
+
+
 # ---- op10
 
 

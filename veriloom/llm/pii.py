@@ -2,7 +2,8 @@
 
 Fixed forms (email, ip, card, phone) are the seeds. What stands before a seed induces lexical patterns; the same patterns
 also stand before other identifier-like tokens. Spark scores the graph of patterns and instances for a few rounds: a
-pattern by the share of its instances that are known or believed, an instance by its best pattern. Patterns of high
+pattern by its instances that are known or believed against those that are not, an instance by its best pattern. What is
+believed in one round is a seed of the next, so patterns that no fixed form precedes are found too. Patterns of high
 confidence and enough different seeds then mark identifiers of unknown form, with the kind ``id``.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +26,10 @@ ROUNDS = 3
 LEAST_SEEDS = 8
 CONFIDENT = 0.85
 LEAST_LENGTH = 6
+#: How much a value that nothing else is known of counts against a pattern.
+UNKNOWN = 0.25
+#: A word is frequent if such a share of the texts has it elsewhere than before a seed or candidate.
+FREQUENT = 0.05
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -139,25 +145,76 @@ def scan(docs: DataFrame) -> DataFrame:
     return staged(docs.mapInArrow(_scan, SCANNED), "spans")
 
 
-def patterns(scanned: DataFrame, rounds: int = ROUNDS, least: int = LEAST_SEEDS, confident: float = CONFIDENT) -> DataFrame:
+def _elsewhere(text: str) -> set[str]:
+    """The words of a text that don't only stand before its spans, as in patterns."""
+    base = base_spans(text)
+    every = base + ([("", *s) for s in candidates(text, base)] if _DIGIT.search(text) else [])
+    parts, at = [], 0
+    for _, begin, end in sorted(every, key=lambda s: s[1]):
+        before = text[at:begin]
+        line = before[max(0, len(before) - 80) :].rpartition("\n")[2]
+        held = line.rsplit(None, 2)
+        keep = len(before) - len(line) + (len(line.rstrip()) and line.find(held[0]) + len(held[0]) if len(held) == 3 else 0)
+        parts.append(before[:keep])
+        at = max(at, end)
+    parts.append(text[at:])
+    return {w for w in _DIGIT.sub("9", "\n".join(parts).lower()).split() if len(w) <= 80}
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n: Counter[str] = Counter()
+
+    def put() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+        n.clear()
+        return out
+
+    for b in batches:
+        for x in b.column(0):
+            n.update(_elsewhere(x.as_py() or ""))
+            if len(n) > 1 << 19:
+                yield put()
+    yield put()
+
+
+def frequent_words(docs: DataFrame, share: float = FREQUENT) -> list[str]:
+    """Words that at least ``share`` of the texts have elsewhere than before spans: at most the mean number of words of a
+    text over ``share``."""
+    least = max(1.0, share * docs.where("text is not null").count())
+    counted = only(docs, "text").mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return sorted(r.word for r in counted.where(F.col("n") >= least).select("word").collect())
+
+
+def patterns(scanned: DataFrame, frequent: list[str], rounds: int = ROUNDS, least: int = LEAST_SEEDS, confident: float = CONFIDENT) -> DataFrame:
     """The patterns to trust: ``pattern, confidence, seeds``.
 
     Each edge of the graph is a pattern with a value that it stands before. Copies of a text count once, as edges are
-    distinct. Every round, a pattern's confidence is the mean belief of its values (with one doubtful value added), and
-    a value of unknown form is believed as much as its best pattern that has ``least`` different seeds.
+    distinct. A pattern needs ``least`` different values that are seeds or believed; its confidence is their belief
+    against the doubt in all its values, in which an unknown value counts ``UNKNOWN``, and one doubtful value added. A
+    value of unknown form is believed as much as its best trusted pattern, and is a seed of the next round. Patterns of
+    ``frequent`` words alone are never trusted.
     """
     s = scanned.select(F.explode("spans").alias("s")).select("s.kind", "s.value", F.explode("s.patterns").alias("pattern"))
     edges = s.groupBy("pattern", "value").agg(F.max(F.when(F.col("kind") != "", 1.0).otherwise(0.0)).alias("seed"))
-    # patterns without enough seeds can't ever be trusted, so they leave the graph at once
-    enough = edges.groupBy("pattern").agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= least)
-    edges = staged(edges.join(enough, "pattern").withColumn("belief", F.col("seed")), "edges")
-    for _ in range(rounds):
-        scored = edges.groupBy("pattern").agg((F.sum("belief") / (F.count("*") + 1)).alias("confidence"))
-        seen = edges.select("pattern", "value", "seed", "seeds").join(scored, "pattern")
-        best = seen.groupBy("value").agg(F.max(F.when(F.col("confidence") >= confident, F.col("confidence")).otherwise(0.0)).alias("best"))
-        edges = seen.drop("confidence").join(best, "value").withColumn("belief", F.greatest("seed", "best")).drop("best").checkpoint()
-    final = edges.groupBy("pattern").agg((F.sum("belief") / (F.count("*") + 1)).alias("confidence"), F.first("seeds").alias("seeds"))
-    return staged(final.where(F.col("confidence") >= confident), "patterns")
+    # a pattern with fewer values can't ever have enough seeds
+    enough = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("pattern")
+    words = F.filter(F.split(F.substring("pattern", 3, 1 << 20), " "), lambda w: w != "")
+    enough = enough.where(F.size(F.array_except(words, F.array(*map(F.lit, frequent)).cast("array<string>"))) > 0)
+    edges = staged(edges.join(maybe_broadcast(staged(enough, "enough"), 200), "pattern"), "edges")
+    believed, n = None, 0
+    for i in range(rounds + 1):
+        seen = edges.withColumn("belief", F.col("seed"))
+        if believed is not None:
+            seen = edges.join(maybe_broadcast(believed, 32), "value", "left").withColumn("belief", F.greatest("seed", F.coalesce("best", F.lit(0.0))))
+        belief, doubt = F.sum("belief"), F.sum(1 - F.col("belief"))
+        scored = seen.groupBy("pattern").agg((belief / (belief + UNKNOWN * doubt + 1)).alias("confidence"), F.sum((F.col("belief") >= confident).cast("long")).alias("seeds"))
+        trusted = staged(scored.where((F.col("confidence") >= confident) & (F.col("seeds") >= least)), "patterns")
+        before, n = n, trusted.count()
+        if n == before or i == rounds:  # belief only grows, so no pattern is lost again
+            break
+        best = edges.join(maybe_broadcast(trusted.select("pattern", "confidence"), 200), "pattern").groupBy("value").agg(F.max("confidence").alias("best"))
+        believed = staged(best, "believed")
+    return trusted
 
 
 def discovered(scanned: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -175,7 +232,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     other; an empty table gives no rows; extra columns are ignored.
     """
     scanned = scan(docs)
-    more = discovered(scanned, patterns(scanned)).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ids"))
+    more = discovered(scanned, patterns(scanned, frequent_words(docs))).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ids"))
     base = F.filter("spans", lambda s: s["kind"] != "")
     text = F.array_join(F.transform(base, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     ids = F.array_join(F.transform("ids", lambda s: F.concat_ws(":", F.lit("id"), s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -210,7 +267,7 @@ def redact(docs: DataFrame) -> DataFrame:
     Null texts stay null; other columns pass unchanged.
     """
     scanned = scan(docs)
-    more = discovered(scanned, patterns(scanned)).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("ids"))
+    more = discovered(scanned, patterns(scanned, frequent_words(docs))).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("ids"))
     more = staged(more.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("ids").alias("_ids")), "ids")
     joined = docs.join(maybe_broadcast(more, 400), (F.col("doc_id") == F.col("_id")) & (F.md5(F.col("text").cast("binary")) == F.col("_hash")), "left").drop("_id", "_hash")
     names = docs.columns
