@@ -365,6 +365,12 @@ def test_believed_values_are_seeds_of_further_patterns(spark):
     assert "of the 20240131" in got and got[-30:] == rows[-30:]
 
 
+def test_rows_without_id_are_masked(spark):
+    rows = [(i, f"member id: user{i}@mail.example.org") for i in range(20)] + [(None, "member id: ZX8831-Q"), (None, "member id: ZX8832-Q, a@b.example"), (None, None)]
+    got = pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id is null").collect()
+    assert Counter(r.text for r in got) == Counter(["member id: <ID>", "member id: <ID>, <EMAIL>", None])
+
+
 # ---- op10
 
 

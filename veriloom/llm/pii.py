@@ -224,6 +224,12 @@ def discovered(scanned: DataFrame, trusted: DataFrame) -> DataFrame:
     return c.join(maybe_broadcast(trusted.select("pattern"), 200), "pattern").select("row", "doc_id", "text_hash", "start", "end").distinct()
 
 
+def _sent(df: DataFrame, ids: str) -> DataFrame:
+    """A broadcast hint for a staged table if the measured sum of its arrays' sizes allows it."""
+    size = df.agg(F.sum(F.size(ids).cast("long") * 32 + 150)).first()[0] or 0
+    return F.broadcast(df) if size <= 32 << 20 else df
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` -> ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` for every row.
 
@@ -236,7 +242,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] != "")
     text = F.array_join(F.transform(base, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     ids = F.array_join(F.transform("ids", lambda s: F.concat_ws(":", F.lit("id"), s["start"].cast("string"), s["end"].cast("string"))), ",")
-    one = scanned.withColumn("base", text).join(maybe_broadcast(staged(more, "ids"), 200), "row", "left")
+    one = scanned.withColumn("base", text).join(_sent(staged(more, "ids"), "ids"), "row", "left")
 
     def number(kind: str):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -269,7 +275,7 @@ def redact(docs: DataFrame) -> DataFrame:
     scanned = scan(docs)
     more = discovered(scanned, patterns(scanned, frequent_words(docs))).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("ids"))
     more = staged(more.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("ids").alias("_ids")), "ids")
-    joined = docs.join(maybe_broadcast(more, 400), (F.col("doc_id") == F.col("_id")) & (F.md5(F.col("text").cast("binary")) == F.col("_hash")), "left").drop("_id", "_hash")
+    joined = docs.join(_sent(more, "_ids"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5(F.col("text").cast("binary")) == F.col("_hash")), "left").drop("_id", "_hash")
     names = docs.columns
     at, ids = names.index("text"), len(names)
 
