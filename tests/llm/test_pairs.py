@@ -58,7 +58,7 @@ def corpus(seed=5):
 
 @pytest.mark.parametrize("k,t", [(3, 90), (5, 80)])
 def test_components_equal_brute_force(spark, monkeypatch, k, t):
-    monkeypatch.setattr(J, "TILE", 4)  # several tiles a bucket
+    monkeypatch.setattr(J, "TILE_BYTES", 600)  # several tiles a bucket
     monkeypatch.setattr(J, "HOT", 2)
     monkeypatch.setattr(J, "HOT_IN_PART", 1)
     rows = corpus()
@@ -71,14 +71,114 @@ def test_tree_loses_no_point():
     import numpy as np
 
     g = np.random.default_rng(1)
-    counts = g.poisson(2, (300, J.GROUPS))
-    comp = g.integers(0, 40, 300)
-    tree = J.Tree(counts, comp)
-    for i in range(0, 300, 17):
-        n = counts.sum(axis=1)
-        bound = np.minimum(counts, counts[i]).sum(axis=1) >= J._needed(n[i], n, 60)
-        want = {j for j in np.flatnonzero(bound) if comp[j] != comp[i]}
-        assert want <= set(tree.search(counts[i], comp[i], 60).tolist())
+    base = g.poisson(2, (30, J.GROUPS))
+    counts = (base.repeat(10, axis=0) + (g.random((300, J.GROUPS)) < 0.1)).astype(np.uint8)
+    tree, left = J.Tree(counts), np.ones(300, bool)
+    n = counts.sum(axis=1, dtype=np.int64)
+    for i in range(0, 300, 7):
+        bound = np.minimum(counts, counts[i]).sum(axis=1, dtype=np.int64) >= J._needed(n[i], n, 80)
+        want = set(np.flatnonzero(bound & left).tolist())
+        assert want == set(tree.search(counts[i], 80).tolist())
+        gone = np.array(sorted(want)[:4], np.int64)
+        tree.take_out(gone)
+        left[gone] = False
+    assert not left.all()
+
+
+@pytest.mark.parametrize("t", [30, 50, 80])
+def test_forest_equals_all_pairs_over_sizes(t):
+    """Points of 128 to 4,096 groups against the bound on every pair, for thresholds below one half too."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    points, sets = [], []
+    for n in (60, 900, 1500, 2500, 5000, 9000, 20000):
+        own = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        for share in (0.0, 0.05, 0.4, 0.7):
+            s = np.unique(np.concatenate([own[int(n * share) :], r.integers(0, 1 << 63, int(n * share / 2), dtype=np.uint64)]))
+            sets.append(s)
+            points.append(J._unpacked(J._packed(J.grouped(s, J.groups_for(len(s))))))
+    comp = np.arange(len(points))
+    comp[3] = 0
+    want = set()
+    for i in range(len(points)):
+        for j in range(i):
+            g = min(len(points[i]), len(points[j]))
+            low = np.minimum(J.folded(points[i], g), J.folded(points[j], g)).sum(dtype=np.int64)
+            assert low >= len(np.intersect1d(sets[i], sets[j]))
+            if comp[i] != comp[j] and low >= J._needed(len(sets[i]), len(sets[j]), t):
+                want.add((j, i))
+    got = J.spanning(J.Forest(points), comp, t, every=True)
+    assert {(min(p), max(p)) for p in got} == want and len(got) == len(want)
+    # the spanning pairs connect the same points
+    some = J.spanning(J.Forest(points), comp, t, every=False)
+    assert {(min(p), max(p)) for p in some} <= want
+
+    def parts(pairs):
+        low = {i: int(c) for i, c in enumerate(comp)}
+        for _ in low:
+            for a, b in pairs:
+                m = min(low[a], low[b])
+                low = {i: m if c in (low[a], low[b]) else c for i, c in low.items()}
+        return low
+
+    assert parts(some) == parts(want) and len(some) == len(set(comp.tolist())) - len(set(parts(want).values()))
+
+
+def test_long_documents_equal_brute_force(spark):
+    r = random.Random(9)
+    words = ["w%d" % i for i in range(3000)]
+    rows = []
+    for n in (2000, 6000, 20000):
+        text = [r.choice(words) for _ in range(n)]
+        for changes in (0, n // 100, n // 50, n // 12):
+            copy = list(text)
+            for _ in range(changes):
+                copy[r.randrange(n)] = r.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+        rows.append((len(rows), " ".join(text[: n // 2])))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    want = classes(rows, 5, 80)
+    assert got == want and len({c for _, c in want.values()}) == 9
+
+
+def test_links_of_a_crowd_come_from_the_trees(spark, monkeypatch):
+    """60 close copies fill more than one leaf: without the trees' answers no link is left."""
+    r = random.Random(4)
+    text = [r.choice("abcdefghij") + str(r.randrange(900)) for _ in range(200)]
+    rows = []
+    for i in range(60):
+        copy = list(text)
+        copy[r.randrange(200)] = "other%d" % i
+        rows.append((i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.component_id for x in J.jaccard_components(df, 5, 80).collect()} == {0}
+    searched = J._searched
+
+    def blind(t, every):
+        run = searched(t, every)
+
+        def without(batches):
+            from veriloom.llm import jaccard
+
+            tree, jaccard.Tree.search = jaccard.Tree.search, lambda self, q, t: self.order[:0]
+            try:
+                yield from run(batches)
+            finally:
+                jaccard.Tree.search = tree
+
+        return without
+
+    monkeypatch.setattr(J, "_searched", blind)
+    got = {x.component_id for x in J.jaccard_components(df, 5, 80).collect()}
+    assert len(got) > 30
+
+
+def test_an_id_with_several_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, "z " * 70)]
+    got = {(x.doc_id, x.component_id) for x in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
 
 
 def test_empty_repeated_and_null_rows(spark):
@@ -86,7 +186,7 @@ def test_empty_repeated_and_null_rows(spark):
     assert J.jaccard_components(empty, 3, 90).collect() == []
     rows = [(7, "a b c d"), (7, "a b c d"), (9, "a b c d"), (None, "a b c d"), (8, None)]
     got = sorted((r.doc_id or -1, r.component_id or -1) for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect())
-    assert got == [(-1, 7), (7, 7), (7, 7), (8, 8), (9, 7)]
+    assert got == [(-1, -1), (7, 7), (7, 7), (8, 8), (9, 7)]
 
 
 def test_keep_one_per_group(spark):

@@ -7,11 +7,15 @@ shingle sets themselves.
 
 How the work is spread: documents of equal shingle sets collapse into one class first. Two classes over the threshold
 share at least one of each other's first ``n - ceil(t*n) + 1`` shingles in any common order; the order here is by hash,
-with frequent shingles last, so a passage that many documents share doesn't bring unrelated documents together. Classes
-meet on those shingles (the buckets). A first round links every class of a bucket to the bucket's smallest document; only
-buckets that then still hold several components are searched by R-tree, between components alone, in tiles of bounded
-size. So a group of n copies costs about n verifications, and no link between different texts that matters to a
-component is lost.
+with frequent shingles last, so a passage that many documents share doesn't bring unrelated documents together. That only
+deals classes to buckets, one per shared shingle, and buckets of the same classes are kept once. Within a bucket the
+R-trees find the candidates. What candidates connect is walked like a graph, and connected classes leave the trees, so a
+bucket of m classes gives at most m - 1 pairs to verify. If all of them hold, no other pair of the bucket can change a
+component; a bucket where one fails is searched again for every pair between the components that there are by then. So
+no link between different texts that matters to a component is lost, and n close copies cost about n verifications.
+
+A bucket whose points take more than ``TILE_BYTES`` (a hub) is first linked to its smallest document, a step linear in
+its size; if it still holds several components, it is searched in pairs of tiles.
 """
 
 from __future__ import annotations
@@ -20,15 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.base import maybe_broadcast, only, staged
+from veriloom.llm.base import maybe_broadcast, only, small, staged
 from veriloom.llm.components import components
 from veriloom.llm.textnum import U, mix, shingles, word_hashes
 
 GROUPS = 128
-TILE = 2000
+TILE_BYTES = 4 << 20
 HOT_IN_PART, HOT, HOT_KEPT = 8, 48, 1 << 20
 LEAF = 16
 
@@ -54,8 +59,8 @@ def grouped(s: np.ndarray, groups: int) -> np.ndarray:
 
 
 def folded(counts: np.ndarray, groups: int) -> np.ndarray:
-    """The same point (or points, by row) in fewer groups."""
-    return counts.reshape(*counts.shape[:-1], -1, groups).sum(axis=-2)
+    """The same point in fewer groups."""
+    return counts if len(counts) == groups else counts.reshape(-1, groups).sum(axis=0, dtype=np.uint32)
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -65,7 +70,7 @@ def _packed(counts: np.ndarray) -> bytes:
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u4" if raw[0] == 4 else "u1", offset=1).astype(np.int64)
+    return np.frombuffer(raw, "<u4" if raw[0] == 4 else "u1", offset=1)
 
 
 def _frequent(k: int):
@@ -95,9 +100,10 @@ def _frequent(k: int):
 
 
 def _points(k: int, t: int, hot: np.ndarray):
-    """doc_id, set size, 128-bit set hash, group counts, and the first shingles in the common order."""
+    """row number, doc_id, set size, 128-bit set hash, group counts, and the first shingles in the common order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
             ids, n, h1, h2, counts, first = batch.column(0), [], [], [], [], []
             for words in word_hashes(batch.column(1).to_pylist()):
@@ -119,46 +125,40 @@ def _points(k: int, t: int, hot: np.ndarray):
                     order = s[~is_hot][:p]
                     s = order if len(order) == p else np.concatenate([order, s[is_hot][: p - len(order)]])
                 first.append(s[:p].view(np.int64))
+            rows = pa.array(range(row, row + len(n)), pa.int64())
+            row += len(n)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(counts, pa.binary()), pa.array(first, pa.list_(pa.int64()))],
-                ["doc_id", "n", "h1", "h2", "counts", "first"],
+                [rows, ids, pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(counts, pa.binary()), pa.array(first, pa.list_(pa.int64()))],
+                ["row", "doc_id", "n", "h1", "h2", "counts", "first"],
             )
 
     return run
 
 
 def _verified(k: int, t: int):
-    """Of pairs with both texts: those at or over the threshold, after the bounds by size and by summed minima."""
+    """Of pairs with both texts: those at or over the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-        def sets(ids: list[int], texts: list[str]) -> None:
-            new = {i: x for i, x in zip(ids, texts) if i not in known}
-            if len(known) > 256:
-                for i in list(known)[:-64]:
-                    if i not in ids:
-                        del known[i]
-            for i, words in zip(new, word_hashes(list(new.values()))):
-                s = shingles(words, k)
-                known[i] = s, grouped(s, GROUPS)
+        known: dict[str, np.ndarray] = {}  # a few texts stand in many pairs
+
+        def sets(texts: list[str]) -> None:
+            if sum(map(len, known)) > 4 << 20:
+                known.clear()
+            new = list({x: None for x in texts if x not in known})
+            known.update(zip(new, (shingles(w, k) for w in word_hashes(new))))
 
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ta, tb = batch.column(2), batch.column(3)
-            ok = np.zeros(len(a), bool)
-            for lo in range(0, len(a), 64):
-                part = slice(lo, lo + 64)
-                sets(a[part] + b[part], ta.slice(lo, 64).to_pylist() + tb.slice(lo, 64).to_pylist())
-                for i in range(lo, min(lo + 64, len(a))):
-                    (x, cx), (y, cy) = known[a[i]], known[b[i]]
+            ok = np.zeros(batch.num_rows, bool)
+            for lo in range(0, batch.num_rows, 16):
+                ta, tb = (batch.column(c).slice(lo, 16).to_pylist() for c in (2, 3))
+                sets(ta + tb)
+                for i, (x, y) in enumerate(zip(map(known.__getitem__, ta), map(known.__getitem__, tb))):
                     need = _needed(len(x), len(y), t)
-                    if min(len(x), len(y)) < need or np.minimum(cx, cy).sum() < need:
-                        continue
-                    small, large = (x, y) if len(x) <= len(y) else (y, x)
-                    at = np.searchsorted(large, small)
-                    at[at == len(large)] = 0
-                    ok[i] = int((large[at] == small).sum()) >= need
+                    if min(len(x), len(y)) >= need:
+                        small, large = (x, y) if len(x) <= len(y) else (y, x)
+                        at = np.searchsorted(large, small)
+                        at[at == len(large)] = 0
+                        ok[lo + i] = int((large[at] == small).sum()) >= need
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
@@ -166,107 +166,220 @@ def _verified(k: int, t: int):
 
 
 class Tree:
-    """A bulk-loaded R-tree over group counts: points sorted by size and coordinates, leaves of ``LEAF`` points."""
-
-    def __init__(self, counts: np.ndarray, comp: np.ndarray) -> None:
-        spread = np.argsort(-counts.var(axis=0), kind="stable")[:3]
-        self.order = np.lexsort((*(counts[:, d] for d in spread), counts.sum(axis=1)))
-        c, g = counts[self.order], comp[self.order]
-        starts = np.arange(0, len(c), LEAF)
-        self.levels = [(np.maximum.reduceat(c, starts), np.minimum.reduceat(g, starts), np.maximum.reduceat(g, starts), np.minimum.reduceat(c.sum(axis=1), starts), np.maximum.reduceat(c.sum(axis=1), starts))]
+    """A bulk-loaded R-tree over group counts: points sorted by size and coordinates, leaves of ``LEAF`` points. Points can
+    be taken out; boxes without points are skipped."""
+
+    def __init__(self, counts: np.ndarray) -> None:
+        spread = np.argsort(-counts.var(axis=0, dtype=np.float32), kind="stable")[:3]
+        n = counts.sum(axis=1, dtype=np.int64)
+        self.order = np.lexsort((*(counts[:, d] for d in spread), n))
+        self.place = np.empty(len(n), np.int64)
+        self.place[self.order] = np.arange(len(n))
+        self.c, self.n = counts[self.order], n[self.order]
+        self.alive = np.ones(len(n), bool)
+        #: From the leaves up: upper corners, least and largest set size, points left.
+        self.levels = [self._boxes(self.c, self.n, self.n, self.alive.astype(np.int64))]
         while len(self.levels[-1][0]) > LEAF:
-            hi, g0, g1, s0, s1 = self.levels[-1]
-            at = np.arange(0, len(hi), LEAF)
-            self.levels.append((np.maximum.reduceat(hi, at), np.minimum.reduceat(g0, at), np.maximum.reduceat(g1, at), np.minimum.reduceat(s0, at), np.maximum.reduceat(s1, at)))
-        self.c, self.n = c, c.sum(axis=1)
-
-    def search(self, q: np.ndarray, comp: int, t: int) -> np.ndarray:
-        """Indices of the points whose bound with q reaches the threshold; boxes of q's own component are skipped."""
-        n = int(q.sum())
+            self.levels.append(self._boxes(*self.levels[-1]))
+
+    @staticmethod
+    def _boxes(high: np.ndarray, least: np.ndarray, most: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
+        at = np.arange(0, len(high), LEAF)
+        return np.maximum.reduceat(high, at), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at), np.add.reduceat(left, at)
+
+    def take_out(self, points: np.ndarray) -> None:
+        at = self.place[points]
+        self.alive[at] = False
+        for *_, left in self.levels:
+            at = at // LEAF
+            np.subtract.at(left, at, 1)
+
+    def search(self, q: np.ndarray, t: int) -> np.ndarray:
+        """The points left whose summed minima with q reach the threshold."""
+        n = int(q.sum(dtype=np.int64))
         nodes = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
-            hi, g0, g1, s0, s1 = (x[nodes] for x in self.levels[depth])
-            ok = ~((g0 == comp) & (g1 == comp)) & (s0 * t <= 100 * n) & (100 * s1 >= n * t)
-            nodes, hi, s0 = nodes[ok], hi[ok], s0[ok]
-            nodes = nodes[np.minimum(hi, q).sum(axis=1) >= _needed(n, np.maximum(s0, _ceil_share(n, t)), t)]
+            high, least, most, left = (x[nodes] for x in self.levels[depth])
+            ok = (left > 0) & (least * t <= 100 * n) & (100 * most >= n * t)
+            ok[ok] = np.minimum(high[ok], q).sum(axis=1, dtype=np.int64) >= _needed(n, np.maximum(least[ok], _ceil_share(n, t)), t)
+            nodes = nodes[ok]
             if not len(nodes):
                 return nodes
-            size = len(self.c) if depth == 0 else len(self.levels[depth - 1][0])
             nodes = (nodes[:, None] * LEAF + np.arange(LEAF)).ravel()
-            nodes = nodes[nodes < size]
-        return self.order[nodes[np.minimum(self.c[nodes], q).sum(axis=1) >= _needed(n, self.n[nodes], t)]]
-
-
-def _searched(t: int):
-    """Rows (key, ta, tb, low, doc, comp, tile, counts), sorted by the first three: pairs of different components within
-    each (key, ta, tb) whose bound reaches the threshold. One such group, of at most two tiles, is held at a time."""
-
-    def pairs_of(group: pa.Table) -> np.ndarray:
-        ids, comp, tile = (group.column(c).to_numpy() for c in ("doc", "comp", "tile"))
-        ta, tb, low = (group.column(c)[0].as_py() for c in ("ta", "tb", "low"))
-        left, right = (np.ones(len(ids), bool),) * 2 if ta == tb else (tile == ta, tile == tb)
-        out = [np.zeros((0, 2), np.int64)]
-        if not left.any() or not right.any() or len(ids) < 2:
-            return out[0]
-        points = [_unpacked(x) for x in group.column("counts").to_pylist()]
-        size = np.array([len(p) for p in points])
-        # sets within the threshold differ in size by less than two times, so in groups by one step at most
-        for groups in np.unique(np.concatenate([size, size // 2])):
-            here = (size == groups) | (size == 2 * groups)
-            i_all, j_all = np.flatnonzero(left & here), np.flatnonzero(right & here)
-            if not (size[here] == groups).any() or not len(i_all) or not len(j_all):
+            nodes = nodes[nodes < (len(self.c) if depth == 0 else len(self.levels[depth - 1][0]))]
+        nodes = nodes[self.alive[nodes]]
+        return self.order[nodes[np.minimum(self.c[nodes], q).sum(axis=1, dtype=np.int64) >= _needed(n, self.n[nodes], t)]]
+
+
+class Forest:
+    """The R-trees of a bucket, one per number of groups; a point and a tree of more groups meet in the smaller number."""
+
+    def __init__(self, points: list[np.ndarray]) -> None:
+        self.points = points
+        width = np.array([len(p) for p in points])
+        self.widths = np.unique(width)
+        self.members = {w: np.flatnonzero(width == w) for w in self.widths.tolist()}
+        self.within = np.empty(len(points), np.int64)
+        for of in self.members.values():
+            self.within[of] = np.arange(len(of))
+        self.sizes = {w: (min(n := [int(points[i].sum(dtype=np.int64)) for i in of]), max(n)) for w, of in self.members.items()}
+        self.trees: dict[tuple[int, int], Tree] = {}
+        self.gone = {w: [np.zeros(0, np.int64)] for w in self.members}
+
+    def _tree(self, width: int, groups: int) -> Tree:
+        if (width, groups) not in self.trees:
+            tree = self.trees[width, groups] = Tree(np.stack([folded(self.points[i], groups) for i in self.members[width]]))
+            tree.take_out(np.concatenate(self.gone[width]))
+        return self.trees[width, groups]
+
+    def take_out(self, points: np.ndarray) -> None:
+        width = np.array([len(self.points[i]) for i in points])
+        for w in np.unique(width).tolist():
+            at = self.within[points[width == w]]
+            self.gone[w].append(at)
+            for (own, _), tree in self.trees.items():
+                if own == w:
+                    tree.take_out(at)
+
+    def search(self, i: int, t: int) -> np.ndarray:
+        q, found = self.points[i], []
+        n = int(q.sum(dtype=np.int64))
+        for w, of in self.members.items():
+            if self.sizes[w][0] * t <= 100 * n and self.sizes[w][1] * 100 >= n * t:
+                groups = min(w, len(q))
+                found.append(of[self._tree(w, groups).search(folded(q, groups), t)])
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def spanning(forest: Forest, comp: np.ndarray, t: int, every: bool) -> list[tuple[int, int]]:
+    """Pairs of points of different components whose bound reaches the threshold: ``every`` one, or as many as connect
+    what such pairs connect. Points that are connected leave the trees, so a group of copies is searched once."""
+    same: dict[int, list[int]] = {}
+    for i, c in enumerate(comp.tolist()):
+        same.setdefault(c, []).append(i)
+    out: list[tuple[int, int]] = []
+    left = np.ones(len(comp), bool)
+
+    def reach(points: list[int]) -> None:
+        left[points] = False
+        forest.take_out(np.array(points))
+
+    for start in range(len(comp)):
+        if not left[start]:
+            continue
+        queue = list(same[int(comp[start])])
+        reach(queue)
+        while queue and left.any():
+            i = queue.pop()
+            found = forest.search(i, t).tolist()
+            if every:
+                out.extend((i, j) for j in found)
                 continue
-            at = {k: folded(points[k], groups) for k in np.flatnonzero(here)}
-            tree = Tree(np.stack([at[j] for j in j_all]), comp[j_all])
-            for i in i_all:
-                if ids[i] == low:  # pairs with the bucket's smallest document were verified in the first round
+            for j in found:
+                if left[j]:
+                    out.append((i, j))
+                    reach(same[int(comp[j])])
+                    queue.extend(same[int(comp[j])])
+    return out
+
+
+class _Leaves:
+    """Buckets of at most ``LEAF`` documents each: trees of one leaf, all searched at once."""
+
+    def __init__(self) -> None:
+        self.keys: list[int] = []
+        self.bucket: list[int] = []
+        self.doc: list[int] = []
+        self.comp: list[int] = []
+        self.points: list[np.ndarray] = []
+        self.bytes = 0
+
+    def add(self, key: int, table: pa.Table) -> None:
+        self.bucket.extend([len(self.keys)] * table.num_rows)
+        self.keys.append(key)
+        self.doc.extend(table.column("doc").to_pylist())
+        self.comp.extend(table.column("comp").to_pylist())
+        self.points.extend(map(_unpacked, table.column("counts").to_pylist()))
+        self.bytes += sum(p.nbytes for p in self.points[-table.num_rows :])
+
+    def pairs(self, t: int, every: bool) -> list[tuple[int, int, int]]:
+        bucket, comp = np.array(self.bucket), np.array(self.comp)
+        size = np.array([p.sum(dtype=np.int64) for p in self.points])
+        width = np.array([len(p) for p in self.points])
+        found = []
+        for d in range(1, LEAF):
+            i = np.flatnonzero(bucket[d:] == bucket[:-d])
+            low, high = np.minimum(size[i], size[i + d]), np.maximum(size[i], size[i + d])
+            i = i[(comp[i] != comp[i + d]) & (low * 100 >= high * t)]
+            found.append(np.stack([i, i + d]))
+        i, j = np.concatenate(found, axis=1)
+        groups = np.minimum(width[i], width[j])
+        ok = np.zeros(len(i), bool)
+        for g in np.unique(groups).tolist():
+            which = np.flatnonzero(groups == g)
+            for part in np.array_split(which, len(which) * g // (1 << 20) + 1):
+                x, y = (np.stack([folded(self.points[k], g) for k in side[part]]) for side in (i, j))
+                ok[part] = np.minimum(x, y).sum(axis=1, dtype=np.int64) >= _needed(size[i[part]], size[j[part]], t)
+        low_of: dict[tuple[int, int], tuple[int, int]] = {}
+
+        def find(at: tuple[int, int]) -> tuple[int, int]:
+            while at in low_of:
+                at = low_of[at]
+            return at
+
+        out = []
+        for x, y in zip(i[ok].tolist(), j[ok].tolist()):
+            k = self.bucket[x]
+            if not every:
+                p, q = find((k, self.comp[x])), find((k, self.comp[y]))
+                if p == q:
                     continue
-                j = j_all[tree.search(at[i], comp[i], t)]
-                j = j[(comp[j] != comp[i]) & (ids[j] != low) & ((j > i) | (ta != tb)) & ((size[i] == groups) | (size[j] == groups))]
-                if len(j):
-                    out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1))
-        return np.concatenate(out)
+                low_of[max(p, q)] = min(p, q)
+            out.append((self.keys[k], min(self.doc[x], self.doc[y]), max(self.doc[x], self.doc[y])))
+        return out
+
+
+def _searched(t: int, every: bool):
+    """Rows (key, ta, tb, doc, comp, counts), sorted by the first three: pairs of different components within each
+    (key, ta, tb) whose bound reaches the threshold (see :func:`spanning`), with the key. One such group, of at most two
+    tiles, is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        leaves = _Leaves()
+
+        def made(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            cols = list(zip(*rows)) if rows else [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["key", "a", "b"])
 
-        def done() -> Iterator[pa.RecordBatch]:
+        def done(last: bool = False) -> Iterator[pa.RecordBatch]:
+            nonlocal leaves
             if held:
-                pairs = pairs_of(pa.Table.from_batches(held).combine_chunks())
+                group = pa.Table.from_batches(held)
                 held.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-        last = None
+                key = group.column("key")[0].as_py()
+                if group.num_rows > LEAF:
+                    ids, comp = group.column("doc").to_pylist(), group.column("comp").to_numpy()
+                    forest = Forest([_unpacked(x.as_py()) for x in group.column("counts")])
+                    yield made([(key, min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in spanning(forest, comp, t, every)])
+                elif group.num_rows > 1:
+                    leaves.add(key, group)
+            if leaves.keys and (last or leaves.bytes > TILE_BYTES):
+                yield made(leaves.pairs(t, every))
+                leaves = _Leaves()
+
+        now = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             k = np.stack([batch.column(c).to_numpy() for c in range(3)])
             cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
             for lo, hi in zip(cuts, cuts[1:]):
-                now = tuple(k[:, lo])
-                if now != last:
+                if (at := tuple(k[:, lo])) != now:
                     yield from done()
-                    last = now
+                    now = at
                 held.append(batch.slice(lo, hi - lo))
-        yield from done()
-
-    return run
-
-
-def _bounded(t: int):
-    """Of pairs with both group counts: those whose summed minima reach the threshold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = (_unpacked(batch.column(c)[i].as_py()) for c in (2, 3))
-                groups = min(len(x), len(y))
-                keep[i] = np.minimum(folded(x, groups), folded(y, groups)).sum() >= _needed(x.sum(), y.sum(), t)
-            keep = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+        yield from done(last=True)
 
     return run
 
@@ -300,8 +413,8 @@ def _close(t: int):
 
 
 def _check(pairs: DataFrame, docs: DataFrame, k: int, t: int) -> DataFrame:
-    """Verify (a, b): first by finer group counts, much smaller than texts, then on whole texts. Only the documents of
-    some pair are read again."""
+    """Verify (a, b), distinct: first by finer group counts, much smaller than texts, then on whole texts. Only the
+    documents of some pair are read again; where an id has several texts, one that fits is enough."""
 
     def joined(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
         for side in "ab":
@@ -309,11 +422,12 @@ def _check(pairs: DataFrame, docs: DataFrame, k: int, t: int) -> DataFrame:
         return pairs.select("a", "b", f"{name}_a", f"{name}_b")
 
     def texts(pairs: DataFrame) -> DataFrame:
-        return docs.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        named = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "named")
+        return docs.join(maybe_broadcast(named, 16), "doc_id", "left_semi")
 
-    fine = staged(texts(pairs).mapInArrow(_sparse(k), "doc_id long, g binary"), "sparse")
-    near = staged(joined(pairs, fine, "g").mapInArrow(_close(t), "a long, b long"), "near")
-    return joined(near, texts(near), "text").mapInArrow(_verified(k, t), "a long, b long")
+    fine = staged(texts(pairs).mapInArrow(_sparse(k), "doc_id long, g binary").distinct(), "sparse")
+    near = staged(joined(pairs, fine, "g").mapInArrow(_close(t), "a long, b long").distinct(), "near")
+    return joined(near, texts(near).distinct(), "text").mapInArrow(_verified(k, t), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
@@ -325,49 +439,75 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> Data
     doc_id reachable by links, itself included. Repeated rows are each returned; a null doc_id is returned with a null
     component. Extra columns are ignored.
     """
-    spark = docs.sparkSession
-    docs = only(docs, "doc_id", "text")
+    if not 1 <= threshold <= 100:
+        raise ValueError("the threshold is a percentage")
+    docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     seen = docs.select("text").mapInArrow(_frequent(k), "h long, n long")
     hot = seen.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
     # The list only orders shingles (any order gives the same links), so its size may be bounded: 8 MB.
     rows = hot.orderBy(F.desc("n"), "h").limit(HOT_KEPT).select("h").toPandas()["h"].to_numpy(np.int64)
-    hot_list = np.sort(rows.view(U))
-
-    schema = "doc_id long, n long, h1 long, h2 long, counts binary, first array<long>"
-    points = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_points(k, threshold, hot_list), schema), "points")
-    classes = points.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    usable = points.where("size(first) > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min_by(F.struct("counts", "first"), "doc_id").alias("x"), F.min("doc_id").alias("doc"))
-    usable = staged(usable.select("doc", "n", "x.counts", "x.first"), "classes")
-    entries = usable.select(F.explode("first").alias("key"), "doc", "n")
-    buckets = entries.groupBy("key").agg(F.min("doc").alias("low"), F.count("*").alias("m")).where("m > 1")
-    met = staged(entries.join(buckets, "key").select("key", "doc", "n", "low", "m"), "met")
-
-    size = usable.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
-    star = met.where("doc <> low").select(F.col("low").alias("a"), F.col("doc").alias("b"), F.col("n").alias("nb")).distinct().join(size, "a")
-    star = star.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold)
-    star = star.join(usable.select(F.col("doc").alias("b"), F.col("counts").alias("cb")), "b").select("a", "b", "ca", "cb").mapInArrow(_bounded(threshold), "a long, b long")
-    first = staged(_check(staged(star, "star"), docs, k, threshold), "links")
-    comp = staged(components(first), "components")
-
-    # with bounded tiles: a bucket of m classes is dealt to pairs of its ceil(m / TILE) tiles
-    named = met.join(comp, met.doc == comp.node, "left").select("key", "doc", "low", "m", F.coalesce("component", "doc").alias("comp"))
-    # and buckets of the same documents, of which close copies have many, are searched once
-    same = [F.sum(F.xxhash64("doc", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)]
-    mixed = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), *same, F.count("*").alias("size")).where("c0 <> c1")
-    mixed = mixed.groupBy("s1", "s2", "size").agg(F.min("key").alias("key")).select("key")
-    inside = named.join(mixed, "key").join(usable.select("doc", "counts"), "doc")
-    tiles = F.ceil(F.col("m") / TILE).cast("int")
-    inside = inside.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
-    inside = inside.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-    work = inside.select("key", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "low", "doc", "comp", "tile", "counts")
-    work = work.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb")
-    found = work.mapInArrow(_searched(threshold), "a long, b long").distinct()
-    second = staged(_check(staged(found, "found"), docs, k, threshold), "links")
-    final = staged(components(first.unionByName(second)), "components")
-
-    member = points.join(classes.withColumnsRenamed({"n": "cn", "h1": "c1", "h2": "c2"}), (F.col("n") == F.col("cn")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
-    named = member.join(maybe_broadcast(final, 24), F.col("rep") == F.col("node"), "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+
+    schema = "row long, doc_id long, n long, h1 long, h2 long, counts binary, first array<long>"
+    points = staged(docs.mapInArrow(_points(k, threshold, np.sort(rows.view(U))), schema), "points")
+    real = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    copies = points.where(real).groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "row")).alias("x"), F.count("*").alias("c")).where("c > 1")
+    copies = maybe_broadcast(staged(copies.select(F.col("n").alias("cn"), F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.col("x.doc_id").alias("rep"), F.col("x.row").alias("of")), "copies"), 48)
+    known = points.join(copies, real & (F.col("n") == F.col("cn")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
+    # one row for each class: rows without a copy, and of each set of copies one row of the smallest document
+    usable = known.where(real & (F.size("first") > 0) & (F.col("of").isNull() | (F.col("of") == F.col("row")))).withColumnRenamed("doc_id", "doc")
+
+    entries = usable.select(F.explode("first").alias("key"), "doc", F.col("n").cast("int").alias("n"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+    shared = shared.where((F.col("m") > 1) & ((F.col("m") > 2) | (F.col("n0") * 100 >= F.col("n1") * threshold))).select("key")
+    met = staged(entries.join(shared, "key"), "met")
+    same = [F.bit_xor(F.xxhash64("doc", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+    buckets = met.groupBy("key").agg(F.count("*").alias("m"), F.min("doc").alias("low"), F.sum(F.greatest(F.lit(GROUPS), F.expr("n div 4"))).alias("bytes"), *same)
+    buckets = staged(buckets.groupBy("x1", "x2", "m", "low").agg(F.min("key").alias("key"), F.max("bytes").alias("bytes")), "buckets")
+    counts = usable.select("doc", "counts")
+
+    def search(keys: DataFrame, comp: DataFrame | None, every: bool) -> DataFrame:
+        """(key, a, b), distinct, of the buckets of ``keys(key, bytes)``."""
+        inside = met.join(maybe_broadcast(keys.select("key", "bytes"), 24), "key").select("key", "doc", "bytes")
+        if comp is None:
+            inside = inside.withColumn("comp", F.col("doc"))
+        else:
+            inside = inside.join(maybe_broadcast(comp, 24), F.col("doc") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "doc"))
+        tiles = F.ceil(F.col("bytes") / TILE_BYTES).cast("int")
+        inside = inside.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
+        inside = inside.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)"))).where("tiles = 1 or tile <> other")
+        work = inside.join(counts, "doc").select("key", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "doc", "comp", "counts")
+        work = work.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb", "doc")
+        return staged(work.mapInArrow(_searched(threshold, every), "key long, a long, b long").distinct(), "found")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return staged(_check(staged(pairs.select("a", "b").distinct(), "pairs"), docs, k, threshold), "links")
+
+    links, comp = None, None
+    hubs = buckets.where(F.col("bytes") > TILE_BYTES).select("key", "bytes", "low")
+    todo = buckets.select("key", "bytes")
+    if not hubs.isEmpty():
+        of = met.join(F.broadcast(hubs) if small(hubs, 32) else hubs, "key")
+        links = verified(of.where("doc <> low").select(F.col("low").alias("a"), F.col("doc").alias("b")))
+        comp = staged(components(links), "components")
+        of = of.join(comp, of.doc == comp.node, "left").groupBy("key").agg(F.count_distinct(F.coalesce("component", "doc")).alias("parts"))
+        todo = staged(todo.join(of.where("parts = 1"), "key", "left_anti"), "todo")
+    found = search(todo, comp, every=False)
+    holding = verified(found)
+    links = holding if links is None else links.unionByName(holding)
+    comp = staged(components(links), "components")
+    # a pair that fails parts nothing if its documents are connected in another way
+    apart = found.join(holding, ["a", "b"], "left_anti")
+    for side in "ab":
+        of_side = comp.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+        apart = apart.join(maybe_broadcast(of_side, 24), side, "left")
+    apart = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("key").distinct()
+    failed = staged(apart.join(todo, "key"), "failed")
+    if not failed.isEmpty():
+        more = verified(search(failed, comp, every=True).join(found, ["a", "b"], "left_anti"))
+        comp = staged(components(links.unionByName(more)), "components")
+
+    named = known.withColumn("rep", F.coalesce("rep", "doc_id")).join(maybe_broadcast(comp, 24), F.col("rep") == F.col("node"), "left")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
 def keep_one_per_group(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
