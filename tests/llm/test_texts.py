@@ -102,12 +102,15 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text")
-    more = spark.createDataFrame([(-1, None), (-2, ""), (-3, "a <|endoftext|> b"), (-4, "x" * 30000)], "doc_id long, text string")
+    r = np.random.default_rng(3)
+    odd = ["a", "Zq", "é", "ß", "1", "٣", "!", "'s", "'", "_", " ", "  ", "\n", "\t", "\x85", "\xa0", "\x1c", "\x1f", "\u2003", "\u200b", "\u3000", "\ufeff", "\r\n", "\x00", "𝔸", "漢字", "<|endoftext|>", "<|endof"]
+    texts = ["".join(r.choice(odd, int(r.integers(0, 40)))) for _ in range(3000)]
+    texts += [None, "", "a <|endoftext|> b", "x" * 30000, " " * 2_000_000, "\n" * 1_500_000, "y" * 1_100_000 + " z" * 400_000, " \n" * 600_000 + "end"]
+    more = spark.createDataFrame([(-1 - i, x) for i, x in enumerate(texts)], "doc_id long, text string")
     docs = docs.unionByName(more)
     rows = pack(docs, with_ids=True).collect()
     unpacked(rows)
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = {d.doc_id: [*t.encode(d.text or "", add_special_tokens=False).ids, 0] for d in docs.collect()}
     got = {}
     for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
@@ -150,6 +153,21 @@ def test_packer_keeps_all_limits():
         assert n <= 64 and len(s) <= 5 and n - len(s) <= 50 and n & (n - 1) == 0
 
 
+def test_loss_binds_before_tokens(spark):
+    """Answers of 20 ids after prompts of 40: 50 loss-bearing ids fill a sequence long before 1,024 ids do."""
+    answer, ask = " ".join(["a"] * 19), " ".join(["b"] * 40)
+    df = spark.createDataFrame([(i, f"{ask} {answer}", 40) for i in range(90)] + [(90, answer, None), (91, None, 5)], "doc_id long, text string, given long")
+    rows = pack(df.coalesce(1), loss_tokens=50, prompt="given").collect()
+    by: dict[int, list] = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append(r)
+    loss = [sum(max(0, r.length - max(1, (40 if r.doc_id < 90 else 0) - r.start)) for r in s) for s in by.values()]
+    size = [sum(r.length for r in s) for s in by.values()]
+    assert sum(r.length for r in rows) == 90 * 60 + 20 + 1 and max(loss) <= 50 and sum(a > 40 and n < 1024 for a, n in zip(loss, size)) > 10
+    whole = pack(df.coalesce(1), prompt="given").collect()
+    assert len({r.sequence_id for r in whole}) < len(by) / 2
+
+
 # ---- op3, op6
 
 

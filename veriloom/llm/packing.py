@@ -9,9 +9,10 @@ shuffled, and a lost task packs the same sequences again.
 
 from __future__ import annotations
 
-import base64
-import json
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,8 +22,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.base import only
-
 LENGTH = 1024
 SEGMENTS = 256
 POOL = 256
@@ -31,20 +30,30 @@ END = 0
 
 @dataclass
 class Piece:
-    """Part of a document's ids."""
+    """Part of a document's ids; the document's first ``prompt`` ids bear no loss."""
 
     doc_id: int | None
     ids: np.ndarray
     start: int
     total: int
+    prompt: int = 0
+
+    @property
+    def silent(self) -> int:
+        """Leading ids without loss: nothing predicts the first id of a segment."""
+        return max(1, self.prompt - self.start)
 
     @property
     def demand(self) -> tuple[int, int, int]:
-        """Tokens, segments, loss-bearing tokens; nothing predicts the first id of a segment."""
-        return len(self.ids), 1, len(self.ids) - 1
+        """Tokens, segments, loss-bearing tokens."""
+        return len(self.ids), 1, max(0, len(self.ids) - self.silent)
+
+    def room(self, free: np.ndarray) -> int:
+        """How many of its ids keep within what is free."""
+        return int(min(free[0], free[2] + self.silent))
 
     def split(self, n: int) -> tuple[Piece, Piece]:
-        return Piece(self.doc_id, self.ids[:n], self.start, self.total), Piece(self.doc_id, self.ids[n:], self.start + n, self.total)
+        return Piece(self.doc_id, self.ids[:n], self.start, self.total, self.prompt), Piece(self.doc_id, self.ids[n:], self.start + n, self.total, self.prompt)
 
 
 class Packer:
@@ -56,8 +65,7 @@ class Packer:
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
         """Whole sequences go out at once; the remainder waits in the pool."""
-        full = int(min(self.limits[0], self.limits[2] + 1))
-        while len(piece.ids) >= full:
+        while len(piece.ids) >= (full := piece.room(self.limits)):
             one, piece = piece.split(full)
             yield from self.closed([one])
         if len(piece.ids):
@@ -78,10 +86,8 @@ class Packer:
                 i = int(np.where(fits, score, -1).argmax())
             else:  # the last segment, or nothing fits whole: the largest is cut to what is free
                 i = int(np.where(alive, need[:, 0], -1).argmax())
-            room = int(min(free[0], free[2] + 1))
-            if room <= 0:
-                break
             piece = pool[i]
+            room = piece.room(free)
             if len(piece.ids) > room:
                 piece, rest = piece.split(room)
                 pool[i], need[i] = rest, rest.demand
@@ -109,38 +115,74 @@ class Packer:
             yield from self.fill()
 
 
-def _encoder(path: str, added: dict[str, int]):
-    """An encoder of whole texts from a file of ranks and the added tokens, by their strings."""
-    import public_tokenizers
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+#: White space by Unicode, as the vocabulary's pre-tokenizer sees it. Of its tokens none goes on from other signs to
+#: white space, so a text may be encoded in parts that begin there.
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WORD = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
+_EDGE = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}])")
+PART = 1 << 20
+KNOWN, LONGEST = 100_000, 40
+
+
+class Encoder:
+    """Ids of whole texts by ``tokenizers``; words met lately aren't encoded again."""
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.single_word or t.lstrip or t.rstrip or re.search(f"[{_WHITE}]", t.content) for t in added):
+            raise ValueError("added tokens must be words")
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _part(self, text: str) -> bytes:
+        words = _WORD.findall(text)
+        known, older = self.known, self.older
+        new = []
+        for w in {w: None for w in words if w not in known}:
+            if w in older:
+                known[w] = older[w]
+            else:
+                new.append(w)
+        if new:
+            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+                known[w] = array("I", e.ids).tobytes()
+        raw = b"".join([known[w] for w in words])
+        for w in new:
+            if len(w) > LONGEST:
+                del known[w]
+        if len(known) > KNOWN:
+            self.known, self.older = {}, known
+        return raw
+
+    def encode(self, text: str) -> np.ndarray:
+        parts, at = [], 0
+        while len(text) - at > PART:
+            edge = _EDGE.search(text, at + PART)
+            if not edge:
+                break
+            parts.append(self._part(text[at : edge.start()]))
+            at = edge.start()
+        parts.append(self._part(text[at:]))
+        return np.frombuffer(b"".join(parts), "<u4")
 
 
-def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
-    """The place of a public vocabulary; the ranks give the same ids as ``byte_bpe_50k.json`` with ``tokenizers``."""
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """The place of a public byte-level vocabulary."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-def added_tokens(name: str = "byte_bpe_50k.json") -> dict[str, int]:
-    """The added tokens of a public vocabulary: ``tokenizers`` gives them their own ids wherever a text holds their strings."""
-    with open(vocabulary(name), encoding="utf-8") as f:
-        found = json.load(f)["added_tokens"]
-    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in found):
-        raise ValueError("added tokens must be plain strings")
-    return {t["content"]: t["id"] for t in found}
-
-
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long"
 
 
-def _pack(path: str, limits: tuple[int, int, int], with_ids: bool, added: dict[str, int]):
+def _pack(path: str, limits: tuple[int, int, int], with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, added)
+        encoder = Encoder(path)
         packer = Packer(limits)
         sequence = TaskContext.get().partitionId() << 36
         rows: list[tuple] = []
@@ -164,11 +206,10 @@ def _pack(path: str, limits: tuple[int, int, int], with_ids: bool, added: dict[s
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [*COLUMNS.replace(" long", "").split(", "), *["ids"] * with_ids])
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            ids, texts, prompts = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
             for i, doc in enumerate(ids):
-                got = encoder.encode_to_numpy(texts[i].as_py() or "", allowed_special="all")
-                got = np.append(got, END).astype("<u4")
-                put(packer.add(Piece(doc, got, 0, len(got))))
+                got = np.append(encoder.encode(texts[i].as_py() or ""), np.array([END], "<u4"))
+                put(packer.add(Piece(doc, got, 0, len(got), prompts[i] or 0)))
                 if len(rows) > 20_000:
                     yield batch_of()
         put(packer.rest())
@@ -177,17 +218,19 @@ def _pack(path: str, limits: tuple[int, int, int], with_ids: bool, added: dict[s
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, segments: int = SEGMENTS, loss_tokens: int = LENGTH, with_ids: bool = False, added: dict[str, int] | None = None) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, segments: int = SEGMENTS, loss_tokens: int = LENGTH, with_ids: bool = False, prompt: str | None = None) -> DataFrame:
     """``docs(doc_id, text)`` -> one row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     padded_to`` and, on request, ``ids`` (little-endian unsigned 32-bit).
 
     A document is its ids and a closing id 0; a null text counts as empty, so it is the closing id alone. No sequence
     holds more than ``length`` ids, ``segments`` pieces or ``loss_tokens`` loss-bearing ids, and each is full or a power
-    of two long, so nothing is padded under the default limits. Repeated rows and null ids are packed like any other;
-    an empty table gives no rows; extra columns are ignored. ``path`` names the file of vocabulary ranks. The
-    strings of ``added`` get their ids wherever they stand (see :func:`added_tokens`); without it they are ordinary text.
+    of two long, so nothing is padded under the default limits. A piece's first id bears no loss, nor do a document's
+    first ids, as many as the column ``prompt`` says (of instructions; null or no such column: none). Repeated rows and
+    null ids are packed like any other; an empty table gives no rows; extra columns are ignored. ``path`` names the file
+    of a byte-level vocabulary; the strings of its added tokens get their ids wherever they stand.
     """
     if min(length, segments) < 1 or loss_tokens < 0:
         raise ValueError("limits must leave room for one id")
-    docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return docs.mapInArrow(_pack(path or vocabulary(), (length, segments, loss_tokens), with_ids, added or {}), COLUMNS + ", ids binary" * with_ids)
+    silent = F.col(f"`{prompt}`") if prompt else F.lit(None)
+    docs = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").alias("text"), silent.cast("long").alias("prompt"))
+    return docs.mapInArrow(_pack(path or vocabulary(), (length, segments, loss_tokens), with_ids), COLUMNS + ", ids binary" * with_ids)
