@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from veriloom.llm.base import staged, table
 from veriloom.llm.decontam import drop_leaking
 from veriloom.llm.jaccard import keep_one_per_group
-from veriloom.llm.packing import added_tokens, pack
+from veriloom.llm.packing import pack
 from veriloom.llm.pii import redact
 from veriloom.llm.toxicity import drop_toxic
 
@@ -34,7 +34,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, as pieces of packed token sequences."""
-    return pack(docs, added=added_tokens())
+    return pack(docs)
 
 
 STAGES = [
