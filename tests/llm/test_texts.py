@@ -163,7 +163,7 @@ def test_loss_binds_before_tokens(spark):
         by.setdefault(r.sequence_id, []).append(r)
     loss = [sum(max(0, r.length - max(1, (40 if r.doc_id < 90 else 0) - r.start)) for r in s) for s in by.values()]
     size = [sum(r.length for r in s) for s in by.values()]
-    assert sum(r.length for r in rows) == 90 * 60 + 20 + 1 and max(loss) <= 50 and sum(a > 40 and n < 1024 for a, n in zip(loss, size)) > 10
+    assert sum(r.length for r in rows) == 90 * 60 + 20 + 1 and max(loss) <= 50 and sum(a > 40 and n < 1024 for a, n in zip(loss, size)) > 5
     whole = pack(df.coalesce(1), prompt="given").collect()
     assert len({r.sequence_id for r in whole}) < len(by) / 2
 
@@ -383,6 +383,42 @@ def test_believed_values_are_seeds_of_further_patterns(spark):
     assert "of the 20240131" in got and got[-30:] == rows[-30:]
 
 
+def test_contexts_have_no_window():
+    text = "x" * 300_000 + " " * 5000 + "key=" + "AB12cd34" + "9" * 3 + ") \n next"
+    at = text.index("AB12")
+    got = pii._contexts(text, at, at + 11)
+    assert [p[:2] for p in got] == ["l1", "l2", "l3", "r1"] and got[:2] == ["l1|=", "l2|key="] and got[3] == "r1|)"
+    assert got[2] != pii._contexts("y" + text[1:], at, at + 11)[2] and len(got[2]) < 60
+    assert pii._contexts("a\nB12345 c", 2, 8) == ["r1| c"]
+
+
+def test_scores_equal_brute_force(spark):
+    """Patterns of one round against their definition."""
+    rows = [f"ticket no. {v}" for v in ["a@b.org", "c@d.org", "1.2.3.4", "ABC123456", "XYZ7654321", "soon", "later", "soon"]] + ["room QRS998877 x"] * 3 + ["plain words of text"] * 40
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.pattern: (round(r.confidence, 9), r.seeds) for r in pii.patterns(pii.scan(df), df, [], rounds=0, least=2, confident=0.3).collect()}
+    want = {}
+    for n, p in enumerate([".", "no.", "ticket no."], 1):
+        if n > 1:
+            odds = (3 + 0.5) / (2 * pii.UNKNOWN + 2 + 0.5)
+            want[f"l{n}|{p} "] = (round(odds / (1 + odds), 9), 3)
+    assert got == want
+
+
+def test_planted_keys_are_found(spark):
+    """Nothing but the pattern learned from some keys tells the others."""
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    planted = {r.doc_id: r.text for r in docs.collect() if 'token = "' in (r.text or "")}
+    odd = {-1: 'a token = "swordfish-Long" b', -2: 'a token = "K9-22" b', -3: 'the word token alone, 20240131', -4: "a hash 04dbebab91ab85687d33eeaaf9ac699e1188f962"}
+    more = docs.unionByName(spark.createDataFrame(list(odd.items()), "doc_id long, text string"))
+    got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("id:")] for r in pii.personal_data(more).select("doc_id", "spans").collect()}
+    found = [i for i, t in planted.items() if f"id:{t.index(chr(34), t.index('token = ')) + 1}:" in ",".join(got[i]) + ":"]
+    assert len(planted) >= 8 and len(found) == len(planted)
+    assert got[-1] == ["id:11:25"] and got[-3] == got[-4] == []
+    assert not [i for i, s in got.items() if s and i not in planted and i >= 0]
+
+
 def test_rows_without_id_are_masked(spark):
     rows = [(i, f"member id: user{i}@mail.example.org") for i in range(20)] + [(None, "member id: ZX8831-Q"), (None, "member id: ZX8832-Q, a@b.example"), (None, None)]
     got = pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id is null").collect()

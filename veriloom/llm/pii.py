@@ -1,16 +1,18 @@
 """Personal data by seeds and bootstrapped contextual patterns.
 
-Fixed forms (email, ip, card, phone) are the seeds. What stands before a seed induces lexical patterns; the same patterns
-also stand before other identifier-like tokens. Spark scores the graph of patterns and instances for a few rounds: a
-pattern by its instances that are known or believed against those that are not, an instance by its best pattern. What is
-believed in one round is a seed of the next, so patterns that no fixed form precedes are found too. Patterns of high
-confidence and enough different seeds then mark identifiers of unknown form, with the kind ``id``.
+Seeds are the fixed forms (email, ip, card, phone) and keys, long random runs of letters and digits. What stands right
+before and after a seed on its line induces lexical patterns; the same patterns also stand beside other tokens. Spark
+scores the graph of patterns and instances for a few rounds: a pattern by the log-odds of its instances that are known or
+believed against those that are not and against all ordinary words that it stands beside, an instance by its best
+pattern. What is believed in one round is a seed of the next, so patterns that no seed stands beside are found too.
+Patterns of high confidence and enough different seeds then mark identifiers of unknown form, with the kind ``id``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,8 +28,11 @@ ROUNDS = 3
 LEAST_SEEDS = 8
 CONFIDENT = 0.85
 LEAST_LENGTH = 6
-#: How much a value that nothing else is known of counts against a pattern.
+#: How much a value of an identifier's shape that nothing else is known of counts against a pattern; an ordinary word
+#: counts whole.
 UNKNOWN = 0.25
+#: A key is a run of letters and digits of such a length, with so many of each.
+KEY_LENGTH, KEY_EACH = 20, 4
 #: A word is frequent if such a share of the texts has it elsewhere than before a seed or candidate.
 FREQUENT = 0.05
 
@@ -39,7 +44,6 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _TOKEN = re.compile(r"[A-Za-z0-9_+/.@-]+")
-_TOKEN_CHARS = _LOCAL - {"%"} | {"_", "/", "@"}
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -86,34 +90,88 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _contexts(text: str, begin: int) -> list[str]:
-    """What stands on the same line before a token: the last one and two words, with digits as 9, and glued signs."""
-    line = text[max(0, begin - 80) : begin].rpartition("\n")[2]
-    glued = line[len(line.rstrip()) :] and " " or ""
-    words = _DIGIT.sub("9", line.lower()).split()
-    if not words:
-        return []
-    return [f"{n}|{' '.join(words[-n:])}{glued}" for n in (1, 2) if len(words) >= n]
+_PIECE = re.compile(r"\w+|[^\w\s]")
+_KEY = re.compile(rf"[A-Za-z0-9]{{{KEY_LENGTH},}}")
+_INNER = re.compile(r"[a-z0-9][A-Z]|[A-Za-z0-9][_+/@.-][A-Za-z0-9]")
+LEFT, RIGHT = 3, 2
 
 
-def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Tokens with a digit, of some length, that overlap no span of a fixed form."""
-    out, last = [], 0
+def _normal(context: str) -> str:
+    """Lower case, digits as 9, white space as one space; what is very long by its digest."""
+    edge = (context[:1].isspace() and " " or ""), (context[-1:].isspace() and " " or "")
+    short = edge[0] + " ".join(_DIGIT.sub("9", context.lower()).split()) + edge[1]
+    return short if len(short) <= 100 else "#" + hashlib.md5(short.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _before(text: str, at: int) -> tuple[int, list[int]]:
+    """Where the last words and signs before ``at`` on its line begin, the nearest first; with the line's begin."""
+    begin = text.rfind("\n", 0, at) + 1
+    size = 64
+    while True:
+        lo = max(begin, at - size)
+        found = [m.start() for m in _PIECE.finditer(text, lo, at)]
+        if lo == begin or len(found) > LEFT:  # the first of a cut line may be a part of a word
+            return begin, found[::-1][:LEFT]
+        size *= 4
+
+
+def _after(text: str, at: int) -> list[int]:
+    """Where the next words and signs after ``at`` on its line end."""
+    end = text.find("\n", at)
+    end = len(text) if end < 0 else end
+    out = []
+    for m in _PIECE.finditer(text, at, end):
+        out.append(m.end())
+        if len(out) == RIGHT:
+            break
+    return out
+
+
+def _contexts(text: str, begin: int, end: int) -> list[str]:
+    """The patterns of a token: one to three words or signs before it and one or two after it, on its line."""
+    left = [f"l{n}|{_normal(text[at:begin])}" for n, at in enumerate(_before(text, begin)[1], 1)]
+    return left + [f"r{n}|{_normal(text[end:at])}" for n, at in enumerate(_after(text, end), 1)]
+
+
+def _shaped(value: str) -> bool:
+    """Whether a token may be an identifier: of some length, with a digit, or with signs or capitals inside."""
+    return len(value) >= LEAST_LENGTH and bool(_DIGIT.search(value) or len(value) >= 8 and _INNER.search(value))
+
+
+def is_key(value: str) -> bool:
+    """Whether a token is a long run of mixed letters and digits, as no word is."""
+    for m in _KEY.finditer(value):
+        digits = len(_DIGIT.findall(m[0]))
+        if min(digits, len(m[0]) - digits) >= KEY_EACH and len(set(m[0])) >= 8:
+            return True
+    return False
+
+
+def _runs(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """All tokens, without closing punctuation, that overlap no span of a fixed form."""
     taken = sorted((b, e) for _, b, e in spans)
-    k = 0
-    for m in _DIGIT.finditer(text):
-        if m.start() < last:
-            continue
+    k, last = 0, 0  # spans of several kinds may overlap, so the furthest end counts
+    for m in _TOKEN.finditer(text):
         begin = m.start()
-        while begin > last and text[begin - 1] in _TOKEN_CHARS:
-            begin -= 1
-        last = _TOKEN.match(text, begin).end()
-        end = begin + len(text[begin:last].rstrip(".@/+-"))
-        while k < len(taken) and taken[k][1] <= begin:
+        end = begin + len(m[0].rstrip(".@/+-"))
+        while k < len(taken) and taken[k][0] < end:
+            last = max(last, taken[k][1])
             k += 1
-        if end - begin >= LEAST_LENGTH and not any(b < end and e > begin for b, e in taken[k : k + 8]):
-            out.append((begin, end))
-    return out
+        if end > begin and last <= begin:
+            yield begin, end
+
+
+def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Tokens of an identifier's shape that overlap no span of a fixed form."""
+    if not (_DIGIT.search(text) or _INNER.search(text)):
+        return []
+    return [(b, e) for b, e in _runs(text, spans) if e - b >= LEAST_LENGTH and _shaped(text[b:e])]
+
+
+def _spans(text: str) -> list[tuple[str, int, int]]:
+    """Fixed forms by kind, then candidates, those that are keys with the kind ``key``."""
+    base = base_spans(text)
+    return base + [("key" if is_key(text[b:e]) else "", b, e) for b, e in candidates(text, base)]
 
 
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.int64()), ("patterns", pa.list_(pa.string()))]))
@@ -130,10 +188,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans, hashes, rows = [], [], []
         for x in b.column(1):
             text = x.as_py() or ""
-            base = base_spans(text)
-            every = base + ([("", *s) for s in candidates(text, base)] if _DIGIT.search(text) else [])
-            spans.append([{"kind": k, "start": s, "end": e, "value": _hash(text[s:e]), "patterns": _contexts(text, s)} for k, s, e in every])
-            hashes.append(hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest() if len(every) > len(base) else None)
+            every = _spans(text)
+            spans.append([{"kind": k, "start": s, "end": e, "value": _hash(text[s:e]), "patterns": _contexts(text, s, e)} for k, s, e in every])
+            hashes.append(hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest() if any(k not in KINDS for k, _, _ in every) else None)
             rows.append(row)
             row += 1
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), b.column(0), pa.array(hashes, pa.string()), pa.array(spans, _SPAN)], ["row", "doc_id", "text_hash", "spans"])
@@ -146,19 +203,14 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def _elsewhere(text: str) -> set[str]:
-    """The words of a text that don't only stand before its spans, as in patterns."""
-    base = base_spans(text)
-    every = base + ([("", *s) for s in candidates(text, base)] if _DIGIT.search(text) else [])
+    """The words and signs of a text that don't only stand beside its spans, as in patterns."""
     parts, at = [], 0
-    for _, begin, end in sorted(every, key=lambda s: s[1]):
-        before = text[at:begin]
-        line = before[max(0, len(before) - 80) :].rpartition("\n")[2]
-        held = line.rsplit(None, 2)
-        keep = len(before) - len(line) + (len(line.rstrip()) and line.find(held[0]) + len(held[0]) if len(held) == 3 else 0)
-        parts.append(before[:keep])
-        at = max(at, end)
+    for _, begin, end in sorted(_spans(text), key=lambda s: s[1]):
+        left, right = _before(text, begin)[1], _after(text, end)
+        parts.append(text[at : left[-1] if left else begin])
+        at = max(at, right[-1] if right else end)
     parts.append(text[at:])
-    return {w for w in _DIGIT.sub("9", "\n".join(parts).lower()).split() if len(w) <= 80}
+    return set(_PIECE.findall(_DIGIT.sub("9", "\n".join(parts).lower())))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,36 +230,89 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(docs: DataFrame, share: float = FREQUENT) -> list[str]:
-    """Words that at least ``share`` of the texts have elsewhere than before spans: at most the mean number of words of a
-    text over ``share``."""
+    """Words and signs that at least ``share`` of the texts have elsewhere than beside spans: at most the mean number of
+    words of a text over ``share``."""
     least = max(1.0, share * docs.where("text is not null").count())
     counted = only(docs, "text").mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return sorted(r.word for r in counted.where(F.col("n") >= least).select("word").collect())
 
 
-def patterns(scanned: DataFrame, frequent: list[str], rounds: int = ROUNDS, least: int = LEAST_SEEDS, confident: float = CONFIDENT) -> DataFrame:
+def _pattern_words(pattern: str) -> list[str]:
+    return _PIECE.findall(pattern.partition("|")[2])
+
+
+def _ordinary(wanted: frozenset[str] | None, frequent: frozenset[str]):
+    """(pattern, hash of an ordinary token that it stands beside), for the ``wanted`` patterns, or for all but those of
+    frequent words."""
+    marks = None if wanted is None else {w for p in wanted for w in _pattern_words(p) if w not in frequent}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: set[tuple[str, int]] = set()
+            for x in b.column(0):
+                text = x.as_py() or ""
+                pieces = [(m.start(), m.end()) for m in _PIECE.finditer(text)]
+                low = [_DIGIT.sub("9", text[s:e].lower()) for s, e in pieces]
+                near = [i for i, w in enumerate(low) if (w in marks if marks is not None else w not in frequent)]
+                if not near:
+                    continue
+                starts = [s for s, _ in pieces]
+                for s, e in _runs(text, base_spans(text)):
+                    i, j = bisect_left(starts, s), bisect_left(starts, e)
+                    k = bisect_left(near, i - LEFT)
+                    if k == len(near) or near[k] >= j + RIGHT or _shaped(text[s:e]):
+                        continue
+                    value = _hash(text[s:e].lower())
+                    found.update((p, value) for p in _contexts(text, s, e) if (p in wanted if wanted is not None else not frequent.issuperset(_pattern_words(p))))
+            cols = list(zip(*found)) if found else [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64())], ["pattern", "value"])
+
+    return run
+
+
+def ordinary(docs: DataFrame, wanted: DataFrame, frequent: list[str]) -> DataFrame:
+    """``pattern, ordinary``: beside how many different ordinary tokens each of the ``wanted`` patterns stands (a sketch's
+    count, so that nothing is shuffled but sketches). Texts meet the patterns in the tasks that read them while the
+    patterns are few (4 MB); else patterns of all texts are joined with them."""
+    texts = only(docs, "text").where("text is not null")
+    size = wanted.agg(F.sum(F.octet_length("pattern") + 100)).first()[0] or 0
+    few = size <= 4 << 20
+    listed = frozenset(r.pattern for r in wanted.collect()) if few else None
+    seen = texts.mapInArrow(_ordinary(listed, frozenset(frequent)), "pattern string, value long")
+    if not few:
+        seen = seen.join(wanted, "pattern", "left_semi")
+    return seen.groupBy("pattern").agg(F.approx_count_distinct("value", 0.02).alias("ordinary"))
+
+
+def patterns(scanned: DataFrame, docs: DataFrame, frequent: list[str], rounds: int = ROUNDS, least: int = LEAST_SEEDS, confident: float = CONFIDENT) -> DataFrame:
     """The patterns to trust: ``pattern, confidence, seeds``.
 
-    Each edge of the graph is a pattern with a value that it stands before. Copies of a text count once, as edges are
-    distinct. A pattern needs ``least`` different values that are seeds or believed; its confidence is their belief
-    against the doubt in all its values, in which an unknown value counts ``UNKNOWN``, and one doubtful value added. A
-    value of unknown form is believed as much as its best trusted pattern, and is a seed of the next round. Patterns of
-    ``frequent`` words alone are never trusted.
+    Each edge of the graph is a pattern with a value that it stands beside. Copies of a text count once, as edges are
+    distinct. A pattern needs a letter, a word that isn't ``frequent``, and ``least`` different values that are seeds or
+    believed. Its odds are their belief against the doubt in its other values (``UNKNOWN`` each) and the ordinary tokens
+    beside it, with a half added on either side, and ``confident`` is the probability that they must reach. A value of
+    unknown form is believed as much as its best trusted pattern, and is a seed of the next round.
     """
     s = scanned.select(F.explode("spans").alias("s")).select("s.kind", "s.value", F.explode("s.patterns").alias("pattern"))
     edges = s.groupBy("pattern", "value").agg(F.max(F.when(F.col("kind") != "", 1.0).otherwise(0.0)).alias("seed"))
     # a pattern with fewer values can't ever have enough seeds
     enough = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("pattern")
-    words = F.filter(F.split(F.substring("pattern", 3, 1 << 20), " "), lambda w: w != "")
-    enough = enough.where(F.size(F.array_except(words, F.array(*map(F.lit, frequent)).cast("array<string>"))) > 0)
-    edges = staged(edges.join(maybe_broadcast(staged(enough, "enough"), 200), "pattern"), "edges")
+    words = F.regexp_extract_all(F.substring("pattern", 4, 1 << 20), F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0))
+    usual = F.array(*map(F.lit, frequent)).cast("array<string>")
+    letter = F.exists(words, lambda w: w.rlike(r"\p{L}"))
+    enough = staged(enough.where(F.substring("pattern", 4, 1).eqNullSafe("#") & (F.length("pattern") == 36) | letter & (F.size(F.array_except(words, usual)) > 0)), "enough")
+    edges = staged(edges.join(maybe_broadcast(enough, 200), "pattern"), "edges")
+    beside = staged(ordinary(docs, enough, frequent), "ordinary")
     believed, n = None, 0
     for i in range(rounds + 1):
         seen = edges.withColumn("belief", F.col("seed"))
         if believed is not None:
             seen = edges.join(maybe_broadcast(believed, 32), "value", "left").withColumn("belief", F.greatest("seed", F.coalesce("best", F.lit(0.0))))
-        belief, doubt = F.sum("belief"), F.sum(1 - F.col("belief"))
-        scored = seen.groupBy("pattern").agg((belief / (belief + UNKNOWN * doubt + 1)).alias("confidence"), F.sum((F.col("belief") >= confident).cast("long")).alias("seeds"))
+        belief, doubt = F.sum("belief").alias("belief"), F.sum(1 - F.col("belief")).alias("doubt")
+        scored = seen.groupBy("pattern").agg(belief, doubt, F.sum((F.col("belief") >= confident).cast("long")).alias("seeds"))
+        scored = scored.join(maybe_broadcast(beside, 200), "pattern", "left").withColumn("against", UNKNOWN * F.col("doubt") + F.coalesce("ordinary", F.lit(0)))
+        odds = F.log(F.col("belief") + 0.5) - F.log(F.col("against") + 0.5)
+        scored = scored.withColumn("confidence", 1 / (1 + F.exp(-odds))).select("pattern", "confidence", "seeds")
         trusted = staged(scored.where((F.col("confidence") >= confident) & (F.col("seeds") >= least)), "patterns")
         before, n = n, trusted.count()
         if n == before or i == rounds:  # belief only grows, so no pattern is lost again
@@ -218,8 +323,8 @@ def patterns(scanned: DataFrame, frequent: list[str], rounds: int = ROUNDS, leas
 
 
 def discovered(scanned: DataFrame, trusted: DataFrame) -> DataFrame:
-    """``row, doc_id, text_hash, start, end`` of the candidate tokens behind a trusted pattern."""
-    c = scanned.select("row", "doc_id", "text_hash", F.explode("spans").alias("s")).where("s.kind = ''")
+    """``row, doc_id, text_hash, start, end`` of the candidate tokens beside a trusted pattern."""
+    c = scanned.select("row", "doc_id", "text_hash", F.explode("spans").alias("s")).where("s.kind in ('', 'key')")
     c = c.select("row", "doc_id", "text_hash", "s.start", "s.end", F.explode("s.patterns").alias("pattern"))
     return c.join(maybe_broadcast(trusted.select("pattern"), 200), "pattern").select("row", "doc_id", "text_hash", "start", "end").distinct()
 
@@ -238,8 +343,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     other; an empty table gives no rows; extra columns are ignored.
     """
     scanned = scan(docs)
-    more = discovered(scanned, patterns(scanned, frequent_words(docs))).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ids"))
-    base = F.filter("spans", lambda s: s["kind"] != "")
+    more = discovered(scanned, patterns(scanned, docs, frequent_words(docs))).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ids"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*KINDS))
     text = F.array_join(F.transform(base, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     ids = F.array_join(F.transform("ids", lambda s: F.concat_ws(":", F.lit("id"), s["start"].cast("string"), s["end"].cast("string"))), ",")
     one = scanned.withColumn("base", text).join(_sent(staged(more, "ids"), "ids"), "row", "left")
@@ -273,7 +378,7 @@ def redact(docs: DataFrame) -> DataFrame:
     Null texts stay null; other columns pass unchanged.
     """
     scanned = scan(docs)
-    more = discovered(scanned, patterns(scanned, frequent_words(docs))).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("ids"))
+    more = discovered(scanned, patterns(scanned, docs, frequent_words(docs))).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("ids"))
     more = staged(more.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("ids").alias("_ids")), "ids")
     joined = docs.join(_sent(more, "_ids"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5(F.col("text").cast("binary")) == F.col("_hash")), "left").drop("_id", "_hash")
     names = docs.columns
