@@ -188,6 +188,52 @@ def test_maximal_segments_equal_definition():
         assert sorted((a, b, round(s, 6)) for a, b, s in got) == sorted((a, b, round(s, 6)) for a, b, s in slow(list(x)))
 
 
+def test_model_equals_its_definition(spark):
+    """Log-odds, lambda and K by hand, from the same split of the labelled rows."""
+    r = np.random.default_rng(12)
+    bad, good = ([f"{w}{a}{b}" for a in "abcdef" for b in "vwxyz"] for w in ("vile", "kind"))
+    rows = []
+    for i in range(300):
+        toxic = int(i % 3 == 0)
+        words = [*r.choice(good, 30), *r.choice(bad, 8 if toxic else 0), *(["vilest"] if i % 50 == 0 else [])]
+        rows.append((i, " ".join(r.permutation(words)), toxic))
+    docs, labels = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    split = toxicity.labelled(docs, labels, 5, 0).collect()
+    seen, rest = [x for x in split if x.part], [x for x in split if not x.part]
+    n0, n1 = (sum(x.toxic == t for x in seen) for t in (0, 1))
+    count = {t: Counter(w for x in seen if x.toxic == t for w in set(x.text.split())) for t in (0, 1)}
+    runs = Counter(w for x in seen if not x.toxic for w in x.text.split())
+    c = {w: (count[0][w] * n1 / n0, float(count[1][w])) for w in count[0].keys() | count[1].keys()}
+
+    def stems(n, up):
+        out = {}
+        for w, (a, b) in c.items():
+            if len(w) >= n:
+                x = out.setdefault(w[:n], [0, 0, up(w)])
+                x[0], x[1] = x[0] + a, x[1] + b
+        return {g: (b + 4 * u) / (a + b + 4) for g, (a, b, u) in out.items()}
+
+    four = stems(4, lambda w: 0.5)
+    six = stems(6, lambda w: four.get(w[:4], 0.5))
+    mean = {w: six.get(w[:6], four.get(w[:4], 0.5)) for w in c}
+    score = {w: np.log((b + toxicity.PRIOR * mean[w]) / (a + toxicity.PRIOR * (1 - mean[w]))) for w, (a, b) in c.items()}
+    words, tables = model.tables.value
+    for w, s in words.items():
+        assert abs(s - score[w]) < 1e-9
+    assert all(w in words for w in c if count[0][w] + count[1][w] > 1 and abs(score[w]) > toxicity.KEEP)
+    for table, share in zip(tables, (six, four)):
+        assert {g: round(s, 9) for g, s in table.items()} == {g: round(float(np.log(p / (1 - p))), 9) for g, p in share.items() if abs(np.log(p / (1 - p))) > toxicity.KEEP}
+    law = Counter()
+    for w, n in runs.items():
+        law[round(score[w] + 1e-12, 1)] += n
+    total = sum(n / sum(law.values()) * np.exp(model.lam * (s - model.drift)) for s, n in law.items())
+    assert abs(total - 1) < 0.02 or model.lam == 4.0
+    clean = [x.text.split() for x in rest if not x.toxic]
+    best = [max((s for *_, s in toxicity.maximal_segments(np.array([model.word(w) for w in t]))), default=0.0) for t in clean]
+    assert abs(model.k - max(1e-6, len(clean) / max(1.0, sum(len(t) * np.exp(-model.lam * b) for t, b in zip(clean, best))))) < 1e-9
+
+
 def held(spark, name, label, modulus, rest):
     import pandas as pd
 

@@ -60,3 +60,17 @@ def small(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> bool:
 def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
     """A broadcast hint where :func:`small` holds; otherwise the frame as it is, for a shuffled (skew-split) join."""
     return F.broadcast(df) if small(df, row_bytes, limit) else df
+
+
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't among ``ids(doc_id)``, a staged table of distinct ids; null ids stay."""
+    name = fresh(docs, "gone")
+    return docs.join(maybe_broadcast(ids.select(F.col("doc_id").alias(name)), 16), F.col("`doc_id`") == F.col(name), "left_anti")

@@ -1,8 +1,9 @@
 """Benchmark decontamination by spaced-seed hashing with substitution-tolerant verification.
 
 Fixed masks select some positions of a short window of words and ignore the others, so a window is found again where an
-ignored word was replaced. Seeds of the benchmark are joined with the seeds of all documents where the documents lie: the
-benchmark comes in blocks of bounded size, each sent to every task, so no document's seed is ever shuffled.
+ignored word was replaced. The seeds of the benchmark are a table. Documents are read once: a Bloom filter of the seeds,
+of bounded size, goes to every task, and only documents with a seed in it are written with their hits, as word hashes.
+Spark joins hits with seeds, and each alignment found is verified over the words around it.
 """
 
 from __future__ import annotations
@@ -12,15 +13,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.base import maybe_broadcast, only, staged
+from veriloom.llm.base import maybe_broadcast, only, staged, without
 from veriloom.llm.textnum import PUNCT, U, mix, word_hashes
 
-#: Fixed masks; 1 is a compared word, 0 an ignored one.
+#: Fixed masks; 1 is a compared word, 0 an ignored one. Every stretch of 13 equal words or more of which 80 % are equal
+#: holds a window in which one of the masks compares equal words only (a test proves it).
 MASKS = ("11101011", "110100111", "1011001101", "111111")
-BLOCK_CHARS = 32 << 20
+#: Bits of the Bloom filter: so many a seed, within these bounds (the larger is 32 MB).
+BITS_PER_SEED, LEAST_BITS, MOST_BITS = 512, 20, 28
+SLICE = 15
 LEAST_WORDS = 13
 IDENTITY = 0.8
 #: What a difference weighs against an equal word at that share.
@@ -64,173 +69,194 @@ def _words(texts: list[str | None]) -> Iterator[np.ndarray]:
     return word_hashes([(x or "").lower() for x in texts], PUNCT, lower=False)
 
 
-class Index:
-    """The seeds of one block of benchmark items."""
-
-    def __init__(self, ids: list[int], texts: list[str]) -> None:
-        self.ids = np.array(ids, np.int64)
-        parts = list(_words(texts))
-        self.start = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-        self.words = np.concatenate(parts) if parts else np.zeros(0, U)
-        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        self.length = np.diff(self.start)
-        self.seeds: list[tuple[str, np.ndarray, np.ndarray]] = []
-        self.maybe = np.zeros(1 << 22, bool)
-        starts: dict[str, list[np.ndarray]] = {}
-        long = self.length[owner] > SHORT
-        for mask in MASKS:
-            n = len(owner) - len(mask) + 1
-            if n > 0:
-                starts[mask] = [np.flatnonzero(long[:n] & (owner[:n] == owner[len(mask) - 1 :]))]
-        for n in np.unique(self.length[(self.length > 0) & (self.length <= SHORT)]).tolist():
-            for first, mask in _short_masks(n):
-                starts.setdefault(mask, []).append(self.start[:-1][self.length == n] + first)
-        for mask, found in starts.items():
-            at = np.concatenate(found)
-            h = _seeds(self.words, mask)[at]
-            order = np.argsort(h, kind="stable")
-            self.seeds.append((mask, h[order], at[order]))
-            self.maybe[h >> U(42)] = True
-        self.owner = owner
-
-    def diagonals(self, words: np.ndarray) -> np.ndarray:
-        """Distinct (item, document position of the item's first word) that some seed proposes."""
-        found = []
-        span = len(words) + (int(self.length.max()) if len(self.length) else 0) + 1
-        for mask, seeds, at in self.seeds:
-            h = _seeds(words, mask)
-            if not len(h) or not len(seeds):
-                continue
-            pos = np.flatnonzero(self.maybe[h >> U(42)])
-            lo, hi = np.searchsorted(seeds, h[pos], "left"), np.searchsorted(seeds, h[pos], "right")
-            n = hi - lo
-            pos, lo, n = pos[n > 0], lo[n > 0], n[n > 0]
-            if len(pos):
-                k = at[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                item = self.owner[k]
-                # the position may lie before the first word, by less than the longest item
-                found.append(np.unique(item * span + np.repeat(pos, n) - (k - self.start[item]) + (span - len(words) - 1)))
-        if not found:
-            return np.zeros((0, 2), np.int64)
-        every = np.unique(np.concatenate(found))
-        return np.stack([every // span, every % span - (span - len(words) - 1)], axis=1)
-
-    def whole(self, words: np.ndarray, ends: np.ndarray, pairs: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
-        """The leaks among proposals of short items, all at once: (text, item, its word in the text, item word, words
-        compared, words equal). ``ends`` are the ends of the texts in ``words``."""
-        text_of = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-        begins = ends - np.diff(ends, prepend=0)
-        for n in np.unique(self.length[pairs[:, 0]]).tolist():
-            some = pairs[self.length[pairs[:, 0]] == n]
-            for i in range(0, len(some), 1 << 16):
-                item, at = some[i : i + (1 << 16)].T
-                place = at[:, None] + np.arange(n)
-                inside = (place >= 0) & (place < len(words))
-                place = place.clip(0, len(words) - 1)
-                same = inside & (words[place] == self.words[self.start[item][:, None] + np.arange(n)])
-                text = text_of[place]
-                # the words of a proposal may lie in several texts: each is tried
-                for d in range(n):
-                    new = inside[:, d] if d == 0 else inside[:, d] & (~inside[:, d - 1] | (text[:, d] != text[:, d - 1]))
-                    equal = (same & (text == text[:, d : d + 1])).sum(axis=1)
-                    for j in np.flatnonzero(new & (equal >= _needed(n))):
-                        t = int(text[j, d])
-                        lo, hi = max(0, int(begins[t] - at[j])), min(n, int(ends[t] - at[j]))
-                        yield t, int(item[j]), int(at[j] - begins[t]) + lo, lo, hi - lo, int(equal[j])
-
-    def aligned(self, words: np.ndarray, item: int, at: int) -> tuple[int, int, int] | None:
-        """(first item word, words compared, words equal) of the best stretch, if it is a leak."""
-        text = self.words[self.start[item] : self.start[item + 1]]
-        lo, hi = max(0, -at), min(len(text), len(words) - at)
-        if hi <= lo:
-            return None
-        same = text[lo:hi] == words[at + lo : at + hi]
-        n, least = int(same.sum()), _needed(len(text))
-        if n < least:
-            return None
-        if n >= WEIGHT * (hi - lo - n):
-            return lo, hi - lo, n
-        # the stretch with the largest sum, in which a difference weighs as much as IDENTITY allows
-        c = np.concatenate([[0], np.cumsum(np.where(same, 1, -WEIGHT))])
-        least_before = np.minimum.accumulate(c)
-        end = int((c - least_before).argmax())
-        begin = int(c[: end + 1].argmin())
-        n = int(same[begin:end].sum())
-        if n < least:
-            # it is too short: of all stretches without a negative sum, the one with the most equal words; for each
-            # end that is the earliest begin whose sum is not above the end's
-            begins = np.searchsorted(-least_before, -c, "left")
-            equal = np.concatenate([[0], np.cumsum(same)])
-            end = int((equal - equal[begins]).argmax())
-            begin = int(begins[end])
-            n = int(equal[end] - equal[begin])
-        return (lo + begin, end - begin, n) if n >= least else None
-
-
-def _find(index: Index):
+def _positions(h: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of each seed in the filter, by row."""
+    return np.stack([x & U((1 << bits) - 1) for x in (h, h >> U(32), mix(h ^ U(0x5851F42D4C957F2D)))]).astype(np.int64)
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """item_id, text -> item (a number of its own), item_id, n, words."""
+    item = TaskContext.get().partitionId() << 36
+    for b in batches:
+        words = list(_words(b.column(1).to_pylist()))
+        numbers = range(item, item + len(words))
+        item += len(words)
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), b.column(0), pa.array(map(len, words), pa.int64()), pa.array([w.tobytes() for w in words], pa.binary())], ["item", "item_id", "n", "words"])
+
+
+def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """item, words -> h, item, at: the seeds of an item and where their first word stands in it."""
+    for b in batches:
+        h, item, at = [], [], []
+        for number, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            words = np.frombuffer(raw, U)
+            for first, mask in _short_masks(len(words)) if len(words) <= SHORT else [(None, m) for m in MASKS]:
+                found = _seeds(words, mask)
+                places = np.arange(len(found)) if first is None else np.array([first])
+                h.append(found[places].view(np.int64))
+                at.append(places)
+                item.append(np.full(len(places), number))
+        cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (h, item, at)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["h", "item", "at"])
+
+
+def _filter(seeds: DataFrame) -> tuple[int, bytes]:
+    """(bits, Bloom filter of the seeds). Tasks make slices of 4 KB; the driver puts at most 32 MB of them together."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (seeds.count() * BITS_PER_SEED).bit_length()))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_positions(b.column(0).to_numpy().view(U), bits).ravel())], ["bit"])
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for x in b.column(1):
+                part = np.zeros(1 << SLICE, bool)
+                part[x.values.to_numpy()] = True
+                out.append(np.packbits(part, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["slice", "part"])
+
+    placed_bits = seeds.select("h").mapInArrow(placed, "bit long").distinct()
+    slices = placed_bits.groupBy(F.shiftright("bit", SLICE).alias("slice")).agg(F.collect_list(F.col("bit") % (1 << SLICE)).alias("on"))
+    whole = bytearray(1 << bits - 3)
+    size = 1 << SLICE - 3
+    for r in slices.mapInArrow(sliced, "slice long, part binary").collect():
+        whole[r.slice * size : (r.slice + 1) * size] = r.part
+    return bits, bytes(whole)
+
+
+_HIT = pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int64())]))
+SUSPECTS = "row long, doc_id long, n_words long, words binary, hits array<struct<h:long,at:long>>"
+
+
+def _suspects(masks: list[str], bits: int, sent: Broadcast):
+    """Documents with seeds in the filter: their word hashes, and those seeds with the place of their first word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple[int, int, int, int, int, int]] = []
-            ids = batch.column(0).to_pylist()
-            held: list[np.ndarray] = []
-            first = size = 0
-
-            def flush() -> None:
-                if not held:
-                    return
-                ends = np.cumsum([len(w) for w in held])
-                every = np.concatenate(held)
-                best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-                pairs = index.diagonals(every)
-                short = index.length[pairs[:, 0]] <= SHORT
-                for d, item, *got in index.whole(every, ends, pairs[short]):
-                    if got[3] > best.get((d, item), (0, 0, 0, 0))[3]:
-                        best[d, item] = tuple(got)
-                for item, at in pairs[~short].tolist():
-                    length = int(index.length[item])
-                    # a seed may lie across two texts of the group: each text that the diagonal touches is tried
-                    for d in range(int(np.searchsorted(ends, max(at, 0), "right")), int(np.searchsorted(ends, min(at + length, len(every)) - 1, "right")) + 1):
-                        base = int(ends[d] - len(held[d]))
-                        got = index.aligned(held[d], item, at - base)
-                        if got and got[2] > best.get((d, item), (0, 0, 0, 0))[3]:
-                            best[d, item] = (at - base + got[0], got[0], got[1], got[2])
-                out.extend((ids[first + d], int(index.ids[item]), *x) for (d, item), x in best.items())
-
-            for w in _words(batch.column(1).to_pylist()):
+        on = np.frombuffer(sent.value, np.uint8)
+        row = TaskContext.get().partitionId() << 36
+        out: list[tuple] = []
+
+        def put(words: list[np.ndarray], ids: list[int | None], row: int) -> None:
+            ends = np.cumsum([len(w) for w in words])
+            every, text = np.concatenate(words), np.repeat(np.arange(len(words)), [len(w) for w in words])
+            found: dict[int, list[dict]] = {}
+            for mask in masks:
+                h = _seeds(every, mask)
+                if not len(h):
+                    continue
+                at = np.flatnonzero(text[: len(h)] == text[len(mask) - 1 :])
+                for k in range(3):
+                    p = _positions(h[at], bits)[k] if k else (h[at] & U((1 << bits) - 1)).astype(np.int64)
+                    at = at[(on[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)]
+                for i, x in zip(at.tolist(), h[at].view(np.int64).tolist()):
+                    d = int(text[i])
+                    found.setdefault(d, []).append({"h": x, "at": i - int(ends[d]) + len(words[d])})
+            out.extend((row + d, ids[d], len(words[d]), words[d].tobytes(), hits) for d, hits in found.items())
+
+        def batch_of() -> pa.RecordBatch:
+            cols = list(zip(*out)) if out else [[]] * 5
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 3 + [pa.binary(), _HIT])], ["row", "doc_id", "n_words", "words", "hits"])
+
+        for b in batches:
+            ids, held, first, size = b.column(0).to_pylist(), [], 0, 0
+            for w in _words(b.column(1).to_pylist()):
                 held.append(w)
                 size += len(w)
                 if size > 200_000:
-                    flush()
+                    put(held, ids[first : first + len(held)], row + first)
                     first, held, size = first + len(held), [], 0
-            flush()
-            cols = list(zip(*out)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "doc_word", "item_word", "n_compared", "n_equal"])
+                    yield batch_of()
+            if held:
+                put(held, ids[first:], row + first)
+                yield batch_of()
+            row += len(ids)
 
     return run
 
 
+def stretch(text: np.ndarray, words: np.ndarray, at: int) -> tuple[int, int, int] | None:
+    """(first item word, words compared, words equal) of the best stretch of an item's words ``text`` against a document's
+    ``words``, of which word ``at`` stands at the item's first, if it is a leak."""
+    lo, hi = max(0, -at), min(len(text), len(words) - at)
+    if hi <= lo:
+        return None
+    same = text[lo:hi] == words[at + lo : at + hi]
+    n, least = int(same.sum()), _needed(len(text))
+    if n < least:
+        return None
+    if len(text) <= SHORT or n >= WEIGHT * (hi - lo - n):
+        return lo, hi - lo, n
+    # the stretch with the largest sum, in which a difference weighs as much as IDENTITY allows
+    c = np.concatenate([[0], np.cumsum(np.where(same, 1, -WEIGHT))])
+    least_before = np.minimum.accumulate(c)
+    end = int((c - least_before).argmax())
+    begin = int(c[: end + 1].argmin())
+    n = int(same[begin:end].sum())
+    if n < least:
+        # it is too short: of all stretches without a negative sum, the one with the most equal words; for each
+        # end that is the earliest begin whose sum is not above the end's
+        begins = np.searchsorted(-least_before, -c, "left")
+        equal = np.concatenate([[0], np.cumsum(same)])
+        end = int((equal - equal[begins]).argmax())
+        begin = int(begins[end])
+        n = int(equal[end] - equal[begin])
+    return (lo + begin, end - begin, n) if n >= least else None
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, doc_id, item, item_id, at, lo, the words from ``lo`` on, the item's words -> leaks, one for each alignment."""
+    for b in batches:
+        out = []
+        for i in range(b.num_rows):
+            at, lo = b.column(4)[i].as_py(), b.column(5)[i].as_py()
+            got = stretch(np.frombuffer(b.column(7)[i].as_py(), U), np.frombuffer(b.column(6)[i].as_py(), U), at - lo)
+            if got:
+                out.append((*(b.column(c)[i].as_py() for c in range(4)), at + got[0], *got))
+        cols = list(zip(*out)) if out else [[]] * 8
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["row", "doc_id", "item", "item_id", "doc_word", "item_word", "n_compared", "n_equal"])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs(doc_id, text)``, ``benchmark(item_id, text)`` -> one row per document and item whose passage it holds:
     ``doc_id, item_id, doc_word, item_word, n_compared, n_equal`` (word positions; the best stretch of the pair).
 
     Words are runs of letters and digits, lower-cased. A stretch is a leak if at least 13 of its words (or 80 % of a
-    shorter item) are equal in place and 80 % of those compared are. Null and empty texts hold nothing; an empty
-    benchmark or corpus gives no rows; repeated rows give repeated rows; extra columns are ignored.
+    shorter item) are equal in place and 80 % of those compared are; every leak is found. Null and empty texts hold
+    nothing; an empty benchmark or corpus gives no rows; repeated rows give repeated rows; an item_id with several texts
+    is as many items; rows without an id are left out; extra columns are ignored.
     """
-    docs = only(docs, "doc_id", "text")
-    items = only(benchmark, "item_id", "text").where("item_id is not null and text is not null").distinct()
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // BLOCK_CHARS))
-    found = None
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        index = Index([r.item_id for r in rows], [r.text for r in rows])
-        hits = docs.where("doc_id is not null").mapInArrow(_find(index), "doc_id long, item_id long, doc_word long, item_word long, n_compared long, n_equal long")
-        found = hits if found is None else found.unionByName(hits)
-    return found
+    docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
+    items = only(benchmark, "item_id", "text").withColumn("item_id", F.col("item_id").cast("long")).where("item_id is not null and text is not null")
+    items = staged(items.distinct().mapInArrow(_items, "item long, item_id long, n long, words binary").where("n > 0"), "items")
+    seeds = staged(items.select("item", "words").mapInArrow(_seeded, "h long, item long, at long"), "seeds")
+    lengths = [r.n for r in items.select(F.least("n", F.lit(SHORT + 1)).alias("n")).distinct().collect()]
+    masks = [*(MASKS if SHORT + 1 in lengths else ()), *(m for n in lengths if n <= SHORT for _, m in _short_masks(n))]
+    bits, filled = _filter(seeds)
+    sent = docs.sparkSession.sparkContext.broadcast(filled)
+    suspects = staged(docs.mapInArrow(_suspects(list(dict.fromkeys(masks)), bits, sent), SUSPECTS), "suspects")
+    hits = suspects.select("row", F.explode("hits").alias("x")).select("row", "x.h", F.col("x.at").alias("place"))
+    found = hits.join(maybe_broadcast(seeds, 32), "h").select("row", "item", (F.col("place") - F.col("at")).alias("at")).distinct()
+    size = items.agg(F.sum(F.length("words") + 100)).first()[0] or 0
+    found = found.join(F.broadcast(items) if size <= 32 << 20 else items, "item")
+    found = found.join(suspects.select("row", "doc_id", "n_words", F.col("words").alias("of")), "row")
+    lo, hi = F.greatest(F.col("at"), F.lit(0)), F.least(F.col("at") + F.col("n"), F.col("n_words"))
+    # only the words that the item lies over
+    over = F.expr("substring(of, cast(greatest(at, 0) * 8 + 1 as int), cast((least(at + n, n_words) - greatest(at, 0)) * 8 as int))")
+    found = found.where(hi > lo).select("row", "doc_id", "item", "item_id", "at", lo.alias("lo"), over.alias("over"), "words")
+    kind = "row long, doc_id long, item long, item_id long, doc_word long, item_word long, n_compared long, n_equal long"
+    best = F.max_by(F.struct("doc_word", "item_word", "n_compared", "n_equal"), F.struct("n_equal", -F.col("n_compared"), -F.col("doc_word"), -F.col("item_word"))).alias("x")
+    one = found.mapInArrow(_verified, kind).groupBy("row", "item").agg(F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"), best)
+    return one.select("doc_id", "item_id", "x.doc_word", "x.item_word", "x.n_compared", "x.n_equal")
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark passage (see :func:`leaks`); rows with a null doc_id stay."""
-    bad = staged(leaks(docs, benchmark).select(F.col("doc_id").alias("__leaking")).distinct(), "leaks")
-    return docs.join(maybe_broadcast(bad, 16), F.col("doc_id") == F.col("__leaking"), "left_anti")
+    """The rows of ``docs`` that hold no benchmark passage (see :func:`leaks`), all columns.
+
+    Rows with a null doc_id or without text stay; of an id with several texts all rows go if one of them leaks; an empty
+    benchmark drops nothing; extra columns of any name pass.
+    """
+    bad = staged(leaks(docs, benchmark).select("doc_id").distinct(), "leaks")
+    return without(docs, bad)

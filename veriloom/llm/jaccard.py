@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.base import maybe_broadcast, only, small, staged
+from veriloom.llm.base import maybe_broadcast, only, small, staged, without
 from veriloom.llm.components import components
 from veriloom.llm.textnum import U, mix, shingles, word_hashes
 
@@ -513,8 +513,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> Data
 def keep_one_per_group(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """The rows of ``docs`` but for those that another document of their component (the smallest doc_id) stands for.
 
-    Rows with a null doc_id or without words stay. Rows that repeat the smallest doc_id itself stay as they are.
+    Rows with a null doc_id or without words stay. Rows that repeat the smallest doc_id itself stay as they are; an empty
+    table stays empty; extra columns of any name pass.
     """
     found = jaccard_components(docs, k, threshold)
-    gone = staged(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(maybe_broadcast(gone, 16), F.col("doc_id") == F.col("__gone"), "left_anti")
+    return without(docs, staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone"))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.base import maybe_broadcast, only, staged
+from veriloom.llm.base import fresh, maybe_broadcast, only, staged
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -375,13 +375,15 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data masked in ``text`` (and ``n_chars``, if there, made right); no row is dropped.
 
-    Null texts stay null; other columns pass unchanged.
+    Null and empty texts stay; copies of a row are masked alike; an empty table stays empty; other columns, of any name,
+    pass unchanged.
     """
     scanned = scan(docs)
     more = discovered(scanned, patterns(scanned, docs, frequent_words(docs))).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("ids"))
-    more = staged(more.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("ids").alias("_ids")), "ids")
-    joined = docs.join(_sent(more, "_ids"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5(F.col("text").cast("binary")) == F.col("_hash")), "left").drop("_id", "_hash")
     names = docs.columns
+    of, digest, found = (fresh(docs, x) for x in ("id_of", "text_hash", "ids_found"))
+    more = staged(more.select(F.col("doc_id").alias(of), F.col("text_hash").alias(digest), F.col("ids").alias(found)), "ids")
+    joined = docs.join(_sent(more, found), F.col("`doc_id`").eqNullSafe(F.col(of)) & (F.md5(F.col("`text`").cast("binary")) == F.col(digest)), "left").drop(of, digest)
     at, ids = names.index("text"), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,14 +17,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.llm.base import fold, only, staged
 
-#: Bounds of the fitted model: labelled documents read for it, and words and beginnings kept in it.
+#: Bound of the fitted model: labelled documents read for it.
 MAX_LABELLED = 40_000
-MAX_TERMS = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (6, 4)
 PRIOR = 2.0
@@ -35,19 +35,19 @@ SIGNIFICANT = 0.05
 
 @dataclass
 class Model:
-    """Scores of words and of beginnings; any other word scores ``-drift``."""
+    """Scores of words and of beginnings, as broadcast tables; any other word scores ``-drift``."""
 
-    words: dict[str, float]
-    stems: tuple[dict[str, float], ...]
+    tables: Broadcast
     drift: float = DRIFT
     lam: float = 1.0
     k: float = 0.1
     weights: np.ndarray = field(default_factory=lambda: np.array([-2.0, 1.0, 0.0]))
 
     def word(self, w: str) -> float:
-        s = self.words.get(w)
+        words, stems = self.tables.value
+        s = words.get(w)
         if s is None:
-            for n, table in zip(STEMS, self.stems):
+            for n, table in zip(STEMS, stems):
                 if len(w) >= n and (s := table.get(w[:n])) is not None:
                     return s - self.drift
             return -self.drift
@@ -66,7 +66,7 @@ class Scores(dict):
         self.model = model
 
     def __missing__(self, w: str) -> float:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         s = self[w] = self.model.word(w)
         return s
@@ -147,10 +147,9 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0)
     rows = staged(labelled(only(docs, "doc_id", "text"), only(labels, "doc_id", "toxic"), modulus, held_out), "labelled")
     count = {r.toxic: r.n for r in rows.where("part > 0").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = count.get(0, 0), count.get(1, 0)
-    model = Model({}, tuple({} for _ in STEMS))
+    send = docs.sparkSession.sparkContext.broadcast
     if not n0 or not n1:
-        model.weights = np.array([-3.0 if not n1 else 3.0, 0.0, 0.0])
-        return model
+        return Model(send(({}, tuple({} for _ in STEMS))), weights=np.array([-3.0 if not n1 else 3.0, 0.0, 0.0]))
     seen = rows.where("part > 0").select("text", "toxic").mapInArrow(_counted, "w string, n0 long, n1 long, r0 long")
     # documents count as if there were as many of either label
     seen = seen.groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("r0").alias("r0"))
@@ -164,20 +163,18 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0)
             groups = seen.withColumn("g", stem).where("g is not null").withColumn("up", F.lit(0.5))
         else:
             groups = named.withColumn("g", stem).where("g is not null").withColumn("up", F.coalesce("mean", F.lit(0.5)))
-        groups = groups.groupBy("g").agg(((F.sum("c1") + 4 * F.first("up")) / (F.sum("c0") + F.sum("c1") + 4)).alias("share"), (F.sum("c0") + F.sum("c1")).alias("weight"))
+        groups = groups.groupBy("g").agg(((F.sum("c1") + 4 * F.first("up")) / (F.sum("c0") + F.sum("c1") + 4)).alias("share"))
         groups = staged(groups, "stems")
         odds = F.log(F.col("share") / (1 - F.col("share")))
-        top = groups.withColumn("s", odds).where(F.abs("s") > KEEP).orderBy(F.desc(F.abs("s") * F.sqrt("weight")), "g").limit(MAX_TERMS)
-        tables.append({r.g: r.s for r in top.select("g", "s").collect()})
+        tables.append({r.g: r.s for r in groups.select("g", odds.alias("s")).where(F.abs("s") > KEEP).collect()})
         parent = groups.select(F.col("g").alias("stem"), F.col("share"))
         named = named.drop("stem").join(parent, stem == F.col("stem"), "left")
         named = named.withColumn("mean", F.coalesce("share", "mean") if "mean" in named.columns else F.coalesce("share", F.lit(0.5))).drop("share", "stem")
     s = F.log((F.col("c1") + prior * F.col("mean")) / (F.col("c0") + prior * (1 - F.col("mean"))))
     named = staged(named.withColumn("s", s), "scores")
-    default = F.abs("s") > KEEP
-    top = named.where(default | (F.abs(F.col("mean") - 0.5) > 0.05)).where("n0 + n1 > 1").orderBy(F.desc(F.abs("s") * F.sqrt(F.col("c0") + F.col("c1"))), "w").limit(MAX_TERMS)
-    model.words = {r.w: r.s for r in top.select("w", "s").collect()}
-    model.stems = tuple(reversed(tables))
+    kept = named.where(((F.abs("s") > KEEP) | (F.abs(F.col("mean") - 0.5) > 0.05)) & (F.col("n0") + F.col("n1") > 1))
+    # words of bounded numbers of documents come to the driver, and go to each executor once
+    model = Model(send(({r.w: r.s for r in kept.select("w", "s").collect()}, tuple(reversed(tables)))))
     # the scores of running words of clean documents, in steps of a tenth, give lambda
     law = named.groupBy(F.round("s", 1).alias("s")).agg(F.sum("r0").alias("r")).where("r > 0").toPandas()
     x, p = law["s"].to_numpy() - model.drift, law["r"].to_numpy() / law["r"].sum()
