@@ -12,7 +12,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -117,57 +116,57 @@ class Packer:
 
 #: White space by Unicode, as the vocabulary's pre-tokenizer sees it. Of its tokens none goes on from other signs to
 #: white space, so a text may be encoded in parts that begin there.
-_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_WORD = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+_LONG = re.compile(f"(?<![{_WHITE}])[{_WHITE}]{{1000,}}[^{_WHITE}]*|(?<![^{_WHITE}])[^{_WHITE}]{{1000,}}")
 _EDGE = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}])")
 PART = 1 << 20
-KNOWN, LONGEST = 100_000, 40
 
 
 class Encoder:
-    """Ids of whole texts by ``tokenizers``; words met lately aren't encoded again."""
+    """Ids of whole texts, as ``tokenizers`` gives them with the vocabulary at ``path``.
+
+    Ordinary words are encoded by ``tiktoken`` from the same vocabulary, a third of the work; a word or a run of white
+    space of 1,000 signs or more, on which it backtracks, goes to ``tokenizers`` itself.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = self.tokenizer.get_added_tokens_decoder().values()
-        if any(t.single_word or t.lstrip or t.rstrip or re.search(f"[{_WHITE}]", t.content) for t in added):
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip or re.search(f"[{_WHITE}]", t.content) for t in added.values()):
             raise ValueError("added tokens must be words")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _part(self, text: str) -> bytes:
-        words = _WORD.findall(text)
-        known, older = self.known, self.older
-        new = []
-        for w in {w: None for w in words if w not in known}:
-            if w in older:
-                known[w] = older[w]
-            else:
-                new.append(w)
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = array("I", e.ids).tobytes()
-        raw = b"".join([known[w] for w in words])
-        for w in new:
-            if len(w) > LONGEST:
-                del known[w]
-        if len(known) > KNOWN:
-            self.known, self.older = {}, known
-        return raw
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = dict(zip(map(chr, plain), plain)) | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+        ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if i not in added}
+        self.fast = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={t.content: i for i, t in added.items()})
+
+    def _part(self, text: str) -> Iterator[np.ndarray]:
+        at = 0
+        for m in _LONG.finditer(text):
+            begin = m.start()
+            while begin > at and text[begin - 1] in _WHITE:  # the white space before a word goes with it
+                begin -= 1
+            if begin > at:
+                yield self.fast.encode_to_numpy(text[at:begin], allowed_special="all")
+            yield np.array(self.tokenizer.encode(text[begin : m.end()], add_special_tokens=False).ids, "<u4")
+            at = m.end()
+        if at < len(text):
+            yield self.fast.encode_to_numpy(text[at:], allowed_special="all")
 
     def encode(self, text: str) -> np.ndarray:
-        parts, at = [], 0
+        parts, at = [np.zeros(0, "<u4")], 0
         while len(text) - at > PART:
             edge = _EDGE.search(text, at + PART)
             if not edge:
                 break
-            parts.append(self._part(text[at : edge.start()]))
+            parts += self._part(text[at : edge.start()])
             at = edge.start()
-        parts.append(self._part(text[at:]))
-        return np.frombuffer(b"".join(parts), "<u4")
+        parts += self._part(text[at:])
+        return np.concatenate(parts)
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:

@@ -15,7 +15,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 #: Separators of words: white space only, or everything but ASCII letters, digits and bytes above 127.
 SPACE = np.zeros(256, bool)

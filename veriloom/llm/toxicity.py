@@ -66,7 +66,7 @@ class Scores(dict):
         self.model = model
 
     def __missing__(self, w: str) -> float:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         s = self[w] = self.model.word(w)
         return s
