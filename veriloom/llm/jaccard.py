@@ -10,9 +10,10 @@ share at least one of each other's first ``n - ceil(t*n) + 1`` shingles in any c
 with frequent shingles last, so a passage that many documents share doesn't bring unrelated documents together. That only
 deals classes to buckets, one per shared shingle, and buckets of the same classes are kept once. Within a bucket the
 R-trees find the candidates. What candidates connect is walked like a graph, and connected classes leave the trees, so a
-bucket of m classes gives at most m - 1 pairs to verify. If all of them hold, no other pair of the bucket can change a
-component; a bucket where one fails is searched again for every pair between the components that there are by then. So
-no link between different texts that matters to a component is lost, and n close copies cost about n verifications.
+bucket of m classes gives at most m - 1 pairs to verify. Where all of them hold, no other pair of the bucket can change a
+component. Where one fails, everything that candidates connect is searched once more, as one set, for every pair between
+the components that there are by then. So no link between different texts that matters to a component is lost, and n
+close copies cost about n verifications.
 
 A bucket whose points take more than ``TILE_BYTES`` (a hub) is first linked to its smallest document, a step linear in
 its size; if it still holds several components, it is searched in pairs of tiles.
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.base import maybe_broadcast, only, small, staged, without
+from veriloom.llm.base import maybe_broadcast, only, staged, without
 from veriloom.llm.components import components
 from veriloom.llm.textnum import U, mix, shingles, word_hashes
 
@@ -287,22 +288,22 @@ class _Leaves:
     """Buckets of at most ``LEAF`` documents each: trees of one leaf, all searched at once."""
 
     def __init__(self) -> None:
-        self.keys: list[int] = []
+        self.number = 0
         self.bucket: list[int] = []
         self.doc: list[int] = []
         self.comp: list[int] = []
         self.points: list[np.ndarray] = []
         self.bytes = 0
 
-    def add(self, key: int, table: pa.Table) -> None:
-        self.bucket.extend([len(self.keys)] * table.num_rows)
-        self.keys.append(key)
+    def add(self, table: pa.Table) -> None:
+        self.bucket.extend([self.number] * table.num_rows)
+        self.number += 1
         self.doc.extend(table.column("doc").to_pylist())
         self.comp.extend(table.column("comp").to_pylist())
         self.points.extend(map(_unpacked, table.column("counts").to_pylist()))
         self.bytes += sum(p.nbytes for p in self.points[-table.num_rows :])
 
-    def pairs(self, t: int, every: bool) -> list[tuple[int, int, int]]:
+    def pairs(self, t: int, every: bool) -> list[tuple[int, int]]:
         bucket, comp = np.array(self.bucket), np.array(self.comp)
         size = np.array([p.sum(dtype=np.int64) for p in self.points])
         width = np.array([len(p) for p in self.points])
@@ -335,36 +336,36 @@ class _Leaves:
                 if p == q:
                     continue
                 low_of[max(p, q)] = min(p, q)
-            out.append((self.keys[k], min(self.doc[x], self.doc[y]), max(self.doc[x], self.doc[y])))
+            out.append((min(self.doc[x], self.doc[y]), max(self.doc[x], self.doc[y])))
         return out
 
 
 def _searched(t: int, every: bool):
     """Rows (key, ta, tb, doc, comp, counts), sorted by the first three: pairs of different components within each
-    (key, ta, tb) whose bound reaches the threshold (see :func:`spanning`), with the key. One such group, of at most two
-    tiles, is held at a time."""
+    (key, ta, tb) whose bound reaches the threshold (see :func:`spanning`). One such group, of at most two tiles, is held
+    at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         leaves = _Leaves()
 
-        def made(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-            cols = list(zip(*rows)) if rows else [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["key", "a", "b"])
+        def made(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+            distinct = list(dict.fromkeys(rows))
+            cols = list(zip(*distinct)) if distinct else [[]] * 2
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
         def done(last: bool = False) -> Iterator[pa.RecordBatch]:
             nonlocal leaves
             if held:
                 group = pa.Table.from_batches(held)
                 held.clear()
-                key = group.column("key")[0].as_py()
                 if group.num_rows > LEAF:
                     ids, comp = group.column("doc").to_pylist(), group.column("comp").to_numpy()
                     forest = Forest([_unpacked(x.as_py()) for x in group.column("counts")])
-                    yield made([(key, min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in spanning(forest, comp, t, every)])
+                    yield made([(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in spanning(forest, comp, t, every)])
                 elif group.num_rows > 1:
-                    leaves.add(key, group)
-            if leaves.keys and (last or leaves.bytes > TILE_BYTES):
+                    leaves.add(group)
+            if leaves.number and (last or leaves.bytes > TILE_BYTES):
                 yield made(leaves.pairs(t, every))
                 leaves = _Leaves()
 
@@ -465,9 +466,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> Data
     buckets = staged(buckets.groupBy("x1", "x2", "m", "low").agg(F.min("key").alias("key"), F.max("bytes").alias("bytes")), "buckets")
     counts = usable.select("doc", "counts")
 
-    def search(keys: DataFrame, comp: DataFrame | None, every: bool) -> DataFrame:
-        """(key, a, b), distinct, of the buckets of ``keys(key, bytes)``."""
-        inside = met.join(maybe_broadcast(keys.select("key", "bytes"), 24), "key").select("key", "doc", "bytes")
+    def search(inside: DataFrame, comp: DataFrame | None, every: bool) -> DataFrame:
+        """(a, b), distinct, within the keys of ``inside(key, doc, bytes)``, whose points take ``bytes`` together."""
         if comp is None:
             inside = inside.withColumn("comp", F.col("doc"))
         else:
@@ -477,33 +477,33 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> Data
         inside = inside.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)"))).where("tiles = 1 or tile <> other")
         work = inside.join(counts, "doc").select("key", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "doc", "comp", "counts")
         work = work.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb", "doc")
-        return staged(work.mapInArrow(_searched(threshold, every), "key long, a long, b long").distinct(), "found")
+        return staged(work.mapInArrow(_searched(threshold, every), "a long, b long").distinct(), "found")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return staged(_check(staged(pairs.select("a", "b").distinct(), "pairs"), docs, k, threshold), "links")
+        return staged(_check(pairs, docs, k, threshold), "links")
 
     links, comp = None, None
     hubs = buckets.where(F.col("bytes") > TILE_BYTES).select("key", "bytes", "low")
     todo = buckets.select("key", "bytes")
     if not hubs.isEmpty():
-        of = met.join(F.broadcast(hubs) if small(hubs, 32) else hubs, "key")
-        links = verified(of.where("doc <> low").select(F.col("low").alias("a"), F.col("doc").alias("b")))
+        of = met.join(maybe_broadcast(hubs, 32), "key")
+        links = verified(staged(of.where("doc <> low").select(F.col("low").alias("a"), F.col("doc").alias("b")).distinct(), "star"))
         comp = staged(components(links), "components")
         of = of.join(comp, of.doc == comp.node, "left").groupBy("key").agg(F.count_distinct(F.coalesce("component", "doc")).alias("parts"))
         todo = staged(todo.join(of.where("parts = 1"), "key", "left_anti"), "todo")
-    found = search(todo, comp, every=False)
+    found = search(met.join(maybe_broadcast(todo, 24), "key").select("key", "doc", "bytes"), comp, every=False)
     holding = verified(found)
     links = holding if links is None else links.unionByName(holding)
     comp = staged(components(links), "components")
-    # a pair that fails parts nothing if its documents are connected in another way
-    apart = found.join(holding, ["a", "b"], "left_anti")
-    for side in "ab":
-        of_side = comp.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-        apart = apart.join(maybe_broadcast(of_side, 24), side, "left")
-    apart = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("key").distinct()
-    failed = staged(apart.join(todo, "key"), "failed")
-    if not failed.isEmpty():
-        more = verified(search(failed, comp, every=True).join(found, ["a", "b"], "left_anti"))
+    if not found.join(holding, ["a", "b"], "left_anti").isEmpty():
+        # What candidates connect, whether they hold or not: every link lies within such a set. Where one fell into
+        # several components, all pairs between those are tried, each once.
+        wide = components(links.select("a", "b").unionByName(found)).select(F.col("node").alias("doc"), F.col("component").alias("key"))
+        parts = wide.join(comp, wide.doc == comp.node, "left").join(usable.select("doc", F.col("n").alias("size")).dropDuplicates(["doc"]), "doc")
+        parts = parts.groupBy("key").agg(F.count_distinct(F.coalesce("component", "doc")).alias("parts"), F.sum(F.greatest(F.lit(GROUPS), F.expr("size div 4"))).alias("bytes"))
+        parts = staged(parts.where("parts > 1").select("key", "bytes"), "parts")
+        more = search(wide.join(maybe_broadcast(parts, 24), "key").select("key", "doc", "bytes"), comp, every=True)
+        more = verified(staged(more.join(found, ["a", "b"], "left_anti"), "rest"))
         comp = staged(components(links.unionByName(more)), "components")
 
     named = known.withColumn("rep", F.coalesce("rep", "doc_id")).join(maybe_broadcast(comp, 24), F.col("rep") == F.col("node"), "left")
