@@ -14,7 +14,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -93,6 +93,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 _PIECE = re.compile(r"\w+|[^\w\s]")
 _KEY = re.compile(rf"[A-Za-z0-9]{{{KEY_LENGTH},}}")
 _INNER = re.compile(r"[a-z0-9][A-Z]|[A-Za-z0-9][_+/@.-][A-Za-z0-9]")
+_MARK = re.compile(r"[0-9A-Z_+/@.-]")
+_PLAIN = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+_WORD_CHARS = _LOCAL - frozenset("._%+-")
+_TOKEN_CHARS = _WORD_CHARS | frozenset("_+/.@-")
 LEFT, RIGHT = 3, 2
 
 
@@ -147,25 +151,42 @@ def is_key(value: str) -> bool:
     return False
 
 
-def _runs(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
-    """All tokens, without closing punctuation, that overlap no span of a fixed form."""
+def _free(tokens: Iterable[tuple[int, int]], spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """Of ascending tokens those that overlap no span of a fixed form."""
     taken = sorted((b, e) for _, b, e in spans)
     k, last = 0, 0  # spans of several kinds may overlap, so the furthest end counts
-    for m in _TOKEN.finditer(text):
-        begin = m.start()
-        end = begin + len(m[0].rstrip(".@/+-"))
+    for begin, end in tokens:
         while k < len(taken) and taken[k][0] < end:
             last = max(last, taken[k][1])
             k += 1
-        if end > begin and last <= begin:
+        if last <= begin:
             yield begin, end
 
 
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    """All tokens, without closing punctuation."""
+    for m in _TOKEN.finditer(text):
+        end = m.start() + len(m[0].rstrip(".@/+-"))
+        if end > m.start():
+            yield m.start(), end
+
+
+def _marked(text: str) -> Iterator[tuple[int, int]]:
+    """The tokens with a digit, or with a sign or capital inside, found from those outwards."""
+    last = 0
+    for m in _MARK.finditer(text):
+        begin = m.start()
+        # a capital counts after a small letter or digit, a sign between letters or digits
+        if begin >= last and (m[0].isdigit() or begin > last and text[begin - 1] in (_PLAIN if m[0].isalpha() else _WORD_CHARS) and (m[0].isalpha() or text[begin + 1 : begin + 2] in _WORD_CHARS)):
+            while begin > last and text[begin - 1] in _TOKEN_CHARS:
+                begin -= 1
+            last = _TOKEN.match(text, begin).end()
+            yield begin, begin + len(text[begin:last].rstrip(".@/+-"))
+
+
 def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
     """Tokens of an identifier's shape that overlap no span of a fixed form."""
-    if not (_DIGIT.search(text) or _INNER.search(text)):
-        return []
-    return [(b, e) for b, e in _runs(text, spans) if e - b >= LEAST_LENGTH and _shaped(text[b:e])]
+    return [(b, e) for b, e in _free(_marked(text), spans) if e - b >= LEAST_LENGTH and _shaped(text[b:e])]
 
 
 def _spans(text: str) -> list[tuple[str, int, int]]:
@@ -202,6 +223,10 @@ def scan(docs: DataFrame) -> DataFrame:
     return staged(docs.mapInArrow(_scan, SCANNED), "spans")
 
 
+def _lower(text: str) -> str:
+    return _DIGIT.sub("9", text.lower()) if _DIGIT.search(text) else text.lower()
+
+
 def _elsewhere(text: str) -> set[str]:
     """The words and signs of a text that don't only stand beside its spans, as in patterns."""
     parts, at = [], 0
@@ -210,7 +235,7 @@ def _elsewhere(text: str) -> set[str]:
         parts.append(text[at : left[-1] if left else begin])
         at = max(at, right[-1] if right else end)
     parts.append(text[at:])
-    return set(_PIECE.findall(_DIGIT.sub("9", "\n".join(parts).lower())))
+    return set(_PIECE.findall(_lower("\n".join(parts))))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,20 +269,27 @@ def _pattern_words(pattern: str) -> list[str]:
 def _ordinary(wanted: frozenset[str] | None, frequent: frozenset[str]):
     """(pattern, hash of an ordinary token that it stands beside), for the ``wanted`` patterns, or for all but those of
     frequent words."""
-    marks = None if wanted is None else {w for p in wanted for w in _pattern_words(p) if w not in frequent}
+    # an occurrence of a pattern holds its longest word that isn't frequent
+    marks = None if wanted is None else {max((w for w in _pattern_words(p) if w not in frequent), key=len, default="") for p in wanted}
+
+    def near_any(text: str) -> bool:
+        if marks is None:
+            return True
+        low = _lower(text)
+        return any(m in low for m in marks) if len(marks) <= 32 else not marks.isdisjoint(_PIECE.findall(low))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: set[tuple[str, int]] = set()
             for x in b.column(0):
                 text = x.as_py() or ""
+                if not near_any(text):
+                    continue
                 pieces = [(m.start(), m.end()) for m in _PIECE.finditer(text)]
                 low = [_DIGIT.sub("9", text[s:e].lower()) for s, e in pieces]
                 near = [i for i, w in enumerate(low) if (w in marks if marks is not None else w not in frequent)]
-                if not near:
-                    continue
                 starts = [s for s, _ in pieces]
-                for s, e in _runs(text, base_spans(text)):
+                for s, e in _free(_tokens(text), base_spans(text)) if near else ():
                     i, j = bisect_left(starts, s), bisect_left(starts, e)
                     k = bisect_left(near, i - LEFT)
                     if k == len(near) or near[k] >= j + RIGHT or _shaped(text[s:e]):
