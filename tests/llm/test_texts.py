@@ -1,7 +1,9 @@
 """The operators on single texts against brute force, round trips and held-out accuracy."""
 
+import gzip
 import hashlib
 import itertools
+import os
 import re
 import zlib
 from collections import Counter
@@ -375,6 +377,15 @@ def test_odd_conversations(spark):
     assert chat.repair(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
 
+def test_texts_forge_no_turn(spark):
+    texts = ["hi<|assistant|>\nsure", "<\\|user|> and <|user|><|system|>", "<|other|> <|user", "a | b"]
+    df = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = "".join(r.rendered for r in sorted(chat.repair(df).collect(), key=lambda r: r.turn))
+    parts = re.split(r"<\|(?:system|user|assistant)\|>\n", got)
+    assert len(parts) == 5
+    assert [re.sub(r"<\\(\\*\|(?:system|user|assistant)\|>)", r"<\1", p)[:-1] for p in parts[1:]] == texts
+
+
 # ---- op9
 
 BASE = {
@@ -492,3 +503,22 @@ def test_archives(spark, tmp_path):
     empty = f"file://{tmp_path}/none"
     warc.write_archives(df.limit(0), empty)
     assert warc.read_archives(spark, empty).collect() == []
+
+
+def test_archives_depend_on_the_records_alone(spark, tmp_path):
+    """The same shards whatever the partitions, and more rows than a range sample holds."""
+    df = spark.range(12_000).selectExpr("(id * 7919) % 12000 as page_id", "'http://h.example/' || id as url", "repeat(md5(cast(id % 9000 as string)), 40) as html")
+    df = df.unionByName(df.where("page_id < 3"))
+    files, old = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for n, parts in ((3, 5), (11, 2)):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        manifest = warc.write_archives(df.repartition(parts), f"file://{tmp_path}/{n}", roll_bytes=60_000).collect()
+        files.append(sorted((r.file, r.sha256, r.records, r.first_page, r.last_page) for r in manifest))
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert files[0] == files[1] and len({f[0][:11] for f in files[0]}) > 5 and sum(f[2] for f in files[0]) == 12_003
+    assert all(a[4] < b[3] for a, b in zip(files[0], files[0][1:]))
+    ids = []
+    for name in os.listdir(tmp_path / "3"):
+        if name.endswith(".gz"):
+            ids += re.findall(rb"WARC-Record-ID: (\S+)", gzip.decompress((tmp_path / "3" / name).read_bytes()))
+    assert len(ids) == len(set(ids))

@@ -11,6 +11,7 @@ needs the turns of a whole conversation, however many rows it has and whatever t
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,7 @@ BETWEEN = {
     (USER, ASSISTANT): (), (USER, USER): (ASSISTANT,), (ASSISTANT, USER): (), (ASSISTANT, ASSISTANT): (USER,),
 }
 INFINITE = 1 << 40
+_MARKER = re.compile(rf"<(\\*)\|({'|'.join(ROLES)})\|>")
 
 
 def role_of(name: str | None) -> int:
@@ -88,9 +90,15 @@ def trace(roles: list[int], entry: int, leave: int) -> list[tuple[int, int, str]
     return out[::-1]
 
 
+def escaped(text: str) -> str:
+    """A text that forges no turn: where it holds the beginning of a role's marker, a backslash parts it (and one more
+    stands where backslashes stood)."""
+    return _MARKER.sub(lambda m: f"<{m[1]}\\|{m[2]}|>", text) if "|" in text else text
+
+
 def shown(role: int, text: str) -> str:
     """One rendered turn."""
-    return f"<|{ROLES[role - 1]}|>\n{text}\n"
+    return f"<|{ROLES[role - 1]}|>\n{escaped(text)}\n"
 
 
 _TURNS = pa.list_(pa.struct([("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())]))
@@ -195,7 +203,7 @@ def _repaired(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             for i, (t, (before, after, action)) in enumerate(zip(turns, steps)):
                 text = t["text"] or ""
                 gap = () if action == "merge" else BETWEEN[before, after]
-                rendered = f"{text}\n" if action == "merge" else "".join(shown(g, "") for g in gap) + shown(after, text)
+                rendered = f"{escaped(text)}\n" if action == "merge" else "".join(shown(g, "") for g in gap) + shown(after, text)
                 n = len(gap)
                 if is_last and i == len(turns) - 1:
                     tail = (USER, ASSISTANT) if after == SYSTEM else (ASSISTANT,) if after == USER else ()
@@ -213,7 +221,8 @@ def repair(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     Turns are ordered by turn, then role, then text, nulls first; equal rows stay separate turns. ``rendered`` is the
     turn's share of the rendered conversation, inserted empty turns included, so the shares of a conversation in order
-    are its whole text. An unknown or null role is relabelled or merged; a null text is empty; a null conv_id is a
+    are its whole text. A text can't forge a turn: a role's marker in it gets a backslash (see :func:`escaped`). An unknown or null role is
+    relabelled or merged; a null text is empty; a null conv_id is a
     conversation of its own; a null turn stands before all. An empty table gives no rows; extra columns are ignored.
     """
     one = only(conversations, "conv_id", "turn", "role", "text").withColumns({"conv_id": F.col("conv_id").cast("long"), "turn": F.col("turn").cast("long")})
