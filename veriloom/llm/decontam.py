@@ -17,7 +17,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.base import maybe_broadcast, only, staged, without
+from veriloom.llm.base import maybe_broadcast, only, staged, tidy, without
 from veriloom.llm.textnum import PUNCT, U, mix, word_hashes
 
 #: Fixed masks; 1 is a compared word, 0 an ignored one. Every stretch of 13 equal words or more of which 80 % are equal
@@ -74,6 +74,7 @@ def _positions(h: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([x & U((1 << bits) - 1) for x in (h, h >> U(32), mix(h ^ U(0x5851F42D4C957F2D)))]).astype(np.int64)
 
 
+@tidy
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """item_id, text -> item (a number of its own), item_id, n, words."""
     item = TaskContext.get().partitionId() << 36
@@ -84,6 +85,7 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), b.column(0), pa.array(map(len, words), pa.int64()), pa.array([w.tobytes() for w in words], pa.binary())], ["item", "item_id", "n", "words"])
 
 
+@tidy
 def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """item, words -> h, item, at: the seeds of an item and where their first word stands in it."""
     for b in batches:
@@ -174,7 +176,7 @@ def _suspects(masks: list[str], bits: int, sent: Broadcast):
                 yield batch_of()
             row += len(ids)
 
-    return run
+    return tidy(run)
 
 
 def stretch(text: np.ndarray, words: np.ndarray, at: int) -> tuple[int, int, int] | None:
@@ -206,6 +208,7 @@ def stretch(text: np.ndarray, words: np.ndarray, at: int) -> tuple[int, int, int
     return (lo + begin, end - begin, n) if n >= least else None
 
 
+@tidy
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """row, doc_id, item, item_id, at, lo, the words from ``lo`` on, the item's words -> leaks, one for each alignment."""
     for b in batches:

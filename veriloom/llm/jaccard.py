@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.base import maybe_broadcast, only, staged, without
+from veriloom.llm.base import maybe_broadcast, only, staged, tidy, without
 from veriloom.llm.components import components
 from veriloom.llm.textnum import U, mix, shingles, word_hashes
 
@@ -92,12 +92,12 @@ def _frequent(k: int):
             for words in word_hashes(batch.column(0).to_pylist()):
                 held.append(shingles(words, k))
                 size += len(held[-1])
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield counted()
                     held, size = [], 0
         yield counted()
 
-    return run
+    return tidy(run)
 
 
 def _points(k: int, t: int, hot: np.ndarray):
@@ -133,7 +133,7 @@ def _points(k: int, t: int, hot: np.ndarray):
                 ["row", "doc_id", "n", "h1", "h2", "counts", "first"],
             )
 
-    return run
+    return tidy(run)
 
 
 def _verified(k: int, t: int):
@@ -163,7 +163,7 @@ def _verified(k: int, t: int):
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return run
+    return tidy(run)
 
 
 class Tree:
@@ -382,7 +382,7 @@ def _searched(t: int, every: bool):
                 held.append(batch.slice(lo, hi - lo))
         yield from done(last=True)
 
-    return run
+    return tidy(run)
 
 
 def _sparse(k: int):
@@ -393,7 +393,7 @@ def _sparse(k: int):
             made = [np.sort((mix(shingles(w, k) ^ U(0xA0761D6478BD642F)) >> U(48)).astype("<u2")).tobytes() for w in word_hashes(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "g"])
 
-    return run
+    return tidy(run)
 
 
 def _close(t: int):
@@ -410,7 +410,7 @@ def _close(t: int):
             keep = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return run
+    return tidy(run)
 
 
 def _check(pairs: DataFrame, docs: DataFrame, k: int, t: int) -> DataFrame:

@@ -9,6 +9,8 @@ shuffled, and a lost task packs the same sequences again.
 
 from __future__ import annotations
 
+import functools
+import json
 import os
 import re
 import zlib
@@ -21,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veriloom.llm.base import tidy
+
 LENGTH = 1024
 SEGMENTS = 256
 POOL = 256
@@ -130,19 +134,27 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        added = self.tokenizer.get_added_tokens_decoder()
-        if any(t.single_word or t.lstrip or t.rstrip or re.search(f"[{_WHITE}]", t.content) for t in added.values()):
+        with open(path, encoding="utf-8") as f:
+            read = json.load(f)
+        added = read["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or re.search(f"[{_WHITE}]", t["content"]) for t in added):
             raise ValueError("added tokens must be words")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = dict(zip(map(chr, plain), plain)) | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
-        ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if i not in added}
-        self.fast = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={t.content: i for i, t in added.items()})
+        special = {t["content"]: t["id"] for t in added}
+        ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in read["model"]["vocab"].items() if t not in special}
+        self.fast = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.path = path
+
+    @functools.cached_property
+    def tokenizer(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def _part(self, text: str) -> Iterator[np.ndarray]:
         at = 0
@@ -214,7 +226,7 @@ def _pack(path: str, limits: tuple[int, int, int], with_ids: bool):
         put(packer.rest())
         yield batch_of()
 
-    return run
+    return tidy(run)
 
 
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, segments: int = SEGMENTS, loss_tokens: int = LENGTH, with_ids: bool = False, prompt: str | None = None) -> DataFrame:

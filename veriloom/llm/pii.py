@@ -12,16 +12,16 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.base import fresh, maybe_broadcast, only, staged
+from veriloom.llm.base import fresh, maybe_broadcast, only, staged, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -203,6 +203,7 @@ def _hash(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+@tidy
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 36
     for b in batches:
@@ -238,6 +239,7 @@ def _elsewhere(text: str) -> set[str]:
     return set(_PIECE.findall(_lower("\n".join(parts))))
 
 
+@tidy
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n: Counter[str] = Counter()
 
@@ -272,34 +274,42 @@ def _ordinary(wanted: frozenset[str] | None, frequent: frozenset[str]):
     # an occurrence of a pattern holds its longest word that isn't frequent
     marks = None if wanted is None else {max((w for w in _pattern_words(p) if w not in frequent), key=len, default="") for p in wanted}
 
-    def near_any(text: str) -> bool:
-        if marks is None:
-            return True
+    def near(text: str) -> Iterable[tuple[int, int]]:
+        """Tokens of a text; where marks are known, those around them at least."""
         low = _lower(text)
-        return any(m in low for m in marks) if len(marks) <= 32 else not marks.isdisjoint(_PIECE.findall(low))
+        if marks is None or len(low) != len(text):
+            return _tokens(text)
+        here = {m for m in marks if m in low} if len(marks) <= 32 else marks.intersection(_PIECE.findall(low))
+        out = set()
+        for m in here:
+            at = low.find(m)
+            while at >= 0:
+                end = at + len(m)
+                if not (m[0].isalnum() and (low[max(0, at - 1) : at].isalnum() or low[end : end + 1].isalnum())):
+                    before = _before(text, at)[1]
+                    lo = before[-1] if before else at
+                    while lo > 0 and text[lo - 1] in _TOKEN_CHARS:
+                        lo -= 1
+                    hi = next(islice((p.end() for p in _PIECE.finditer(text, end)), LEFT, None), len(text))
+                    hi = _TOKEN.match(text, hi - 1).end() if text[hi - 1] in _TOKEN_CHARS else hi
+                    out.update((t.start(), t.start() + len(t[0].rstrip(".@/+-"))) for t in _TOKEN.finditer(text, lo, hi))
+                at = low.find(m, end)
+        return sorted(t for t in out if t[1] > t[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: set[tuple[str, int]] = set()
             for x in b.column(0):
                 text = x.as_py() or ""
-                if not near_any(text):
-                    continue
-                pieces = [(m.start(), m.end()) for m in _PIECE.finditer(text)]
-                low = [_DIGIT.sub("9", text[s:e].lower()) for s, e in pieces]
-                near = [i for i, w in enumerate(low) if (w in marks if marks is not None else w not in frequent)]
-                starts = [s for s, _ in pieces]
-                for s, e in _free(_tokens(text), base_spans(text)) if near else ():
-                    i, j = bisect_left(starts, s), bisect_left(starts, e)
-                    k = bisect_left(near, i - LEFT)
-                    if k == len(near) or near[k] >= j + RIGHT or _shaped(text[s:e]):
-                        continue
-                    value = _hash(text[s:e].lower())
-                    found.update((p, value) for p in _contexts(text, s, e) if (p in wanted if wanted is not None else not frequent.issuperset(_pattern_words(p))))
+                tokens = near(text)
+                for s, e in _free(tokens, base_spans(text)) if tokens else ():
+                    if not _shaped(text[s:e]):
+                        value = _hash(text[s:e].lower())
+                        found.update((p, value) for p in _contexts(text, s, e) if (p in wanted if wanted is not None else not frequent.issuperset(_pattern_words(p))))
             cols = list(zip(*found)) if found else [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64())], ["pattern", "value"])
 
-    return run
+    return tidy(run)
 
 
 def ordinary(docs: DataFrame, wanted: DataFrame, frequent: list[str]) -> DataFrame:
@@ -428,7 +438,7 @@ def redact(docs: DataFrame) -> DataFrame:
             columns = [pa.array(new, b.column(at).type) if i == at else b.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    out = joined.mapInArrow(run, docs.schema)
+    out = joined.mapInArrow(tidy(run), docs.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out

@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.base import fold, only, staged
+from veriloom.llm.base import fold, only, staged, tidy
 
 #: Bound of the fitted model: labelled documents read for it.
 MAX_LABELLED = 40_000
@@ -107,6 +107,7 @@ def _features(model: Model, segments: list[tuple[int, int, float]], n: int) -> t
     return float(np.clip(bits.max(), 0, 30)), float(np.log1p(real.sum())), len(real)
 
 
+@tidy
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (text, toxic) -> (word, documents by label, occurrences in the others)."""
     by = Counter(), Counter()
@@ -224,7 +225,7 @@ def _best(model: Model):
             got = [(n, max((s for *_, s in seg), default=0.0)) for n, seg in _scanned(model, b.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.float64()), b.column(1)], ["n", "best", "toxic"])
 
-    return run
+    return tidy(run)
 
 
 def _trained(model: Model):
@@ -233,7 +234,7 @@ def _trained(model: Model):
             got = [_features(model, seg, n) for n, seg in _scanned(model, b.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.float64()), b.column(1)], ["f1", "f2", "toxic"])
 
-    return run
+    return tidy(run)
 
 
 def _scored(model: Model):
@@ -249,7 +250,7 @@ def _scored(model: Model):
             kind = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(passages, kind)], ["doc_id", "score", "predicted", "passages"])
 
-    return run
+    return tidy(run)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0) -> DataFrame:
