@@ -9,7 +9,7 @@ Spark joins hits with seeds, and each alignment found is verified over the words
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.llm.base import maybe_broadcast, only, staged, tidy, without
-from veriloom.llm.textnum import PUNCT, U, mix, word_hashes
+from veriloom.llm.textnum import PUNCT, U, mix, strings, word_hashes
 
 #: Fixed masks; 1 is a compared word, 0 an ignored one. Every stretch of 13 equal words or more of which 80 % are equal
 #: holds a window in which one of the masks compares equal words only (a test proves it).
@@ -65,8 +65,8 @@ def _short_masks(n: int) -> list[tuple[int, str]]:
     return out
 
 
-def _words(texts: list[str | None]) -> Iterator[np.ndarray]:
-    return word_hashes([(x or "").lower() for x in texts], PUNCT, lower=False)
+def _words(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    return word_hashes(((x or "").lower() for x in texts), PUNCT, lower=False)
 
 
 def _positions(h: np.ndarray, bits: int) -> np.ndarray:
@@ -79,7 +79,7 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """item_id, text -> item (a number of its own), item_id, n, words."""
     item = TaskContext.get().partitionId() << 36
     for b in batches:
-        words = list(_words(b.column(1).to_pylist()))
+        words = list(_words(strings(b.column(1))))
         numbers = range(item, item + len(words))
         item += len(words)
         yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), b.column(0), pa.array(map(len, words), pa.int64()), pa.array([w.tobytes() for w in words], pa.binary())], ["item", "item_id", "n", "words"])
@@ -164,7 +164,7 @@ def _suspects(masks: list[str], bits: int, sent: Broadcast):
 
         for b in batches:
             ids, held, first, size = b.column(0).to_pylist(), [], 0, 0
-            for w in _words(b.column(1).to_pylist()):
+            for w in _words(strings(b.column(1))):
                 held.append(w)
                 size += len(w)
                 if size > 200_000:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from veriloom.llm.base import maybe_broadcast, only, staged, tidy, without
 from veriloom.llm.components import components
-from veriloom.llm.textnum import U, mix, shingles, word_hashes
+from veriloom.llm.textnum import U, mix, shingles, strings, word_hashes
 
 GROUPS = 128
 TILE_BYTES = 4 << 20
@@ -89,7 +89,7 @@ def _frequent(k: int):
             return pa.RecordBatch.from_arrays([pa.array(h[at][keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["h", "n"])
 
         for batch in batches:
-            for words in word_hashes(batch.column(0).to_pylist()):
+            for words in word_hashes(strings(batch.column(0))):
                 held.append(shingles(words, k))
                 size += len(held[-1])
                 if size > 1_000_000:
@@ -107,7 +107,7 @@ def _points(k: int, t: int, hot: np.ndarray):
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             ids, n, h1, h2, counts, first = batch.column(0), [], [], [], [], []
-            for words in word_hashes(batch.column(1).to_pylist()):
+            for words in word_hashes(strings(batch.column(1))):
                 s = shingles(words, k)
                 m = mix(s ^ U(0xA0761D6478BD642F))
                 with np.errstate(over="ignore"):
@@ -390,7 +390,7 @@ def _sparse(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [np.sort((mix(shingles(w, k) ^ U(0xA0761D6478BD642F)) >> U(48)).astype("<u2")).tobytes() for w in word_hashes(batch.column(1).to_pylist())]
+            made = [np.sort((mix(shingles(w, k) ^ U(0xA0761D6478BD642F)) >> U(48)).astype("<u2")).tobytes() for w in word_hashes(strings(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "g"])
 
     return tidy(run)

@@ -6,7 +6,7 @@ mixed; equal words have equal hashes wherever they stand. Shingle hashes combine
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -74,7 +74,13 @@ def _pieces(raw: bytes, separator: np.ndarray) -> Iterator[bytes]:
     yield raw[at:]
 
 
-def word_hashes(texts: list[str | None], separator: np.ndarray = SPACE, lower: bool = True) -> Iterator[np.ndarray]:
+def strings(column) -> Iterator[str | None]:
+    """The values of an Arrow column one after another, so that no second copy of a whole batch is held."""
+    for value in column:
+        yield value.as_py()
+
+
+def word_hashes(texts: Iterable[str | None], separator: np.ndarray = SPACE, lower: bool = True) -> Iterator[np.ndarray]:
     """The word hashes of each text, in order; a null text has none."""
     group: list[bytes] = []
     size = 0
