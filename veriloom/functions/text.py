@@ -19,6 +19,7 @@ METRIC = [
     r"\d[\d,]*\+?[\s-]?(?:participants?|customers?|clients?|users?|people|learners?|students?|employees?|experts?)\b",
 ]
 
+# Names of months.
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
 

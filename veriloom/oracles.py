@@ -165,9 +165,9 @@ CTE: dict[str, str] = {
         SELECT job_id, person_id, unnest(list_distinct(list_concat([group_key, title], projects, roles))) AS name, experience_id, CASE class WHEN 'professional' THEN 1 WHEN 'independent' THEN 2 ELSE 3 END AS step, first_rank AS place, group_key
           FROM (SELECT * EXCLUDE (projects), CASE WHEN class = 'independent' THEN [] ELSE projects END AS projects, []::VARCHAR[] AS roles FROM xp)
         UNION ALL SELECT job_id, person_id, unnest(list_distinct(list_concat([organization], titles))), experience_id, 4, 0, group_key FROM zr UNION ALL SELECT job_id, person_id, title, experience_id, 5, 0, group_key FROM zp) WHERE name <> '') GROUP BY ALL""",
-    "located": """SELECT a.job_id, e.*, coalesce(r1.experience_id, r2.experience_id, r3.experience_id, CASE WHEN e.source_type = 'Education' THEN r4.experience_id END) AS experience FROM app a JOIN ev e USING (person_id)
-        LEFT JOIN reg r1 ON r1.job_id = a.job_id AND r1.person_id = a.person_id AND r1.name = e.project LEFT JOIN reg r2 ON r2.job_id = a.job_id AND r2.person_id = a.person_id AND r2.name = e.role
-        LEFT JOIN reg r3 ON r3.job_id = a.job_id AND r3.person_id = a.person_id AND r3.name = e.education LEFT JOIN reg r4 ON r4.job_id = a.job_id AND r4.person_id = a.person_id AND r4.name = e.source""",
+    "regs": "SELECT job_id, person_id, map_from_entries(list((name, experience_id))) AS m FROM reg GROUP BY ALL",
+    "located": """SELECT a.job_id, e.*, coalesce(map_extract(m, e.project)[1], map_extract(m, e.role)[1], map_extract(m, e.education)[1], CASE WHEN e.source_type = 'Education' THEN map_extract(m, e.source)[1] END) AS experience
+        FROM app a JOIN ev e USING (person_id) LEFT JOIN regs r ON r.job_id = a.job_id AND r.person_id = a.person_id""",
     "routed": """SELECT *, CASE WHEN home IS NOT NULL THEN 'education' WHEN professional_context THEN 'experience' WHEN substantial THEN 'project' END AS section FROM (
         SELECT p.*, (n_achievements > 0 OR len(list_filter(direct_skills, lambda x: NOT list_contains(coalesce(languages, []), x))) > 0) AS substantial FROM parts p LEFT JOIN langs USING (job_id, person_id))""",
     "bul": """SELECT * EXCLUDE (fb), CASE WHEN n_achievements > 0 THEN list_transform(achs[1:4], lambda a: a || ' [' || a || ']') WHEN fb IS NOT NULL THEN [fb || ' [story:' || label || ']'] ELSE [] END AS bullets FROM (
@@ -321,7 +321,7 @@ ORACLES: dict[str, str] = {
     "f15_curriculum": "SELECT DISTINCT institution, name FROM edges JOIN project ON project_id = src_key JOIN education ON education_id = dst_key WHERE edges.type = 'PART_OF'",
     "f16_order": f"""SELECT {JPX}, experience_id, title, experience_type, score, row_number() OVER (PARTITION BY {JPX} ORDER BY score DESC, CASE WHEN experience_type = 'professional' THEN 0 ELSE 1 END, CASE class WHEN 'professional' THEN 1 WHEN 'independent' THEN 2 ELSE 3 END, first_rank) AS place FROM x""",
     "f17_registry": "SELECT * FROM reg",
-    "f18_requirement_summary": f"SELECT s.job_id, s.person_id, seq, bucket AS literal_status, source, source_type, relationship, project, experience, evidence_strength FROM status s JOIN located l USING (job_id, person_id, canonical_skill)",
+    "f18_requirement_summary": f"SELECT s.job_id, s.person_id, seq, raw, importance, match_type, bucket AS literal_status, source, source_type, relationship, project, experience, evidence_strength FROM status s LEFT JOIN located l USING (job_id, person_id, canonical_skill)",
     "f19_transferable_list": f"""WITH f AS (SELECT job_id, person_id, canonical_skill AS capability_skill, first(experience ORDER BY {SIX}) AS experience, first(evidence_strength ORDER BY {SIX}) AS evidence_strength FROM located GROUP BY ALL)
         SELECT {JPX}, seq, raw, bucket AS literal_status, CASE bucket WHEN 'gap' THEN 1 WHEN 'partial' THEN 2 WHEN 'matched' THEN 3 ELSE 0 END AS status_order, place, coalesce(capability_skill, capability_query) AS capability, experience, evidence_strength, reason
         FROM status JOIN trans USING (job_id, seq) LEFT JOIN f USING (job_id, person_id, capability_skill)""",

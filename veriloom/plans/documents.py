@@ -10,7 +10,11 @@ from veriloom.plans.package import JP, education_home, languages_of
 from veriloom.sources.graph import Graph
 
 MAX_BULLETS = 4
+# The texts of a profile.
 HEADLINE = "Software Engineer"
+ENGINEER_USING = "Software engineer with hands-on experience building full-stack applications and AI-assisted tooling using "
+ENGINEER = "Software engineer with hands-on, project-based engineering experience."
+GAINED, WORK, PROJECTS = "Experience gained through ", "professional engineering work", "independent full-stack projects"
 BULLETS = "array<struct<text:string,evidence_ids:array<string>>>"
 # Phrases that must not reach a rendered text.
 BANNED = ["Note on role alignment", "Skills used:", "Evidence-backed match", "no evidence found", "match-confidence", "matchConfidence"]
@@ -95,10 +99,10 @@ def profiles(r: DataFrame, skills: DataFrame, applications: DataFrame) -> DataFr
     """``job_id, person_id, headline, profile`` composed of the sections that are there."""
     has = r.groupBy(*JP).agg(F.bool_or(F.coalesce(F.col("section") == "experience", F.lit(False))).alias("e"), F.bool_or(F.coalesce(F.col("section") == "project", F.lit(False))).alias("p"))
     one = applications.join(has, JP, "left").join(prominent_tech(r, skills), JP, "left")
-    first = F.when(F.col("tech_text").isNotNull(), F.concat(F.lit("Software engineer with hands-on experience building full-stack applications and AI-assisted tooling using "), F.col("tech_text"), F.lit(".")))
-    first = F.coalesce(first, F.lit("Software engineer with hands-on, project-based engineering experience."))
-    bits = F.concat_ws(", ", F.when(F.col("e"), "professional engineering work"), F.when(F.col("p"), "independent full-stack projects"))
-    second = F.when(F.col("e") | F.col("p"), F.concat(F.lit("Experience gained through "), bits, F.lit(".")))
+    first = F.when(F.col("tech_text").isNotNull(), F.concat(F.lit(ENGINEER_USING), F.col("tech_text"), F.lit(".")))
+    first = F.coalesce(first, F.lit(ENGINEER))
+    bits = F.concat_ws(", ", F.when(F.col("e"), WORK), F.when(F.col("p"), PROJECTS))
+    second = F.when(F.col("e") | F.col("p"), F.concat(F.lit(GAINED), bits, F.lit(".")))
     return one.select(*JP, F.lit(HEADLINE).alias("headline"), F.concat_ws(" ", first, second).alias("profile"))
 
 

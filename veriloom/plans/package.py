@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veriloom.functions import text as X
@@ -11,6 +11,7 @@ from veriloom.sources.graph import Graph
 JP = ["job_id", "person_id"]
 WEIGHTS = {"strong": 3, "moderate": 2, "weak": 1}
 INCLUDE_FROM = 5.0
+# Texts of the result rows.
 NO_EVIDENCE = "No matched evidence found for the current job description."
 REASONS = {
     "language": "Only language-skill evidence found -- relevant only if the role values that language.",
@@ -178,11 +179,13 @@ def registry(x: DataFrame, zr: DataFrame, zp: DataFrame) -> DataFrame:
 
 
 def located(ev: DataFrame, reg: DataFrame) -> DataFrame:
-    """Evidence rows (with job and person) with the ``experience`` of their project, else role, else education, else source."""
-    for c in ("project", "role", "education", "source"):
-        ev = ev.join(reg.select(*JP, F.col("name").alias(c), F.col("experience_id").alias(f"by_{c}")), [*JP, c], "left")
-    found = F.coalesce("by_project", "by_role", "by_education", F.when(F.col("source_type") == "Education", F.col("by_source")))
-    return ev.withColumn("experience", found).drop("by_project", "by_role", "by_education", "by_source")
+    """Evidence rows (with job and person) with the ``experience`` of their project, else role, else education, else source.
+
+    The registry goes along as one map of names per job and person, which is as small as that person's career."""
+    names = reg.groupBy(*JP).agg(F.map_from_entries(F.collect_list(F.struct("name", "experience_id"))).alias("by_name"))
+    of = {c: F.try_element_at("by_name", F.coalesce(c, F.lit(""))) for c in ("project", "role", "education", "source")}
+    found = F.coalesce(of["project"], of["role"], of["education"], F.when(F.col("source_type") == "Education", of["source"]))
+    return ev.join(names, JP, "left").withColumn("experience", found).drop("by_name")
 
 
 def transferable_list(trans: DataFrame, status: DataFrame, ev: DataFrame, reg: DataFrame, applications: DataFrame) -> DataFrame:
@@ -210,14 +213,18 @@ def languages(s: DataFrame, skills: DataFrame) -> DataFrame:
     return one.select(*JP, "name", "display_name", F.lit(None).cast("string").alias("proficiency"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"))
 
 
-def themes(status: DataFrame, skills: DataFrame, rules: list[tuple[list[str], str]] = X.THEMES) -> DataFrame:
-    """The five themes with the largest overlap per job and person; ties in rule order."""
-    spark = status.sparkSession
-    # a fixed list of rules, a few rows by construction
-    rows = spark.createDataFrame([(n, i, theme) for i, (names, theme) in enumerate(rules) for n in names], "name string, rule int, theme string")
+def theme_rules(spark: SparkSession) -> DataFrame:
+    """The fixed rules as rows ``name, rule, theme``, a few by construction."""
+    return spark.createDataFrame([(n, i, theme) for i, (names, theme) in enumerate(X.THEMES) for n in names], "name string, rule int, theme string")
+
+
+def themes(status: DataFrame, skills: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """The five themes with the largest overlap per job and person; ties in rule order. ``rules(name, rule, theme)`` are
+    rows, so a vocabulary of any size is joined, never collected."""
+    rows = theme_rules(status.sparkSession) if rules is None else rules
     literal = status.where("bucket in ('matched', 'partial') and canonical_skill is not null").select(*JP, F.col("canonical_skill").alias("name"))
     names = literal.unionByName(skills.where("category <> 'language'").select(*JP, "name")).distinct()
-    found = names.join(F.broadcast(rows), "name").groupBy(*JP, "rule", "theme").agg(F.count("*").alias("overlap"))
+    found = names.join(rows, "name").groupBy(*JP, "rule", "theme").agg(F.count("*").alias("overlap"))
     place = F.row_number().over(Window.partitionBy(*JP).orderBy(F.desc("overlap"), "rule"))
     return found.withColumn("place", place).where("place <= 5").select(*JP, "place", "theme", "overlap")
 

@@ -583,7 +583,7 @@ def _(t):
     counts = E.summary(t.status, t.trans)
     top = t.stories.groupBy(*JP).agg(F.sort_array(F.collect_list(F.struct("rank", "label", "evidence_strength"))).alias("stories"))
     skills = t.skills.groupBy(*JP).agg(F.array_sort(F.collect_list("name")).alias("skills"))
-    doc = counts.join(top, JP, "left").join(skills, JP, "left").withColumn("guidance", F.array(*map(F.lit, S.GUIDANCE)))
+    doc = counts.join(top, JP, "left").join(skills, JP, "left")
     return doc.select(*JP, F.to_json(F.struct(*[c for c in doc.columns if c not in JP])).alias("context"))
 
 
@@ -672,8 +672,9 @@ def _(t):
 @query("f18_requirement_summary")
 def _(t):
     ev = P.located(t.app.join(t.ev, "person_id"), t.reg)
-    one = t.status.select(*JP, "seq", "canonical_skill", "bucket").join(ev, [*JP, "canonical_skill"])
-    return one.select(*JP, "seq", F.col("bucket").alias("literal_status"), "source", "source_type", "relationship", "project", "experience", "evidence_strength")
+    # requirements without evidence stay: a gap is part of the summary
+    one = t.status.select(*JP, "seq", "raw", "importance", "canonical_skill", "match_type", "bucket").join(ev, [*JP, "canonical_skill"], "left")
+    return one.select(*JP, "seq", "raw", "importance", "match_type", F.col("bucket").alias("literal_status"), "source", "source_type", "relationship", "project", "experience", "evidence_strength")
 
 
 @query("f19_transferable_list")
@@ -694,8 +695,9 @@ def _(t):
 @query("f22_themes")
 def _(t):
     nouns = ["ring", "bolt", "plate", "rod", "gear", "gizmo", "anvil", "widget"]
-    names = [r.name for r in t.g.skill.select("name").orderBy("name").collect()]
-    return P.themes(t.status, t.skills, [([n for n in names if n.endswith(x)], f"theme {x}") for x in nouns])
+    rules = t.spark.createDataFrame([(i, x, f"theme {x}") for i, x in enumerate(nouns)], "rule int, noun string, theme string")
+    named = t.g.skill.select("name").distinct().join(F.broadcast(rules), F.expr("endswith(name, noun)")).select("name", "rule", "theme")
+    return P.themes(t.status, t.skills, named)
 
 
 @query("f23_provenance")
