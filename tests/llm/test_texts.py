@@ -83,6 +83,18 @@ def test_deep_pages():
     assert Page("<div>" * 5000 + "x").main_text(set(), set()) == "x"
 
 
+def test_broken_markup_takes_linear_time():
+    import time
+
+    for part in ('<div class="x', "<a ", "<![CDATA[ <b>", "<!", "</", "<p", "<!-- ", "<script>", "<a b='"):
+        for end in ("", ">", "<p>end</p>"):
+            began = time.process_time()
+            Page(part * (1_000_000 // len(part)) + end).main_text(set(), set())
+            assert time.process_time() - began < 10, (part, end)
+    assert Page("<p>a<![CDATA[ <b> ]]>c<![CDATA[ d</p>e <!-- f").main_text(set(), set()) == "a <b> c e"
+    assert Page("<p>a</p><!-- b <i>").main_text(set(), set()) == "a"
+
+
 # ---- op2
 
 

@@ -26,11 +26,11 @@ from veriloom.llm.base import only, staged
 TEMPLATE = (10, 0.3)
 TEMPLATE_IN_ARTICLE = (20, 0.5)
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
+_PLAIN_TAG = (
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
 )
+_TAG, _TAG_OR_DATA = (re.compile(x, re.S) for x in (_PLAIN_TAG, rf"<!\[CDATA\[.*?\]\]>|{_PLAIN_TAG}"))
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
 
 # HTML element names by their part in the layout.
@@ -82,13 +82,17 @@ class Page:
         self._stack, self._open = [0], {}
         at = 0
         text = source
-        for m in iter(lambda: _TAG.search(text, at), None):
+        # nothing closes after these, so no opening one is looked at beyond: broken markup takes linear time
+        stop, data = source.rfind(">") + 1, source.rfind("]]>")
+        for m in iter(lambda: (_TAG_OR_DATA if at < data else _TAG).search(text, at, stop), None):
             if m.start() > at:
                 self._text(text[at : m.start()])
             at = m.end()
             name = (m[2] or m[5] or "").lower()
             if not name:
-                if m[0].startswith("<![CDATA["):
+                if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                    at = len(text)
+                if m[0].startswith("<![CDATA[") and m[0].endswith("]]>"):
                     self._text(m[0][9:-3], plain=True)
                 continue
             if m[1] or m[4]:
@@ -100,8 +104,9 @@ class Page:
                 end = close.start() if close else len(text)
                 self._text(text[at:end])
                 at = end
-        if at < len(text):
-            self._text(text[at:])
+        rest = text[at:].partition("<!--")[0]
+        if rest:
+            self._text(rest)
         while len(self._stack) > 1:
             self._pop()
 
