@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,7 +81,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(maybe_broadcast(ids.select(F.col("doc_id").alias(name)), 16), F.col("`doc_id`") == F.col(name), "left_anti")
 
 
-def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+def _tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """``task``, and then free memory goes back to the system: a Python worker serves many tasks, and what one of them
     left in its heap would count against the next."""
 
@@ -95,3 +96,20 @@ def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
                 trim(0)
 
     return run
+
+
+#: The setting that bounds Arrow batches by bytes, and its value where a session has none.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
+
+
+def in_arrow(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow(task, schema)`` in batches bounded by bytes, for use with ``df.transform``.
+
+    Spark bounds them by rows alone, and 10,000 long texts, or pairs of texts, stand several times in the memory of an
+    executor: as buffers of the JVM that double while they grow, and again in the Python worker. A bound that the session
+    has set already stays.
+    """
+    key, size = BATCH_BYTES
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(size))
+    return df.mapInArrow(_tidy(task), schema)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.base import only, staged
+from veriloom.llm.base import in_arrow, only, staged
 
 CHUNK = 256
 ROLES = ("system", "user", "assistant")
@@ -228,15 +228,15 @@ def repair(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     one = only(conversations, "conv_id", "turn", "role", "text").withColumns({"conv_id": F.col("conv_id").cast("long"), "turn": F.col("turn").cast("long")})
     order = ("conv_id", "turn", "role", "text", "_id")  # the last one parts equal rows
     one = one.withColumn("_id", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("_id")
-    pieces = staged(one.mapInArrow(_cut(chunk), PIECES), "chunks")
+    pieces = staged(one.transform(in_arrow, _cut(chunk), PIECES), "chunks")
     offsets = _offsets(pieces)
     more = F.broadcast(one.sparkSession.createDataFrame(offsets, "part long, before long"))
     turns = pieces.join(more, "part", "left")
     # a piece's number is that of its first row in the conversation
     turns = turns.withColumn("chunk", F.col("local") + F.when(F.col("nth") == 0, F.coalesce("before", F.lit(0))).otherwise(0)).select("conv_id", "chunk", "turns")
-    tables = turns.mapInArrow(_tables, "conv_id long, chunk long, costs array<long>")
+    tables = turns.transform(in_arrow, _tables, "conv_id long, chunk long, costs array<long>")
     whole = tables.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "costs"))).alias("chunks"))
-    ways = whole.mapInArrow(_ways, "conv_id long, chunk long, entry long, leave long, cost long, is_last boolean")
+    ways = whole.transform(in_arrow, _ways, "conv_id long, chunk long, entry long, leave long, cost long, is_last boolean")
     ways = ways.withColumnsRenamed({"conv_id": "_conv", "chunk": "_chunk"})
     both = turns.join(ways, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("chunk") == F.col("_chunk")))
-    return both.select("conv_id", "chunk", "turns", "entry", "leave", "cost", "is_last").mapInArrow(lambda batches: _repaired(batches, chunk), REPAIRED)
+    return both.select("conv_id", "chunk", "turns", "entry", "leave", "cost", "is_last").transform(in_arrow, lambda batches: _repaired(batches, chunk), REPAIRED)

@@ -17,7 +17,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.base import maybe_broadcast, only, staged, tidy, without
+from veriloom.llm.base import in_arrow, maybe_broadcast, only, staged, without
 from veriloom.llm.textnum import PUNCT, U, mix, strings, word_hashes
 
 #: Fixed masks; 1 is a compared word, 0 an ignored one. Every stretch of 13 equal words or more of which 80 % are equal
@@ -74,7 +74,6 @@ def _positions(h: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([x & U((1 << bits) - 1) for x in (h, h >> U(32), mix(h ^ U(0x5851F42D4C957F2D)))]).astype(np.int64)
 
 
-@tidy
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """item_id, text -> item (a number of its own), item_id, n, words."""
     item = TaskContext.get().partitionId() << 36
@@ -85,7 +84,6 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), b.column(0), pa.array(map(len, words), pa.int64()), pa.array([w.tobytes() for w in words], pa.binary())], ["item", "item_id", "n", "words"])
 
 
-@tidy
 def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """item, words -> h, item, at: the seeds of an item and where their first word stands in it."""
     for b in batches:
@@ -119,11 +117,11 @@ def _filter(seeds: DataFrame) -> tuple[int, bytes]:
                 out.append(np.packbits(part, bitorder="little").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["slice", "part"])
 
-    placed_bits = seeds.select("h").mapInArrow(placed, "bit long").distinct()
+    placed_bits = seeds.select("h").transform(in_arrow, placed, "bit long").distinct()
     slices = placed_bits.groupBy(F.shiftright("bit", SLICE).alias("slice")).agg(F.collect_list(F.col("bit") % (1 << SLICE)).alias("on"))
     whole = bytearray(1 << bits - 3)
     size = 1 << SLICE - 3
-    for r in slices.mapInArrow(sliced, "slice long, part binary").collect():
+    for r in slices.transform(in_arrow, sliced, "slice long, part binary").collect():
         whole[r.slice * size : (r.slice + 1) * size] = r.part
     return bits, bytes(whole)
 
@@ -176,7 +174,7 @@ def _suspects(masks: list[str], bits: int, sent: Broadcast):
                 yield batch_of()
             row += len(ids)
 
-    return tidy(run)
+    return run
 
 
 def stretch(text: np.ndarray, words: np.ndarray, at: int) -> tuple[int, int, int] | None:
@@ -208,7 +206,6 @@ def stretch(text: np.ndarray, words: np.ndarray, at: int) -> tuple[int, int, int
     return (lo + begin, end - begin, n) if n >= least else None
 
 
-@tidy
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """row, doc_id, item, item_id, at, lo, the words from ``lo`` on, the item's words -> leaks, one for each alignment."""
     for b in batches:
@@ -233,13 +230,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
     items = only(benchmark, "item_id", "text").withColumn("item_id", F.col("item_id").cast("long")).where("item_id is not null and text is not null")
-    items = staged(items.distinct().mapInArrow(_items, "item long, item_id long, n long, words binary").where("n > 0"), "items")
-    seeds = staged(items.select("item", "words").mapInArrow(_seeded, "h long, item long, at long"), "seeds")
+    items = staged(items.distinct().transform(in_arrow, _items, "item long, item_id long, n long, words binary").where("n > 0"), "items")
+    seeds = staged(items.select("item", "words").transform(in_arrow, _seeded, "h long, item long, at long"), "seeds")
     lengths = [r.n for r in items.select(F.least("n", F.lit(SHORT + 1)).alias("n")).distinct().collect()]
     masks = [*(MASKS if SHORT + 1 in lengths else ()), *(m for n in lengths if n <= SHORT for _, m in _short_masks(n))]
     bits, filled = _filter(seeds)
     sent = docs.sparkSession.sparkContext.broadcast(filled)
-    suspects = staged(docs.mapInArrow(_suspects(list(dict.fromkeys(masks)), bits, sent), SUSPECTS), "suspects")
+    suspects = staged(docs.transform(in_arrow, _suspects(list(dict.fromkeys(masks)), bits, sent), SUSPECTS), "suspects")
     hits = suspects.select("row", F.explode("hits").alias("x")).select("row", "x.h", F.col("x.at").alias("place"))
     found = hits.join(maybe_broadcast(seeds, 32), "h").select("row", "item", (F.col("place") - F.col("at")).alias("at")).distinct()
     size = items.agg(F.sum(F.length("words") + 100)).first()[0] or 0
@@ -251,7 +248,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = found.where(hi > lo).select("row", "doc_id", "item", "item_id", "at", lo.alias("lo"), over.alias("over"), "words")
     kind = "row long, doc_id long, item long, item_id long, doc_word long, item_word long, n_compared long, n_equal long"
     best = F.max_by(F.struct("doc_word", "item_word", "n_compared", "n_equal"), F.struct("n_equal", -F.col("n_compared"), -F.col("doc_word"), -F.col("item_word"))).alias("x")
-    one = found.mapInArrow(_verified, kind).groupBy("row", "item").agg(F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"), best)
+    one = found.transform(in_arrow, _verified, kind).groupBy("row", "item").agg(F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"), best)
     return one.select("doc_id", "item_id", "x.doc_word", "x.item_word", "x.n_compared", "x.n_equal")
 
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.base import only, staged
+from veriloom.llm.base import in_arrow, only, staged
 
 #: A subtree is a template's if so many distinct pages, and such a share of the host's, hold it; the second pair holds
 #: inside an article.
@@ -250,7 +250,7 @@ def templates(pages: DataFrame) -> DataFrame:
     """``host, template, in_article``: the recurring subtree hashes of each host that has some. Copies of a page count
     once. A host's list is bounded by its mean number of subtrees a page over the least share."""
     distinct = pages.where("html is not null").select("host", "html", F.xxhash64("html").alias("content"))
-    seen = distinct.mapInArrow(_hashed, "host string, h long, content long").distinct()
+    seen = distinct.transform(in_arrow, _hashed, "host string, h long, content long").distinct()
     size = distinct.groupBy("host").agg(F.count_distinct("content").alias("pages"))
     counted = seen.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= TEMPLATE[0]).join(size, "host")
     (_, share), (least, most) = TEMPLATE, TEMPLATE_IN_ARTICLE
@@ -286,4 +286,4 @@ def main_text(pages: DataFrame) -> DataFrame:
     # sent to every task only when its measured size is small; else joined by host, where Spark splits large hosts
     found = F.broadcast(found) if size <= 32 << 20 else found
     joined = one.join(found, "host", "left").select("page_id", "url", "host", "html", "template", "in_article")
-    return joined.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    return joined.transform(in_arrow, _extracted, "page_id long, url string, text string, n_chars long")

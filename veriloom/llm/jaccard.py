@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.base import maybe_broadcast, only, staged, tidy, without
+from veriloom.llm.base import in_arrow, maybe_broadcast, only, staged, without
 from veriloom.llm.components import components
 from veriloom.llm.textnum import U, mix, shingles, strings, word_hashes
 
@@ -97,7 +97,7 @@ def _frequent(k: int):
                     held, size = [], 0
         yield counted()
 
-    return tidy(run)
+    return run
 
 
 def _points(k: int, t: int, hot: np.ndarray):
@@ -133,7 +133,7 @@ def _points(k: int, t: int, hot: np.ndarray):
                 ["row", "doc_id", "n", "h1", "h2", "counts", "first"],
             )
 
-    return tidy(run)
+    return run
 
 
 def _verified(k: int, t: int):
@@ -163,7 +163,7 @@ def _verified(k: int, t: int):
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return tidy(run)
+    return run
 
 
 class Tree:
@@ -382,7 +382,7 @@ def _searched(t: int, every: bool):
                 held.append(batch.slice(lo, hi - lo))
         yield from done(last=True)
 
-    return tidy(run)
+    return run
 
 
 def _sparse(k: int):
@@ -393,7 +393,7 @@ def _sparse(k: int):
             made = [np.sort((mix(shingles(w, k) ^ U(0xA0761D6478BD642F)) >> U(48)).astype("<u2")).tobytes() for w in word_hashes(strings(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "g"])
 
-    return tidy(run)
+    return run
 
 
 def _close(t: int):
@@ -410,7 +410,7 @@ def _close(t: int):
             keep = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return tidy(run)
+    return run
 
 
 def _check(pairs: DataFrame, docs: DataFrame, k: int, t: int) -> DataFrame:
@@ -426,9 +426,9 @@ def _check(pairs: DataFrame, docs: DataFrame, k: int, t: int) -> DataFrame:
         named = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "named")
         return docs.join(maybe_broadcast(named, 16), "doc_id", "left_semi")
 
-    fine = staged(texts(pairs).mapInArrow(_sparse(k), "doc_id long, g binary").distinct(), "sparse")
-    near = staged(joined(pairs, fine, "g").mapInArrow(_close(t), "a long, b long").distinct(), "near")
-    return joined(near, texts(near).distinct(), "text").mapInArrow(_verified(k, t), "a long, b long").distinct()
+    fine = staged(texts(pairs).transform(in_arrow, _sparse(k), "doc_id long, g binary").distinct(), "sparse")
+    near = staged(joined(pairs, fine, "g").transform(in_arrow, _close(t), "a long, b long").distinct(), "near")
+    return joined(near, texts(near).distinct(), "text").transform(in_arrow, _verified(k, t), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
@@ -443,13 +443,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> Data
     if not 1 <= threshold <= 100:
         raise ValueError("the threshold is a percentage")
     docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    seen = docs.select("text").mapInArrow(_frequent(k), "h long, n long")
+    seen = docs.select("text").transform(in_arrow, _frequent(k), "h long, n long")
     hot = seen.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
     # The list only orders shingles (any order gives the same links), so its size may be bounded: 8 MB.
     rows = hot.orderBy(F.desc("n"), "h").limit(HOT_KEPT).select("h").toPandas()["h"].to_numpy(np.int64)
 
     schema = "row long, doc_id long, n long, h1 long, h2 long, counts binary, first array<long>"
-    points = staged(docs.mapInArrow(_points(k, threshold, np.sort(rows.view(U))), schema), "points")
+    points = staged(docs.transform(in_arrow, _points(k, threshold, np.sort(rows.view(U))), schema), "points")
     real = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     copies = points.where(real).groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "row")).alias("x"), F.count("*").alias("c")).where("c > 1")
     copies = maybe_broadcast(staged(copies.select(F.col("n").alias("cn"), F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.col("x.doc_id").alias("rep"), F.col("x.row").alias("of")), "copies"), 48)
@@ -477,7 +477,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> Data
         inside = inside.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)"))).where("tiles = 1 or tile <> other")
         work = inside.join(counts, "doc").select("key", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "doc", "comp", "counts")
         work = work.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb", "doc")
-        return staged(work.mapInArrow(_searched(threshold, every), "a long, b long").distinct(), "found")
+        return staged(work.transform(in_arrow, _searched(threshold, every), "a long, b long").distinct(), "found")
 
     def verified(pairs: DataFrame) -> DataFrame:
         return staged(_check(pairs, docs, k, threshold), "links")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.base import tidy
+from veriloom.llm.base import in_arrow
 
 LENGTH = 1024
 SEGMENTS = 256
@@ -226,7 +226,7 @@ def _pack(path: str, limits: tuple[int, int, int], with_ids: bool):
         put(packer.rest())
         yield batch_of()
 
-    return tidy(run)
+    return run
 
 
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, segments: int = SEGMENTS, loss_tokens: int = LENGTH, with_ids: bool = False, prompt: str | None = None) -> DataFrame:
@@ -244,4 +244,4 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, segment
         raise ValueError("limits must leave room for one id")
     silent = F.col(f"`{prompt}`") if prompt else F.lit(None)
     docs = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").alias("text"), silent.cast("long").alias("prompt"))
-    return docs.mapInArrow(_pack(path or vocabulary(), (length, segments, loss_tokens), with_ids), COLUMNS + ", ids binary" * with_ids)
+    return docs.transform(in_arrow, _pack(path or vocabulary(), (length, segments, loss_tokens), with_ids), COLUMNS + ", ids binary" * with_ids)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.base import fresh, maybe_broadcast, only, staged, tidy
+from veriloom.llm.base import fresh, in_arrow, maybe_broadcast, only, staged
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -35,6 +35,8 @@ UNKNOWN = 0.25
 KEY_LENGTH, KEY_EACH = 20, 4
 #: A word is frequent if such a share of the texts has it elsewhere than before a seed or candidate.
 FREQUENT = 0.05
+#: Words that a task counts before it hands them on.
+COUNTED = 1 << 17
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -203,7 +205,6 @@ def _hash(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-@tidy
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 36
     for b in batches:
@@ -221,7 +222,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(docs: DataFrame) -> DataFrame:
     """Spans of fixed forms and candidate tokens of every row, staged once."""
     docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return staged(docs.mapInArrow(_scan, SCANNED), "spans")
+    return staged(docs.transform(in_arrow, _scan, SCANNED), "spans")
 
 
 def _lower(text: str) -> str:
@@ -239,7 +240,6 @@ def _elsewhere(text: str) -> set[str]:
     return set(_PIECE.findall(_lower("\n".join(parts))))
 
 
-@tidy
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n: Counter[str] = Counter()
 
@@ -251,7 +251,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for x in b.column(0):
             n.update(_elsewhere(x.as_py() or ""))
-            if len(n) > 1 << 19:
+            if len(n) > COUNTED:
                 yield put()
     yield put()
 
@@ -260,7 +260,7 @@ def frequent_words(docs: DataFrame, share: float = FREQUENT) -> list[str]:
     """Words and signs that at least ``share`` of the texts have elsewhere than beside spans: at most the mean number of
     words of a text over ``share``."""
     least = max(1.0, share * docs.where("text is not null").count())
-    counted = only(docs, "text").mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = only(docs, "text").transform(in_arrow, _counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return sorted(r.word for r in counted.where(F.col("n") >= least).select("word").collect())
 
 
@@ -309,7 +309,7 @@ def _ordinary(wanted: frozenset[str] | None, frequent: frozenset[str]):
             cols = list(zip(*found)) if found else [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64())], ["pattern", "value"])
 
-    return tidy(run)
+    return run
 
 
 def ordinary(docs: DataFrame, wanted: DataFrame, frequent: list[str]) -> DataFrame:
@@ -320,7 +320,7 @@ def ordinary(docs: DataFrame, wanted: DataFrame, frequent: list[str]) -> DataFra
     size = wanted.agg(F.sum(F.octet_length("pattern") + 100)).first()[0] or 0
     few = size <= 4 << 20
     listed = frozenset(r.pattern for r in wanted.collect()) if few else None
-    seen = texts.mapInArrow(_ordinary(listed, frozenset(frequent)), "pattern string, value long")
+    seen = texts.transform(in_arrow, _ordinary(listed, frozenset(frequent)), "pattern string, value long")
     if not few:
         seen = seen.join(wanted, "pattern", "left_semi")
     return seen.groupBy("pattern").agg(F.approx_count_distinct("value", 0.02).alias("ordinary"))
@@ -438,7 +438,7 @@ def redact(docs: DataFrame) -> DataFrame:
             columns = [pa.array(new, b.column(at).type) if i == at else b.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    out = joined.mapInArrow(tidy(run), docs.schema)
+    out = joined.transform(in_arrow, run, docs.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.base import fold, only, staged
+from veriloom.llm.base import fold, in_arrow, only, staged
 
 #: Bounds of the fitted model.
 MAX_LABELLED = 20_000
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2,
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * limit / n))
     # at most about ``limit`` rows of 12 bytes, so sending them to every task is bounded
     rows = only(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "quality")
-    rows = staged(rows.mapInArrow(_featured, "x array<double>, quality int"), "features").orderBy("x", "quality").toPandas()
+    rows = staged(rows.transform(in_arrow, _featured, "x array<double>, quality int"), "features").orderBy("x", "quality").toPandas()
     x = np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, len(FEATURES)))
     return train(x, rows["quality"].to_numpy(float))
 
@@ -218,5 +218,5 @@ def quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int
             p = model.score(x)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= accept).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    one = only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    one = only(docs, "doc_id", "text").transform(in_arrow, run, "doc_id long, score double, predicted int")
     return one.withColumn("held_out", fold("doc_id", modulus) == held_out).select("doc_id", "held_out", "score", "predicted")

@@ -21,10 +21,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.base import fold, only, staged, tidy
+from veriloom.llm.base import fold, in_arrow, only, staged
 
 #: Bound of the fitted model: labelled documents read for it.
 MAX_LABELLED = 40_000
+#: Words that a task counts before it hands them on.
+COUNTED = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (6, 4)
 PRIOR = 2.0
@@ -107,7 +109,6 @@ def _features(model: Model, segments: list[tuple[int, int, float]], n: int) -> t
     return float(np.clip(bits.max(), 0, 30)), float(np.log1p(real.sum())), len(real)
 
 
-@tidy
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (text, toxic) -> (word, documents by label, occurrences in the others)."""
     by = Counter(), Counter()
@@ -126,7 +127,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             by[label].update(set(words))
             if not label:
                 runs.update(words)
-            if len(by[0]) + len(by[1]) > 300_000:
+            if len(by[0]) + len(by[1]) > COUNTED:
                 yield out()
     yield out()
 
@@ -151,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0)
     send = docs.sparkSession.sparkContext.broadcast
     if not n0 or not n1:
         return Model(send(({}, tuple({} for _ in STEMS))), weights=np.array([-3.0 if not n1 else 3.0, 0.0, 0.0]))
-    seen = rows.where("part > 0").select("text", "toxic").mapInArrow(_counted, "w string, n0 long, n1 long, r0 long")
+    seen = rows.where("part > 0").select("text", "toxic").transform(in_arrow, _counted, "w string, n0 long, n1 long, r0 long")
     # documents count as if there were as many of either label
     seen = seen.groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("r0").alias("r0"))
     seen = staged(seen.withColumns({"c0": F.col("n0") * (n1 / n0), "c1": F.col("n1").cast("double")}), "words")
@@ -187,11 +188,11 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0)
         low, high = (mid, high) if (p * np.exp(mid * x)).sum() < 1 else (low, mid)
     model.lam = min(low, 4.0)
     # K and the logistic curve come from documents whose words were not counted
-    held = rows.where("part = 0").select("text", "toxic").mapInArrow(_best(model), "n long, best double, toxic int").toPandas()
+    held = rows.where("part = 0").select("text", "toxic").transform(in_arrow, _best(model), "n long, best double, toxic int").toPandas()
     clean = held[held.toxic == 0]
     if len(clean):
         model.k = float(max(1e-6, len(clean) / max(1.0, (clean.n * np.exp(-model.lam * clean.best)).sum())))
-    found = rows.where("part = 0").select("text", "toxic").mapInArrow(_trained(model), "f1 double, f2 double, toxic int").toPandas()
+    found = rows.where("part = 0").select("text", "toxic").transform(in_arrow, _trained(model), "f1 double, f2 double, toxic int").toPandas()
     if found.toxic.nunique() == 2:
         model.weights = logistic(found[["f1", "f2"]].to_numpy(), found.toxic.to_numpy(float))
     return model
@@ -212,8 +213,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def _scanned(model: Model, texts) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
-    scores = Scores(model)
+def _scanned(scores: Scores, texts) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
     for text in texts:
         words = WORD.findall((text.as_py() or "").lower())
         yield len(words), maximal_segments(np.fromiter(map(scores.__getitem__, words), float, len(words)))
@@ -221,27 +221,30 @@ def _scanned(model: Model, texts) -> Iterator[tuple[int, list[tuple[int, int, fl
 
 def _best(model: Model):
     def run(batches):
+        scores = Scores(model)
         for b in batches:
-            got = [(n, max((s for *_, s in seg), default=0.0)) for n, seg in _scanned(model, b.column(0))]
+            got = [(n, max((s for *_, s in seg), default=0.0)) for n, seg in _scanned(scores, b.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.float64()), b.column(1)], ["n", "best", "toxic"])
 
-    return tidy(run)
+    return run
 
 
 def _trained(model: Model):
     def run(batches):
+        scores = Scores(model)
         for b in batches:
-            got = [_features(model, seg, n) for n, seg in _scanned(model, b.column(0))]
+            got = [_features(model, seg, n) for n, seg in _scanned(scores, b.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.float64()), b.column(1)], ["f1", "f2", "toxic"])
 
-    return tidy(run)
+    return run
 
 
 def _scored(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = Scores(model)
         for b in batches:
             got, passages = [], []
-            for n, seg in _scanned(model, b.column(1)):
+            for n, seg in _scanned(scores, b.column(1)):
                 got.append(_features(model, seg, n))
                 base = np.log(model.k * max(n, 1))
                 real = [(x, y, round(s, 4)) for x, y, s in seg if model.lam * s - base > -np.log(SIGNIFICANT)]
@@ -250,7 +253,7 @@ def _scored(model: Model):
             kind = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(passages, kind)], ["doc_id", "score", "predicted", "passages"])
 
-    return tidy(run)
+    return run
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0) -> DataFrame:
@@ -263,8 +266,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int
     returned as such (held_out null); extra columns are ignored.
     """
     model = fit(docs, labels, modulus, held_out)
-    one = only(docs, "doc_id", "text").mapInArrow(
-        _scored(model), "doc_id long, score double, predicted int, passages array<struct<first_word:long,end_word:long,score:double>>"
+    one = only(docs, "doc_id", "text").transform(
+        in_arrow, _scored(model), "doc_id long, score double, predicted int, passages array<struct<first_word:long,end_word:long,score:double>>"
     )
     return one.withColumn("held_out", fold("doc_id", modulus) == held_out).select("doc_id", "held_out", "score", "predicted", "passages")
 
@@ -276,9 +279,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = names.index("text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = Scores(model)
         for b in batches:
-            got = [_features(model, seg, n) for n, seg in _scanned(model, b.column(at))]
+            got = [_features(model, seg, n) for n, seg in _scanned(scores, b.column(at))]
             p = model.probability(np.array([x[:2] for x in got]).reshape(-1, 2))
             yield b.filter(pa.array((p < 0.5) | np.array([not x.as_py() for x in b.column(at)], bool)))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.transform(in_arrow, kept, docs.schema)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm.base import maybe_broadcast, only, staged
+from veriloom.llm.base import in_arrow, maybe_broadcast, only, staged
 
 ROLL_BYTES = 64 << 20
 #: Payload bytes of a shard; small inputs have shards of 1 MB, up to 64 of them.
@@ -98,7 +98,7 @@ def _bounds(records: DataFrame, shards: int | None) -> list[tuple[bool, int, str
     """The first record of each shard. The rows are sorted once without their payloads; the driver gets one row for each
     partition, to add up, and one for each shard."""
     ordered = records.repartitionByRange("page_id", "digest").sortWithinPartitions("page_id", "digest")
-    summed = staged(ordered.mapInArrow(_summed, "part int, page_id long, digest string, before long, size long"), "sizes")
+    summed = staged(ordered.transform(in_arrow, _summed, "part int, page_id long, digest string, before long, size long"), "sizes")
     parts = sorted(summed.groupBy("part").agg(F.sum("size").alias("size")).collect())
     total = sum(p["size"] for p in parts)
     if not total:
@@ -208,10 +208,10 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
     store, base = pafs.FileSystem.from_uri(folder)
     store.create_dir(f"{base}/_temporary", recursive=True)
     bounds = _bounds(typed.select("page_id", "digest", (F.when(revisit_of, 0).otherwise(F.col("n")) + HEADER).alias("size")), shards)
-    dealt = typed.mapInArrow(_dealt(bounds), f"{RECORD}, shard long")
+    dealt = typed.transform(in_arrow, _dealt(bounds), f"{RECORD}, shard long")
     ranged = dealt.repartition(max(1, len(bounds)), "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
-    written = staged(ranged.mapInArrow(_write(folder, roll_bytes), MANIFEST), "archives")
-    written.mapInArrow(_commit(folder), MANIFEST).write.parquet(f"{folder}/manifest.parquet")
+    written = staged(ranged.transform(in_arrow, _write(folder, roll_bytes), MANIFEST), "archives")
+    written.transform(in_arrow, _commit(folder), MANIFEST).write.parquet(f"{folder}/manifest.parquet")
     store.delete_dir(f"{base}/_temporary")
     return pages.sparkSession.read.schema(written.schema).parquet(f"{folder}/manifest.parquet")
 
@@ -272,7 +272,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """The records of the archives that the manifest in ``folder`` names; every digest and length is checked again."""
     files = spark.read.parquet(f"{folder}/manifest.parquet").select("file")
     files = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return files.mapInArrow(_read(folder), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
+    return files.transform(in_arrow, _read(folder), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
 
 
 def new_folder(shared: str) -> str:
