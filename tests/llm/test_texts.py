@@ -534,3 +534,27 @@ def test_archives_depend_on_the_records_alone(spark, tmp_path):
         if name.endswith(".gz"):
             ids += re.findall(rb"WARC-Record-ID: (\S+)", gzip.decompress((tmp_path / "3" / name).read_bytes()))
     assert len(ids) == len(set(ids))
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    import pyarrow as pa
+
+    from veriloom.llm.base import BATCH_BYTES, in_arrow
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], ["n", "bytes"])
+
+    key, size = BATCH_BYTES
+    old = spark.conf.get(key, None)
+    texts = spark.range(0, 400, 1, 1).selectExpr("repeat('word ', 10000) AS text")
+    try:
+        spark.conf.unset(key)
+        got = texts.transform(in_arrow, sizes, "n long, bytes long").collect()
+        assert sum(r.n for r in got) == 400 and max(r.bytes for r in got) < 2 * size
+        spark.conf.set(key, str(1 << 20))
+        got = texts.transform(in_arrow, sizes, "n long, bytes long").collect()
+        assert sum(r.n for r in got) == 400 and max(r.bytes for r in got) < 2 << 20
+        assert spark.conf.get(key) == str(1 << 20)  # a bound that the session sets stays
+    finally:
+        spark.conf.set(key, old) if old else spark.conf.unset(key)
