@@ -16,6 +16,7 @@ from veriloom.llm.jaccard import jaccard_components
 from veriloom.llm.packing import pack
 from veriloom.llm.pii import personal_data
 from veriloom.llm.quality_gam import quality
+from veriloom.llm.simhash import near_duplicates
 from veriloom.llm.toxicity import toxicity
 
 
@@ -71,6 +72,11 @@ def op10_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 4-word shingles at 4 or fewer differing bits, over all documents."""
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4, radius=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_template_removal": op1_template_removal,
@@ -83,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_role_repair": op8_role_repair,
         "op9_contextual_pii": op9_contextual_pii,
         "op10_warc_shards": op10_warc_shards,
+        "op13_simhash_balls": op13_simhash_balls,
     }
 
 
