@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veriloom.llm import cascade as rules
+from veriloom.llm import collocations as phrases
 from veriloom.llm import warc
 from veriloom.llm.base import shared_dir, table
 from veriloom.llm.chat import repair
@@ -72,6 +73,11 @@ def op10_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_fingerprint_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of two to four words that each language ties closest, over all documents."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 4-word shingles at 4 or fewer differing bits, over all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, radius=4)
@@ -89,9 +95,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_role_repair": op8_role_repair,
         "op9_contextual_pii": op9_contextual_pii,
         "op10_warc_shards": op10_warc_shards,
+        "op12_fingerprint_phrases": op12_fingerprint_phrases,
         "op13_simhash_balls": op13_simhash_balls,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_rule_cascade": rules.ORACLE, "op10_warc_shards": warc.ORACLE}
+    return {"op7_rule_cascade": rules.ORACLE, "op10_warc_shards": warc.ORACLE, "op12_fingerprint_phrases": phrases.ORACLE}
