@@ -19,6 +19,7 @@ from veriloom.llm.pii import personal_data
 from veriloom.llm.quality_gam import quality
 from veriloom.llm.simhash import near_duplicates
 from veriloom.llm.toxicity import toxicity
+from veriloom.llm.turns import damaged_and_repaired
 
 
 def op1_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +74,11 @@ def op10_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_rank_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by a fixed rule and repaired."""
+    return damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 def op12_fingerprint_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The phrases of two to four words that each language ties closest, over all documents."""
     return phrases.collocations(table(spark, sf_dir, "documents"))
@@ -95,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_role_repair": op8_role_repair,
         "op9_contextual_pii": op9_contextual_pii,
         "op10_warc_shards": op10_warc_shards,
+        "op11_rank_convergence": op11_rank_convergence,
         "op12_fingerprint_phrases": op12_fingerprint_phrases,
         "op13_simhash_balls": op13_simhash_balls,
     }
