@@ -5,6 +5,8 @@ import random
 import re
 import zlib
 
+import duckdb
+import pyarrow as pa
 import pytest
 from veriloom.llm import turns as T
 
@@ -100,6 +102,14 @@ def test_whole_table(spark):
     assert result(T.damaged_and_repaired(df)) == brute([tuple(r) for r in df.select("conv_id", "turn", "role", "text").collect()])
 
 
+def test_sql_agrees_on_odd_rows():
+    rows = conversations(8, 80, 15)
+    conversations_table = pa.table({n: pa.array(c, k) for n, c, k in zip(("conv_id", "turn", "role", "text"), zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string()))})
+    db = duckdb.connect()
+    db.register("conversations", conversations_table)
+    assert {r[0]: r[1:] for r in db.sql(T.ORACLE).fetchall()} == brute(rows)
+
+
 def test_one_long_conversation_converges(spark):
     """Chunks of one conversation, from speculative vectors; no pass goes as far as there are chunks."""
     r = random.Random(4)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veriloom.llm import cascade as rules
 from veriloom.llm import collocations as phrases
-from veriloom.llm import warc
+from veriloom.llm import turns, warc
 from veriloom.llm.base import shared_dir, table
 from veriloom.llm.chat import repair
 from veriloom.llm.decontam import leaks
@@ -19,7 +19,6 @@ from veriloom.llm.pii import personal_data
 from veriloom.llm.quality_gam import quality
 from veriloom.llm.simhash import near_duplicates
 from veriloom.llm.toxicity import toxicity
-from veriloom.llm.turns import damaged_and_repaired
 
 
 def op1_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +75,7 @@ def op10_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_rank_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, damaged by a fixed rule and repaired."""
-    return damaged_and_repaired(table(spark, sf_dir, "conversations"))
+    return turns.damaged_and_repaired(table(spark, sf_dir, "conversations"))
 
 
 def op12_fingerprint_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,4 +107,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_rule_cascade": rules.ORACLE, "op10_warc_shards": warc.ORACLE, "op12_fingerprint_phrases": phrases.ORACLE}
+    return {"op7_rule_cascade": rules.ORACLE, "op10_warc_shards": warc.ORACLE, "op11_rank_convergence": turns.ORACLE, "op12_fingerprint_phrases": phrases.ORACLE}

@@ -420,3 +420,50 @@ def damaged_and_repaired(conversations: DataFrame, chunk: int = CHUNK) -> DataFr
     one = ids.join(got, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
     numbers = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return one.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
+
+
+def _oracle() -> str:
+    """The same by a plain dynamic program: a recursive query walks all conversations row by row with the best (cost,
+    audit, lines) of each state. A table-driven CRC-32 is part of it, as the engine has none."""
+
+    def after(state: int, cost: str, letter: str, line: str | None = None) -> str:
+        s = f"st[{state + 1}]"
+        lines = f"{s}.t" if line is None else f"concat_ws(chr(10), {s}.t, {line})"
+        return f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}', 't': {lines}}}"
+
+    keep, more = "role || ':' || text", f"CASE WHEN fault = '{TRUNCATED}' THEN 1 ELSE 0 END"
+    stays = f"fault IN ('{FINE}', '{TRUNCATED}')"
+
+    def least(state: int, comes_from: list[int]) -> str:
+        options = [after(state, "3", DELETE)]
+        for s in comes_from:
+            initial = next(k for k, v in INITIAL.items() if v == state)
+            options.append(f"CASE WHEN {stays} AND role[1] = '{initial}' THEN {after(s, more, KEEP, keep)} END")
+            if state in NAME:
+                options.append(f"CASE WHEN {stays} THEN {after(s, f'2 + {more}', REROLE, repr(NAME[state] + ':') + ' || text')} END")
+        return f"list_min([{', '.join(options)}])"
+
+    steps = [least(START, []), least(SYSTEM, [START]), least(USER, [START, SYSTEM, ASSISTANT]), least(ASSISTANT, [USER])]
+    user = f"list_min([st[3], {', '.join(after(s, '2', INSERT, repr('user:')) for s in (START, SYSTEM, ASSISTANT))}])"
+    with_user = f"SELECT * REPLACE ([st[1], st[2], {user}, st[4]] AS st)"
+    closed = f"""SELECT * REPLACE ([st[1], st[2], st[3], list_min([st[4], {after(USER, '2', INSERT, repr('assistant:'))}])] AS st) FROM ({with_user} FROM (%s))"""
+    none = "{'c': 1000000000, 'a': '', 't': NULL::VARCHAR}"
+    white = " || ".join(f"chr({ord(c)})" for c in WHITE)
+    return f"""WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+      crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+      keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS b FROM conversations),
+      hit AS (SELECT conv_id, turn, role, text, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 20 AS h FROM keyed, crc),
+      harmed AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM hit WHERE h <> 0),
+      placed AS (SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS conv, conv_id, turn, role, text, rtrim(text, {white}) AS seen, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM harmed),
+      rows AS (SELECT *, CASE WHEN seen = '' THEN '{BLANK}' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 THEN '{DUPLICATE}' WHEN right(seen, 1) IN ('.', '!', '?') THEN '{FINE}' ELSE '{TRUNCATED}' END AS fault,
+        CASE WHEN pos > 1 AND concat(lag(role) OVER (PARTITION BY conv ORDER BY pos)[1], role[1]) NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END AS illegal FROM placed),
+      dp(conv, pos, st) AS ({closed % f"SELECT DISTINCT conv, 0::BIGINT AS pos, [{{'c': 0, 'a': '', 't': NULL::VARCHAR}}, {none}, {none}, {none}] AS st FROM rows"}
+        UNION ALL {closed % f"SELECT r.conv, r.pos, [{', '.join(steps)}] AS st FROM dp JOIN rows r ON r.conv = dp.conv AND r.pos = dp.pos + 1"}),
+      last AS (SELECT conv, list_min([st[1], st[4]]) AS e FROM (SELECT conv, arg_max(st, pos) AS st FROM dp GROUP BY conv)),
+      counts AS (SELECT conv, any_value(conv_id) AS conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = '{BLANK}') AS blank, count(*) FILTER (fault = '{DUPLICATE}') AS duplicate,
+        count(*) FILTER (fault = '{TRUNCATED}') AS truncated, sum(illegal)::BIGINT AS illegal FROM rows GROUP BY conv)
+      SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(e.c, 0)::BIGINT AS cost, coalesce(e.a, '') AS audit,
+        sha256(coalesce(e.t, '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN last USING (conv)"""
+
+
+ORACLE = _oracle()
