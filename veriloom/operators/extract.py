@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.functions import text as X
+from veriloom.functions.bloom import filter_of, may_hold
+from veriloom.sources.staging import broadcast_if, staged
 
 PROBE, LEAST_PROBE = 200, 40
 SNIPPET = 60
 BLOCK = 4
+#: Characters of a key inside of a word, at most half of the shortest probe.
+WINDOW = 20
+#: Share of the texts that tells how rare a key is.
+SAMPLE = 0.01
 
 
 def candidate_names(skill: DataFrame) -> DataFrame:
@@ -23,35 +29,54 @@ def requirement_category(category):
     return F.when(category.isin("technical", "tool", "language"), "technology").otherwise("capability")
 
 
+def signs(c):
+    """Distinct characters besides ``[a-z0-9]``, of a lower-cased text."""
+    return F.array_distinct(F.array_remove(F.split(F.regexp_replace(c, "[a-z0-9]+", ""), ""), ""))
+
+
+def posted(names: DataFrame, texts: DataFrame) -> DataFrame:
+    """``names(skill, place, candidate)`` with ``key``: each under its rarest term, or its rarest sign if it has no terms.
+
+    How rare a key is comes from a sample of ``texts(low)``, then from the names themselves; whichever key is taken, a
+    text that holds the name holds the key, so the choice changes the work and never the result.
+    """
+    own = X.tokens(F.col("candidate"))
+    one = names.select("skill", "place", "candidate", F.explode(F.when(F.size(own) > 0, own).otherwise(signs(F.col("candidate")))).alias("key"))
+    in_names = one.groupBy("key").agg(F.count("*").alias("n_names"))
+    some = texts.sample(SAMPLE, seed=1).select(F.explode(F.array_union(X.tokens(F.col("low")), signs(F.col("low")))).alias("key"))
+    in_texts = some.groupBy("key").agg(F.count("*").alias("n_texts"))
+    rare = one.join(in_names, "key").join(in_texts, "key", "left")
+    return rare.groupBy("skill", "place", "candidate").agg(F.min_by("key", F.struct(F.coalesce("n_texts", F.lit(0)), "n_names", "key")).alias("key"))
+
+
 def keyword_requirements(texts: DataFrame, skill: DataFrame) -> DataFrame:
     """``texts(job_id, text)`` -> one requirement per vocabulary skill that the text names literally:
     ``job_id, raw, skill_query, importance, category``.
 
-    A hit stands free of ``[a-z0-9]`` on both sides. Texts and names meet on equal runs of terms, so no text is held
-    against the whole vocabulary; a hit always consists of whole terms. Names without any term (only signs) are few by
-    their nature and are looked up one by one. ``raw`` is the text around the first hit of the first candidate found.
+    A hit stands free of ``[a-z0-9]`` on both sides. The vocabulary is an index of names by one key each (see
+    :func:`posted`). The scan of the texts keeps only keys that a Bloom filter of the index may hold, so what meets the
+    index, in memory where it is proven small and by a shuffle otherwise, is keys and never the corpus. A text with
+    candidates is then read once, and all of its names are decided there. ``raw`` is the text around the first hit of the
+    first candidate found.
     """
-    names = candidate_names(skill).withColumn("terms", X.terms(F.col("candidate"))).withColumn("n", F.size("terms"))
-    known = names.where("n > 0").withColumn("run", F.array_join("terms", " "))
-    sizes = [r.n for r in known.select("n").distinct().collect()]  # lengths of names in terms: a handful
     one = texts.select("job_id", "text", F.lower("text").alias("low")).where("text is not null")
-    runs = None
-    words = one.select("job_id", X.terms(F.col("text")).alias("w"))
-    for n in sorted(sizes):
-        grams = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, n), " "))
-        made = words.where(F.size("w") >= n).select("job_id", F.explode(F.array_distinct(grams)).alias("run"))
-        runs = made if runs is None else runs.unionByName(made)
-    pairs = runs.join(known.select("run", "skill", "place", "candidate").distinct(), "run").select("job_id", "skill", "place", "candidate") if runs is not None else None
-    odd = names.where("n = 0").select("skill", "place", "candidate").distinct()
-    more = one.select("job_id", "low").join(odd, F.expr("contains(low, candidate)")).select("job_id", "skill", "place", "candidate")
-    pairs = more if pairs is None else pairs.unionByName(more)
-    hit = F.expr(r"regexp_instr(low, concat('(?<![a-z0-9])\\Q', candidate, '\\E(?![a-z0-9])'))")
-    found = pairs.join(one, "job_id").withColumn("at", hit).where("at > 0")
-    found = found.groupBy("job_id", "skill").agg(F.min_by(F.struct("at", F.length("candidate").alias("len"), "text"), "place").alias("h"))
-    start = F.greatest(F.lit(1), F.col("h.at") - SNIPPET)
-    cut = F.substring(F.col("h.text"), start, F.col("h.at") + F.col("h.len") + SNIPPET - start)
+    index = staged(posted(candidate_names(skill).select("skill", "place", "candidate").distinct(), one.select("low")), "names")
+    bloom = filter_of(index.select(F.xxhash64("key").alias("h")))
+    keys = one.select("job_id", F.explode(F.array_union(X.tokens(F.col("low")), signs(F.col("low")))).alias("key")).where(may_hold(bloom, F.xxhash64("key")))
+    met = keys.join(broadcast_if(index, 200), "key").groupBy("job_id").agg(F.collect_set(F.struct("skill", "place", "candidate")).alias("names"))
+    inside = F.filter("names", lambda n: F.contains(F.col("low"), n["candidate"]))
+    hit = lambda n: F.regexp_instr(F.col("low"), F.concat(F.lit(r"(?<![a-z0-9])\Q"), n["candidate"], F.lit(r"\E(?![a-z0-9])")))
+    found = one.join(met, "job_id").withColumn("names", inside).where(F.size("names") > 0)
+    found = found.withColumn("hits", F.filter(F.transform("names", lambda n: F.struct(n["skill"].alias("skill"), n["place"].alias("place"), hit(n).alias("at"), F.length(n["candidate"]).alias("len"))), lambda h: h["at"] > 0))
+
+    def cut(h):
+        start = F.greatest(F.lit(1), h["at"] - SNIPPET)
+        return F.substring(F.col("text"), start, h["at"] + h["len"] + SNIPPET - start)
+
+    shown = F.transform("hits", lambda h: F.struct(h["skill"].alias("skill"), h["place"].alias("place"), cut(h).alias("cut")))
+    found = found.select("job_id", F.explode(shown).alias("h")).groupBy("job_id", F.col("h.skill").alias("skill")).agg(F.min(F.struct("h.place", "h.cut")).alias("h"))
     label = skill.select(F.col("name").alias("skill"), "display_name", F.col("category").alias("skill_category"))
-    raw = F.coalesce(X.present(F.regexp_replace(cut, r"(?U)^\s+|\s+$", "")), X.present("display_name"), F.col("skill"))
+    raw = F.coalesce(X.present(F.regexp_replace("h.cut", r"(?U)^\s+|\s+$", "")), X.present("display_name"), F.col("skill"))
     return found.join(label, "skill").select("job_id", raw.alias("raw"), F.col("skill").alias("skill_query"), F.lit("preferred").alias("importance"), requirement_category(F.col("skill_category")).alias("category"))
 
 
@@ -60,23 +85,63 @@ def flat(c):
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
 
 
+def _grams(w):
+    """Hashes of all runs of four words."""
+    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+    n = F.greatest(F.size(w) - 3, F.lit(0))
+    return F.zip_with(F.slice(pairs, 1, n), F.slice(pairs, 3, n), lambda a, b: F.xxhash64(a, b))
+
+
+def _windows(w):
+    """Hashes of all runs of ``WINDOW`` characters inside of words."""
+    long = F.filter(w, lambda x: F.length(x) >= WINDOW)
+    return F.flatten(F.transform(long, lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - WINDOW + 1), lambda i: F.xxhash64(F.substring(x, i, F.lit(WINDOW)), F.lit("window")))))
+
+
+def _word(x):
+    return F.xxhash64(x, F.lit("word"))
+
+
+def probe_keys(cached: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``cached(item_id, text)`` -> ``item_id, probe, kind, h``: the start of each text, with the key it is looked up by.
+
+    The inner words of a probe are whole words wherever it stands. A probe of six words or more has its rarest run of
+    four inner words, one of three to five its rarest inner word, and one of fewer the first ``WINDOW`` characters of its
+    longest word: it has more than 40 characters, so one of two words has 20. How rare words are comes from a sample of
+    ``bodies(body)``; any choice gives the same result.
+    """
+    probes = cached.select("item_id", F.substring(flat(F.col("text")), 1, PROBE).alias("probe")).where(F.length("probe") > LEAST_PROBE).withColumn("w", F.split("probe", " "))
+    counts = bodies.sample(SAMPLE, seed=1).select(F.explode(F.split("body", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    inner = probes.where(F.size("w") >= 3).select("item_id", "probe", F.posexplode(F.slice("w", 2, F.size("w") - 2)).alias("at", "word")).join(counts, "word", "left")
+    inner = inner.groupBy("item_id", "probe").agg(F.array_sort(F.collect_list(F.struct("at", "word", F.coalesce("n", F.lit(0)).alias("n")))).alias("w"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - BLOCK + 1, F.lit(1))), lambda i: F.struct(F.array_min(F.transform(F.slice("w", i, BLOCK), lambda x: x["n"])).alias("n"), i.alias("at")))
+    rarest = F.slice(F.transform("w", lambda x: x["word"]), F.array_min(runs)["at"], BLOCK)
+    grams = inner.where(F.size("w") >= BLOCK).select("item_id", "probe", F.lit("gram").alias("kind"), F.get(_grams(rarest), F.lit(0)).alias("h"))
+    words = inner.where(F.size("w") < BLOCK).select("item_id", "probe", F.lit("word").alias("kind"), _word(F.array_min(F.transform("w", lambda x: F.struct(x["n"], x["at"], x["word"])))["word"]).alias("h"))
+    longest = F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"]
+    rest = probes.where(F.size("w") < 3).select("item_id", "probe", F.lit("window").alias("kind"), F.get(_windows(F.array(longest)), F.lit(0)).alias("h"))
+    return grams.unionByName(words).unionByName(rest)
+
+
 def same_document(cached: DataFrame, pasted: DataFrame) -> DataFrame:
     """``cached(item_id, text)``, ``pasted(doc_id, text)`` -> pairs where the start of the cached text (200 characters, more
     than 40) stands in the pasted one.
 
-    The probe's second to fifth words are whole words wherever it stands, so both sides meet on the hash of four words
-    and only then is the probe looked for. Probes of fewer than six words are compared in a join of their own.
+    Every probe is looked up by one key (see :func:`probe_keys`). The scan of the pasted texts tests their keys against a
+    Bloom filter of the probes', so only keys with a hit leave it; where they meet a probe, it is looked for in the text.
+    Keys of words and characters are only made where some probe needs them.
     """
-    probes = cached.select("item_id", F.substring(flat(F.col("text")), 1, PROBE).alias("probe")).where(F.length("probe") > LEAST_PROBE)
-    probes = probes.withColumn("w", F.split("probe", " "))
-    docs = pasted.select("doc_id", flat(F.col("text")).alias("body")).where("body <> ''")
-    keyed = probes.where(F.size("w") >= BLOCK + 2).select("item_id", "probe", F.xxhash64(F.array_join(F.slice("w", 2, BLOCK), " ")).alias("h"))
-    words = docs.withColumn("w", F.split("body", " ")).where(F.size("w") >= BLOCK)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - BLOCK + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, BLOCK), " "))))
-    met = words.select("doc_id", F.explode(grams).alias("h")).join(keyed, "h").select("doc_id", "item_id", "probe").distinct()
-    long = met.join(docs, "doc_id").where(F.expr("contains(body, probe)")).select("item_id", "doc_id")
-    few = probes.where(F.size("w") < BLOCK + 2).join(docs, F.expr("contains(body, probe)")).select("item_id", "doc_id")
-    return long.unionByName(few)
+    bodies = pasted.select("doc_id", flat(F.col("text")).alias("body")).where("body <> ''")
+    keyed = staged(probe_keys(cached, bodies), "probes")
+    needs = keyed.agg(F.coalesce(F.bool_or(F.col("kind") == "word"), F.lit(False)).alias("word"), F.coalesce(F.bool_or(F.col("kind") == "window"), F.lit(False)).alias("window"))
+    w = F.split("body", " ")
+    none = F.array().cast("array<long>")
+    keys = [_grams(w), F.when(needs.select("word").scalar(), F.transform(w, _word)).otherwise(none), F.when(needs.select("window").scalar(), _windows(w)).otherwise(none)]
+    hits = bodies.select("doc_id", F.explode(F.concat(*keys)).alias("h")).where(may_hold(filter_of(keyed), F.col("h")))
+    met = hits.join(broadcast_if(keyed, 1000).select("item_id", "probe", "h"), "h").select("doc_id", "item_id", "probe").distinct()
+    met = staged(met, "probe-hits")
+    both = bodies.join(broadcast_if(met, 1000), "doc_id")
+    return both.where(F.contains(F.col("body"), F.col("probe"))).select("item_id", "doc_id").distinct()
 
 
 def compose(texts: DataFrame, skill: DataFrame, cached: DataFrame, curated: DataFrame) -> DataFrame:

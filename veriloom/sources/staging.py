@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +28,8 @@ def staged(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if(staged_df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
+    """A broadcast hint where the counted rows of a staged table prove that it is small; else the frame as it is."""
+    return F.broadcast(staged_df) if staged_df.count() * row_bytes <= limit else staged_df
