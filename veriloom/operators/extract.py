@@ -37,13 +37,14 @@ def signs(c):
 def posted(names: DataFrame, texts: DataFrame) -> DataFrame:
     """``names(skill, place, candidate)`` with ``key``: each under its rarest term, or its rarest sign if it has no terms.
 
-    How rare a key is comes from a sample of ``texts(low)``, then from the names themselves; whichever key is taken, a
+    How rare a key is comes from a sample of ``texts(text)``, then from the names themselves; whichever key is taken, a
     text that holds the name holds the key, so the choice changes the work and never the result.
     """
     own = X.tokens(F.col("candidate"))
     one = names.select("skill", "place", "candidate", F.explode(F.when(F.size(own) > 0, own).otherwise(signs(F.col("candidate")))).alias("key"))
     in_names = one.groupBy("key").agg(F.count("*").alias("n_names"))
-    some = texts.sample(SAMPLE, seed=1).select(F.explode(F.array_union(X.tokens(F.col("low")), signs(F.col("low")))).alias("key"))
+    low = F.lower("text")
+    some = texts.sample(SAMPLE, seed=1).select(F.explode(F.array_union(X.tokens(low), signs(low))).alias("key"))
     in_texts = some.groupBy("key").agg(F.count("*").alias("n_texts"))
     rare = one.join(in_names, "key").join(in_texts, "key", "left")
     return rare.groupBy("skill", "place", "candidate").agg(F.min_by("key", F.struct(F.coalesce("n_texts", F.lit(0)), "n_names", "key")).alias("key"))
@@ -60,36 +61,49 @@ def keyword_requirements(texts: DataFrame, skill: DataFrame) -> DataFrame:
     first candidate found.
     """
     one = texts.select("job_id", "text", F.lower("text").alias("low")).where("text is not null")
-    index = staged(posted(candidate_names(skill).select("skill", "place", "candidate").distinct(), one.select("low")), "names")
+    index = staged(posted(candidate_names(skill).select("skill", "place", "candidate").distinct(), texts), "names")
     bloom = filter_of(index.select(F.xxhash64("key").alias("h")))
-    keys = one.select("job_id", F.explode(F.array_union(X.tokens(F.col("low")), signs(F.col("low")))).alias("key")).where(may_hold(bloom, F.xxhash64("key")))
+    by_sign = index.agg(F.coalesce(F.bool_or(~F.col("key").rlike("[a-z0-9]")), F.lit(False))).scalar()
+    keys = F.concat(X.terms(F.col("low")), F.when(by_sign, signs(F.col("low"))).otherwise(F.array().cast("array<string>")))
+    keys = one.select("job_id", F.explode(keys).alias("key")).where(may_hold(bloom, F.xxhash64("key")))
     met = keys.join(broadcast_if(index, 200), "key").groupBy("job_id").agg(F.collect_set(F.struct("skill", "place", "candidate")).alias("names"))
-    inside = F.filter("names", lambda n: F.contains(F.col("low"), n["candidate"]))
-    hit = lambda n: F.regexp_instr(F.col("low"), F.concat(F.lit(r"(?<![a-z0-9])\Q"), n["candidate"], F.lit(r"\E(?![a-z0-9])")))
-    found = one.join(met, "job_id").withColumn("names", inside).where(F.size("names") > 0)
-    found = found.withColumn("hits", F.filter(F.transform("names", lambda n: F.struct(n["skill"].alias("skill"), n["place"].alias("place"), hit(n).alias("at"), F.length(n["candidate"]).alias("len"))), lambda h: h["at"] > 0))
 
-    def cut(h):
-        start = F.greatest(F.lit(1), h["at"] - SNIPPET)
-        return F.substring(F.col("text"), start, h["at"] + h["len"] + SNIPPET - start)
+    def decided(n):
+        """A name with its first hit, 0 for none; what the text doesn't contain at all is not searched for."""
+        hit = F.regexp_instr(F.col("low"), F.concat(F.lit(r"(?<![a-z0-9])\Q"), n["candidate"], F.lit(r"\E(?![a-z0-9])")))
+        return F.struct(n["skill"].alias("skill"), n["place"].alias("place"), F.length(n["candidate"]).alias("len"), F.when(F.contains(F.col("low"), n["candidate"]), hit).otherwise(0).alias("at"))
 
-    shown = F.transform("hits", lambda h: F.struct(h["skill"].alias("skill"), h["place"].alias("place"), cut(h).alias("cut")))
-    found = found.select("job_id", F.explode(shown).alias("h")).groupBy("job_id", F.col("h.skill").alias("skill")).agg(F.min(F.struct("h.place", "h.cut")).alias("h"))
+    start = F.greatest(F.lit(1), F.col("h.at") - SNIPPET)
+    cut = F.substring("text", start, F.col("h.at") + F.col("h.len") + SNIPPET - start)
+    found = one.join(met, "job_id").select("job_id", "text", F.explode(F.transform("names", decided)).alias("h")).where("h.at > 0")
+    found = found.groupBy("job_id", F.col("h.skill").alias("skill")).agg(F.min(F.struct("h.place", cut.alias("cut"))).alias("h"))
     label = skill.select(F.col("name").alias("skill"), "display_name", F.col("category").alias("skill_category"))
     raw = F.coalesce(X.present(F.regexp_replace("h.cut", r"(?U)^\s+|\s+$", "")), X.present("display_name"), F.col("skill"))
     return found.join(label, "skill").select("job_id", raw.alias("raw"), F.col("skill").alias("skill_query"), F.lit("preferred").alias("importance"), requirement_category(F.col("skill_category")).alias("category"))
 
 
+# The characters of the Unicode property White_Space.
+WHITE = "[\\t-\\r \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+"
+
+
 def flat(c):
     """White space as single blanks, none at the ends."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), WHITE, " "))
+
+
+def let(value, body):
+    """``body(value)``, the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _joined(h, by: int):
+    """Hashes of each element with the one ``by`` places on."""
+    return let(h, lambda x: let(F.greatest(F.size(x) - by, F.lit(0)), lambda n: F.zip_with(F.slice(x, 1, n), F.slice(x, by + 1, n), lambda a, b: F.xxhash64(a, b))))
 
 
 def _grams(w):
     """Hashes of all runs of four words."""
-    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    n = F.greatest(F.size(w) - 3, F.lit(0))
-    return F.zip_with(F.slice(pairs, 1, n), F.slice(pairs, 3, n), lambda a, b: F.xxhash64(a, b))
+    return _joined(_joined(w, 1), 2)
 
 
 def _windows(w):
@@ -102,16 +116,16 @@ def _word(x):
     return F.xxhash64(x, F.lit("word"))
 
 
-def probe_keys(cached: DataFrame, bodies: DataFrame) -> DataFrame:
+def probe_keys(cached: DataFrame, pasted: DataFrame) -> DataFrame:
     """``cached(item_id, text)`` -> ``item_id, probe, kind, h``: the start of each text, with the key it is looked up by.
 
     The inner words of a probe are whole words wherever it stands. A probe of six words or more has its rarest run of
     four inner words, one of three to five its rarest inner word, and one of fewer the first ``WINDOW`` characters of its
     longest word: it has more than 40 characters, so one of two words has 20. How rare words are comes from a sample of
-    ``bodies(body)``; any choice gives the same result.
+    ``pasted(text)``; any choice gives the same result.
     """
     probes = cached.select("item_id", F.substring(flat(F.col("text")), 1, PROBE).alias("probe")).where(F.length("probe") > LEAST_PROBE).withColumn("w", F.split("probe", " "))
-    counts = bodies.sample(SAMPLE, seed=1).select(F.explode(F.split("body", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counts = pasted.sample(SAMPLE, seed=1).select(F.explode(F.split("text", WHITE)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     inner = probes.where(F.size("w") >= 3).select("item_id", "probe", F.posexplode(F.slice("w", 2, F.size("w") - 2)).alias("at", "word")).join(counts, "word", "left")
     inner = inner.groupBy("item_id", "probe").agg(F.array_sort(F.collect_list(F.struct("at", "word", F.coalesce("n", F.lit(0)).alias("n")))).alias("w"))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - BLOCK + 1, F.lit(1))), lambda i: F.struct(F.array_min(F.transform(F.slice("w", i, BLOCK), lambda x: x["n"])).alias("n"), i.alias("at")))
@@ -131,17 +145,16 @@ def same_document(cached: DataFrame, pasted: DataFrame) -> DataFrame:
     Bloom filter of the probes', so only keys with a hit leave it; where they meet a probe, it is looked for in the text.
     Keys of words and characters are only made where some probe needs them.
     """
-    bodies = pasted.select("doc_id", flat(F.col("text")).alias("body")).where("body <> ''")
-    keyed = staged(probe_keys(cached, bodies), "probes")
+    keyed = staged(probe_keys(cached, pasted), "probes")
     needs = keyed.agg(F.coalesce(F.bool_or(F.col("kind") == "word"), F.lit(False)).alias("word"), F.coalesce(F.bool_or(F.col("kind") == "window"), F.lit(False)).alias("window"))
-    w = F.split("body", " ")
+    w = F.split("text", WHITE)  # white space at the ends makes empty words there, which no key has
     none = F.array().cast("array<long>")
     keys = [_grams(w), F.when(needs.select("word").scalar(), F.transform(w, _word)).otherwise(none), F.when(needs.select("window").scalar(), _windows(w)).otherwise(none)]
-    hits = bodies.select("doc_id", F.explode(F.concat(*keys)).alias("h")).where(may_hold(filter_of(keyed), F.col("h")))
+    hits = pasted.select("doc_id", F.explode(F.concat(*keys)).alias("h")).where(may_hold(filter_of(keyed), F.col("h")))
     met = hits.join(broadcast_if(keyed, 1000).select("item_id", "probe", "h"), "h").select("doc_id", "item_id", "probe").distinct()
     met = staged(met, "probe-hits")
-    both = bodies.join(broadcast_if(met, 1000), "doc_id")
-    return both.where(F.contains(F.col("body"), F.col("probe"))).select("item_id", "doc_id").distinct()
+    both = pasted.select("doc_id", "text").join(broadcast_if(met, 1000), "doc_id")
+    return both.where(F.contains(flat(F.col("text")), F.col("probe"))).select("item_id", "doc_id").distinct()
 
 
 def compose(texts: DataFrame, skill: DataFrame, cached: DataFrame, curated: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from veriloom.plans import package as P
 from veriloom.plans import resolve as R
 from veriloom.plans import stories as S
 from veriloom.sources import graph as G
-from veriloom.sources.staging import shared_dir, staged
+from veriloom.sources.staging import shared_dir, spread, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -127,9 +127,13 @@ class Tables:
     def texts(self) -> DataFrame:
         return D.rendered(self.bullets, self.routed, self.skills, self.app, self.g)
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        return spread(self.read("documents").select("doc_id", "text"))
+
     @cached_property
     def jobs(self) -> DataFrame:
-        return self.read("documents").select(F.col("doc_id").cast("string").alias("job_id"), "text")
+        return self.documents.select(F.col("doc_id").cast("string").alias("job_id"), "text")
 
 
 def query(name: str) -> Callable[[Callable[[Tables], DataFrame]], Callable]:
@@ -305,12 +309,12 @@ def _(t):
 
 @query("c01_tokens")
 def _(t):
-    return t.read("documents").select("doc_id", F.array_join(X.tokens(F.col("text")), " ").alias("tokens"))
+    return t.documents.select("doc_id", F.array_join(X.tokens(F.col("text")), " ").alias("tokens"))
 
 
 @query("c02_normalize")
 def _(t):
-    return t.read("documents").select("doc_id", F.md5(X.normalize(F.col("text")).cast("binary")).alias("text_md5"))
+    return t.documents.select("doc_id", F.md5(X.normalize(F.col("text")).cast("binary")).alias("text_md5"))
 
 
 @query("c03_postings")
@@ -396,7 +400,7 @@ def _(t):
 
 @query("c17_same_document")
 def _(t):
-    return EX.same_document(t.read("benchmark").select("item_id", "text"), t.read("documents").select("doc_id", "text"))
+    return EX.same_document(t.read("benchmark").select("item_id", "text"), t.documents)
 
 
 def _curated(t):
@@ -411,7 +415,7 @@ def _(t):
 @query("c19_freshness")
 def _(t):
     last = t.read("benchmark").agg(F.max("item_id")).first()[0]
-    texts = t.read("documents").select(F.col("doc_id").cast("string").alias("job_id"), (F.col("doc_id") % (last + 10)).alias("item_id"), "text")
+    texts = t.documents.select(F.col("doc_id").cast("string").alias("job_id"), (F.col("doc_id") % (last + 10)).alias("item_id"), "text")
     valid = t.read("benchmark").select("item_id", (F.length("text") % 3 != 0).alias("ok"))
     return EX.freshness(texts, t.read("benchmark").select("item_id", "text"), valid)
 
@@ -452,7 +456,7 @@ def _(t):
 
 @query("d07_metrics")
 def _(t):
-    docs = t.read("documents").select(F.concat(F.lit("doc:"), F.col("doc_id")).alias("id"), X.has_metric(F.col("text")).alias("has_metric"))
+    docs = t.documents.select(F.concat(F.lit("doc:"), F.col("doc_id")).alias("id"), X.has_metric(F.col("text")).alias("has_metric"))
     return docs.unionByName(t.g.achievement.select(F.col("achievement_id").alias("id"), X.has_metric(F.col("description")).alias("has_metric")))
 
 

@@ -33,3 +33,9 @@ def staged(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
 def broadcast_if(staged_df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
     """A broadcast hint where the counted rows of a staged table prove that it is small; else the frame as it is."""
     return F.broadcast(staged_df) if staged_df.count() * row_bytes <= limit else staged_df
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table scan, dealt out anew where its files give fewer tasks than twice the cores; a larger one as it is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < 2 * cores else table
