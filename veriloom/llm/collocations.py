@@ -3,8 +3,8 @@
 Texts are never shuffled to be counted. Tasks turn a batch of texts into word hashes with numpy, and prefix polynomials
 over these give the fingerprint of every n-gram; equal fingerprints of a batch are added up, and the shuffle aggregates
 ``fingerprint, count, check, pointer``: the check is an independent hash, the pointer names a text that holds an
-occurrence. One scan counts words and pairs of words; a second one counts phrases of three and four words whose pairs are
-all frequent, by a filter of bounded size (what passes it wrongly is counted and drops out, so it changes no result).
+occurrence. One scan counts words, one pairs of frequent words, and one phrases of three and four words whose pairs are
+all frequent, by filters of bounded size (what passes one wrongly is counted and drops out, so it changes no result).
 
 Only frequent fingerprints are looked at as text. Where all occurrences have one check, the text at the pointer is
 scanned for the fingerprint and its words are the phrase. Where checks differ, several phrases share the fingerprint:
@@ -37,7 +37,7 @@ TOP = 2000
 #: Parts of a language in the first step of its ranking.
 SALTS = 64
 #: Words at a time whose n-grams are hashed.
-STEP = 1 << 20
+STEP = 1 << 17
 #: Bits of a fingerprint; tests take few, so that phrases collide.
 BITS = 64
 
@@ -72,44 +72,39 @@ def _lowered(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
 
 
-def words_of(texts: Iterable[bytes]) -> Words:
-    """Words of lower-cased texts; ``start`` and ``end`` count from the beginning of the text."""
-    out: list[tuple] = []
-    pieces = 0
+def words_of(texts: Iterable[bytes]) -> Iterator[Words]:
+    """Words of lower-cased texts, some texts at a time, a long one by itself; ``start`` and ``end`` count from the
+    beginning of the text. No piece goes on from one to the next."""
 
-    def add(raw: bytes, first: int, begins: list[int], base: int, closed: bool) -> None:
-        nonlocal pieces
+    def read(raw: bytes, first: int, begins: list[int], base: int, pieces: int) -> tuple[Words, int]:
         a, s, e = _bounds(raw, SEPARATOR)
-        cum = np.cumsum(DELIMITER[a], dtype=np.int64)
+        cum = np.cumsum(DELIMITER[a], dtype=np.int32)
         which = np.searchsorted(begins, s, side="right") - 1
-        off = base - np.array(begins)[which] if len(s) else s
-        out.append((_hash(a, s, e), _second(a, s, e), (pieces + cum[s] if len(s) else s).astype(np.int64), (first + which).astype(np.int64), s + off, e + off))
-        pieces += int(cum[-1] if len(cum) else 0) + closed
+        off = base - np.array(begins, np.int64)[which]
+        piece = pieces + cum[s] if len(s) else np.zeros(0, np.int64)
+        return Words(_hash(a, s, e), _second(a, s, e), piece.astype(np.int32), (first + which).astype(np.int32), s + off, e + off), pieces + int(cum[-1] if len(cum) else 0)
 
     group: list[bytes] = []
     begins: list[int] = []
     size = number = 0
     for raw in texts:
         if group and size + len(raw) > PIECE:
-            add(b"\n".join(group), number - len(group), begins, 0, True)
+            yield read(b"\n".join(group), number - len(group), begins, 0, 0)[0]
             group, begins, size = [], [], 0
         if len(raw) > PIECE:
-            at = 0
+            parts, at, pieces = [], 0, 0
             for part in _pieces(raw, SEPARATOR):
-                add(part, number, [0], at, False)
+                one, pieces = read(part, number, [0], at, pieces)
+                parts.append(one)
                 at += len(part)
-            pieces += 1
+            yield Words(*(np.concatenate(c) for c in zip(*parts)))
         else:
             group.append(raw)
             begins.append(size)
             size += len(raw) + 1
         number += 1
-        if len(raw) > PIECE:
-            group, begins, size = [], [], 0
     if group:
-        add(b"\n".join(group), number - len(group), begins, 0, True)
-    empty = [np.zeros(0, k) for k in (U, U, np.int64, np.int64, np.int64, np.int64)]
-    return Words(*(np.concatenate(c) for c in zip(empty, *out)))
+        yield read(b"\n".join(group), number - len(group), begins, 0, 0)[0]
 
 
 def _poly(w: np.ndarray, n: int) -> np.ndarray:
@@ -136,19 +131,24 @@ def grams(w: Words, seeds: np.ndarray, n: int, width: int) -> Iterator[tuple[np.
             yield lo + i, mix(_poly(w.h[lo:hi], n)[i] + seed) >> U(64 - width), mix(_poly(w.g[lo:hi], n)[i] ^ seed)
 
 
-COUNTED = "lang string, key long, n long, c long, ptr long"
+#: What goes with a count: so many bits of the check, above so many of the pointer.
+CHECK_BITS, POINTER_BITS = 24, 40
+#: Rows of n-grams that a task holds before it passes them on.
+HELD_ROWS = 1 << 18
+COUNTED = "lang string, key long, n long, seen long"
 
 
-def _put(keys: list, counts: list, checks: list, ptrs: list, lang: list[str], totals: list[int]) -> pa.RecordBatch:
-    none = sum(map(len, keys))
-    cols = [np.concatenate([*c, np.array(t, np.int64)]) for c, t in ((keys, [0] * len(lang)), (counts, totals), (checks, [0] * len(lang)), (ptrs, [0] * len(lang)))]
-    langs = pa.concat_arrays([pa.nulls(none, pa.string()), pa.array(lang, pa.string())])
-    return pa.RecordBatch.from_arrays([langs, *(pa.array(c, pa.int64()) for c in cols)], ["lang", "key", "n", "c", "ptr"])
+def _put(keys: list, counts: list, seen: list, lang: list[str], totals: list[int]) -> pa.RecordBatch:
+    zeros = [0] * len(lang)
+    cols = [np.concatenate([*c, np.array(t, np.int64)]) for c, t in ((keys, zeros), (counts, totals), (seen, zeros))]
+    langs = pa.concat_arrays([pa.nulls(len(cols[0]) - len(lang), pa.string()), pa.array(lang, pa.string())])
+    return pa.RecordBatch.from_arrays([langs, *(pa.array(c, pa.int64()) for c in cols)], ["lang", "key", "n", "seen"])
 
 
-def _counted(sizes: tuple[int, ...], width: int, bits: int = 0, sent: Broadcast | None = None):
-    """lang, text, ptr -> the distinct n-grams of a batch with their counts; with the first scan (no filter) also a row
-    with the number of words for each language. The filter holds the frequent pairs."""
+def _counted(sizes: tuple[int, ...], width: int, below: int = 0, bits: int = 0, sent: Broadcast | None = None):
+    """lang, text, ptr -> the distinct n-grams of some texts with their counts; the scan of single words also gives a row
+    with the number of words for each language. The filter holds the frequent phrases of ``below`` words: n-grams with
+    any other inside are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = np.frombuffer(sent.value, np.uint8) if sent else None
@@ -157,45 +157,58 @@ def _counted(sizes: tuple[int, ...], width: int, bits: int = 0, sent: Broadcast
             names = sorted(set(langs))
             of = {x: U(_seed(x)) for x in names}
             seeds, pointer = np.array([of[x] for x in langs], U), b.column(2).to_numpy()
-            w = words_of(_lowered(t) for t in strings(b.column(1)))
-            keys, counts, checks, ptrs = [], [], [], []
-            held = np.zeros(len(w.h), bool)  # where a frequent pair begins
-            if sent:
-                for i, key, _ in grams(w, seeds, 2, width):
-                    bit = _positions(key, bits)
-                    held[i] = ((on[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).all(axis=0)
-            for n in sizes:
-                for i, key, check in grams(w, seeds, n, width):
-                    if sent:
-                        chosen = np.logical_and.reduce([held[i + j] for j in range(n - 1)])
-                        i, key, check = i[chosen], key[chosen], check[chosen]
-                    # by check, too: phrases that share a fingerprint reach the shuffle as two rows
-                    order = np.lexsort((check, key)) if len(key) else np.zeros(0, np.int64)
-                    k, c = key[order], check[order]
-                    first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]) if len(k) else order
-                    n_of = np.diff(np.r_[first, len(k)])
-                    at = i[order[first]]
-                    by_place = np.argsort(at)  # rows of one text stay together and compress
-                    keys.append(k[first][by_place].view(np.int64))
-                    counts.append(n_of[by_place])
-                    checks.append((c[first][by_place] >> U(32)).astype(np.int64))
-                    ptrs.append(pointer[w.text[at[by_place]]])
-            totals: list[int] = []
-            if not sent:
-                number = {x: i for i, x in enumerate(names)}
-                by_text = np.bincount(w.text, minlength=len(langs))
-                totals = np.bincount([number[x] for x in langs], by_text, len(names)).astype(np.int64).tolist()
-            yield _put(keys, counts, checks, ptrs, names if totals else [], totals)
+            totals = dict.fromkeys(names, 0)
+            keys, counts, seen, rows = [], [], [], 0
+            for w in words_of(_lowered(t) for t in strings(b.column(1))):
+                if not sent:
+                    for text, n in zip(*np.unique(w.text, return_counts=True)):
+                        totals[langs[text]] += int(n)
+                held = np.zeros(len(w.h), bool)  # where a frequent phrase begins
+                if sent:
+                    for i, key, _ in grams(w, seeds, below, width):
+                        held[i] = _in(on, bits, key)
+                for n in sizes:
+                    for i, key, check in grams(w, seeds, n, width):
+                        if sent:
+                            chosen = np.logical_and.reduce([held[i + j] for j in range(n - below + 1)])
+                            i, key, check = i[chosen], key[chosen], check[chosen]
+                        # by check, too: phrases that share a fingerprint reach the shuffle as two rows
+                        order = np.lexsort((check, key))
+                        k, c = key[order], check[order]
+                        first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]) if len(k) else order
+                        n_of = np.diff(np.r_[first, len(k)])
+                        at = i[order[first]]
+                        by_place = np.argsort(at)  # rows of one text stay together and compress
+                        keys.append(k[first][by_place].view(np.int64))
+                        counts.append(n_of[by_place])
+                        seen.append(((c[first] >> U(64 - CHECK_BITS)).astype(np.int64) << POINTER_BITS | pointer[w.text[at]])[by_place])
+                        rows += len(first)
+                if rows > HELD_ROWS:
+                    yield _put(keys, counts, seen, [], [])
+                    keys, counts, seen, rows = [], [], [], 0
+            yield _put(keys, counts, seen, *((list(totals), list(totals.values())) if not sent else ([], [])))
 
     return run
 
 
-def _count(texts: DataFrame, sizes: tuple[int, ...], least: int, width: int, label: str, bits: int = 0, sent: Broadcast | None = None) -> DataFrame:
-    """``lang (null but for totals), key, n, same (one check), ptr`` of fingerprints found ``least`` times or more."""
-    rows = texts.transform(in_arrow, _counted(sizes, width, bits, sent), COUNTED)
-    one = rows.groupBy("lang", "key").agg(F.sum("n").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.min("ptr").alias("ptr"))
+def _in(on: np.ndarray, bits: int, key: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold each key."""
+    bit = _positions(key, bits)
+    return ((on[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).all(axis=0)
+
+
+def _count(texts: DataFrame, sizes: tuple[int, ...], least: int, width: int, label: str, below: int = 0, known: DataFrame | None = None) -> DataFrame:
+    """``lang (null but for totals), key, n, same (one check), ptr`` of fingerprints found ``least`` times or more. ``known``
+    has the frequent ones of ``below`` words."""
+    bits, sent = 0, None
+    if known is not None:
+        bits, bloom = _filter(known.select(F.col("key").alias("h")))
+        sent = texts.sparkSession.sparkContext.broadcast(bloom)
+    rows = texts.transform(in_arrow, _counted(sizes, width, below, bits, sent), COUNTED)
+    one = rows.groupBy("lang", "key").agg(F.sum("n").alias("n"), F.min("seen").alias("low"), F.max("seen").alias("high"))
     one = one.where(F.col("lang").isNotNull() | (F.col("n") >= least))
-    return staged(one.select("lang", "key", "n", (F.col("low") == F.col("high")).alias("same"), "ptr"), label)
+    same = F.shiftrightunsigned("low", POINTER_BITS) == F.shiftrightunsigned("high", POINTER_BITS)
+    return staged(one.select("lang", "key", "n", same.alias("same"), F.col("low").bitwiseAND((1 << POINTER_BITS) - 1).alias("ptr")), label)
 
 
 def _phrase(raw: bytes, w: Words, i: int, n: int) -> str:
@@ -213,7 +226,7 @@ def _found(width: int):
             out: list[tuple] = []
             for lang, text, wanted in zip(strings(b.column(0)), strings(b.column(1)), b.column(2)):
                 raw, keys = _lowered(text), np.unique(wanted.values.to_numpy().view(U))
-                w = words_of([raw])
+                w = next(words_of([raw]))
                 for n in range(1, LONGEST + 1):
                     for i, key, _ in grams(w, np.array([_seed(lang)], U), n, width):
                         here, first = np.unique(key, return_index=True)
@@ -238,11 +251,10 @@ def _again(width: int, bits: int, sent: Broadcast):
             seen: Counter = Counter()
             for lang, text in zip(strings(b.column(0)), strings(b.column(1))):
                 raw = _lowered(text)
-                w = words_of([raw])
+                w = next(words_of([raw]))
                 for n in range(1, LONGEST + 1):
                     for i, key, _ in grams(w, np.array([_seed(lang)], U), n, width):
-                        bit = _positions(key, bits)
-                        hit = ((on[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).all(axis=0)
+                        hit = _in(on, bits, key)
                         for k, x in zip(key[hit].view(np.int64).tolist(), i[hit].tolist()):
                             seen[k, lang, n, _phrase(raw, w, x, n)] += 1
             rows = [(*k, n) for k, n in seen.items()]
@@ -256,13 +268,12 @@ def frequent_phrases(documents: DataFrame, least: int = LEAST, width: int = BITS
     ``(lang, n)``, its number of words. See :func:`collocations` for words and languages."""
     spark = documents.sparkSession
     texts = only(documents, "lang", "text").select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.withColumn("ptr", F.xxhash64("lang", "text"))
-    short = _count(texts, (1, 2), least, width, "short-phrases")
+    texts = texts.withColumn("ptr", F.shiftrightunsigned(F.xxhash64("lang", "text"), 64 - POINTER_BITS))
+    short = _count(texts, (1,), least, width, "words")
     totals = short.where("lang is not null").select("lang", "n")
-    short = short.where("lang is null").drop("lang")
-    bits, bloom = _filter(short.select(F.col("key").alias("h")))
-    sent = spark.sparkContext.broadcast(bloom)
-    every = short.unionByName(_count(texts, (3, 4), least, width, "long-phrases", bits, sent).where("lang is null").drop("lang"))
+    words = short.where("lang is null").drop("lang")
+    pairs = _count(texts, (2,), least, width, "pairs", 1, words).drop("lang")
+    every = words.unionByName(pairs).unionByName(_count(texts, (3, 4), least, width, "long-phrases", 2, pairs).drop("lang"))
 
     clear = every.where("same")
     wanted = clear.groupBy(F.col("ptr").alias("at")).agg(F.collect_list("key").alias("keys"))
