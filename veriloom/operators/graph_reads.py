@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriloom.sources.graph import LABELS, Graph
+from veriloom.sources.staging import staged
 
 
 def summary(g: Graph) -> DataFrame:
@@ -39,11 +40,24 @@ def person_education(g: Graph) -> DataFrame:
     return g.person.join(one, "person_id", "left")
 
 
+def ranked(df: DataFrame, key: str, by: str) -> DataFrame:
+    """Rows with ``place``, their number within ``key`` in the order of ``by``, whatever share of the rows a key has.
+
+    Rows are sorted over range partitions; a row's place is the number of its key's rows in the partitions before, plus
+    its place in its own, so no task sees a key whole.
+    """
+    part = staged(df.repartitionByRange(key, by).select("*", F.spark_partition_id().alias("_part")), "ranked")
+    sizes = part.groupBy(key, "_part").agg(F.count("*").alias("_n"))  # one row for each key and partition it reaches into
+    before = sizes.select(key, "_part", (F.sum("_n").over(Window.partitionBy(key).orderBy("_part")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(key, "_part").orderBy(by))
+    return part.join(before, [key, "_part"]).select(*df.columns, (F.col("_before") + own).alias("place"))
+
+
 def curriculum_projects(g: Graph) -> DataFrame:
-    """``institution, projects`` (names in order) of each education."""
+    """``institution, name, place``: the projects of each education by name, one row each; a sink may nest them."""
     part = g.edge("PART_OF").join(g.project.select(F.col("project_id").alias("src_key"), "name"), "src_key")
     part = part.join(g.education.select(F.col("education_id").alias("dst_key"), "institution"), "dst_key")
-    return part.groupBy("institution").agg(F.sort_array(F.collect_set("name")).alias("projects"))
+    return ranked(part.select("institution", "name").distinct(), "institution", "name")
 
 
 def nodes_of(g: Graph, label: str) -> DataFrame:
@@ -83,21 +97,40 @@ def vocabulary(g: Graph, category: str | None = None) -> DataFrame:
     return chosen.orderBy("name")
 
 
+#: Parts of a node's edges of which each gives its own first neighbours.
+PARTS = 64
+
+
+def first_neighbours(links: DataFrame, k: int, parts: int = PARTS) -> DataFrame:
+    """``label, key, type, other_label, other_key``: the first ``k`` different neighbours of every node by (smallest) edge
+    type, label and key. Each of a node's parts gives its first ``k`` and the node's are among these, so a task reads a
+    part of a hot node and never the whole."""
+    node, order = ["label", "key"], ["type", "other_label", "other_key"]
+    one = links.groupBy(*node, "other_label", "other_key").agg(F.min("type").alias("type")).withColumn("part", F.pmod(F.xxhash64("other_label", "other_key"), F.lit(parts)))
+    for keys in ([*node, "part"], node):
+        one = one.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("n") <= k)
+    return one.select(*node, *order)
+
+
 def expand(g: Graph, start: DataFrame, hops: int = 1, cap: int = 10) -> DataFrame:
     """``start(label, key)`` -> ``root_label, root_key, label, key, hop``: each start node's surroundings.
 
     From every node of a frontier at most ``cap`` neighbours that its root hasn't seen are added, by edge type, then
-    label and key. The result of a hop is checkpointed, so lineage doesn't grow.
+    label and key. Before the last hop a root has seen 1 + cap + ... nodes at most, so no more than that many of a node's
+    first neighbours, and ``cap``, can matter: only these meet the frontier, however many edges a node has. The result of
+    a hop is checkpointed, so lineage doesn't grow.
     """
     node = ["root_label", "root_key", "label", "key"]
     seen = start.select(F.col("label").alias("root_label"), F.col("key").alias("root_key"), "label", "key", F.lit(0).alias("hop")).distinct()
     front = seen
-    links = neighbours(g).select("label", "key", "type", "other_label", "other_key")
+    links = first_neighbours(neighbours(g), cap + sum(cap**i for i in range(hops)))
+    if hops > 1:
+        links = links.checkpoint()
     for hop in range(1, hops + 1):
         near = front.select(*node).join(links, ["label", "key"])
         fresh = near.join(seen.select("root_label", "root_key", F.col("label").alias("other_label"), F.col("key").alias("other_key")), ["root_label", "root_key", "other_label", "other_key"], "left_anti")
         w = Window.partitionBy(*node).orderBy("type", "other_label", "other_key")
-        one = fresh.groupBy(*node, "other_label", "other_key").agg(F.min("type").alias("type")).withColumn("n", F.row_number().over(w)).where(F.col("n") <= cap)
+        one = fresh.withColumn("n", F.row_number().over(w)).where(F.col("n") <= cap)
         front = one.select("root_label", "root_key", F.col("other_label").alias("label"), F.col("other_key").alias("key")).distinct().withColumn("hop", F.lit(hop))
         if hop < hops:
             front = front.checkpoint()

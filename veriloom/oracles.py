@@ -29,6 +29,11 @@ def _terms(c: str) -> str:
     return f"regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+')"
 
 
+def _lists(*names: str, json: bool = False) -> str:
+    """Lists of a left join, empty where there is none."""
+    return ", ".join(f"to_json(coalesce({n}, []))::VARCHAR AS {n}" if json else f"'{n}': coalesce({n}, [])" for n in names)
+
+
 CTE: dict[str, str] = {
     "skill": """SELECT name, upper(name) AS display_name, CASE WHEN len(a) > 0 THEN a END AS aliases, category FROM (
         SELECT p_name AS name, list_sort(coalesce(list(DISTINCT lower(p_brand) || ' ' || lower(p_type)) FILTER (p_size <= 2), [])) AS a,
@@ -199,6 +204,66 @@ CTE: dict[str, str] = {
         LEFT JOIN (SELECT job_id, person_id, string_agg('**' || CASE bucket WHEN 'programming' THEN 'Languages' WHEN 'tools' THEN 'Tools' ELSE 'Capabilities' END || ':** ' || array_to_string(names, ', '), chr(10)
           ORDER BY list_position(['programming', 'tools', 'capabilities'], bucket)) AS t FROM bucketed GROUP BY ALL) USING (job_id, person_id)
         LEFT JOIN (SELECT job_id, person_id, array_to_string(list_sort(list(display_name)), ', ') AS l FROM skills WHERE category = 'language' GROUP BY ALL) USING (job_id, person_id)""",
+    "evlist": f"""SELECT person_id, canonical_skill, list({{'source': source, 'sourceType': source_type, 'relationship': relationship, 'project': project, 'role': role, 'education': education, 'professionalContext': professional_context, 'evidenceStrength': evidence_strength}} ORDER BY {SIX}) AS evidence FROM ev GROUP BY ALL""",
+    "reqsum": f"""WITH refs AS (SELECT job_id, person_id, canonical_skill, list({{'experience': experience, 'sourceType': source_type, 'evidenceStrength': evidence_strength, 'professionalContext': professional_context}} ORDER BY {SIX}) AS evidence FROM located GROUP BY ALL),
+        given AS (SELECT s.job_id, s.person_id, s.seq, list({{'capability': coalesce(capability_skill, capability_query), 'experience': evidence[1].experience, 'reason': reason, 'evidenceStrength': evidence[1].evidenceStrength}} ORDER BY place) AS given
+          FROM status s JOIN trans t USING (job_id, seq) LEFT JOIN refs r ON r.job_id = s.job_id AND r.person_id = s.person_id AND r.canonical_skill = t.capability_skill GROUP BY ALL)
+        SELECT job_id, person_id, seq, bucket, {{'requirement': raw, 'skillQuery': skill_query, 'importance': importance, 'category': category, 'matchType': match_type, 'matchConfidence': match_confidence, 'recommendation': recommendation, 'literalStatus': bucket,
+          'evidence': coalesce(evidence, []), 'transferableEvidence': coalesce(given, [])}} AS doc FROM status LEFT JOIN refs USING (job_id, person_id, canonical_skill) LEFT JOIN given USING (job_id, person_id, seq)""",
+    "buckets": "SELECT job_id, person_id, list(doc ORDER BY seq) FILTER (bucket = 'matched') AS matched, list(doc ORDER BY seq) FILTER (bucket = 'partial') AS partial, list(doc ORDER BY seq) FILTER (bucket = 'gap') AS gaps FROM reqsum GROUP BY ALL",
+    "context_docs": f"""WITH given AS (SELECT s.job_id, s.person_id, s.seq, list({{'capabilityQuery': capability_query, 'canonicalSkill': capability_skill, 'matchType': capability_match, 'reason': reason, 'source': source, 'evidence': coalesce(evidence, [])}} ORDER BY place) AS given
+          FROM status s JOIN trans t USING (job_id, seq) LEFT JOIN evlist v ON v.person_id = s.person_id AND v.canonical_skill = t.capability_skill GROUP BY ALL),
+        m AS (SELECT job_id, person_id, seq, bucket, {{'requirement': raw, 'skillQuery': skill_query, 'importance': importance, 'category': category, 'matchType': match_type, 'canonicalSkill': canonical_skill, 'confidence': match_confidence, 'recommendation': recommendation,
+          'evidence': coalesce(evidence, []), 'transferableEvidence': coalesce(given, [])}} AS doc FROM status LEFT JOIN evlist USING (person_id, canonical_skill) LEFT JOIN given USING (job_id, person_id, seq)),
+        mb AS (SELECT job_id, person_id, list(doc ORDER BY seq) FILTER (bucket = 'matched') AS matched, list(doc ORDER BY seq) FILTER (bucket = 'partial') AS partial, list(doc ORDER BY seq) FILTER (bucket = 'gap') AS gaps FROM m GROUP BY ALL),
+        asked AS (SELECT job_id, list({{'raw': raw, 'skillQuery': skill_query, 'importance': importance, 'category': category, 'relatedCapabilities': CASE WHEN cap IS NULL THEN [] ELSE [{{'skillQuery': cap, 'reason': 'named next', 'source': 'llm_semantic'}}] END}} ORDER BY seq) AS requirements FROM req GROUP BY ALL),
+        told AS (SELECT job_id, person_id, story_type, label, list({{'description': description, 'matchedSkills': matched_skills, 'evidenceStrength': evidence_strength, 'hasMetric': has_metric}} ORDER BY first_seen) AS told FROM sach GROUP BY ALL),
+        st AS (SELECT job_id, person_id, list({{'label': label, 'sourceType': source_type, 'project': project, 'roleTitle': role_title, 'company': company, 'type': type, 'domain': domain, 'context': context, 'description': description, 'personRole': person_role, 'startDate': start_date, 'endDate': end_date,
+          'location': location, 'workMode': work_mode, 'education': education, 'program': program, 'status': status, 'professionalContext': professional_context, 'evidenceStrength': evidence_strength, 'directSkills': direct_skills, 'strongestAchievements': coalesce(told, []),
+          'supportsRequirements': supports, 'requiredCount': required_count}} ORDER BY rank) AS stories FROM story LEFT JOIN told USING (job_id, person_id, story_type, label) GROUP BY ALL),
+        sk AS (SELECT job_id, person_id, list({{'name': name, 'displayName': display_name, 'category': category}} ORDER BY name) AS skills FROM skills GROUP BY ALL)
+        SELECT job_id, person_id, {{'requirements': coalesce(requirements, []), 'matchedRequirements': coalesce(matched, []), 'partialRequirements': coalesce(partial, []), 'gaps': coalesce(gaps, []), 'evidenceStories': coalesce(stories, []), 'skills': coalesce(sk.skills, []),
+          'cvGuidance': {{'targetingPrinciples': ['Lead with evidence for what the job requires.', 'A gap stays a gap, whatever related evidence there is.']}}}} AS doc
+        FROM app LEFT JOIN asked USING (job_id) LEFT JOIN mb USING (job_id, person_id) LEFT JOIN st USING (job_id, person_id) LEFT JOIN sk USING (job_id, person_id)""",
+    "structured_docs": r"""WITH b AS (SELECT *, list_transform(bullets, lambda x: {'text': regexp_replace(x, ' \[[^\]]*\]$', ''), 'evidenceIds': [regexp_extract(x, ' \[([^\]]*)\]$', 1)]}) AS shown FROM (SELECT *, 'experience' AS section FROM exp_entries UNION ALL SELECT *, 'project' FROM pro_entries UNION ALL SELECT *, 'education' FROM edu_entries)),
+        e AS (SELECT job_id, person_id, list({'title': title, 'organization': organization, 'location': location, 'startDate': start_date, 'endDate': end_date, 'bullets': shown} ORDER BY rank, title) FILTER (section = 'experience') AS experience,
+          list({'name': title, 'role': organization, 'context': location, 'startDate': start_date, 'endDate': end_date, 'bullets': shown} ORDER BY rank, title) FILTER (section = 'project') AS projects,
+          list({'institution': title, 'program': location, 'startDate': start_date, 'endDate': end_date, 'bullets': shown} ORDER BY rank, title) FILTER (section = 'education') AS education FROM b GROUP BY ALL),
+        s AS (SELECT job_id, person_id, any_value(names) FILTER (bucket = 'programming') AS programming, any_value(names) FILTER (bucket = 'tools') AS tools, any_value(names) FILTER (bucket = 'capabilities') AS capabilities FROM bucketed GROUP BY ALL),
+        l AS (SELECT job_id, person_id, list(display_name ORDER BY display_name) AS languages FROM skills WHERE category = 'language' GROUP BY ALL)
+        SELECT job_id, person_id, {'name': c_name, 'headline': headline, 'profile': profile, 'experience': coalesce(experience, []), 'projects': coalesce(projects, []), 'education': coalesce(education, []),
+          'skills': {'programming': coalesce(programming, []), 'frameworks': []::VARCHAR[], 'databases': []::VARCHAR[], 'tools': coalesce(tools, []), 'capabilities': coalesce(capabilities, [])}, 'languages': coalesce(languages, [])} AS doc
+        FROM prof JOIN customer ON c_custkey::VARCHAR = person_id LEFT JOIN e USING (job_id, person_id) LEFT JOIN s USING (job_id, person_id) LEFT JOIN l USING (job_id, person_id)""",
+    "translist": f"""WITH f AS (SELECT job_id, person_id, canonical_skill AS capability_skill, first(experience ORDER BY {SIX}) AS experience FROM located GROUP BY ALL)
+        SELECT job_id, person_id, seq, raw, bucket, CASE bucket WHEN 'gap' THEN 1 WHEN 'partial' THEN 2 WHEN 'matched' THEN 3 ELSE 0 END AS status_order, place, coalesce(capability_skill, capability_query) AS capability, experience, reason
+        FROM status JOIN trans USING (job_id, seq) LEFT JOIN f USING (job_id, person_id, capability_skill)""",
+    "package_docs": f"""WITH origin AS (SELECT job_id, person_id, class, group_key, list({{'sourceType': source_type, 'project': CASE WHEN NOT (class = 'education' AND source_type = 'Education') THEN project END, 'role': CASE WHEN class = 'education' THEN CASE WHEN source_type = 'Role' THEN label END ELSE role_title END,
+          'company': CASE WHEN class = 'professional' OR (class = 'education' AND source_type = 'Role') THEN company END, 'education': CASE WHEN class = 'education' THEN home END,
+          'relationship': CASE WHEN class = 'professional' AND project IS NOT NULL THEN 'DURING' WHEN class = 'education' AND source_type = 'Project' THEN 'PART_OF' END}} ORDER BY rank) AS origins FROM parts GROUP BY ALL),
+        fnd AS (SELECT job_id, person_id, class, group_key, list({{'achievementId': achievement_id, 'text': text, 'metric': metric, 'hasMetric': regexp_matches(text, '{METRIC}') OR metric IS NOT NULL, 'skills': sk}} ORDER BY rank, text) AS achs FROM achev GROUP BY ALL),
+        homes AS (SELECT DISTINCT job_id, person_id, class, group_key FROM parts WHERE class = 'education'),
+        mine AS (SELECT DISTINCT b.src_key AS person_id, institution AS group_key, name FROM edges b JOIN edges p ON p.type = 'PART_OF' AND p.src_key = b.dst_key JOIN project ON project_id = b.dst_key JOIN education ON education_id = p.dst_key WHERE b.type = 'BUILT'),
+        unused AS (SELECT h.*, list(name ORDER BY name) AS unused FROM homes h JOIN mine USING (person_id, group_key) WHERE NOT EXISTS (FROM parts u WHERE u.class = 'education' AND u.source_type = 'Project' AND u.job_id = h.job_id AND u.person_id = h.person_id AND u.group_key = h.group_key AND u.project = mine.name) GROUP BY ALL),
+        ex AS (SELECT job_id, person_id, list_position(['professional', 'independent', 'education'], class) AS kind, first_rank AS place, group_key, {{'experienceId': experience_id, 'experienceType': experience_type, 'title': title, 'personRole': person_role, 'organization': organization,
+          'institution': CASE WHEN class = 'education' THEN group_key END, 'program': program, 'status': status, 'location': location, 'startDate': start_date, 'endDate': end_date, 'workMode': work_mode, 'projects': CASE WHEN class = 'independent' THEN [] ELSE projects END, 'roles': []::VARCHAR[],
+          'referenceProjects': coalesce(unused, []), 'relevance': {{'score': score, 'supportedRequirements': supported}}, 'skills': skills, 'technologies': technologies, 'achievements': coalesce(achs, []), 'metrics': metrics, 'provenance': coalesce(origins, []), 'recommendation': recommendation,
+          'recommendationReason': reason}} AS d FROM x LEFT JOIN origin USING (job_id, person_id, class, group_key) LEFT JOIN fnd USING (job_id, person_id, class, group_key) LEFT JOIN unused USING (job_id, person_id, class, group_key)),
+        zero AS (SELECT job_id, person_id, 4 AS kind, group_key, experience_id, experience_type, title, organization, start_date, reason FROM zr UNION ALL SELECT job_id, person_id, 5, group_key, experience_id, experience_type, title, NULL, NULL, reason FROM zp),
+        none AS (SELECT job_id, person_id, kind, 0 AS place, group_key, {{'experienceId': experience_id, 'experienceType': experience_type, 'title': title, 'personRole': NULL::VARCHAR, 'organization': organization, 'institution': NULL::VARCHAR, 'program': NULL::VARCHAR, 'status': NULL::VARCHAR, 'location': NULL::VARCHAR,
+          'startDate': start_date, 'endDate': NULL::VARCHAR, 'workMode': NULL::VARCHAR, 'projects': []::VARCHAR[], 'roles': []::VARCHAR[], 'referenceProjects': []::VARCHAR[], 'relevance': {{'score': 0.0::DOUBLE, 'supportedRequirements': []::VARCHAR[]}}, 'skills': []::VARCHAR[], 'technologies': []::VARCHAR[],
+          'achievements': [], 'metrics': []::VARCHAR[], 'provenance': [], 'recommendation': 'omit', 'recommendationReason': reason}} AS d FROM zero),
+        exs AS (SELECT job_id, person_id, list(j ORDER BY kind, place, group_key) AS experiences FROM (SELECT job_id, person_id, kind, place, group_key, to_json(d) AS j FROM ex UNION ALL SELECT job_id, person_id, kind, place, group_key, to_json(d) FROM none) GROUP BY ALL),
+        ord AS (SELECT job_id, person_id, list(experience_id ORDER BY score DESC, CASE WHEN experience_type = 'professional' THEN 0 ELSE 1 END, CASE class WHEN 'professional' THEN 1 WHEN 'independent' THEN 2 ELSE 3 END, first_rank) AS ids FROM x GROUP BY ALL),
+        giv AS (SELECT job_id, person_id, list({{'requirement': raw, 'literalStatus': bucket, 'capability': capability, 'experience': experience, 'reason': reason}} ORDER BY status_order, seq, place) AS given FROM translist GROUP BY ALL),
+        lit AS (SELECT DISTINCT job_id, person_id, canonical_skill AS name FROM status WHERE bucket IN ('matched', 'partial')), oth AS (SELECT DISTINCT job_id, person_id, capability_skill AS name FROM status JOIN trans USING (job_id, seq) EXCEPT SELECT * FROM lit),
+        rel AS (SELECT job_id, person_id, list({{'name': name, 'displayName': display_name, 'category': category, 'relevance': relevance}} ORDER BY relevance, name) AS relevant FROM skills JOIN (SELECT *, 'literal' AS relevance FROM lit UNION ALL SELECT *, 'transferable' FROM oth) USING (job_id, person_id, name) WHERE category <> 'language' GROUP BY ALL),
+        shw AS (SELECT job_id, person_id, name, list_sort(list(DISTINCT label)) AS labels FROM (SELECT job_id, person_id, label, unnest(direct_skills) AS name FROM story) GROUP BY ALL),
+        lan AS (SELECT job_id, person_id, list({{'name': display_name, 'proficiency': NULL::VARCHAR, 'evidence': coalesce(labels, [])}} ORDER BY name) AS languages FROM skills LEFT JOIN shw USING (job_id, person_id, name) WHERE category = 'language' GROUP BY ALL),
+        thn AS (SELECT DISTINCT job_id, person_id, canonical_skill AS name FROM status WHERE bucket IN ('matched', 'partial') UNION SELECT job_id, person_id, name FROM skills WHERE category <> 'language'), tho AS (SELECT job_id, person_id, split_part(name, ' ', -1) AS noun, count(*) AS overlap FROM thn GROUP BY ALL),
+        thp AS (SELECT *, row_number() OVER (PARTITION BY job_id, person_id ORDER BY overlap DESC, list_position(['ring','bolt','plate','rod','gear','gizmo','anvil','widget'], noun)) AS place FROM tho), thm AS (SELECT job_id, person_id, list('theme ' || noun ORDER BY place) AS themes FROM thp WHERE place <= 5 GROUP BY ALL)
+        SELECT job_id, person_id, {{'experiences': coalesce(experiences, []), 'recommendedExperienceOrder': coalesce(ids, []), 'requirements': {{{_lists('matched', 'partial', 'gaps')}}}, 'transferableEvidence': coalesce(given, []), 'relevantSkills': coalesce(relevant, []), 'languages': coalesce(lan.languages, []),
+          'strongestThemes': coalesce(themes, [])}} AS doc FROM app LEFT JOIN exs USING (job_id, person_id) LEFT JOIN ord USING (job_id, person_id) LEFT JOIN buckets USING (job_id, person_id) LEFT JOIN giv USING (job_id, person_id) LEFT JOIN rel USING (job_id, person_id)
+          LEFT JOIN lan USING (job_id, person_id) LEFT JOIN thm USING (job_id, person_id)""",
     "wskill": rf"""SELECT name, upper(name) AS display_name, list_sort(list(DISTINCT alias)) AS aliases, CASE WHEN length(name) % 2 = 0 THEN 'tool' ELSE 'capability' END AS category FROM (
         SELECT array_to_string(w[1:2], ' ') AS name, array_to_string(w[3:4], ' ') AS alias FROM (SELECT regexp_split_to_array(lower(text), '\s+') AS w FROM benchmark)) WHERE len({_terms('name')}) > 0 GROUP BY 1""",
     "cands": "SELECT name AS skill, category, unnest(list_concat([name], aliases)) AS c, generate_subscripts(list_concat([name], aliases), 1) AS place FROM wskill",
@@ -233,7 +298,7 @@ ORACLES: dict[str, str] = {
         FROM edges h JOIN role ON role_id = h.dst_key LEFT JOIN edges a ON a.type = 'AT' AND a.src_key = role_id WHERE h.type = 'HAD_ROLE'""",
     "b03_person_projects": "SELECT src_key AS person_id, project_id, name, row_number() OVER (PARTITION BY src_key ORDER BY name, project_id) AS place FROM edges JOIN project ON project_id = dst_key WHERE edges.type = 'BUILT'",
     "b04_person_education": "SELECT c_custkey::VARCHAR AS person_id, c_name AS name, education_id, institution, program FROM customer LEFT JOIN edges ON type = 'STUDIED_AT' AND src_key = c_custkey::VARCHAR LEFT JOIN education ON education_id = dst_key",
-    "b05_curriculum_projects": "SELECT institution, array_to_string(list_sort(list(DISTINCT name)), '|') AS projects FROM edges JOIN project ON project_id = src_key JOIN education ON education_id = dst_key WHERE edges.type = 'PART_OF' GROUP BY 1",
+    "b05_curriculum_projects": "SELECT institution, name, row_number() OVER (PARTITION BY institution ORDER BY name) AS place FROM (SELECT DISTINCT institution, name FROM edges JOIN project ON project_id = src_key JOIN education ON education_id = dst_key WHERE edges.type = 'PART_OF')",
     "b06_nodes_of_label": "SELECT * FROM role",
     "b07_neighbours": "SELECT src_label AS label, src_key AS key, 'out' AS direction, type, dst_label AS other_label, dst_key AS other_key FROM edges UNION ALL SELECT dst_label, dst_key, 'in', type, src_label, src_key FROM edges",
     "b08_node_refs": "SELECT label || ':' || key AS ref FROM nodes",
@@ -321,7 +386,7 @@ ORACLES: dict[str, str] = {
     "f15_curriculum": "SELECT DISTINCT institution, name FROM edges JOIN project ON project_id = src_key JOIN education ON education_id = dst_key WHERE edges.type = 'PART_OF'",
     "f16_order": f"""SELECT {JPX}, experience_id, title, experience_type, score, row_number() OVER (PARTITION BY {JPX} ORDER BY score DESC, CASE WHEN experience_type = 'professional' THEN 0 ELSE 1 END, CASE class WHEN 'professional' THEN 1 WHEN 'independent' THEN 2 ELSE 3 END, first_rank) AS place FROM x""",
     "f17_registry": "SELECT * FROM reg",
-    "f18_requirement_summary": f"SELECT s.job_id, s.person_id, seq, raw, importance, match_type, bucket AS literal_status, source, source_type, relationship, project, experience, evidence_strength FROM status s LEFT JOIN located l USING (job_id, person_id, canonical_skill)",
+    "f18_requirement_summary": "SELECT job_id, person_id, seq, doc.requirement, doc.skillQuery, doc.importance, doc.category, doc.matchType, doc.matchConfidence, doc.recommendation, doc.literalStatus, to_json(doc.evidence)::VARCHAR AS evidence, to_json(doc.transferableEvidence)::VARCHAR AS transferableEvidence FROM reqsum",
     "f19_transferable_list": f"""WITH f AS (SELECT job_id, person_id, canonical_skill AS capability_skill, first(experience ORDER BY {SIX}) AS experience, first(evidence_strength ORDER BY {SIX}) AS evidence_strength FROM located GROUP BY ALL)
         SELECT {JPX}, seq, raw, bucket AS literal_status, CASE bucket WHEN 'gap' THEN 1 WHEN 'partial' THEN 2 WHEN 'matched' THEN 3 ELSE 0 END AS status_order, place, coalesce(capability_skill, capability_query) AS capability, experience, evidence_strength, reason
         FROM status JOIN trans USING (job_id, seq) LEFT JOIN f USING (job_id, person_id, capability_skill)""",
@@ -351,7 +416,12 @@ ORACLES: dict[str, str] = {
     "g17_audit": """SELECT job_id, person_id, 'gap_named' AS issue, what FROM (SELECT DISTINCT job_id, person_id, skill_query AS what FROM status WHERE bucket = 'gap') JOIN rendered USING (job_id, person_id)
         WHERE regexp_matches(lower(text), '(^|[^a-z0-9])' || regexp_escape(what) || '([^a-z0-9]|$)')
         UNION ALL SELECT job_id, person_id, 'banned_phrase', what FROM rendered, unnest(['Note on role alignment', 'Skills used:', 'Evidence-backed match', 'no evidence found', 'match-confidence', 'matchConfidence']) AS b(what) WHERE contains(lower(text), lower(what))""",
-    "g16_prompts": "SELECT doc_id::VARCHAR AS job_id, md5('List the hiring requirements of the following text as JSON, each with its wording, a short skill query, an importance and a category.' || chr(10) || chr(10) || 'TEXT:' || chr(10) || chr(10) || text) AS prompt_md5 FROM documents",
+    "f18_requirement_buckets": f"SELECT {JPX}, {_lists('matched', 'partial', 'gaps', json=True)} FROM app LEFT JOIN buckets USING (job_id, person_id)",
+    "e14_context_documents": "SELECT job_id, person_id, to_json(doc)::VARCHAR AS context FROM context_docs",
+    "f24_packages": "SELECT job_id, person_id, to_json(doc)::VARCHAR AS package FROM package_docs",
+    "g14_structured_documents": "SELECT job_id, person_id, to_json(doc)::VARCHAR AS document FROM structured_docs",
+    "g16_prompts": """SELECT 'extraction' AS kind, doc_id::VARCHAR AS job_id, NULL AS person_id, 'List the hiring requirements of the following text as JSON, each with its wording, a short skill query, an importance and a category.' || chr(10) || chr(10) || 'TEXT:' || chr(10) || chr(10) || coalesce(text, '') AS prompt FROM documents
+        UNION ALL SELECT 'document', job_id, person_id, 'Write a short professional document from this context. Claim nothing that it does not support.' || chr(10) || chr(10) || 'CONTEXT:' || chr(10) || chr(10) || to_json(doc)::VARCHAR FROM context_docs""",
 }
 
 

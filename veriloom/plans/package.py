@@ -227,14 +227,3 @@ def themes(status: DataFrame, skills: DataFrame, rules: DataFrame | None = None)
     found = names.join(rows, "name").groupBy(*JP, "rule", "theme").agg(F.count("*").alias("overlap"))
     place = F.row_number().over(Window.partitionBy(*JP).orderBy(F.desc("overlap"), "rule"))
     return found.withColumn("place", place).where("place <= 5").select(*JP, "place", "theme", "overlap")
-
-
-def packages(x: DataFrame, zr: DataFrame, zp: DataFrame, applications: DataFrame) -> DataFrame:
-    """One nested document per job and person."""
-    wanted = ["experience_id", "experience_type", "title", "organization", "start_date", "end_date", "score", "recommendation", "reason"]
-    every = None
-    for df in (x, zr, zp):
-        one = df.select(*JP, *[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in wanted])
-        every = one if every is None else every.unionByName(one)
-    docs = every.groupBy(*JP).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("by"), *wanted))).alias("experiences"))
-    return applications.join(docs, JP, "left")

@@ -15,6 +15,7 @@ from veriloom.operators import graph_reads as GR
 from veriloom.operators import ingest as IN
 from veriloom.plans import documents as D
 from veriloom.plans import evidence as E
+from veriloom.plans import nested as N
 from veriloom.plans import package as P
 from veriloom.plans import resolve as R
 from veriloom.plans import stories as S
@@ -127,6 +128,32 @@ class Tables:
     def texts(self) -> DataFrame:
         return D.rendered(self.bullets, self.routed, self.skills, self.app, self.g)
 
+    @stage
+    def summaries(self) -> DataFrame:
+        return N.requirement_summaries(self.status, self.trans, self.ev, self.reg, self.app)
+
+    @stage
+    def contexts(self) -> DataFrame:
+        return N.contexts(self.req, N.requirement_matches(self.status, self.trans, self.ev), self.stories, self.skills, self.app, GUIDANCE)
+
+    @stage
+    def packages(self) -> DataFrame:
+        made = N.experiences(self.x, self.parts, self.zr, self.zp, self.g)
+        given = P.transferable_list(self.trans, self.status, self.ev, self.reg, self.app)
+        return N.packages(made, P.order(self.x), self.summaries, given, P.relevant_skills(self.status, self.trans, self.skills), P.languages(self.stories, self.skills), self.themes, self.app)
+
+    @stage
+    def structured(self) -> DataFrame:
+        return N.structured(self.bullets, self.routed, self.skills, self.app, self.g)
+
+    @cached_property
+    def themes(self) -> DataFrame:
+        nouns = ["ring", "bolt", "plate", "rod", "gear", "gizmo", "anvil", "widget"]
+        rules = self.spark.createDataFrame([(i, x, f"theme {x}") for i, x in enumerate(nouns)], "rule int, noun string, theme string")
+        noun = F.element_at(F.split("name", " "), -1)
+        named = self.g.skill.select("name", noun.alias("noun")).distinct().join(F.broadcast(rules), "noun").select("name", "rule", "theme")
+        return P.themes(self.status, self.skills, named)
+
     @cached_property
     def documents(self) -> DataFrame:
         return spread(self.read("documents").select("doc_id", "text"))
@@ -266,7 +293,7 @@ def _(t):
 
 @query("b05_curriculum_projects")
 def _(t):
-    return plain(GR.curriculum_projects(t.g))
+    return GR.curriculum_projects(t.g)
 
 
 @query("b06_nodes_of_label")
@@ -584,11 +611,7 @@ def _(t):
 
 @query("e14_context_documents")
 def _(t):
-    counts = E.summary(t.status, t.trans)
-    top = t.stories.groupBy(*JP).agg(F.sort_array(F.collect_list(F.struct("rank", "label", "evidence_strength"))).alias("stories"))
-    skills = t.skills.groupBy(*JP).agg(F.array_sort(F.collect_list("name")).alias("skills"))
-    doc = counts.join(top, JP, "left").join(skills, JP, "left")
-    return doc.select(*JP, F.to_json(F.struct(*[c for c in doc.columns if c not in JP])).alias("context"))
+    return t.contexts.select(*JP, N.as_json("context").alias("context"))
 
 
 # ---- packages
@@ -675,10 +698,13 @@ def _(t):
 
 @query("f18_requirement_summary")
 def _(t):
-    ev = P.located(t.app.join(t.ev, "person_id"), t.reg)
-    # requirements without evidence stay: a gap is part of the summary
-    one = t.status.select(*JP, "seq", "raw", "importance", "canonical_skill", "match_type", "bucket").join(ev, [*JP, "canonical_skill"], "left")
-    return one.select(*JP, "seq", "raw", "importance", "match_type", F.col("bucket").alias("literal_status"), "source", "source_type", "relationship", "project", "experience", "evidence_strength")
+    fields = ["requirement", "skillQuery", "importance", "category", "matchType", "matchConfidence", "recommendation", "literalStatus"]
+    return t.summaries.select(*JP, "seq", *[f"summary.{f}" for f in fields], *[N.as_json(f"summary.{f}").alias(f) for f in ("evidence", "transferableEvidence")])
+
+
+@query("f18_requirement_buckets")
+def _(t):
+    return N.requirement_buckets(t.summaries, t.app).select(*JP, *[N.as_json(b).alias(b) for b in N.BUCKETS])
 
 
 @query("f19_transferable_list")
@@ -698,10 +724,7 @@ def _(t):
 
 @query("f22_themes")
 def _(t):
-    nouns = ["ring", "bolt", "plate", "rod", "gear", "gizmo", "anvil", "widget"]
-    rules = t.spark.createDataFrame([(i, x, f"theme {x}") for i, x in enumerate(nouns)], "rule int, noun string, theme string")
-    named = t.g.skill.select("name").distinct().join(F.broadcast(rules), F.expr("endswith(name, noun)")).select("name", "rule", "theme")
-    return P.themes(t.status, t.skills, named)
+    return t.themes
 
 
 @query("f23_provenance")
@@ -711,7 +734,7 @@ def _(t):
 
 @query("f24_packages")
 def _(t):
-    return P.packages(t.x, t.zr, t.zp, t.app).select(*JP, F.to_json("experiences").alias("package"))
+    return t.packages.select(*JP, N.as_json("package").alias("package"))
 
 
 # ---- documents
@@ -784,9 +807,7 @@ def _(t):
 
 @query("g14_structured_documents")
 def _(t):
-    parts = D.entries(t.bullets).groupBy(*JP).agg(F.sort_array(F.collect_list(F.struct("section", "rank", "title", "organization", "location", "start_date", "end_date", "bullets"))).alias("sections"))
-    doc = D.profiles(t.routed, t.skills, t.app).join(parts, JP, "left").join(D.language_names(t.skills), JP, "left")
-    return doc.select(*JP, F.to_json(F.struct(*[c for c in doc.columns if c not in JP])).alias("document"))
+    return t.structured.select(*JP, N.as_json("document").alias("document"))
 
 
 @query("g15_rendered_text")
@@ -795,11 +816,13 @@ def _(t):
 
 
 INSTRUCTION = "List the hiring requirements of the following text as JSON, each with its wording, a short skill query, an importance and a category.\n\nTEXT:\n\n"
+WRITING = "Write a short professional document from this context. Claim nothing that it does not support.\n\nCONTEXT:\n\n"
+GUIDANCE = ["Lead with evidence for what the job requires.", "A gap stays a gap, whatever related evidence there is."]
 
 
 @query("g16_prompts")
 def _(t):
-    return t.jobs.select("job_id", F.md5(F.concat(F.lit(INSTRUCTION), "text").cast("binary")).alias("prompt_md5"))
+    return N.prompts(t.jobs, INSTRUCTION, t.contexts, WRITING)
 
 
 @query("g17_audit")
