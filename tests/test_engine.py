@@ -1,8 +1,12 @@
 """The evidence engine on hand-built rows, and its invariants over the star-schema tables."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 from veriloom.functions import text as X
+from veriloom.functions.bloom import filter_of, may_hold
 from veriloom.operators import extract as EX
 from veriloom.operators import graph_reads as GR
 from veriloom.operators import ingest as IN
@@ -10,6 +14,7 @@ from veriloom.plans import evidence as E
 from veriloom.plans import package as P
 from veriloom.plans import resolve as R
 from veriloom.plans import stories as S
+from veriloom.plans.nested import assembled
 from veriloom.queries import Tables
 from veriloom.sources.graph import Graph
 
@@ -139,15 +144,42 @@ def test_requirement_lists(spark):
     assert [(r.job_id, r.raw) for r in valid.collect()] == [("ok", "r")] and sorted(r.job_id for r in rejected.collect()) == [f"bad{i}" for i in range(len(bad))]
 
 
-def test_documents_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([("j1", "p", None), ("j2", "q", "x")], "job_id string, person_id string, note string")
-    IN.write_documents(df, str(tmp_path / "out"))
-    got = IN.read_staged(spark, str(tmp_path / "out"), "person_id string, note string, job_id string")
-    assert rows(got.select("job_id", "person_id", "note")) == rows(df)
-    (tmp_path / "t").mkdir()
-    (tmp_path / "t" / "a.txt").write_text("a job\nof two lines")
-    (tmp_path / "t" / "b.txt").write_text(" \n ")
-    assert [r.text for r in IN.read_jobs(spark, str(tmp_path / "t")).collect()] == ["a job\nof two lines"]
+def test_job_files(spark, tmp_path):
+    d = tmp_path / "t"
+    d.mkdir()
+    for name, content in {"a.txt": b"a job\nof two lines", "b.txt": b" \n ", "c.txt": b"caf\xe9", "d.txt": b"x" * 101, "e.txt": b"", "f.md": b"no job"}.items():
+        (d / name).write_bytes(content)
+    texts, rejected = IN.read_jobs(spark, str(d), 100)
+    assert rows(texts) == [("a", "a job\nof two lines")]
+    assert rows(rejected) == [("b", "blank"), ("c", "undecodable"), ("d", "too_large")]  # Spark doesn't list files without bytes
+    plan = texts._jdf.queryExecution().toString()
+    assert "LessThanOrEqual(length,100)" in plan  # by the listing, before a file is read
+    IN.write_job_files(spark.createDataFrame([("x", "é\n"), ("y", None)], "job_id string, text string"), "file://" + str(tmp_path / "out"))
+    texts, rejected = IN.read_jobs(spark, str(tmp_path / "out"))
+    assert rows(texts) == [("x", "é\n")] and rejected.count() == 0
+
+
+@pytest.mark.parametrize("kind", IN.KINDS)
+def test_documents_round_trip(spark, tmp_path, kind):
+    path = str(tmp_path / "out")
+    schema = "job_id string, person_id string, doc struct<note:string,items:array<struct<k:string,v:long>>>"
+    data = [(f"j{i}", None if i % 3 else "p", (None if i % 2 else f"n{i}", [("b", i), ("a", None)][: i % 3])) for i in range(300)]
+    df = spark.createDataFrame(data, schema)
+    IN.write_documents(df.where("job_id < 'j2'"), path, kind)
+    IN.write_documents(df, path, kind, records=7)
+    assert rows(IN.read_staged(spark, path, kind, df.schema)) == rows(df)  # the latest run counts
+    known = IN.manifest(spark, path, kind)
+    assert known.agg(F.sum("n")).first()[0] == 300 and known.agg(F.max("n")).first()[0] <= 7 and known.where("low > high").count() == 0
+    some = IN.read_staged(spark, path, kind, df.schema, jobs=["j7", "j211", "none"])
+    assert [r.job_id for r in some.orderBy("job_id").collect()] == ["j211", "j7"]
+    assert len(some.inputFiles()) < known.count() / 4  # the others aren't opened
+    (tmp_path / "out" / kind / "data-99999999999999999999-lost").mkdir()  # a run without a manifest isn't read
+    (tmp_path / "out" / kind / "data-99999999999999999999-lost" / "part.json").write_text("{broken")
+    assert IN.read_staged(spark, path, kind, df.schema).count() == 300
+    with pytest.raises(Exception):
+        IN.read_staged(spark, path, kind, "job_id long, doc string").collect()
+    with pytest.raises(ValueError):
+        IN.write_documents(df, path, "story")
 
 
 # ---- extraction
@@ -161,16 +193,94 @@ def test_keywords(spark, skill):
     assert got["j", "typescript"].raw.startswith("We use Postgres") and got["j", "postgresql"].category == "technology"
 
 
+def brute_keywords(texts, names):
+    found = set()
+    for job, text in texts:
+        low = text.lower()
+        for skill, candidates in names:
+            if any(re.search(f"(?<![a-z0-9]){re.escape(c.lower())}(?![a-z0-9])", low) for c in candidates if c):
+                found.add((job, skill))
+    return found
+
+
+def test_keywords_equal_brute_force(spark):
+    r = random.Random(14)
+    words = ["api", "rest", "design", "c++", "c#", "++", "—", "é", "ß1", "of", "the", "x-y", "(a)", "a.b"]
+    names = [(f"s{i} " + " ".join(r.sample(words, r.choice([1, 2, 3]))), [r.choice(words) + r.choice(["", " ", "-"]) + r.choice(words) for _ in range(2)] + [r.choice([*words, "", None])]) for i in range(60)]
+    names = [(n.split(" ", 1)[1] if i % 2 else n, a) for i, (n, a) in enumerate(names)]
+    names = list({n: a for n, a in names}.items())
+    texts = [(str(i), r.choice(["", " ", "."]).join(r.choice(words) + r.choice([" ", " ", "", "-"]) for _ in range(r.choice([1, 6, 40])))) for i in range(150)]
+    skill = spark.createDataFrame([(n, n.upper(), [x for x in a], "tool") for n, a in names], "name string, display_name string, aliases array<string>, category string")
+    got = {(x.job_id, x.skill_query) for x in EX.keyword_requirements(spark.createDataFrame(texts, "job_id string, text string"), skill).collect()}
+    assert got == brute_keywords(texts, [(n, [n, *(x or "" for x in a)]) for n, a in names])
+
+
+def test_large_vocabulary(spark):
+    skill = spark.range(200_000).selectExpr("concat('tool ', hex(id * 7919), ' kit') as name", "upper('x') as display_name", "array(concat('alias', id)) as aliases", "'tool' as category")
+    texts = [("a", "We need tool 1EEF kit and alias77, not alias777777."), ("b", "toolkit"), ("c", "tool 0 kit" * 3), ("d", "the tool 0 kit kit")]
+    df = EX.keyword_requirements(spark.createDataFrame(texts, "job_id string, text string"), skill)
+    assert {(r.job_id, r.skill_query) for r in df.collect()} == {("a", "tool 1EEF kit"), ("a", f"tool {77 * 7919:X} kit"), ("d", "tool 0 kit")}
+    assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bloom_filter_never_says_no_to_its_own(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    other = spark.range(5000, 105_000).select(F.xxhash64("id").alias("h"))
+    for bits in (10, 22):
+        assert keys.where(may_hold(filter_of(keys, bits), F.col("h"), bits)).count() == 5000
+    assert other.where(may_hold(filter_of(keys), F.col("h"))).count() < 500
+    assert other.where(may_hold(filter_of(keys.limit(0)), F.col("h"))).count() == 0
+
+
+def brute_same(cached, pasted):
+    flat = lambda t: " ".join(re.split("[" + EX.WHITE[1:-2] + "]+", t or "")).strip(" ")
+    probes = [(i, flat(t)[:200]) for i, t in cached]
+    return sorted((i, d) for i, p in probes for d, t in pasted if len(p) > 40 and p in flat(t))
+
+
 def test_same_document(spark):
     long = "This is a job description with a fair number of words in it, so that the probe is long enough to count"
-    cached = spark.createDataFrame([(1, long), (2, "too short to count"), (3, None), (4, "x" * 50)], "item_id long, text string")
-    pasted = spark.createDataFrame([(1, "  " + long.replace(" ", "\n ") + " "), (2, "Pre" + long + "post"), (3, "unrelated text"), (4, ""), (5, None), (6, "a " + "x" * 60)], "doc_id long, text string")
-    assert rows(EX.same_document(cached, pasted)) == [(1, 1), (1, 2), (4, 6)]
+    cached = [(1, long), (2, "too short to count"), (3, None), (4, "x" * 50), (5, "y" * 25 + " " + "z" * 30), (6, "one " + "w" * 45 + " end"), (7, "a b " + "v" * 40 + " c d"), (8, long + " but other in the end " * 20), (9, long)]
+    pasted = [(1, "  " + long.replace(" ", "\u2003\n ") + " "), (2, "Pre" + long + "post"), (3, "unrelated text"), (4, ""), (5, None), (6, "a " + "x" * 60), (7, "q" + "y" * 25 + "\t" + "z" * 31), (8, "no " * 30 + "one " + "w" * 45 + " ending"),
+        (9, "xa b " + "v" * 40 + " c dy"), (10, (long + " but other in the end " * 20)[:250]), (11, long[:-1])]
+    got = rows(EX.same_document(spark.createDataFrame(cached, "item_id long, text string"), spark.createDataFrame(pasted, "doc_id long, text string")))
+    assert sorted(got) == brute_same(cached, pasted) and (5, 7) in got and (6, 8) in got and (7, 9) in got and (4, 6) in got
 
 
 # ---- graph
 
 
+def star(spark, n, g):
+    """The graph with one node that has ``n`` edges."""
+    edges = spark.range(n).selectExpr("'USED' as type", "'Project' as src_label", "cast(id as string) as src_key", "'Skill' as dst_label", "'hub' as dst_key")
+    return Graph(**{**g.__dict__, "edges": edges})
+
+
+def test_expansion_of_a_hot_node(spark):
+    g = star(spark, 200_000, Tables.of(spark, D).g)
+    first = sorted(str(i) for i in range(200_000))[:21]
+    assert [r.other_key for r in GR.first_neighbours(GR.neighbours(g), 21).where("key = 'hub'").orderBy("other_key").collect()] == first
+    parts = GR.neighbours(g).where("key = 'hub'").groupBy(F.pmod(F.xxhash64("other_label", "other_key"), F.lit(GR.PARTS))).count()
+    assert parts.agg(F.max("count")).first()[0] < 200_000 / GR.PARTS * 1.5  # what a task reads of it
+    start = spark.createDataFrame([("Skill", "hub"), ("Project", "7")], "label string, key string")
+    got = rows(GR.expand(g, start, hops=2, cap=10).where("hop > 0").select("root_key", "key", "hop"))
+    assert got == sorted([("hub", k, 1) for k in first[:10]] + [("7", "hub", 1)] + [("7", k, 2) for k in first[:10]])
+
+
+def test_ranks_of_a_hot_key(spark):
+    df = spark.range(5000).selectExpr("if(id < 4800, 'hot', concat('k', id % 7)) as k", "lpad(hex(id * 7919 % 5003), 6, '0') as v")
+    got = GR.ranked(df.repartition(6), "k", "v")
+    want = df.selectExpr("k", "v", "row_number() over (partition by k order by v) as place")
+    assert rows(got) == rows(want)
+
+
+def test_lists_are_assembled_in_order(spark):
+    base = spark.createDataFrame([("j", "p", 1), ("j", "q", 2)], "job_id string, person_id string, n int")
+    one = spark.createDataFrame([("j", "p", 2, "b"), ("j", "p", 1, None), ("x", "p", 1, "lost")], "job_id string, person_id string, o int, v string").repartition(3)
+    got = assembled(base, {"names": (one, ["o"], F.col("v")), "none": (one.limit(0), ["o"], F.struct("v"))}, ["job_id", "person_id"])
+    assert rows(got) == [("j", "p", 1, [None, "b"], []), ("j", "q", 2, [], [])]
+
+
 def test_expansion_is_capped_and_never_goes_back(spark):
     t = Tables.of(spark, D)
     start = t.g.education.select(F.lit("Education").alias("label"), F.col("education_id").alias("key"))

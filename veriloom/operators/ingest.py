@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,9 +101,44 @@ def parse_requirements(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     return valid, one.where(bad).select("job_id", "json")
 
 
-def read_jobs(spark: SparkSession, path: str) -> DataFrame:
-    """``job_id`` (the file) and ``text`` of job texts, one a file; blank ones are left out."""
-    return not_blank(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("job_id"), F.col("value").alias("text")))
+JOB_BYTES = 1 << 20
+
+
+def read_jobs(spark: SparkSession, path: str, most: int = JOB_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Job texts, one a file -> ``job_id, text`` and the rejected files, ``job_id, reason``: ``too_large`` (more than
+    ``most`` bytes), ``undecodable`` (no UTF-8) or ``blank``. ``job_id`` is the name of the file; files without bytes are in
+    neither, as Spark doesn't list them.
+
+    The sizes come from the listing, so a file that is too large is never read; the others are read as bytes and decoded
+    afterwards, so a broken one is a row among the rejected and not a failure.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+    job = F.regexp_extract("path", r"([^/]*)\.txt$", 1).alias("job_id")
+    text = F.col("content").cast("string")
+    read = files.where(F.col("length") <= most).select(job, text.alias("text"), F.is_valid_utf8(text).alias("valid"))
+    blank = F.regexp_replace("text", r"(?U)\s+", "") == ""
+    reason = F.when(~F.col("valid"), "undecodable").when(blank, "blank")
+    large = files.where(F.col("length") > most).select(job, F.lit("too_large").alias("reason"))
+    return read.where(reason.isNull()).select("job_id", "text"), large.unionByName(read.select("job_id", reason.alias("reason")).where("reason is not null"))
+
+
+def write_job_files(texts: DataFrame, path: str) -> None:
+    """``texts(job_id, text)`` as files that :func:`read_jobs` reads, ``<job_id>.txt`` in UTF-8. Tasks write them one by one,
+    so the path is one that ``pyarrow.fs`` opens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
+        n = 0
+        for b in batches:
+            for job, content in zip(b.column(0).to_pylist(), b.column(1)):
+                with store.open_output_stream(f"{root}/{job}.txt") as f:
+                    f.write(content.as_buffer() if content.is_valid else b"")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    store, root = fs.FileSystem.from_uri(path)
+    store.create_dir(root, recursive=True)
+    texts.select("job_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
 def not_blank(texts: DataFrame) -> DataFrame:
@@ -105,11 +146,57 @@ def not_blank(texts: DataFrame) -> DataFrame:
     return texts.where(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", "") != "")
 
 
-def write_documents(df: DataFrame, path: str) -> None:
-    """JSON documents by job, nulls kept."""
-    df.write.option("ignoreNullFields", "false").partitionBy("job_id").json(path)
+#: Documents that sinks write: requirements, context, package and structured document.
+KINDS = ("requirements", "context", "package", "document")
+#: Ranges of the hash of job ids, as a power of two, and records of a file at most.
+LOG_RANGES, FILE_RECORDS = 12, 10_000
 
 
-def read_staged(spark: SparkSession, path: str, schema, strict: bool = True) -> DataFrame:
-    """Staged JSON documents under a schema; strict reading fails on a document of another shape."""
-    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
+def _range(job_id="job_id"):
+    return F.shiftrightunsigned(F.xxhash64(job_id), 64 - LOG_RANGES)
+
+
+def write_documents(df: DataFrame, path: str, kind: str, records: int = FILE_RECORDS) -> None:
+    """``df(job_id, ...)`` as JSON documents of a kind, one a line, nulls and the order of lists kept.
+
+    Documents are dealt by ranges of the hash of their job, so their files are few however many jobs there are; a file
+    has ``records`` at most. A manifest, written last, names each file with its ranges and counts its documents: a run that
+    was lost on the way has none, and what it left is never read. Writing a kind again replaces it for readers, as the
+    latest manifest counts.
+    """
+    if kind not in KINDS:
+        raise ValueError(f"unknown kind of document {kind!r}")
+    spark, run = df.sparkSession, f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    data = f"{path}/{kind}/data-{run}"
+    dealt = df.withColumn("_range", _range()).repartitionByRange("_range").sortWithinPartitions("_range", "job_id").drop("_range")
+    dealt.write.option("ignoreNullFields", "false").option("maxRecordsPerFile", records).json(data)
+    # each line's job is enough for the manifest; nothing else is parsed
+    lines = spark.read.schema("job_id string").json(data).select(F.col("_metadata.file_name").alias("file"), _range().alias("range"))
+    files = lines.groupBy("file").agg(F.count("*").alias("n"), F.min("range").alias("low"), F.max("range").alias("high"))
+    files.select(F.lit(run).alias("run"), "file", "n", "low", "high").coalesce(1).write.mode("append").json(f"{path}/{kind}/manifest")
+
+
+def manifest(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """``run, file, n, low, high`` of the latest committed run of a kind."""
+    every = spark.read.schema("run string, file string, n long, low long, high long").json(f"{path}/{kind}/manifest")
+    latest = every.agg(F.max("run").alias("run"))
+    return every.join(F.broadcast(latest), "run", "left_semi")  # one row
+
+
+def read_staged(spark: SparkSession, path: str, kind: str, schema, jobs: list[str] | None = None, strict: bool = True) -> DataFrame:
+    """Staged documents of a kind under a schema; strict reading fails on a document of another shape. With ``jobs``, only
+    files whose ranges can hold one of them are opened."""
+    known = manifest(spark, path, kind)
+    run = known.agg(F.max("run")).first()[0]
+    if run is None:
+        raise FileNotFoundError(f"no committed documents of kind {kind!r} in {path}")
+    data = f"{path}/{kind}/data-{run}"
+    files: list[str] | str = data
+    if jobs is not None:
+        wanted = spark.createDataFrame([(j,) for j in jobs], "job_id string").select(_range().alias("range")).distinct()
+        hit = known.join(wanted, (F.col("low") <= F.col("range")) & (F.col("range") <= F.col("high")), "left_semi")
+        files = [f"{data}/{r.file}" for r in hit.select("file").collect()]  # those of the given jobs
+    if not files:
+        return spark.createDataFrame([], schema)
+    found = spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(files)
+    return found if jobs is None else found.where(F.col("job_id").isin(jobs))

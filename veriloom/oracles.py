@@ -264,6 +264,7 @@ CTE: dict[str, str] = {
         SELECT job_id, person_id, {{'experiences': coalesce(experiences, []), 'recommendedExperienceOrder': coalesce(ids, []), 'requirements': {{{_lists('matched', 'partial', 'gaps')}}}, 'transferableEvidence': coalesce(given, []), 'relevantSkills': coalesce(relevant, []), 'languages': coalesce(lan.languages, []),
           'strongestThemes': coalesce(themes, [])}} AS doc FROM app LEFT JOIN exs USING (job_id, person_id) LEFT JOIN ord USING (job_id, person_id) LEFT JOIN buckets USING (job_id, person_id) LEFT JOIN giv USING (job_id, person_id) LEFT JOIN rel USING (job_id, person_id)
           LEFT JOIN lan USING (job_id, person_id) LEFT JOIN thm USING (job_id, person_id)""",
+    "sunk_lists": "SELECT 'requirements' AS kind, job_id, NULL::VARCHAR AS person_id, list({'raw': raw, 'skillQuery': skill_query, 'importance': importance, 'category': category} ORDER BY seq) AS doc FROM req GROUP BY job_id",
     "wskill": rf"""SELECT name, upper(name) AS display_name, list_sort(list(DISTINCT alias)) AS aliases, CASE WHEN length(name) % 2 = 0 THEN 'tool' ELSE 'capability' END AS category FROM (
         SELECT array_to_string(w[1:2], ' ') AS name, array_to_string(w[3:4], ' ') AS alias FROM (SELECT regexp_split_to_array(lower(text), '\s+') AS w FROM benchmark)) WHERE len({_terms('name')}) > 0 GROUP BY 1""",
     "cands": "SELECT name AS skill, category, unnest(list_concat([name], aliases)) AS c, generate_subscripts(list_concat([name], aliases), 1) AS place FROM wskill",
@@ -283,15 +284,21 @@ E0 = "experience_id, experience_type, title"
 ORACLES: dict[str, str] = {
     "a01_read_graph": """SELECT DISTINCT 'node' AS kind, 'Person' AS name, o_custkey::VARCHAR AS key, NULL AS other FROM orders UNION ALL SELECT 'node', 'Project', o_orderkey::VARCHAR, o_orderpriority FROM orders
         UNION ALL SELECT 'edge', 'BUILT', o_custkey::VARCHAR, o_orderkey::VARCHAR FROM orders""",
-    "a08_written_documents": "SELECT bucket, count(*) AS n, count(*) FILTER (strongest IS NULL) AS n_null FROM status GROUP BY 1",
-    "a09_staged_documents": "SELECT job_id, person_id, seq, bucket, canonical_skill FROM status",
+    "a08_written_documents": """WITH lines AS (SELECT kind, job_id, md5(to_json({'job_id': job_id, 'person_id': person_id, 'doc': doc})::VARCHAR) AS line_md5 FROM sunk_lists
+          UNION ALL SELECT 'context', job_id, md5(to_json({'job_id': job_id, 'person_id': person_id, 'doc': doc})::VARCHAR) FROM context_docs UNION ALL SELECT 'package', job_id, md5(to_json({'job_id': job_id, 'person_id': person_id, 'doc': doc})::VARCHAR) FROM package_docs
+          UNION ALL SELECT 'document', job_id, md5(to_json({'job_id': job_id, 'person_id': person_id, 'doc': doc})::VARCHAR) FROM structured_docs)
+        SELECT kind, job_id, line_md5, count(*) AS n FROM lines GROUP BY ALL UNION ALL SELECT kind, '(manifest)', NULL, count(*) FROM lines GROUP BY ALL""",
+    "a09_staged_documents": """SELECT kind, job_id, person_id, md5(to_json(doc)::VARCHAR) AS doc_md5 FROM sunk_lists UNION ALL SELECT 'context', job_id, person_id, md5(to_json(doc)::VARCHAR) FROM context_docs
+        UNION ALL SELECT 'package', job_id, person_id, md5(to_json(doc)::VARCHAR) FROM package_docs UNION ALL SELECT 'document', job_id, person_id, md5(to_json(doc)::VARCHAR) FROM structured_docs""",
     "a02_upsert_nodes": "SELECT 'Project' AS label, o_orderkey::VARCHAR AS key, 'Project ' || o_orderkey AS name, CASE WHEN o_orderstatus = 'F' THEN 'closed' END AS type, o_orderstatus AS status FROM orders",
     "a03_upsert_edges": "SELECT * FROM edges WHERE type = 'USED' UNION SELECT 'USED', 'Project', l_orderkey::VARCHAR, 'Skill', p_name FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag <> 'A'",
     "a04_rejected": "SELECT 'node' AS kind, 'Order' AS name, o_orderkey::VARCHAR AS key FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'edge', 'MADE', src_key || '>' || dst_key FROM edges WHERE type = 'BUILT'",
     "a05_duplicate_keys": "SELECT 'Achievement' AS label, l_orderkey || ':' || l_linenumber AS key, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "a06_valid_requirements": "SELECT seq::VARCHAR AS job_id, 0 AS seq, raw, skill_query, importance, category FROM req WHERE importance <> 'inferred' AND category <> 'domain'",
     "a06_rejected_lists": "SELECT seq::VARCHAR AS job_id FROM req WHERE importance = 'inferred' OR category = 'domain'",
-    "a07_job_texts": r"SELECT doc_id::VARCHAR AS job_id, length(text) AS n_chars FROM documents WHERE regexp_replace(coalesce(text, ''), '\s+', '', 'g') <> ''",
+    "a07_job_texts": r"""SELECT job_id, CASE WHEN octet_length(encode(text)) + bad > 5000 THEN 'too_large' WHEN bad = 1 THEN 'undecodable' WHEN regexp_replace(text, '\s+', '', 'g') = '' THEN 'blank' ELSE 'read' END AS status,
+        CASE WHEN octet_length(encode(text)) <= 5000 AND bad = 0 AND regexp_replace(text, '\s+', '', 'g') <> '' THEN md5(text) END AS text_md5
+        FROM (SELECT doc_id::VARCHAR AS job_id, CASE WHEN doc_id % 10 = 7 OR coalesce(text, '') = '' THEN ' ' || chr(9) ELSE text END AS text, CASE WHEN doc_id % 10 = 3 AND text <> '' THEN 1 ELSE 0 END AS bad FROM documents)""",
     "b01_summary": """WITH c AS (SELECT 'node' AS kind, label AS name, count(*) AS n FROM nodes GROUP BY ALL UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY ALL)
         SELECT * FROM c UNION ALL SELECT kind, '(all)', sum(n)::BIGINT FROM c GROUP BY ALL""",
     "b02_person_roles": """SELECT h.src_key AS person_id, role_id, title, a.dst_key AS company, start_date, row_number() OVER (PARTITION BY h.src_key ORDER BY coalesce(start_date, '0000'), role_id, coalesce(a.dst_key, '')) AS place
@@ -413,9 +420,18 @@ ORACLES: dict[str, str] = {
     "g12_profiles": "SELECT * FROM prof",
     "g13_languages": "SELECT job_id, person_id, array_to_string(list_sort(list(display_name)), '|') AS languages FROM skills WHERE category = 'language' GROUP BY ALL",
     "g15_rendered_text": "SELECT * FROM rendered",
-    "g17_audit": """SELECT job_id, person_id, 'gap_named' AS issue, what FROM (SELECT DISTINCT job_id, person_id, skill_query AS what FROM status WHERE bucket = 'gap') JOIN rendered USING (job_id, person_id)
-        WHERE regexp_matches(lower(text), '(^|[^a-z0-9])' || regexp_escape(what) || '([^a-z0-9]|$)')
-        UNION ALL SELECT job_id, person_id, 'banned_phrase', what FROM rendered, unnest(['Note on role alignment', 'Skills used:', 'Evidence-backed match', 'no evidence found', 'match-confidence', 'matchConfidence']) AS b(what) WHERE contains(lower(text), lower(what))""",
+    "g17_audit": r"""WITH gaps AS (SELECT DISTINCT job_id, person_id, skill_query AS what FROM status WHERE bucket = 'gap'), firstgap AS (SELECT job_id, person_id, min(what) AS gap FROM gaps GROUP BY ALL),
+        said AS (SELECT job_id, person_id, text || coalesce(CASE WHEN m[1] BETWEEN '4' AND '7' THEN b[ascii(m[2]) % 6 + 1] WHEN m[1] IN ('8', '9', 'a', 'b') THEN 'Also ' || gap END || chr(10), '') AS text
+          FROM (SELECT *, md5(job_id || ':' || person_id) AS m, ['Note on role alignment', 'Skills used:', 'Evidence-backed match', 'no evidence found', 'match-confidence', 'matchConfidence'] AS b FROM rendered) LEFT JOIN firstgap USING (job_id, person_id)),
+        faulty AS (SELECT *, CASE WHEN source_type = 'Education' THEN 0 ELSE 1 END AS edu FROM bul WHERE rank = 1 AND md5(job_id || ':' || person_id)[1] BETWEEN '0' AND '3' AND section IS NOT NULL),
+        kept AS (SELECT b.*, row_number() OVER (PARTITION BY job_id, person_id, home ORDER BY CASE WHEN source_type = 'Education' THEN 0 ELSE 1 END, rank) AS k FROM bul b WHERE section = 'education'),
+        edu AS (SELECT job_id, person_id, home, rank, k, CASE WHEN k = 1 THEN CASE WHEN description <> '' THEN [description] ELSE [] END ELSE bullets END AS shown FROM kept),
+        upto AS (SELECT *, coalesce(sum(len(shown)) OVER (PARTITION BY job_id, person_id, home ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM edu),
+        bare AS (SELECT job_id, person_id, unnest(bullets) AS x FROM faulty WHERE section <> 'education'
+          UNION ALL SELECT job_id, person_id, unnest(shown[1:greatest(0, 4 - before)::INT]) FROM upto WHERE rank = 1 AND k > 1 AND md5(job_id || ':' || person_id)[1] BETWEEN '0' AND '3')
+        SELECT job_id, person_id, 'no_evidence_id' AS issue, regexp_replace(x, ' \[[^\]]*\]$', '') AS what FROM bare
+        UNION ALL SELECT job_id, person_id, 'gap_named', what FROM gaps JOIN said USING (job_id, person_id) WHERE regexp_matches(lower(text), '(^|[^a-z0-9])' || regexp_escape(what) || '([^a-z0-9]|$)')
+        UNION ALL SELECT job_id, person_id, 'banned_phrase', what FROM said, unnest(['Note on role alignment', 'Skills used:', 'Evidence-backed match', 'no evidence found', 'match-confidence', 'matchConfidence']) AS b(what) WHERE contains(lower(text), lower(what))""",
     "f18_requirement_buckets": f"SELECT {JPX}, {_lists('matched', 'partial', 'gaps', json=True)} FROM app LEFT JOIN buckets USING (job_id, person_id)",
     "e14_context_documents": "SELECT job_id, person_id, to_json(doc)::VARCHAR AS context FROM context_docs",
     "f24_packages": "SELECT job_id, person_id, to_json(doc)::VARCHAR AS package FROM package_docs",

@@ -144,11 +144,34 @@ def rendered(b: DataFrame, r: DataFrame, skills: DataFrame, applications: DataFr
     return one.select(*JP, F.concat(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit("\n")).alias("text"))
 
 
+def with_faults(b: DataFrame, texts: DataFrame, status: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bullets and texts with planted faults, for holding :func:`audit` against them. The first digit of the MD5 of
+    ``job_id:person_id`` says which: 0 to 3, the bullets of the first story lose their evidence; 4 to 7, the text gets a
+    banned phrase; 8 to b, it names a gap."""
+    mark = F.md5(F.concat_ws(":", *JP).cast("binary"))
+    first = mark.substr(1, 1)
+    bare = F.transform("bullets", lambda x: F.struct(x["text"].alias("text"), F.array().cast("array<string>").alias("evidence_ids")))
+    bullets = b.withColumn("bullets", F.when(first.isin(*"0123") & (F.col("rank") == 1), bare).otherwise(F.col("bullets")))
+    phrase = F.get(F.array(*map(F.lit, BANNED)), F.pmod(F.ascii(mark.substr(2, 1)), F.lit(len(BANNED))))
+    gap = status.where("bucket = 'gap'").groupBy(*JP).agg(F.min("skill_query").alias("gap"))
+    said = F.when(first.isin(*"4567"), phrase).when(first.isin(*"89ab"), F.concat(F.lit("Also "), F.col("gap")))
+    return bullets, texts.join(gap, JP, "left").select(*JP, F.concat("text", F.coalesce(F.concat(said, F.lit("\n")), F.lit(""))).alias("text"))
+
+
 def audit(b: DataFrame, texts: DataFrame, status: DataFrame) -> DataFrame:
-    """Claims that must not be there: bullets without evidence id, and banned phrases in the text of a document."""
+    """Claims that must not be there: bullets without evidence id, banned phrases in the text of a document, and gaps that
+    it names.
+
+    The gaps of a job and person go to their text as one list, and the text is searched where it is, once for all of
+    them: by its terms first, so only gaps whose rarest (longest) term it has are looked for letter by letter.
+    """
     bare = entries(b).select(*JP, F.explode("bullets").alias("b")).where("size(b.evidence_ids) = 0").select(*JP, F.lit("no_evidence_id").alias("issue"), F.col("b.text").alias("what"))
     said = F.filter(F.array(*map(F.lit, BANNED)), lambda p: F.lower("text").contains(F.lower(p)))
     banned = texts.select(*JP, F.explode(said).alias("what")).select(*JP, F.lit("banned_phrase").alias("issue"), "what")
-    gaps = status.where("bucket = 'gap'").select(*JP, F.col("skill_query").alias("what")).distinct()
-    named = gaps.join(texts, JP).where(F.expr("regexp_instr(lower(text), concat('(?<![a-z0-9])\\\\Q', what, '\\\\E(?![a-z0-9])')) > 0")).select(*JP, F.lit("gap_named").alias("issue"), "what")
+    rarest = F.array_max(F.transform(X.terms(F.col("skill_query")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    gaps = status.where("bucket = 'gap'").groupBy(*JP).agg(F.collect_set(F.struct(F.col("skill_query").alias("name"), rarest.alias("key"))).alias("gaps"))
+    one = texts.withColumns({"low": F.lower("text"), "own": X.tokens(F.col("text"))}).join(gaps, JP)
+    flanked = lambda n: F.regexp_instr(F.col("low"), F.concat(F.lit(r"(?<![a-z0-9])\Q"), n, F.lit(r"\E(?![a-z0-9])"))) > 0
+    hit = F.filter("gaps", lambda g: (g["key"].isNull() | F.array_contains(F.col("own"), g["key"])) & F.contains(F.col("low"), g["name"]) & flanked(g["name"]))
+    named = one.select(*JP, F.explode(F.transform(hit, lambda g: g["name"])).alias("what")).select(*JP, F.lit("gap_named").alias("issue"), "what")
     return bare.unionByName(banned).unionByName(named)

@@ -249,23 +249,58 @@ def _(t):
     return IN.parse_requirements(_lists(t))[1].select("job_id")
 
 
+JOB_BYTES = 5000
+
+
 @query("a07_job_texts")
 def _(t):
-    return IN.not_blank(t.jobs).select("job_id", F.length("text").cast("long").alias("n_chars"))
+    """Every document as a file; some are made blank or undecodable, and long ones are too large."""
+    text = F.when((F.col("doc_id") % 10 == 7) | X.present("text").isNull(), F.lit(" \t")).when(F.col("doc_id") % 10 == 3, F.concat("text", F.unhex(F.lit("FF")).cast("string"))).otherwise(F.col("text"))
+    path = f"{shared_dir(t.spark)}/veriloom-jobs-{uuid.uuid4().hex}"
+    IN.write_job_files(t.documents.select(F.col("doc_id").cast("string").alias("job_id"), text.alias("text")), path)
+    texts, rejected = IN.read_jobs(t.spark, path, JOB_BYTES)
+    kept = texts.select("job_id", F.lit("read").alias("status"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return kept.unionByName(rejected.select("job_id", F.col("reason").alias("status"), F.lit(None).cast("string").alias("text_md5")))
+
+
+def _documents(t) -> dict[str, DataFrame]:
+    """The four kinds of documents; requirements are those of a job."""
+    fields = N.doc("raw", "skill_query", "importance", "category")
+    lists = t.req.groupBy("job_id").agg(N.listed(["seq"], fields).alias("doc")).select("job_id", F.lit(None).cast("string").alias("person_id"), "doc")
+    made = {"requirements": lists, "context": t.contexts, "package": t.packages, "document": t.structured}
+    return {kind: df if kind == "requirements" else df.select(*JP, F.col(kind).alias("doc")) for kind, df in made.items()}
+
+
+def _written(t) -> tuple[str, dict[str, DataFrame]]:
+    path, made = f"{shared_dir(t.spark)}/veriloom-documents-{uuid.uuid4().hex}", _documents(t)
+    for kind, df in made.items():
+        IN.write_documents(df, path, kind)
+    return path, made
 
 
 @query("a08_written_documents")
 def _(t):
-    path = f"{shared_dir(t.spark)}/veriloom-documents-{uuid.uuid4().hex}"
-    IN.write_documents(t.status.select(*JP, "seq", "bucket", "canonical_skill", "strongest"), path)
-    return t.spark.read.text(path).groupBy(F.get_json_object("value", "$.bucket").alias("bucket")).agg(F.count("*").alias("n"), F.count_if(F.col("value").contains('"strongest":null')).alias("n_null"))
+    """The written lines as they are, and what the manifest says."""
+    path, made = _written(t)
+    found = None
+    for kind in made:
+        lines = t.spark.read.text(f"{path}/{kind}/data-*").groupBy(F.lit(kind).alias("kind"), F.get_json_object("value", "$.job_id").alias("job_id"), F.md5(F.col("value").cast("binary")).alias("line_md5")).agg(F.count("*").alias("n"))
+        total = IN.manifest(t.spark, path, kind).agg(F.sum("n").alias("n")).select(F.lit(kind).alias("kind"), F.lit("(manifest)").alias("job_id"), F.lit(None).cast("string").alias("line_md5"), "n")
+        one = lines.unionByName(total)
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 @query("a09_staged_documents")
 def _(t):
-    path = f"{shared_dir(t.spark)}/veriloom-documents-{uuid.uuid4().hex}"
-    IN.write_documents(t.status.select(*JP, "seq", "bucket", "canonical_skill"), path)
-    return IN.read_staged(t.spark, path, "person_id string, seq long, bucket string, canonical_skill string, job_id string")
+    """All kinds, read back under their schemas."""
+    path, made = _written(t)
+    found = None
+    for kind, df in made.items():
+        back = IN.read_staged(t.spark, path, kind, df.schema)
+        one = back.select(F.lit(kind).alias("kind"), *JP, F.md5(N.as_json("doc").cast("binary")).alias("doc_md5"))
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 # ---- graph reads
@@ -827,7 +862,8 @@ def _(t):
 
 @query("g17_audit")
 def _(t):
-    return D.audit(t.bullets, t.texts, t.status)
+    bullets, texts = D.with_faults(t.bullets, t.texts, t.status)
+    return D.audit(bullets, texts, t.status)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
