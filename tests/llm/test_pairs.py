@@ -359,3 +359,27 @@ def test_pipeline_stages(spark):
         docs = out
         sizes.append(docs.count())
     assert sizes[1] < sizes[0] and sizes[2] < sizes[1] and sizes[3] < sizes[2] and sizes[4] == sizes[3] and sizes[5] >= sizes[4]
+
+
+@pytest.mark.parametrize("span", [1, 2, 3])
+def test_texts_that_repeat_themselves(spark, span):
+    """Documents of 20,000 words of few kinds against items of 14 to 1,000 such words, and the differences by both ways."""
+    import time
+
+    import numpy as np
+    from veriloom.llm import decontam as X
+
+    some = " ".join("abc"[i % span] for i in range(20_000))
+    docs = spark.createDataFrame([(i, some + f" x{i}") for i in range(3)] + [(9, "a b")], "doc_id long, text string")
+    items = spark.createDataFrame([(n, " ".join("abc"[i % span] for i in range(n))) for n in (14, 60, 1000)], "item_id long, text string")
+    leaks(docs, items.where("item_id = 14")).collect()
+    began = time.perf_counter()
+    got = sorted(tuple(r) for r in leaks(docs, items).collect())
+    assert got == [(d, n, 0, 0, n, n) for d in range(3) for n in (14, 60, 1000)] and time.perf_counter() - began < 20
+    g = np.random.default_rng(span)
+    p, a = np.unique(g.integers(0, 5000, 300)), np.unique(g.integers(0, 700, 90))
+    direct, X.DIRECT = X.differences(p, a), 0
+    try:
+        assert np.array_equal(X.differences(p, a), direct)
+    finally:
+        X.DIRECT = 1 << 22

@@ -3,7 +3,9 @@
 Fixed masks select some positions of a short window of words and ignore the others, so a window is found again where an
 ignored word was replaced. The seeds of the benchmark are a table. Documents are read once: a Bloom filter of the seeds,
 of bounded size, goes to every task, and only documents with a seed in it are written with their hits, as word hashes.
-Spark joins hits with seeds, and each alignment found is verified over the words around it.
+Spark joins hits with seeds by hash, all places of one hash in a document or item as one row, so texts that repeat
+themselves make no more rows than others. The alignments are the differences of the places; those of a document and an
+item are verified together, over the words around them.
 """
 
 from __future__ import annotations
@@ -84,20 +86,21 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), b.column(0), pa.array(map(len, words), pa.int64()), pa.array([w.tobytes() for w in words], pa.binary())], ["item", "item_id", "n", "words"])
 
 
+_PLACES = pa.list_(pa.int64())
+
+
 def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """item, words -> h, item, at: the seeds of an item and where their first word stands in it."""
+    """item, words -> h, item, at: the seeds of an item and all places where their first word stands in it."""
     for b in batches:
-        h, item, at = [], [], []
+        rows: dict[tuple[int, int], list[int]] = {}
         for number, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             words = np.frombuffer(raw, U)
             for first, mask in _short_masks(len(words)) if len(words) <= SHORT else [(None, m) for m in MASKS]:
                 found = _seeds(words, mask)
                 places = np.arange(len(found)) if first is None else np.array([first])
-                h.append(found[places].view(np.int64))
-                at.append(places)
-                item.append(np.full(len(places), number))
-        cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (h, item, at)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["h", "item", "at"])
+                for h, at in zip(found[places].view(np.int64).tolist(), places.tolist()):
+                    rows.setdefault((h, number), []).append(at)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows], pa.int64()), pa.array([k[1] for k in rows], pa.int64()), pa.array(list(rows.values()), _PLACES)], ["h", "item", "at"])
 
 
 def _filter(seeds: DataFrame) -> tuple[int, bytes]:
@@ -126,8 +129,8 @@ def _filter(seeds: DataFrame) -> tuple[int, bytes]:
     return bits, bytes(whole)
 
 
-_HIT = pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int64())]))
-SUSPECTS = "row long, doc_id long, n_words long, words binary, hits array<struct<h:long,at:long>>"
+_HIT = pa.list_(pa.struct([("h", pa.int64()), ("at", _PLACES)]))
+SUSPECTS = "row long, doc_id long, n_words long, words binary, hits array<struct<h:long,at:array<long>>>"
 
 
 def _suspects(masks: list[str], bits: int, sent: Broadcast):
@@ -141,7 +144,7 @@ def _suspects(masks: list[str], bits: int, sent: Broadcast):
         def put(words: list[np.ndarray], ids: list[int | None], row: int) -> None:
             ends = np.cumsum([len(w) for w in words])
             every, text = np.concatenate(words), np.repeat(np.arange(len(words)), [len(w) for w in words])
-            found: dict[int, list[dict]] = {}
+            found: dict[int, dict[int, list[int]]] = {}
             for mask in masks:
                 h = _seeds(every, mask)
                 if not len(h):
@@ -152,8 +155,8 @@ def _suspects(masks: list[str], bits: int, sent: Broadcast):
                     at = at[(on[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)]
                 for i, x in zip(at.tolist(), h[at].view(np.int64).tolist()):
                     d = int(text[i])
-                    found.setdefault(d, []).append({"h": x, "at": i - int(ends[d]) + len(words[d])})
-            out.extend((row + d, ids[d], len(words[d]), words[d].tobytes(), hits) for d, hits in found.items())
+                    found.setdefault(d, {}).setdefault(x, []).append(i - int(ends[d]) + len(words[d]))
+            out.extend((row + d, ids[d], len(words[d]), words[d].tobytes(), [{"h": h, "at": at} for h, at in hits.items()]) for d, hits in found.items())
 
         def batch_of() -> pa.RecordBatch:
             cols = list(zip(*out)) if out else [[]] * 5
@@ -206,17 +209,43 @@ def stretch(text: np.ndarray, words: np.ndarray, at: int) -> tuple[int, int, int
     return (lo + begin, end - begin, n) if n >= least else None
 
 
+#: Pairs of places above which their differences are counted by a convolution.
+DIRECT = 1 << 22
+
+
+def differences(places: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """All different ``places - at``, in time near linear in the span of both."""
+    if len(places) * len(at) <= DIRECT:
+        return np.unique(np.subtract.outer(places, at))
+    p, q = np.zeros(int(places.max() - places.min()) + 1), np.zeros(int(at.max() - at.min()) + 1)
+    p[places - places.min()] = 1
+    q[at.max() - at] = 1  # backwards
+    n = 1 << (len(p) + len(q) - 2).bit_length()
+    met = np.fft.irfft(np.fft.rfft(p, n) * np.fft.rfft(q, n), n)[: len(p) + len(q) - 1]
+    return np.flatnonzero(met > 0.5) + places.min() - at.max()
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, item, places, at -> row, item, and the item's first word in the document."""
+    for b in batches:
+        for i in range(b.num_rows):
+            found = differences(b.column(2)[i].values.to_numpy(), b.column(3)[i].values.to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), b.column(c)[i].as_py()), pa.int64()) for c in (0, 1)] + [pa.array(found, pa.int64())], ["row", "item", "at"])
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, doc_id, item, item_id, at, lo, the words from ``lo`` on, the item's words -> leaks, one for each alignment."""
+    """row, doc_id, item, item_id, ats, lo, the document's words from ``lo`` on, the item's words -> the best leak of the
+    pair, if any: the most words equal, then the fewest compared, then the first."""
     for b in batches:
         out = []
         for i in range(b.num_rows):
-            at, lo = b.column(4)[i].as_py(), b.column(5)[i].as_py()
-            got = stretch(np.frombuffer(b.column(7)[i].as_py(), U), np.frombuffer(b.column(6)[i].as_py(), U), at - lo)
-            if got:
-                out.append((*(b.column(c)[i].as_py() for c in range(4)), at + got[0], *got))
-        cols = list(zip(*out)) if out else [[]] * 8
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["row", "doc_id", "item", "item_id", "doc_word", "item_word", "n_compared", "n_equal"])
+            lo, over, words = b.column(5)[i].as_py(), np.frombuffer(b.column(6)[i].as_py(), U), np.frombuffer(b.column(7)[i].as_py(), U)
+            every = ((at, stretch(words, over, at - lo)) for at in b.column(4)[i].values.to_numpy().tolist())
+            best = min(((-n, size, at + first, first) for at, got in every if got for first, size, n in [got]), default=None)
+            if best:
+                out.append((*(b.column(c)[i].as_py() for c in (1, 3)), best[2], best[3], best[1], -best[0]))
+        cols = list(zip(*out)) if out else [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "doc_word", "item_word", "n_compared", "n_equal"])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -231,25 +260,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
     items = only(benchmark, "item_id", "text").withColumn("item_id", F.col("item_id").cast("long")).where("item_id is not null and text is not null")
     items = staged(items.distinct().transform(in_arrow, _items, "item long, item_id long, n long, words binary").where("n > 0"), "items")
-    seeds = staged(items.select("item", "words").transform(in_arrow, _seeded, "h long, item long, at long"), "seeds")
+    seeds = staged(items.select("item", "words").transform(in_arrow, _seeded, "h long, item long, at array<long>"), "seeds")
     lengths = [r.n for r in items.select(F.least("n", F.lit(SHORT + 1)).alias("n")).distinct().collect()]
     masks = [*(MASKS if SHORT + 1 in lengths else ()), *(m for n in lengths if n <= SHORT for _, m in _short_masks(n))]
     bits, filled = _filter(seeds)
     sent = docs.sparkSession.sparkContext.broadcast(filled)
     suspects = staged(docs.transform(in_arrow, _suspects(list(dict.fromkeys(masks)), bits, sent), SUSPECTS), "suspects")
-    hits = suspects.select("row", F.explode("hits").alias("x")).select("row", "x.h", F.col("x.at").alias("place"))
-    found = hits.join(maybe_broadcast(seeds, 32), "h").select("row", "item", (F.col("place") - F.col("at")).alias("at")).distinct()
+    hits = suspects.select("row", F.explode("hits").alias("x")).select("row", "x.h", F.col("x.at").alias("places"))
+    small = (seeds.agg(F.sum(F.size("at") * 8 + 64)).first()[0] or 0) <= 32 << 20
+    met = hits.join(F.broadcast(seeds) if small else seeds, "h").select("row", "item", "places", "at")
+    # at most as many alignments of a document and an item as they have words
+    found = met.transform(in_arrow, _aligned, "row long, item long, at long").groupBy("row", "item").agg(F.collect_set("at").alias("ats"))
     size = items.agg(F.sum(F.length("words") + 100)).first()[0] or 0
     found = found.join(F.broadcast(items) if size <= 32 << 20 else items, "item")
     found = found.join(suspects.select("row", "doc_id", "n_words", F.col("words").alias("of")), "row")
-    lo, hi = F.greatest(F.col("at"), F.lit(0)), F.least(F.col("at") + F.col("n"), F.col("n_words"))
-    # only the words that the item lies over
-    over = F.expr("substring(of, cast(greatest(at, 0) * 8 + 1 as int), cast((least(at + n, n_words) - greatest(at, 0)) * 8 as int))")
-    found = found.where(hi > lo).select("row", "doc_id", "item", "item_id", "at", lo.alias("lo"), over.alias("over"), "words")
-    kind = "row long, doc_id long, item long, item_id long, doc_word long, item_word long, n_compared long, n_equal long"
-    best = F.max_by(F.struct("doc_word", "item_word", "n_compared", "n_equal"), F.struct("n_equal", -F.col("n_compared"), -F.col("doc_word"), -F.col("item_word"))).alias("x")
-    one = found.transform(in_arrow, _verified, kind).groupBy("row", "item").agg(F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"), best)
-    return one.select("doc_id", "item_id", "x.doc_word", "x.item_word", "x.n_compared", "x.n_equal")
+    lo, hi = F.greatest(F.array_min("ats"), F.lit(0)), F.least(F.array_max("ats") + F.col("n"), F.col("n_words"))
+    found = found.withColumns({"lo": lo, "hi": hi}).where("hi > lo")
+    over = F.expr("substring(of, cast(lo * 8 + 1 as int), cast((hi - lo) * 8 as int))")  # only the words that the item lies over
+    found = found.select("row", "doc_id", "item", "item_id", "ats", "lo", over.alias("over"), "words")
+    return found.transform(in_arrow, _verified, "doc_id long, item_id long, doc_word long, item_word long, n_compared long, n_equal long")
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
