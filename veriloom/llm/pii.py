@@ -10,8 +10,10 @@ Patterns of high confidence and enough different seeds then mark identifiers of
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import islice
@@ -30,7 +32,7 @@ CONFIDENT = 0.85
 LEAST_LENGTH = 6
 #: How much a value of an identifier's shape that nothing else is known of counts against a pattern; an ordinary word
 #: counts whole.
-UNKNOWN = 0.25
+UNKNOWN = 0.15
 #: A key is a run of letters and digits of such a length, with so many of each.
 KEY_LENGTH, KEY_EACH = 20, 4
 #: A word is frequent if such a share of the texts has it elsewhere than before a seed or candidate.
@@ -100,8 +102,11 @@ _PLAIN = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 _WORD_CHARS = _LOCAL - frozenset("._%+-")
 _TOKEN_CHARS = _WORD_CHARS | frozenset("_+/.@-")
 LEFT, RIGHT = 3, 2
+#: Characters a token, below which a text's words and signs are listed once for all its tokens.
+SPARSE = 200
 
 
+@functools.lru_cache(1 << 14)
 def _normal(context: str) -> str:
     """Lower case, digits as 9, white space as one space; what is very long by its digest."""
     edge = (context[:1].isspace() and " " or ""), (context[-1:].isspace() and " " or "")
@@ -109,34 +114,49 @@ def _normal(context: str) -> str:
     return short if len(short) <= 100 else "#" + hashlib.md5(short.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def _before(text: str, at: int) -> tuple[int, list[int]]:
-    """Where the last words and signs before ``at`` on its line begin, the nearest first; with the line's begin."""
-    begin = text.rfind("\n", 0, at) + 1
+def _before(text: str, at: int) -> list[int]:
+    """Where the last words and signs before ``at`` on its line begin, the nearest first. Only so much of the line is looked
+    at as they need, so a line of many tokens takes linear time."""
     size = 64
     while True:
-        lo = max(begin, at - size)
-        found = [m.start() for m in _PIECE.finditer(text, lo, at)]
-        if lo == begin or len(found) > LEFT:  # the first of a cut line may be a part of a word
-            return begin, found[::-1][:LEFT]
+        lo = max(0, at - size)
+        cut = text.rfind("\n", lo, at) + 1
+        found = [m.start() for m in _PIECE.finditer(text, max(lo, cut), at)]
+        if cut or not lo or len(found) > LEFT:  # the first of a cut line may be a part of a word
+            return found[::-1][:LEFT]
         size *= 4
 
 
 def _after(text: str, at: int) -> list[int]:
     """Where the next words and signs after ``at`` on its line end."""
-    end = text.find("\n", at)
-    end = len(text) if end < 0 else end
-    out = []
-    for m in _PIECE.finditer(text, at, end):
+    out: list[int] = []
+    for m in _PIECE.finditer(text, at):
+        if text.find("\n", out[-1] if out else at, m.start()) >= 0:
+            break
         out.append(m.end())
         if len(out) == RIGHT:
             break
     return out
 
 
-def _contexts(text: str, begin: int, end: int) -> list[str]:
-    """The patterns of a token: one to three words or signs before it and one or two after it, on its line."""
-    left = [f"l{n}|{_normal(text[at:begin])}" for n, at in enumerate(_before(text, begin)[1], 1)]
-    return left + [f"r{n}|{_normal(text[end:at])}" for n, at in enumerate(_after(text, end), 1)]
+def _neighbours(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[list[int], list[int]]]:
+    """:func:`_before` and :func:`_after` of every token; where tokens are dense, from one list of all words and signs."""
+    if len(tokens) * SPARSE < len(text):
+        yield from ((_before(text, b), _after(text, e)) for b, e in tokens)
+        return
+    pieces = [m.span() for m in _PIECE.finditer(text)]
+    starts, ends = [p[0] for p in pieces], [p[1] for p in pieces]
+    lines = [-1, *(m.start() for m in re.finditer("\n", text)), len(text)]
+    for b, e in tokens:
+        i, j = bisect_left(starts, b), bisect_right(ends, e)
+        begin, end = lines[bisect_left(lines, b) - 1], lines[bisect_left(lines, e)]
+        yield [s for s in starts[max(0, i - LEFT) : i][::-1] if s > begin], [x for x in ends[j : j + RIGHT] if x <= end]
+
+
+def _contexts(text: str, tokens: list[tuple[int, int]]) -> Iterator[list[str]]:
+    """The patterns of each token: one to three words or signs before it and one or two after it, on its line."""
+    for (begin, end), (before, after) in zip(tokens, _neighbours(text, tokens)):
+        yield [f"l{n}|{_normal(text[at:begin])}" for n, at in enumerate(before, 1)] + [f"r{n}|{_normal(text[end:at])}" for n, at in enumerate(after, 1)]
 
 
 def _shaped(value: str) -> bool:
@@ -212,7 +232,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in b.column(1):
             text = x.as_py() or ""
             every = _spans(text)
-            spans.append([{"kind": k, "start": s, "end": e, "value": _hash(text[s:e]), "patterns": _contexts(text, s, e)} for k, s, e in every])
+            beside = _contexts(text, [(s, e) for _, s, e in every])
+            spans.append([{"kind": k, "start": s, "end": e, "value": _hash(text[s:e]), "patterns": p} for (k, s, e), p in zip(every, beside)])
             hashes.append(hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest() if any(k not in KINDS for k, _, _ in every) else None)
             rows.append(row)
             row += 1
@@ -232,8 +253,8 @@ def _lower(text: str) -> str:
 def _elsewhere(text: str) -> set[str]:
     """The words and signs of a text that don't only stand beside its spans, as in patterns."""
     parts, at = [], 0
-    for _, begin, end in sorted(_spans(text), key=lambda s: s[1]):
-        left, right = _before(text, begin)[1], _after(text, end)
+    spans = sorted((b, e) for _, b, e in _spans(text))
+    for (begin, end), (left, right) in zip(spans, _neighbours(text, spans)):
         parts.append(text[at : left[-1] if left else begin])
         at = max(at, right[-1] if right else end)
     parts.append(text[at:])
@@ -286,7 +307,7 @@ def _ordinary(wanted: frozenset[str] | None, frequent: frozenset[str]):
             while at >= 0:
                 end = at + len(m)
                 if not (m[0].isalnum() and (low[max(0, at - 1) : at].isalnum() or low[end : end + 1].isalnum())):
-                    before = _before(text, at)[1]
+                    before = _before(text, at)
                     lo = before[-1] if before else at
                     while lo > 0 and text[lo - 1] in _TOKEN_CHARS:
                         lo -= 1
@@ -302,10 +323,11 @@ def _ordinary(wanted: frozenset[str] | None, frequent: frozenset[str]):
             for x in b.column(0):
                 text = x.as_py() or ""
                 tokens = near(text)
-                for s, e in _free(tokens, base_spans(text)) if tokens else ():
-                    if not _shaped(text[s:e]):
+                plain = [(s, e) for s, e in _free(tokens, base_spans(text)) if not _shaped(text[s:e])] if tokens else []
+                if plain:
+                    for (s, e), beside in zip(plain, _contexts(text, plain)):
                         value = _hash(text[s:e].lower())
-                        found.update((p, value) for p in _contexts(text, s, e) if (p in wanted if wanted is not None else not frequent.issuperset(_pattern_words(p))))
+                        found.update((p, value) for p in beside if (p in wanted if wanted is not None else not frequent.issuperset(_pattern_words(p))))
             cols = list(zip(*found)) if found else [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64())], ["pattern", "value"])
 
@@ -326,8 +348,9 @@ def ordinary(docs: DataFrame, wanted: DataFrame, frequent: list[str]) -> DataFra
     return seen.groupBy("pattern").agg(F.approx_count_distinct("value", 0.02).alias("ordinary"))
 
 
-def patterns(scanned: DataFrame, docs: DataFrame, frequent: list[str], rounds: int = ROUNDS, least: int = LEAST_SEEDS, confident: float = CONFIDENT) -> DataFrame:
-    """The patterns to trust: ``pattern, confidence, seeds``.
+def patterns(scanned: DataFrame, docs: DataFrame, frequent: list[str], rounds: int = ROUNDS, least: int = LEAST_SEEDS, confident: float = CONFIDENT, held_out: int = 0) -> DataFrame:
+    """The patterns to trust: ``pattern, confidence, seeds``. Of 100 keys, ``held_out`` are no seeds, by their hash: for
+    measuring how many values that nothing is known of the patterns find.
 
     Each edge of the graph is a pattern with a value that it stands beside. Copies of a text count once, as edges are
     distinct. A pattern needs a letter, a word that isn't ``frequent``, and ``least`` different values that are seeds or
@@ -336,7 +359,8 @@ def patterns(scanned: DataFrame, docs: DataFrame, frequent: list[str], rounds: i
     unknown form is believed as much as its best trusted pattern, and is a seed of the next round.
     """
     s = scanned.select(F.explode("spans").alias("s")).select("s.kind", "s.value", F.explode("s.patterns").alias("pattern"))
-    edges = s.groupBy("pattern", "value").agg(F.max(F.when(F.col("kind") != "", 1.0).otherwise(0.0)).alias("seed"))
+    known = F.col("kind").isin(*KINDS) | (F.col("kind") == "key") & (F.pmod("value", F.lit(100)) >= held_out)
+    edges = s.groupBy("pattern", "value").agg(F.max(F.when(known, 1.0).otherwise(0.0)).alias("seed"))
     # a pattern with fewer values can't ever have enough seeds
     enough = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("pattern")
     words = F.regexp_extract_all(F.substring("pattern", 4, 1 << 20), F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0))
