@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -32,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get().rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):  # executors on other machines don't see a local folder
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = "file://" + tempfile.mkdtemp(prefix="veriloom-")
     sc.setCheckpointDir(made)
     return made
