@@ -34,18 +34,20 @@ def stage(f: Callable[[Tables], DataFrame]) -> cached_property:
 class Tables:
     """What queries over one directory share. The steps of the dataflow hand tables on, as staged Parquet."""
 
-    known: dict[tuple[str, str], Tables] = {}
+    known: dict[tuple[str, str], tuple[object, Tables]] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Tables:
-        """The tables of a running application and directory, one time."""
+        """The tables of a running application and directory, one time for each state of its files."""
         key = spark.sparkContext.applicationId, sf_dir
-        if key not in cls.known:
-            cls.known[key] = cls(spark, sf_dir)
-        return cls.known[key]
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sf_dir)  # the listing only
+        state = tuple(files.agg(F.count("*"), F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))).first())
+        if key not in cls.known or cls.known[key][0] != state:
+            cls.known[key] = state, cls(spark, sf_dir)
+        return cls.known[key][1]
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
