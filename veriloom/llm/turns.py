@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.base import in_arrow, only, staged
+from veriloom.llm.base import in_arrow, maybe_broadcast, only, staged
 from veriloom.llm.chat import _offsets
 from veriloom.llm.textnum import strings
 
@@ -144,6 +144,7 @@ def faulty(rows: DataFrame) -> DataFrame:
     one = rows.withColumns({"digest": F.sha2("text", 256), "fault": F.when(seen == "", BLANK).when(F.right(seen, F.lit(1)).isin(".", "!", "?"), FINE).otherwise(TRUNCATED)})
     first = one.where(F.col("fault") != BLANK).groupBy("conv_id", "role", "digest").agg(F.bool_or(F.col("turn").isNull()).alias("_null"), F.min("turn").alias("_low"), F.max("turn").alias("_high"))
     first = first.where(F.col("_low").isNotNull() & (F.col("_null") | (F.col("_low") < F.col("_high")))).withColumnsRenamed({"conv_id": "_conv", "role": "_role", "digest": "_digest"})
+    first = maybe_broadcast(staged(first, "repeated-rows"), 150)  # only what is repeated at different turns
     one = one.join(first, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("role") == F.col("_role")) & (F.col("digest") == F.col("_digest")), "left")
     later = F.col("turn").isNotNull() & F.coalesce(F.col("_null") | (F.col("turn") > F.col("_low")), F.lit(False))
     return one.select("conv_id", "turn", "role", "text", F.when((F.col("fault") != BLANK) & later, DUPLICATE).otherwise(F.col("fault")).alias("fault"))
@@ -221,9 +222,10 @@ def chunks(rows: DataFrame, most: int) -> DataFrame:
     cut = staged(one.select("conv_id", "turn", "role", "text", "fault").transform(in_arrow, _cut(most), CHUNKS), "turn-chunks")
     moved = cut.sparkSession.createDataFrame(_offsets(cut), "part long, before long")  # a row for each partition at most
     cut = cut.join(F.broadcast(moved), "part", "left").withColumn("start", F.col("local") + F.when(F.col("nth") == 0, F.coalesce("before", F.lit(0))).otherwise(0))
-    rows_of = cut.groupBy("conv_id").agg(F.sum("size").alias("_rows")).withColumnRenamed("conv_id", "_conv")
-    cut = cut.join(rows_of, F.col("conv_id").eqNullSafe(F.col("_conv")))
-    return cut.withColumns({"alone": F.col("size") == F.col("_rows"), "is_last": F.col("start") + F.col("size") == F.col("_rows")}).drop("_conv", "_rows", "part", "nth", "local", "before")
+    several = cut.groupBy("conv_id").agg(F.sum("size").alias("_rows"), F.count("*").alias("_n")).where(F.col("_n") > 1).select(F.col("conv_id").alias("_conv"), "_rows")
+    cut = cut.join(maybe_broadcast(staged(several, "conversations-of-several-chunks"), 32), F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    alone = F.col("_rows").isNull()
+    return cut.withColumns({"alone": alone, "is_last": alone | (F.col("start") + F.col("size") == F.col("_rows"))}).drop("_conv", "_rows", "part", "nth", "local", "before")
 
 
 # ---- passes over conversations of several chunks
