@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import re
 
-# Fixed values shared with the engine, restated for SQL.
-GENERIC = "['security','engineering','development','management','system','systems','architecture','infrastructure','professional','user','data','communication']"
-METRIC = (
-    r"(?i)(\d[\d,]*\.?\d*\s?%|[$€£]\s?\d[\d,]*\.?\d*|\d[\d,]*\.?\d*\s?(eur|usd|gbp|euros?|dollars?)\b|\d[\d,]*\+?[\s-]?(km|kilomet(er|re)s?|miles?|mi)\b|\d[\d,]*\+?[\s-]?acres?\b"
-    r"|\d[\d,]*[\s-]?(rows?|records?|items?|batches?|files?|documents?|programmes?|programs?)\b|\d[\d,]*\+?[\s-]?(participants?|customers?|clients?|users?|people|learners?|students?|employees?|experts?)\b)"
-)
+from veriloom.functions import text as X
+
+GENERIC = str(X.GENERIC)
+METRIC = f"(?i)({'|'.join(X.METRIC)})"
 STRENGTH_RANK = "CASE evidence_strength WHEN 'strong' THEN 1 WHEN 'moderate' THEN 2 ELSE 3 END"
 STRENGTH_OF = "CASE {} WHEN 1 THEN 'strong' WHEN 2 THEN 'moderate' WHEN 3 THEN 'weak' END"
 SIX = "coalesce(source_type,''), coalesce(source,''), coalesce(relationship,''), coalesce(project,''), coalesce(role,''), coalesce(education,'')"
