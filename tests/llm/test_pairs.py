@@ -383,3 +383,47 @@ def test_texts_that_repeat_themselves(spark, span):
         assert np.array_equal(X.differences(p, a), direct)
     finally:
         X.DIRECT = 1 << 22
+
+
+def kept_by_brute_force(docs, items):
+    """doc_id -> text of documents that are the smallest of their class and hold no benchmark passage, word by word."""
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    group = classes(rows, 5, 80)
+    rows = [(i, t) for i, t in rows if group[i][1] == i]
+    bench = [re.findall(r"[^\W_]+", t.lower()) for _, t in items]
+    out = {}
+    for i, t in rows:
+        w = re.findall(r"[^\W_]+", (t or "").lower())
+        whole = any(len(b) and any(w[j : j + len(b)] == b for j in range(len(w) - len(b) + 1)) for b in bench)
+        if not whole:
+            out[i] = t
+    return out
+
+
+def test_run_of_the_pipeline(spark, tmp_path):
+    """``run`` over the smallest tables with rows that repeat and are null, and over empty ones."""
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    odd = spark.createDataFrame([(900_001, None, None, None, None), (900_002, "", "en", "s", 0), (900_003, "one lone short text", "en", "s", 19), (900_003, "one lone short text", "en", "s", 19)], docs.schema)
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{d}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs.unionByName(odd).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    tamed = corpus_pipeline.toxicity(spark, docs, d)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    want = kept_by_brute_force(tamed, items)
+    ids = {r.doc_id for r in got}
+    assert {900_001, 900_002, 900_003} <= ids and ids - {900_001, 900_002, 900_003} <= set(want)
+    # what goes beyond whole items holds one with some words replaced
+    beyond = set(want) - ids
+    assert beyond == {r.doc_id for r in leaks(docs, spark.read.parquet(f"{d}/benchmark.parquet")).collect()} & set(want) and len(beyond) < len(want) / 10
+    pieces = {}
+    for r in got:
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
+    for i, p in pieces.items():
+        copies = 2 if i == 900_003 else 1
+        assert sum(n for _, n, _ in p) == copies * p[0][2]
+    empty = tmp_path / "empty"
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{d}/{name}.parquet").limit(0).write.parquet(str(empty / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
