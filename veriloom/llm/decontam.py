@@ -228,9 +228,20 @@ def differences(places: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """row, item, places, at -> row, item, and the item's first word in the document."""
     for b in batches:
-        for i in range(b.num_rows):
-            found = differences(b.column(2)[i].values.to_numpy(), b.column(3)[i].values.to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), b.column(c)[i].as_py()), pa.int64()) for c in (0, 1)] + [pa.array(found, pa.int64())], ["row", "item", "at"])
+        rows, items = b.column(0).to_numpy(), b.column(1).to_numpy()
+        (p, p_at), (q, q_at) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (b.column(2), b.column(3)))
+        single = (np.diff(p_at) == 1) & (np.diff(q_at) == 1)  # most hashes stand once on either side
+        which, found, size = [np.flatnonzero(single)], [p[p_at[:-1][single]] - q[q_at[:-1][single]]], 0
+        for i in [*np.flatnonzero(~single).tolist(), None]:
+            if i is not None:
+                one = differences(p[p_at[i] : p_at[i + 1]], q[q_at[i] : q_at[i + 1]])
+                which.append(np.full(len(one), i))
+                found.append(one)
+                size += len(one)
+            if i is None or size > 1 << 18:
+                w = np.concatenate(which)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[w]), pa.array(items[w]), pa.array(np.concatenate(found).astype(np.int64))], ["row", "item", "at"])
+                which, found, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
