@@ -14,7 +14,7 @@ import duckdb
 import numpy as np
 import pytest
 from veriloom.llm import cascade, chat, pii, quality_gam, queries, toxicity, warc
-from veriloom.llm.html_main import Page, main_text
+from veriloom.llm.html_main import Page, main_text, templates
 from veriloom.llm.packing import Packer, Piece, pack
 from veriloom.llm.textnum import shingles, word_hashes
 
@@ -71,6 +71,45 @@ def test_templates_go_and_copies_stay(spark):
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_shapes_decide_where_wording_varies(spark):
+    """No article, no mark, no subtree with the same text twice: only shapes tell the templates."""
+    word = lambda *k: hashlib.md5(str(k).encode()).hexdigest()[:6]
+    own = lambda i: [" ".join(word(i, p, j) for j in range(30 + (i + p) % 9)) for p in range(2 + i % 4)]
+    page = lambda i, paragraphs: (
+        f'<body><div class="x1"><p>You have read {i} of our free texts of this month, and may go on {word(i)}</p></div><div class="x2">'
+        + "".join(f'<a href="/{word(i, k)}">{word(i, k)} {word(k, i)}</a> ' for k in range(2))
+        + '</div><div class="x3">'
+        + "".join(f"<p>{t}</p>" for t in paragraphs)
+        + f'</div><div class="x4">Page {word(i, "last")} was shown by the house of example, all rights are ours</div></body>'
+    )
+    rows = [(i, f"http://one.example/{i}", page(i, own(i))) for i in range(40)]
+    rows += [(100 + i, f"http://few.example/{i}", page(i, own(i))) for i in range(9)]  # too few pages
+    rows += [(200 + i, "http://copies.example/", page(0, own(0))) for i in range(40)]  # one page, many times
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for marks in (True, False):
+        got = {r.page_id: r.text for r in main_text(df, marks).collect()}
+        for i in range(40):
+            assert got[i] == " ".join(own(i)), i
+            assert "all rights are ours" in got[200 + i]
+        assert all("You have read" in got[100 + i] for i in range(9))
+    found = {r.host: r for r in templates(df.selectExpr("*", "parse_url(url, 'HOST') as host")).collect()}
+    assert list(found) == ["one.example"] and not found["one.example"].template and found["one.example"].shapes
+
+
+def test_signs_estimate_similarity():
+    """The mean square of summed signs against the mean Jaccard similarity by all pairs."""
+    texts = [" ".join(["same"] * 3 + [f"w{j}" for j in range(12)] + [f"v{i}-{j}" for j in range(4)]) for i in range(60)]
+    sets = [set(t.split()) for t in texts]
+    exact = np.mean([len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]])
+    pages = [Page(f"<body><p>{t}</p></body>") for t in texts]
+    signs = [p.signs(p.shapes()) for p in pages]
+    key = next(iter(signs[0]))
+    square = np.mean((np.sum([s[key] for s in signs], axis=0) / 60) ** 2)
+    assert abs((square * 60 - 1) / 59 - exact) < 0.25 and exact > 0.55
+    one = Page("<body><div><p>" + "a b " * 100_000 + "</p></div></body>")
+    assert len(one.signs(one.shapes())) == 4
+
+
 def test_names_of_authors_are_no_marks():
     article = """<body class="page-with-sidebar"><main><article><div class="entry-header"><h1>Title</h1></div><div class="header"><p>Lead</p></div><h2 id="search-and-replace">Search it</h2><p>One</p>
     <h2 id="header-files">Files</h2><h2 id="comments">Remarks</h2><section id="related-work"><p>Works</p></section><table class="side-by-side menu"><tr><td>Cell</table><div class="notice"><p>Careful</p></div>

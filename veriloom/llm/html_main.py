@@ -1,7 +1,12 @@
 """Main text of web pages by site template removal.
 
 Every element's subtree gets a hash of its tags and text. Spark counts, per host, the distinct pages that hold a subtree,
-and subtrees that recur on a large part of a host's pages are its template: they are deleted. What marks itself as no
+and subtrees that recur on a large part of a host's pages are its template: they are deleted. A second hash is of a
+subtree's shape alone: tags, class, id, share of linked text and place under its parents. What stands in one shape on
+most pages of a host goes as well, if it is links, or if its wording differs little from page to page (a counter, a date, a
+name in an else constant notice): 32 one-bit minhashes of its words are summed as signs over the host's pages, and the
+mean square of those sums is the mean Jaccard similarity of the pages' wordings. Shapes delete nothing inside an article,
+nothing that holds most of what the other rules leave of a page's prose, and never all of it. What marks itself as no
 article (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts) goes as well, since on hosts with
 few pages nothing recurs. A mark is a whole class or id; headings, tables and what holds most of a page's prose are never
 deleted for theirs, and inside an article words that authors use as well are none. Prose inside an ``article`` or ``main`` is deleted only when most pages of a large host have
@@ -14,17 +19,26 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.base import in_arrow, only, staged
+from veriloom.llm.base import in_arrow, maybe_broadcast, only, staged
 
 #: A subtree is a template's if so many distinct pages, and such a share of the host's, hold it; the second pair holds
 #: inside an article.
 TEMPLATE = (10, 0.3)
 TEMPLATE_IN_ARTICLE = (20, 0.5)
+#: A shape is a template's if so many distinct pages, and such a share of the host's, have it, and it is of links or the
+#: mean Jaccard similarity of its wordings is the third number or more.
+TEMPLATE_SHAPE = (10, 0.5, 0.5)
+LINKED = 0.8
+#: A page counts as this over the number of its copies, so sums over pages are whole numbers.
+WEIGHT = 1 << 30
+SIGNS = 32
+_MIX = np.random.default_rng(1).integers(1, 1 << 63, SIGNS, dtype=np.uint64) | np.uint64(1)
 
 _PLAIN_TAG = (
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
@@ -33,6 +47,8 @@ _PLAIN_TAG = (
 _TAG, _TAG_OR_DATA = (re.compile(x, re.S) for x in (_PLAIN_TAG, rf"<!\[CDATA\[.*?\]\]>|{_PLAIN_TAG}"))
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
 
+_DIGITS = re.compile(r"\d+")
+
 # HTML element names by their part in the layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
@@ -68,6 +84,7 @@ MARKED_ID, MARKED_ID_OUTSIDE = re.compile(_MARKS, re.I), re.compile(f"{_MARKS}|{
 UNMARKED = frozenset("h1 h2 h3 h4 h5 h6 hgroup table caption thead tbody tfoot tr td th colgroup col".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 
+_BLOCKS = {t: i for i, t in enumerate(sorted(BLOCK))}
 P, Q, MASK = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
 
 
@@ -75,7 +92,7 @@ class Page:
     """The elements of a page, as far as text needs them."""
 
     def __init__(self, source: str) -> None:
-        self.tag, self.parent, self.hash = ["#root"], [-1], [0]
+        self.tag, self.parent, self.hash, self.names = ["#root"], [-1], [0], [""]
         #: Hidden or by role; by class or id; by class or id outside an article.
         self.marked, self.named, self.named_outside = [False], [False], [False]
         self.pieces: list[tuple[int, str]] = []
@@ -152,9 +169,12 @@ class Page:
         self.parent.append(self._stack[-1])
         self.hash.append(0)
         marked = named = outside = False
+        names = []
         if attributes and name not in ("html", "body"):
             for k, v in _ATTRIBUTE.findall(attributes):
                 k, v = k.lower(), v.strip("\"'")
+                if k in ("class", "id"):
+                    names.append(_DIGITS.sub("0", f"{k}={v}"))
                 if k == "class":
                     named = named or any(map(MARKED.fullmatch, v.split()))
                     outside = outside or any(map(MARKED_OUTSIDE.fullmatch, v.split()))
@@ -167,6 +187,7 @@ class Page:
                     marked = True
                 elif k == "style":
                     marked = marked or "display:none" in v.lower().replace(" ", "")
+        self.names.append(" ".join(names))
         self.marked.append(marked)
         self.named.append(named and name not in UNMARKED)
         self.named_outside.append(outside and name not in UNMARKED)
@@ -189,14 +210,88 @@ class Page:
         skip = ("#root", "html", "body", "head", "title", "script", "style")
         return {h - (1 << 64) if h >> 63 else h for t, h in zip(self.tag, self.hash) if h and t not in skip}
 
-    def main_text(self, template: set[int], in_article: set[int]) -> str:
-        """The text of what is left, white space as one space."""
+    def _around(self) -> tuple[list[bool], list[bool]]:
+        """Whether an element holds an article or the body; whether it is in an article."""
         n = len(self.tag)
-        holds = [False] * n  # a wrapper of the article isn't dropped for its name
+        holds, article = [False] * n, [False] * n
         for i in range(n - 1, 0, -1):
             if holds[i] or self.tag[i] in ("article", "main", "body"):
-                holds[self.parent[i]] = True
-        gone, article = [False] * n, [0] * n
+                holds[self.parent[i]] = True  # a wrapper of the article isn't dropped for its name
+        for i in range(1, n):
+            article[i] = article[self.parent[i]] or self.tag[i] in ("article", "main")
+        return holds, article
+
+    def shapes(self) -> dict[int, tuple[int, int]]:
+        """Of each element with text outside articles two signed hashes of its shape, its place among like elements under
+        the parent being counted from the front and from the back. The lowest bit says that its text is of links."""
+        n = len(self.tag)
+        holds, article = self._around()
+        path, inside, out = [0] * n, [False] * n, [False] * n
+        front, like = [0] * n, {}
+        for i in range(1, n):
+            up = self.parent[i]
+            kind = xxhash.xxh3_64_intdigest(f"{self.tag[i]} {self.names[i]}".encode("utf-8", "surrogatepass"))
+            path[i] = (path[up] * P + kind) & MASK
+            inside[i] = inside[up] or self.tag[i] == "a"
+            out[i] = out[up] or self.tag[i] in ("head", "script", "style", "template")
+            front[i] = like.get((up, kind), 0)
+            like[up, kind] = front[i] + 1
+        letters, linked, blocks = [0] * n, [0] * n, [0] * n
+        for node, value in self.pieces:
+            size = len(value.strip())
+            letters[node] += size
+            linked[node] += size if inside[node] else 0
+        for i in range(n - 1, 0, -1):
+            up, tag = self.parent[i], self.tag[i]
+            letters[up] += letters[i]
+            linked[up] += linked[i]
+            if tag in BLOCK:
+                blocks[i] |= 1 << _BLOCKS[tag]
+            blocks[up] |= blocks[i]
+        got = {}
+        last = {k: c - 1 for k, c in like.items()}
+        for i in range(1, n):
+            tag = self.tag[i]
+            if not letters[i] or article[i] or holds[i] or out[i] or tag in ("html", "body"):
+                continue
+            links = linked[i] >= LINKED * letters[i]
+            up, kind = self.parent[i], (path[i] - path[self.parent[i]] * P) & MASK
+            base = (path[i] * P + xxhash.xxh3_64_intdigest(blocks[i].to_bytes(16, "little"))) & MASK
+            both = []
+            for side, place in enumerate((front[i], last[up, kind] - front[i])):
+                h = ((base * P + 2 * place + side + 1) * Q & MASK) >> 1 << 1 | links
+                both.append(h - (1 << 64) if h >> 63 else h)
+            got[i] = both[0], both[1]
+        return got
+
+    def signs(self, nodes: dict[int, tuple[int, int]]) -> dict[int, np.ndarray]:
+        """One-bit minhashes, as signs, of the words of each subtree of ``nodes``, by shape; a shape that a page has
+        several times has the words of all."""
+        least: dict[int, np.ndarray] = {}
+        for node, value in self.pieces:
+            words = list(set(value.split())) if node in nodes else ()
+            for a in range(0, len(words), 4096):
+                hashed = [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words[a : a + 4096]]
+                mixed = np.array(hashed, np.uint64)[:, None] * _MIX
+                mixed ^= mixed >> np.uint64(32)
+                found = (mixed * np.uint64(Q)).min(axis=0)
+                least[node] = np.minimum(least[node], found) if node in least else found
+        for i in sorted(nodes, reverse=True):
+            up = self.parent[i]
+            if i in least and up in nodes:
+                least[up] = np.minimum(least[up], least[i]) if up in least else least[i]
+        shaped: dict[int, np.ndarray] = {}
+        for i, both in nodes.items():
+            for h in both if i in least else ():
+                shaped[h] = np.minimum(shaped[h], least[i]) if h in shaped else least[i]
+        return {h: ((m >> np.uint64(17)) & np.uint64(1)).astype(np.int64) * 2 - 1 for h, m in shaped.items()}
+
+    def main_text(self, template: set[int], in_article: set[int], shapes: set[int] = frozenset(), marks: bool = True) -> str:
+        """The text of what is left, white space as one space. Without ``marks`` the templates alone decide: neither
+        articles, nor names, roles and layout elements count."""
+        n = len(self.tag)
+        holds, article = self._around()
+        gone = [False] * n
         letters, linked, links = [0] * n, [0] * n, [0] * n
         inside, silent, apart = [False] * n, [False] * n, [False] * n
         for i in range(1, n):
@@ -218,72 +313,120 @@ class Page:
             links[up] += links[i] + (self.tag[i] == "a")
         for i in range(1, n):
             up, tag = self.parent[i], self.tag[i]
-            article[i] = 1 if article[up] or tag in ("article", "main") else 0
-            bad = gone[up] or tag in NO_TEXT or tag == "header" and not article[up] and not holds[i]
-            bad = bad or self.marked[i] and not holds[i]
-            if not bad and not holds[i] and (self.named[i] or self.named_outside[i] and not article[i]):
-                # what holds most of the prose is the text, whatever its name, unless it stands beside an article
-                bad = prose[i] * 2 <= prose[0] or articles and not apart[i]
+            bad = gone[up] or tag in ("head", "script", "style", "template")
+            if marks and not bad:
+                bad = tag in NO_TEXT or tag == "header" and not article[up] and not holds[i]
+                bad = bad or self.marked[i] and not holds[i]
+                if not bad and not holds[i] and (self.named[i] or self.named_outside[i] and not article[i]):
+                    # what holds most of the prose is the text, whatever its name, unless it stands beside an article
+                    bad = prose[i] * 2 <= prose[0] or articles and not apart[i]
             h = self.hash[i]
             if h and not bad and tag not in ("html", "body", "article", "main"):
                 signed = h - (1 << 64) if h >> 63 else h
                 bad = signed in (in_article if article[i] else template)
-            if not bad and not article[i] and tag in ("ul", "ol", "table", "div", "p", "section") and links[i] >= 3 and linked[i] * 10 >= letters[i] * 8:
+            if marks and not bad and not article[i] and tag in ("ul", "ol", "table", "div", "p", "section") and links[i] >= 3 and linked[i] * 10 >= letters[i] * 8:
                 bad = True  # a list of links is a menu
             gone[i] = bad
-        scoped = any(article[node] and not gone[node] and value.strip() for node, value in self.pieces)
+        plain = self._left(gone, article, marks)
+        if not shapes or not plain:
+            return plain
+        left = [0] * n
+        for node, value in self.pieces:
+            left[node] += 0 if gone[node] or inside[node] else len(value.strip())
+        for i in range(n - 1, 0, -1):
+            left[self.parent[i]] += left[i]
+        shaped = self.shapes()
+        for i in range(1, n):
+            gone[i] = gone[i] or gone[self.parent[i]]
+            if not gone[i] and i in shaped and left[i] * 2 <= left[0]:
+                gone[i] = any(s in shapes for s in shaped[i] if not (s & 1 and self.tag[i] in UNMARKED))
+        return self._left(gone, article, marks) or plain  # shapes never empty a page
+
+    def _left(self, gone: list[bool], article: list[bool], marks: bool) -> str:
+        scoped = marks and any(article[node] and not gone[node] and value.strip() for node, value in self.pieces)
         return " ".join("".join(v for node, v in self.pieces if not gone[node] and (article[node] or not scoped)).split())
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, html, weight -> the weights of a batch's pages by host and hash; for shapes with the sums of signs."""
     for b in batches:
-        hosts, rows, hashes = b.column(0).to_pylist(), [], []
-        contents = b.column(2).to_pylist()
-        for i, source in enumerate(b.column(1)):
-            got = Page(source.as_py()).subtrees()
-            hashes.extend(got)
-            rows.extend([i] * len(got))
-        yield pa.RecordBatch.from_arrays([pa.array([hosts[i] for i in rows], pa.string()), pa.array(hashes, pa.int64()), pa.array([contents[i] for i in rows], pa.int64())], ["host", "h", "content"])
+        texts: dict[tuple, int] = {}
+        shapes: dict[tuple, np.ndarray] = {}
+        hosts, weights = b.column(0).to_pylist(), b.column(2).to_pylist()
+        for host, source, w in zip(hosts, b.column(1), weights):
+            page = Page(source.as_py())
+            for h in page.subtrees():
+                texts[host, h] = texts.get((host, h), 0) + w
+            for h, signs in page.signs(page.shapes()).items():
+                row = np.append(signs, 1) * w
+                shapes[host, h] = shapes[host, h] + row if (host, h) in shapes else row
+        keys = [*texts, *shapes]
+        sums = [None] * len(texts) + [r[:-1] for r in shapes.values()]
+        n = [*texts.values(), *(int(r[-1]) for r in shapes.values())]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array(n, pa.int64()), pa.array(sums, pa.list_(pa.int64()))],
+            ["host", "h", "n", "sums"],
+        )
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``host, template, in_article``: the recurring subtree hashes of each host that has some. Copies of a page count
-    once. A host's list is bounded by its mean number of subtrees a page over the least share."""
-    distinct = pages.where("html is not null").select("host", "html", F.xxhash64("html").alias("content"))
-    seen = distinct.transform(in_arrow, _hashed, "host string, h long, content long").distinct()
-    size = distinct.groupBy("host").agg(F.count_distinct("content").alias("pages"))
-    counted = seen.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= TEMPLATE[0]).join(size, "host")
+    """``host, template, in_article, shapes``: the recurring hashes of each host that has some, of subtrees with their
+    text and of shapes. Copies of a page count as one page. A host's lists are bounded by its mean number of subtrees a
+    page over the least share."""
+    known = pages.where("html is not null").select("host", "html", F.xxhash64("html").alias("content"))
+    each = staged(known.groupBy("host", "content").agg(F.count("*").alias("copies")), "contents")
+    size = each.groupBy("host").agg(F.count("*").alias("pages"))
+    several = maybe_broadcast(each.where("copies > 1"), 80)
+    weight = F.floor(F.lit(WEIGHT) / F.coalesce("copies", F.lit(1))).cast("long")
+    weighed = known.join(several, ["host", "content"], "left").select("host", "html", weight.alias("weight"))
+    seen = staged(weighed.transform(in_arrow, _counted, "host string, h long, n long, sums array<long>"), "subtrees")
+    n = F.round(F.sum("n") / WEIGHT).alias("n")
+    # only hashes pass here, each host's rows spread over all of them
+    texts = seen.where("sums is null").groupBy("host", "h").agg(n).where(F.col("n") >= TEMPLATE[0]).join(size, "host")
     (_, share), (least, most) = TEMPLATE, TEMPLATE_IN_ARTICLE
     strong = (F.col("n") >= least) & (F.col("n") >= most * F.col("pages"))
-    counted = counted.where(F.col("n") >= share * F.col("pages"))
-    return counted.groupBy("host").agg(F.collect_list("h").alias("template"), F.collect_list(F.when(strong, F.col("h"))).alias("in_article"))
-
-
-def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = []
-        known: dict = {}
-        hosts = b.column(2).to_pylist()
-        for i, source in enumerate(b.column(3)):
-            if hosts[i] not in known:
-                known[hosts[i]] = tuple(set(b.column(c)[i].as_py() or ()) for c in (4, 5))
-            s = source.as_py()
-            texts.append(Page(s).main_text(*known[hosts[i]]) if s else "")
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-
-def main_text(pages: DataFrame) -> DataFrame:
+    texts = texts.where(F.col("n") >= share * F.col("pages")).select("host", F.col("h").alias("t"), F.when(strong, F.col("h")).alias("a"), F.lit(None).cast("long").alias("s"))
+    least, share, alike = TEMPLATE_SHAPE
+    sums = [F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(SIGNS)]
+    shapes = seen.where("sums is not null").groupBy("host", "h").agg(n, F.sum("n").alias("w"), *sums).where(F.col("n") >= least).join(size, "host")
+    square = sum(((F.col(f"s{k}") / F.col("w")) ** 2 for k in range(SIGNS)), F.lit(0.0)) / SIGNS
+    similar = (square * F.col("n") - 1) / (F.col("n") - 1)
+    links = F.pmod("h", F.lit(2)) == 1
+    none = F.lit(None).cast("long")
+    shapes = shapes.where((F.col("n") >= share * F.col("pages")) & (links | (similar >= alike))).select("host", none.alias("t"), none.alias("a"), F.col("h").alias("s"))
+    lists = {"t": "template", "a": "in_article", "s": "shapes"}
+    return texts.unionByName(shapes).groupBy("host").agg(*(F.collect_list(c).alias(name) for c, name in lists.items()))
+
+
+def _extracted(marks: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            known: dict = {}
+            hosts = b.column(2).to_pylist()
+            for i, source in enumerate(b.column(3)):
+                if hosts[i] not in known:
+                    known[hosts[i]] = tuple(set(b.column(c)[i].as_py() or ()) for c in (4, 5, 6))
+                s = source.as_py()
+                texts.append(Page(s).main_text(*known[hosts[i]], marks=marks) if s else "")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return run
+
+
+def main_text(pages: DataFrame, marks: bool = True) -> DataFrame:
     """``pages(page_id, url, html)`` -> ``page_id, url, text, n_chars`` for every row.
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by
     one space. A null or empty page gives the empty text; pages without a valid host share one nameless host; repeated
-    rows are each extracted; an empty table gives no rows; extra columns are ignored.
+    rows are each extracted; an empty table gives no rows; extra columns are ignored. Without ``marks`` the templates of
+    the hosts alone decide what goes.
     """
     host = F.coalesce(F.lower(F.try_parse_url("url", F.lit("HOST"))), F.lit(""))
     one = only(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
     found = staged(templates(one), "templates")
-    size = found.agg(F.sum(F.size("template") * 16 + 100)).first()[0] or 0
+    size = found.agg(F.sum((F.size("template") + F.size("shapes")) * 16 + 100)).first()[0] or 0
     # sent to every task only when its measured size is small; else joined by host, where Spark splits large hosts
     found = F.broadcast(found) if size <= 32 << 20 else found
-    joined = one.join(found, "host", "left").select("page_id", "url", "host", "html", "template", "in_article")
-    return joined.transform(in_arrow, _extracted, "page_id long, url string, text string, n_chars long")
+    joined = one.join(found, "host", "left").select("page_id", "url", "host", "html", "template", "in_article", "shapes")
+    return joined.transform(in_arrow, _extracted(marks), "page_id long, url string, text string, n_chars long")
