@@ -15,6 +15,7 @@ it, so a quoted passage or a copied page isn't taken for a template.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterator
@@ -88,6 +89,11 @@ _BLOCKS = {t: i for i, t in enumerate(sorted(BLOCK))}
 P, Q, MASK = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
 
 
+@functools.lru_cache(1 << 12)
+def _kind(tag: str, names: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{tag} {names}".encode("utf-8", "surrogatepass"))
+
+
 class Page:
     """The elements of a page, as far as text needs them."""
 
@@ -227,38 +233,40 @@ class Page:
         n = len(self.tag)
         holds, article = self._around()
         path, inside, out = [0] * n, [False] * n, [False] * n
-        front, like = [0] * n, {}
+        front, kinds, like = [0] * n, [0] * n, {}
         for i in range(1, n):
             up = self.parent[i]
-            kind = xxhash.xxh3_64_intdigest(f"{self.tag[i]} {self.names[i]}".encode("utf-8", "surrogatepass"))
+            out[i] = out[up] or article[i] and not holds[i] or self.tag[i] in ("head", "script", "style", "template")
+            if out[i]:
+                continue
+            kinds[i] = kind = _kind(self.tag[i], self.names[i])
             path[i] = (path[up] * P + kind) & MASK
             inside[i] = inside[up] or self.tag[i] == "a"
-            out[i] = out[up] or self.tag[i] in ("head", "script", "style", "template")
             front[i] = like.get((up, kind), 0)
             like[up, kind] = front[i] + 1
         letters, linked, blocks = [0] * n, [0] * n, [0] * n
         for node, value in self.pieces:
-            size = len(value.strip())
-            letters[node] += size
-            linked[node] += size if inside[node] else 0
+            if not out[node]:
+                size = len(value.strip())
+                letters[node] += size
+                linked[node] += size if inside[node] else 0
         for i in range(n - 1, 0, -1):
-            up, tag = self.parent[i], self.tag[i]
-            letters[up] += letters[i]
-            linked[up] += linked[i]
-            if tag in BLOCK:
-                blocks[i] |= 1 << _BLOCKS[tag]
-            blocks[up] |= blocks[i]
+            if not out[i]:
+                up, tag = self.parent[i], self.tag[i]
+                letters[up] += letters[i]
+                linked[up] += linked[i]
+                if tag in BLOCK:
+                    blocks[i] |= 1 << _BLOCKS[tag]
+                blocks[up] |= blocks[i]
         got = {}
-        last = {k: c - 1 for k, c in like.items()}
         for i in range(1, n):
             tag = self.tag[i]
-            if not letters[i] or article[i] or holds[i] or out[i] or tag in ("html", "body"):
+            if out[i] or not letters[i] or article[i] or holds[i] or tag in ("html", "body"):
                 continue
             links = linked[i] >= LINKED * letters[i]
-            up, kind = self.parent[i], (path[i] - path[self.parent[i]] * P) & MASK
-            base = (path[i] * P + xxhash.xxh3_64_intdigest(blocks[i].to_bytes(16, "little"))) & MASK
+            base = (path[i] * P + (blocks[i] * Q ^ blocks[i] >> 64)) & MASK
             both = []
-            for side, place in enumerate((front[i], last[up, kind] - front[i])):
+            for side, place in enumerate((front[i], like[self.parent[i], kinds[i]] - 1 - front[i])):
                 h = ((base * P + 2 * place + side + 1) * Q & MASK) >> 1 << 1 | links
                 both.append(h - (1 << 64) if h >> 63 else h)
             got[i] = both[0], both[1]
@@ -268,14 +276,28 @@ class Page:
         """One-bit minhashes, as signs, of the words of each subtree of ``nodes``, by shape; a shape that a page has
         several times has the words of all."""
         least: dict[int, np.ndarray] = {}
-        for node, value in self.pieces:
-            words = list(set(value.split())) if node in nodes else ()
-            for a in range(0, len(words), 4096):
-                hashed = [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words[a : a + 4096]]
-                mixed = np.array(hashed, np.uint64)[:, None] * _MIX
-                mixed ^= mixed >> np.uint64(32)
-                found = (mixed * np.uint64(Q)).min(axis=0)
+        words: list[int] = []
+        owners: list[int] = []
+        starts: list[int] = []
+
+        def put() -> None:
+            mixed = np.array(words, np.uint64)[:, None] * _MIX
+            mixed ^= mixed >> np.uint64(32)
+            for node, found in zip(owners, np.minimum.reduceat(mixed * np.uint64(Q), starts)):
                 least[node] = np.minimum(least[node], found) if node in least else found
+            for x in (words, owners, starts):
+                x.clear()
+
+        for node, value in self.pieces:
+            own = list(set(value.split())) if node in nodes else ()
+            for a in range(0, len(own), 4096):
+                owners.append(node)
+                starts.append(len(words))
+                words += [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in own[a : a + 4096]]
+                if len(words) >= 4096:
+                    put()
+        if words:
+            put()
         for i in sorted(nodes, reverse=True):
             up = self.parent[i]
             if i in least and up in nodes:
@@ -284,7 +306,10 @@ class Page:
         for i, both in nodes.items():
             for h in both if i in least else ():
                 shaped[h] = np.minimum(shaped[h], least[i]) if h in shaped else least[i]
-        return {h: ((m >> np.uint64(17)) & np.uint64(1)).astype(np.int64) * 2 - 1 for h, m in shaped.items()}
+        if not shaped:
+            return {}
+        bits = (np.array(list(shaped.values())) >> np.uint64(17)) & np.uint64(1)
+        return dict(zip(shaped, bits.astype(np.int64) * 2 - 1))
 
     def main_text(self, template: set[int], in_article: set[int], shapes: set[int] = frozenset(), marks: bool = True) -> str:
         """The text of what is left, white space as one space. Without ``marks`` the templates alone decide: neither
@@ -327,8 +352,9 @@ class Page:
             if marks and not bad and not article[i] and tag in ("ul", "ol", "table", "div", "p", "section") and links[i] >= 3 and linked[i] * 10 >= letters[i] * 8:
                 bad = True  # a list of links is a menu
             gone[i] = bad
-        plain = self._left(gone, article, marks)
-        if not shapes or not plain:
+        scoped = marks and any(article[node] and not gone[node] and value.strip() for node, value in self.pieces)
+        plain = self._left(gone, article, scoped)
+        if not shapes or not plain or scoped:  # what stands in an article, shapes never touch
             return plain
         left = [0] * n
         for node, value in self.pieces:
@@ -340,10 +366,9 @@ class Page:
             gone[i] = gone[i] or gone[self.parent[i]]
             if not gone[i] and i in shaped and left[i] * 2 <= left[0]:
                 gone[i] = any(s in shapes for s in shaped[i] if not (s & 1 and self.tag[i] in UNMARKED))
-        return self._left(gone, article, marks) or plain  # shapes never empty a page
+        return self._left(gone, article, scoped) or plain  # shapes never empty a page
 
-    def _left(self, gone: list[bool], article: list[bool], marks: bool) -> str:
-        scoped = marks and any(article[node] and not gone[node] and value.strip() for node, value in self.pieces)
+    def _left(self, gone: list[bool], article: list[bool], scoped: bool) -> str:
         return " ".join("".join(v for node, v in self.pieces if not gone[node] and (article[node] or not scoped)).split())
 
 
