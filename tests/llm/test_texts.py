@@ -310,6 +310,37 @@ def test_quality_held_out(spark):
     assert held(spark, "op6_pairwise_gam", "quality", 4, 2) > 0.95
 
 
+def test_trees_against_exhaustive_search():
+    """One cut and the three cuts of two features, against all cuts that there are."""
+    q = quality_gam
+    leaf = lambda g, h: g.sum() / (h.sum() + 1.0)
+
+    def one_cut(g, h, n):
+        cuts = [k for k in range(1, len(g)) if min(n[:k].sum(), n[k:].sum()) >= q.LEAST_IN_LEAF]
+        gains = {k: q._gain(g[:k].sum(), h[:k].sum()) + q._gain(g[k:].sum(), h[k:].sum()) - q._gain(g.sum(), h.sum()) for k in cuts}
+        k = max(gains, key=gains.get, default=None)
+        if k is None or gains[k] <= 1e-9:
+            return np.full(len(g), leaf(g, h)), None
+        return np.concatenate([np.full(k, leaf(g[:k], h[:k])), np.full(len(g) - k, leaf(g[k:], h[k:]))]), k
+
+    for seed in range(40):
+        r = np.random.default_rng(seed)
+        g, h, n = r.normal(0, 9, (6, 5)), r.random((6, 5)) * 20, r.integers(0, 40, (6, 5))
+        one, k = one_cut(g[0], h[0], n[0])
+        assert np.allclose(q._tree(g[0], h[0], n[0], 1), one)
+        two = one if k is None else np.concatenate([one_cut(g[0][s], h[0][s], n[0][s])[0] for s in (slice(k), slice(k, None))])
+        assert np.allclose(q._tree(g[0], h[0], n[0], 2), two)
+        tables = []
+        for flip in (False, True):
+            a, b, c = (v.T if flip else v for v in (g, h, n))
+            for k in range(1, len(a)):
+                sides = [one_cut(a[s].sum(0), b[s].sum(0), c[s].sum(0))[0] for s in (slice(k), slice(k, None))]
+                t = np.concatenate([np.tile(x, (m, 1)) for x, m in zip(sides, (k, len(a) - k))])
+                tables.append(t.T if flip else t)
+        loss = lambda t: (t * g - 0.5 * t * t * h).sum()
+        assert np.isclose(loss(q._grid(g, h, n)), max(map(loss, tables)), rtol=1e-6)
+
+
 @pytest.mark.parametrize("f,label", [(toxicity.toxicity, "toxic"), (quality_gam.quality, "quality")])
 def test_classifiers_on_odd_tables(spark, f, label):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "a b"), (4, "word " * 3000), (4, "word " * 3000)], "doc_id long, text string").selectExpr("*", "0 as toxic", "1 as quality", "2 as score")
@@ -387,6 +418,19 @@ def test_repairs_are_cheapest_and_legal(spark):
             assert cost == want[c]
 
 
+def test_long_turns_make_short_pieces(spark, monkeypatch):
+    """Pieces end by characters as well; every turn stays, and a repair of the same cost is found."""
+    roles = ["user", "user", "assistant", "tool", "system"]
+    rows = [(i % 2, i, roles[i % 5], "x" * (i % 7) * 10) for i in range(120)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    kept = lambda: sorted((r.conv_id, r.chunk, r.place, r.turn, r.role, r.conv_cost) for r in chat.repair(df).collect())
+    want = kept()
+    monkeypatch.setattr(chat, "PIECE_CHARS", 50)
+    assert kept() == want
+    cut = df.coalesce(1).sortWithinPartitions("conv_id", "turn").select("conv_id", "turn", "role", "text").mapInArrow(chat._cut(256), chat.PIECES).collect()
+    assert all(sum(len(t.text) for t in p.turns[:-1]) <= 50 for p in cut) and len(cut) > 20
+
+
 def test_chunks_are_cut_by_rows(spark, monkeypatch):
     sizes = []
 

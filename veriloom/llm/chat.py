@@ -107,21 +107,21 @@ PIECE_CHARS = 8 << 20
 
 
 def _cut(chunk: int):
-    """Sorted rows as pieces of at most ``chunk`` turns of one conversation: ``nth`` numbers the conversations of the
+    """Sorted rows as pieces of at most ``chunk`` turns of one conversation, fewer where these pass ``PIECE_CHARS``: ``nth`` numbers the conversations of the
     partition, ``local`` the piece's first row among the conversation's rows there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, nth, local, chars = TaskContext.get().partitionId(), -1, 0, 0
+        part, nth, local, chars, own = TaskContext.get().partitionId(), -1, 0, 0, 0
         conv: int | None = None
         turns: list[dict] = []
         out: list[tuple] = []
 
         def put() -> None:
-            nonlocal turns, local
+            nonlocal turns, local, own
             if turns:
                 out.append((conv, part, nth, local, len(turns), turns))
                 local += len(turns)
-                turns = []
+                turns, own = [], 0
 
         def batch_of() -> pa.RecordBatch:
             cols = list(zip(*out)) if out else [[]] * 6
@@ -135,7 +135,8 @@ def _cut(chunk: int):
                     conv, nth, local = c, nth + 1, 0
                 turns.append({"turn": turn, "role": role, "text": text})
                 chars += len(text or "")
-                if len(turns) == chunk:
+                own += len(text or "")
+                if len(turns) == chunk or own > PIECE_CHARS:
                     put()
                 if chars > PIECE_CHARS:
                     yield batch_of()
