@@ -14,7 +14,7 @@ from veriloom.plans import evidence as E
 from veriloom.plans import package as P
 from veriloom.plans import resolve as R
 from veriloom.plans import stories as S
-from veriloom.plans.nested import assembled
+from veriloom.plans.nested import assembled, requirement_buckets
 from veriloom.queries import Tables
 from veriloom.sources.graph import Graph
 
@@ -281,6 +281,18 @@ def test_lists_are_assembled_in_order(spark):
     assert rows(got) == [("j", "p", 1, [None, "b"], []), ("j", "q", 2, [], [])]
 
 
+def _leaves(df):
+    return df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+
+def test_buckets_are_taken_from_one_scan(spark):
+    made = spark.createDataFrame([("j", "p", i, b, f"v{i}") for i, b in enumerate(["gap", "matched", "gap", "partial", None])], "job_id string, person_id string, seq int, bucket string, summary string")
+    got = requirement_buckets(made, made.select("job_id", "person_id").distinct().unionByName(spark.createDataFrame([("j", "q")], ["job_id", "person_id"])))
+    assert rows(got) == [("j", "p", ["v1"], ["v3"], ["v0", "v2"]), ("j", "q", [], [], [])]
+    t = Tables.of(spark, D)
+    assert _leaves(requirement_buckets(t.summaries, t.app)) == 2  # applications and summaries
+
+
 def test_expansion_is_capped_and_never_goes_back(spark):
     t = Tables.of(spark, D)
     start = t.g.education.select(F.lit("Education").alias("label"), F.col("education_id").alias("key"))
