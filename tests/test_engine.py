@@ -293,6 +293,11 @@ def test_buckets_are_taken_from_one_scan(spark):
     assert _leaves(requirement_buckets(t.summaries, t.app)) == 2  # applications and summaries
 
 
+def test_evidence_is_located_once(spark):
+    t = Tables.of(spark, D)
+    assert _leaves(P.transferable_list(t.trans, t.status, t.refs)) == 3
+
+
 def test_expansion_is_capped_and_never_goes_back(spark):
     t = Tables.of(spark, D)
     start = t.g.education.select(F.lit("Education").alias("label"), F.col("education_id").alias("key"))
