@@ -324,3 +324,25 @@ def test_invariants(spark):
     assert P.order(t.x).join(t.zr.select("job_id", "person_id", F.col("title")), ["job_id", "person_id", "title"]).count() == 0
     assert t.texts.where(F.col("text").contains("## ") & ~F.col("text").startswith("# ")).count() == 0
     assert E.rejected_edges(t.g).count() == 0
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_evidence_meets_requirements_once(spark):
+    """Equal pieces count once, a person's evidence stays their own, and numbers follow the order of :func:`E.numbered`."""
+    piece = "struct<source:string,source_type:string,relationship:string,project:string,role:string,education:string,professional_context:boolean,evidence_strength:string>"
+    one = lambda source, kind="Project": (source, kind, "USED", source, None, None, False, "moderate")
+    found = [("p1", [("a", [one("x"), one("y"), one(None)]), ("b", [one("z")]), (None, [one("w")])]), ("p2", [("b", [one("q")])])]
+    found = spark.createDataFrame(found, f"person_id string, skills array<struct<canonical_skill:string,pieces:array<{piece}>>>")
+    acc = [("j", f"r{i}", q, "required", "domain", skill, 1.0, how, "t", "include", i) for i, (q, skill, how) in enumerate([("q3", "b", "low"), ("q2", "a", "high"), ("q1", "b", "high"), ("q0", None, "no_match"), ("q0", "c", "high")])]
+    acc = spark.createDataFrame(acc, "job_id string, raw string, skill_query string, importance string, category string, canonical_skill string, match_score double, match_confidence string, match_type string, recommendation string, seq long")
+    held = E.held(acc, spark.createDataFrame([("j", "p1"), ("j", "p2"), ("j", "p3")], "job_id string, person_id string"), found)
+    got = rows(held.select("person_id", "seq", "bucket", "n_evidence"))
+    assert got[:5] == [("p1", 0, "partial", 1), ("p1", 1, "matched", 3), ("p1", 2, "matched", 1), ("p1", 3, "gap", 0), ("p1", 4, "gap", 0)]
+    assert [g[2] for g in got[5:]] == ["partial", "gap", "matched", "gap", "gap"] + ["gap"] * 5
+    m = E.matches(held)
+    assert rows(m.where("person_id = 'p1'").select("n", "seq", "source")) == [(1, 2, "z"), (2, 1, "x"), (3, 1, "y"), (4, 0, "z")]
+    assert rows(m.select("person_id", "n", "seq")) == rows(E.numbered(m.drop("n")).select("person_id", "n", "seq"))
+    assert _shuffles(held) <= 6  # none once a requirement
