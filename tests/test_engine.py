@@ -346,3 +346,14 @@ def test_evidence_meets_requirements_once(spark):
     assert rows(m.where("person_id = 'p1'").select("n", "seq", "source")) == [(1, 2, "z"), (2, 1, "x"), (3, 1, "y"), (4, 0, "z")]
     assert rows(m.select("person_id", "n", "seq")) == rows(E.numbered(m.drop("n")).select("person_id", "n", "seq"))
     assert _shuffles(held) <= 6  # none once a requirement
+
+
+def test_stories_meet_in_one_shuffle(spark):
+    """Rows of evidence are shuffled once, and nothing but details is joined; the parts agree with the whole."""
+    t = Tables.of(spark, D)
+    texts = S.stories(t.keyed, t.g)._jdf.queryExecution().executedPlan().toString()
+    assert texts.count("veriloom-held") == 1
+    want = S.story_requirements(t.keyed).groupBy(*S.ID).agg(F.count("*").alias("n"), F.count_if(F.col("importance") == "required").alias("required_count"))
+    assert rows(t.stories.select(*S.ID, F.size("supports"), "required_count")) == rows(want)
+    assert rows(t.stories.select(*S.ID, "source_type", "direct_skills", "evidence_strength", "first_seen")) == rows(S.aggregated(t.keyed).select(*S.ID, "source_type", "direct_skills", "evidence_strength", "first_seen"))
+    assert P.scored(t.parts)._jdf.queryExecution().executedPlan().toString().count("veriloom-parts") == 1
