@@ -14,7 +14,7 @@ from veriloom.plans import evidence as E
 from veriloom.plans import package as P
 from veriloom.plans import resolve as R
 from veriloom.plans import stories as S
-from veriloom.plans.nested import assembled, requirement_buckets
+from veriloom.plans.nested import assembled, requirement_buckets, requirement_matches, requirement_summaries
 from veriloom.queries import Tables
 from veriloom.sources.graph import Graph
 
@@ -357,3 +357,11 @@ def test_stories_meet_in_one_shuffle(spark):
     assert rows(t.stories.select(*S.ID, F.size("supports"), "required_count")) == rows(want)
     assert rows(t.stories.select(*S.ID, "source_type", "direct_skills", "evidence_strength", "first_seen")) == rows(S.aggregated(t.keyed).select(*S.ID, "source_type", "direct_skills", "evidence_strength", "first_seen"))
     assert P.scored(t.parts)._jdf.queryExecution().executedPlan().toString().count("veriloom-parts") == 1
+
+
+def test_requirements_bring_their_related_evidence(spark):
+    """Matches are a projection of the held requirements, and summaries join nothing but names."""
+    t = Tables.of(spark, D)
+    assert _leaves(requirement_matches(t.held)) == 1 and _leaves(requirement_summaries(t.held, t.reg)) == 2
+    want = t.status.select("job_id", "person_id", "seq").join(t.trans, ["job_id", "seq"]).groupBy("job_id", "person_id", "seq").count()
+    assert rows(t.held.where("given is not null").select("job_id", "person_id", "seq", F.size("given"))) == rows(want)
