@@ -16,7 +16,7 @@ from veriloom.plans import resolve as R
 from veriloom.plans import stories as S
 from veriloom.plans.nested import assembled, requirement_buckets, requirement_matches, requirement_summaries
 from veriloom.queries import Tables
-from veriloom.sources.graph import Graph
+from veriloom.sources.graph import Graph, star_graph
 
 D = "/root/testdata/sf0.001"
 NODE = "label string, key string, props map<string,string>"
@@ -267,6 +267,22 @@ def test_expansion_of_a_hot_node(spark):
     assert got == sorted([("hub", k, 1) for k in first[:10]] + [("7", "hub", 1)] + [("7", k, 2) for k in first[:10]])
 
 
+def test_expansion_shuffles_only_edges_of_the_frontier(spark):
+    g = star(spark, 1000, Tables.of(spark, D).g)
+    plan = GR.expand(g, spark.createDataFrame([("Project", "7")], "label string, key string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") >= 2  # out- and in-edges
+
+
+def test_equal_achievements_meet_by_number(spark, monkeypatch):
+    """Tasks follow the number of lines, and no text is shuffled."""
+    monkeypatch.setattr("veriloom.sources.staging.TASK_ROWS", 500)
+    got = star_graph(spark, D).achievement
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    lines = spark.read.parquet(f"{D}/lineitem.parquet").count()
+    assert got.rdd.getNumPartitions() == -(-lines // 500) > 8
+    assert all("Delivered" not in x for x in plan[plan.index("Exchange") :].splitlines())
+
+
 def test_ranks_of_a_hot_key(spark):
     df = spark.range(5000).selectExpr("if(id < 4800, 'hot', concat('k', id % 7)) as k", "lpad(hex(id * 7919 % 5003), 6, '0') as v")
     got = GR.ranked(df.repartition(6), "k", "v")
