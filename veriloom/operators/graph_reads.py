@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriloom.sources.graph import LABELS, Graph
-from veriloom.sources.staging import staged
+from veriloom.sources.staging import broadcast_if, staged
 
 
 def summary(g: Graph) -> DataFrame:
@@ -117,16 +117,15 @@ def expand(g: Graph, start: DataFrame, hops: int = 1, cap: int = 10) -> DataFram
 
     From every node of a frontier at most ``cap`` neighbours that its root hasn't seen are added, by edge type, then
     label and key. Before the last hop a root has seen 1 + cap + ... nodes at most, so no more than that many of a node's
-    first neighbours, and ``cap``, can matter: only these meet the frontier, however many edges a node has. The result of
-    a hop is checkpointed, so lineage doesn't grow.
+    first neighbours, and ``cap``, can matter: only these meet the frontier, however many edges a node has. Of the graph,
+    only edges at a node of the frontier are shuffled at all. The result of a hop is checkpointed, so lineage doesn't grow.
     """
     node = ["root_label", "root_key", "label", "key"]
     seen = start.select(F.col("label").alias("root_label"), F.col("key").alias("root_key"), "label", "key", F.lit(0).alias("hop")).distinct()
     front = seen
-    links = first_neighbours(neighbours(g), cap + sum(cap**i for i in range(hops)))
-    if hops > 1:
-        links = links.checkpoint()
     for hop in range(1, hops + 1):
+        ends = broadcast_if(front.select("label", "key").distinct(), row_bytes=100)
+        links = first_neighbours(neighbours(g).join(ends, ["label", "key"], "left_semi"), cap + sum(cap**i for i in range(hops)))
         near = front.select(*node).join(links, ["label", "key"])
         fresh = near.join(seen.select("root_label", "root_key", F.col("label").alias("other_label"), F.col("key").alias("other_key")), ["root_label", "root_key", "other_label", "other_key"], "left_anti")
         w = Window.partitionBy(*node).orderBy("type", "other_label", "other_key")
