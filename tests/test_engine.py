@@ -159,6 +159,16 @@ def test_job_files(spark, tmp_path):
     assert rows(texts) == [("x", "é\n")] and rejected.count() == 0
 
 
+def test_job_files_are_read_once(spark, tmp_path):
+    jobs = [(f"job {i}", f"text {i}") for i in range(300)]
+    IN.write_job_files(spark.createDataFrame(jobs, "job_id string, text string").repartition(3), "file://" + str(tmp_path))
+    got = IN.job_files(spark, str(tmp_path))
+    assert rows(got) == sorted((*j, None) for j in jobs)
+    plan = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert sum("FileScan binaryFile" in x and "content" in x.split("Batched")[0] for x in plan) == 1
+    assert len(list(tmp_path.iterdir())) == IN.FOLDERS > 32  # more folders than Spark lists in the driver
+
+
 @pytest.mark.parametrize("kind", IN.KINDS)
 def test_documents_round_trip(spark, tmp_path, kind):
     path = str(tmp_path / "out")

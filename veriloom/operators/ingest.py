@@ -104,41 +104,53 @@ def parse_requirements(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
 JOB_BYTES = 1 << 20
 
 
-def read_jobs(spark: SparkSession, path: str, most: int = JOB_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Job texts, one a file -> ``job_id, text`` and the rejected files, ``job_id, reason``: ``too_large`` (more than
-    ``most`` bytes), ``undecodable`` (no UTF-8) or ``blank``. ``job_id`` is the name of the file; files without bytes are in
-    neither, as Spark doesn't list them.
+def job_files(spark: SparkSession, path: str, most: int = JOB_BYTES) -> DataFrame:
+    """Job texts, one a file -> ``job_id, text, reason``. ``reason`` says why a file is rejected: ``too_large`` (more than
+    ``most`` bytes), ``undecodable`` (no UTF-8) or ``blank``; the text of such a file is missing. ``job_id`` is the name of
+    the file; files without bytes have no row, as Spark doesn't list them.
 
-    The sizes come from the listing, so a file that is too large is never read; the others are read as bytes and decoded
-    afterwards, so a broken one is a row among the rejected and not a failure.
+    The sizes come from the listing, so a file that is too large is never read; the others are read once, as bytes, and
+    decoded afterwards, so a broken one is a row and not a failure.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
     job = F.regexp_extract("path", r"([^/]*)\.txt$", 1).alias("job_id")
     text = F.col("content").cast("string")
     read = files.where(F.col("length") <= most).select(job, text.alias("text"), F.is_valid_utf8(text).alias("valid"))
     blank = F.regexp_replace("text", r"(?U)\s+", "") == ""
-    reason = F.when(~F.col("valid"), "undecodable").when(blank, "blank")
-    large = files.where(F.col("length") > most).select(job, F.lit("too_large").alias("reason"))
-    return read.where(reason.isNull()).select("job_id", "text"), large.unionByName(read.select("job_id", reason.alias("reason")).where("reason is not null"))
+    read = read.select("job_id", "text", F.when(~F.col("valid"), "undecodable").when(blank, "blank").alias("reason"))
+    large = files.where(F.col("length") > most).select(job, F.lit(None).cast("string").alias("text"), F.lit("too_large").alias("reason"))
+    return read.withColumn("text", F.when(F.col("reason").isNull(), F.col("text"))).unionByName(large)
+
+
+def read_jobs(spark: SparkSession, path: str, most: int = JOB_BYTES) -> tuple[DataFrame, DataFrame]:
+    """:func:`job_files` as the texts, ``job_id, text``, and the rejected files, ``job_id, reason``; each reads the files."""
+    every = job_files(spark, path, most)
+    return every.where("reason is null").select("job_id", "text"), every.where("reason is not null").select("job_id", "reason")
+
+
+#: Folders that job files are dealt over: with so many, Spark lists them in tasks.
+FOLDERS = 64
 
 
 def write_job_files(texts: DataFrame, path: str) -> None:
-    """``texts(job_id, text)`` as files that :func:`read_jobs` reads, ``<job_id>.txt`` in UTF-8. Tasks write them one by one,
-    so the path is one that ``pyarrow.fs`` opens."""
+    """``texts(job_id, text)`` as files that :func:`read_jobs` reads, ``<job_id>.txt`` in UTF-8, dealt over folders by the
+    hash of the job. Tasks write them one by one, so the path is one that ``pyarrow.fs`` opens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
         n = 0
         for b in batches:
-            for job, content in zip(b.column(0).to_pylist(), b.column(1)):
-                with store.open_output_stream(f"{root}/{job}.txt") as f:
+            for folder, job, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                with store.open_output_stream(f"{root}/{folder}/{job}.txt") as f:
                     f.write(content.as_buffer() if content.is_valid else b"")
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
     store, root = fs.FileSystem.from_uri(path)
-    store.create_dir(root, recursive=True)
-    texts.select("job_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    for folder in range(FOLDERS):
+        store.create_dir(f"{root}/{folder}", recursive=True)
+    folder = F.pmod(F.xxhash64("job_id"), F.lit(FOLDERS)).alias("folder")
+    texts.select(folder, "job_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
 def not_blank(texts: DataFrame) -> DataFrame:
