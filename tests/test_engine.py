@@ -15,7 +15,7 @@ from veriloom.plans import package as P
 from veriloom.plans import resolve as R
 from veriloom.plans import stories as S
 from veriloom.plans.nested import assembled, requirement_buckets, requirement_matches, requirement_summaries
-from veriloom.queries import Tables
+from veriloom.queries import QUERIES, Tables
 from veriloom.sources.graph import Graph, star_graph
 
 D = "/root/testdata/sf0.001"
@@ -385,6 +385,13 @@ def test_stories_meet_in_one_shuffle(spark):
     assert P.scored(t.parts)._jdf.queryExecution().executedPlan().toString().count("veriloom-parts") == 1
 
 
+def test_achievement_bullets_need_stories_only(spark, monkeypatch):
+    n = Tables.of(spark, D).stories.count()
+    for name in ("routed", "skills"):
+        monkeypatch.setattr(Tables, name, property(lambda self: pytest.fail("not needed")))
+    assert QUERIES["g04_achievement_bullets"](spark, D).count() == n > 0
+
+
 def test_requirements_bring_their_related_evidence(spark):
     """Matches are a projection of the held requirements, and summaries join nothing but names."""
     t = Tables.of(spark, D)
