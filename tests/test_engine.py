@@ -385,6 +385,14 @@ def test_stories_meet_in_one_shuffle(spark):
     assert P.scored(t.parts)._jdf.queryExecution().executedPlan().toString().count("veriloom-parts") == 1
 
 
+def test_tasks_of_stories_follow_the_edges(spark, monkeypatch):
+    monkeypatch.setattr("veriloom.sources.staging.TASK_ROWS", 500)
+    t = Tables.of(spark, D)
+    n = -(-t.g.edges.count() // 500)
+    plan = S.stories(t.keyed, t.g)._jdf.queryExecution().executedPlan().toString()
+    assert n > 8 and re.search(rf"hashpartitioning\(job_id#\d+, person_id#\d+, {n}\)", plan)
+
+
 def test_achievement_bullets_need_stories_only(spark, monkeypatch):
     n = Tables.of(spark, D).stories.count()
     for name in ("routed", "skills"):
