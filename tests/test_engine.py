@@ -406,3 +406,27 @@ def test_requirements_bring_their_related_evidence(spark):
     assert _leaves(requirement_matches(t.held)) == 1 and _leaves(requirement_summaries(t.held, t.reg)) == 2
     want = t.status.select("job_id", "person_id", "seq").join(t.trans, ["job_id", "seq"]).groupBy("job_id", "person_id", "seq").count()
     assert rows(t.held.where("given is not null").select("job_id", "person_id", "seq", F.size("given"))) == rows(want)
+
+
+def _without(monkeypatch, *names):
+    for name in names:
+        monkeypatch.setattr(Tables, name, property(lambda self: pytest.fail("not needed")))
+
+
+def test_careers_take_one_aggregate_and_no_staged_edges(spark, monkeypatch):
+    """Pieces are cut where the skill changes, in their order; a person without evidence has no row."""
+    _without(monkeypatch, "g")
+    t = Tables(spark, D)
+    assert t.careers.count() > 0
+    plan = E.careers(t.ways, 1000)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("collect_set(piece") == 2 and "collect_list" not in plan  # partial and final
+    edges = [("BUILT", "Person", "p", "Project", "a"), ("BUILT", "Person", "q", "Project", "b"), ("DURING", "Project", "a", "Role", "r"), ("AT", "Role", "r", "Company", "c"), ("USED", "Project", "a", "Skill", "x"), ("USED", "Project", "a", "Skill", "y"), ("DEMONSTRATES", "Achievement", "m", "Skill", "x"), ("ACHIEVED", "Project", "a", "Achievement", "m"), ("DEMONSTRATES", "Achievement", "n", "Skill", "x"), ("ACHIEVED", "Project", "a", "Achievement", "n")]
+    edges = spark.createDataFrame(edges, "type string, src_label string, src_key string, dst_label string, dst_key string")
+    project = spark.createDataFrame([("a", "A"), ("b", "B")], "project_id string, name string")
+    role = spark.createDataFrame([("r", "R")], "role_id string, title string")
+    education = spark.createDataFrame([], "education_id string, institution string")
+    achievement = spark.createDataFrame([("m", "told 20 items"), ("n", None)], "achievement_id string, description string")
+    found = E.careers(Graph(None, role, None, project, education, achievement, None, edges)).collect()
+    want = [("x", [(None, "strong"), ("told 20 items", "strong"), ("A", "moderate")]), ("y", [("A", "moderate")])]
+    assert [r.person_id for r in found] == ["p"]
+    assert [(s.canonical_skill, [(p.source, p.evidence_strength) for p in s.pieces]) for s in found[0].skills] == want
