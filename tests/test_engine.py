@@ -430,3 +430,10 @@ def test_careers_take_one_aggregate_and_no_staged_edges(spark, monkeypatch):
     want = [("x", [(None, "strong"), ("told 20 items", "strong"), ("A", "moderate")]), ("y", [("A", "moderate")])]
     assert [r.person_id for r in found] == ["p"]
     assert [(s.canonical_skill, [(p.source, p.evidence_strength) for p in s.pieces]) for s in found[0].skills] == want
+
+
+def test_reference_projects_need_no_stories(spark, monkeypatch):
+    t = Tables.of(spark, D)
+    want = rows(P.reference_projects(t.parts, t.g).select("job_id", "person_id", "group_key", "name"))
+    _without(monkeypatch, "stories", "parts")
+    assert rows(QUERIES["f09_reference_projects"](spark, D)) == want != []
