@@ -437,3 +437,16 @@ def test_reference_projects_need_no_stories(spark, monkeypatch):
     want = rows(P.reference_projects(t.parts, t.g).select("job_id", "person_id", "group_key", "name"))
     _without(monkeypatch, "stories", "parts")
     assert rows(QUERIES["f09_reference_projects"](spark, D)) == want != []
+
+
+def test_transferable_evidence_comes_with_the_requirements(spark, monkeypatch):
+    t = Tables.of(spark, D)
+    want = rows(P.transferable_list(t.trans, t.status, t.refs))
+    assert rows(P.named(t.parts)) == rows(t.x.select(*P.named(t.parts).columns))
+    t.reg  # noqa: B018
+    _without(monkeypatch, "refs", "x", "skills")
+    got = QUERIES["f19_transferable_list"](spark, D)
+    assert rows(got) == want != [] and _leaves(got) == 2  # held requirements and the registry
+    fresh = Tables(spark, D)
+    fresh.__dict__["parts"] = t.parts
+    assert rows(fresh.reg) == rows(t.reg)
