@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -39,6 +40,10 @@ KEY_LENGTH, KEY_EACH = 20, 4
 FREQUENT = 0.05
 #: Words that a task counts before it hands them on.
 COUNTED = 1 << 17
+#: One in so many texts is read first for patterns that stand beside too many ordinary words already there.
+FIRST = 128
+#: Bytes of patterns that go to the tasks as they are, and number of patterns that go as checksums.
+LISTED, CHECKED = 4 << 20, 1 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -95,6 +100,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 _PIECE = re.compile(r"\w+|[^\w\s]")
+#: A context of over 100 characters has a word of so many, as it has three words or signs at most.
+_LONG = re.compile(r"\w{30,}")
 _KEY = re.compile(rf"[A-Za-z0-9]{{{KEY_LENGTH},}}")
 _INNER = re.compile(r"[a-z0-9][A-Z]|[A-Za-z0-9][_+/@.-][A-Za-z0-9]")
 _MARK = re.compile(r"[0-9A-Z_+/@.-]")
@@ -289,32 +296,73 @@ def _pattern_words(pattern: str) -> list[str]:
     return _PIECE.findall(pattern.partition("|")[2])
 
 
-def _ordinary(wanted: frozenset[str] | None, frequent: frozenset[str]):
-    """(pattern, hash of an ordinary token that it stands beside), for the ``wanted`` patterns, or for all but those of
-    frequent words."""
-    # an occurrence of a pattern holds its longest word that isn't frequent
-    marks = None if wanted is None else {max((w for w in _pattern_words(p) if w not in frequent), key=len, default="") for p in wanted}
+def _checksum(pattern: str) -> int:
+    """What Spark's ``crc32`` makes of a pattern."""
+    return zlib.crc32(pattern.encode("utf-8", "surrogatepass"))
+
+
+def _marks(wanted: Iterable[str], frequent: frozenset[str]) -> dict[str, bool]:
+    """Words, none of them frequent, of which each occurrence of a pattern holds one: that of its words that most patterns
+    share, and of these the longest, so that many patterns have few marks. True for those that may be a part of a word, as the
+    one right beside a token can be."""
+    words = []
+    for p in wanted:
+        side, _, context = p.partition("|")
+        own = [(w, False) for w in _pattern_words(p)]
+        at = -1 if side[0] == "l" else 0
+        if context[at].isalnum():
+            own[at] = own[at][0], True
+        words.append({w for w in own if w[0] not in frequent})
+    n = Counter(w for one in words for w, _ in one)
+    marks: dict[str, bool] = {}
+    for one in words:
+        mark, part = max(one, key=lambda w: (n[w[0]], len(w[0]), w))
+        marks[mark] = marks.get(mark, False) or part
+    return marks
+
+
+def _digested(pattern: str) -> bool:
+    """Whether a pattern is the digest of a long context (see :func:`_normal`)."""
+    return len(pattern) == 36 and pattern[3] == "#"
+
+
+def _ordinary(wanted: frozenset[str] | None, frequent: frozenset[str], checksums: frozenset[int] | None = None):
+    """(pattern, hash of an ordinary token that it stands beside), for the ``wanted`` patterns; else for those with one of the
+    ``checksums``; else for all but those of frequent words."""
+    marks = None if wanted is None else _marks((p for p in wanted if not _digested(p)), frequent)
+    long = wanted is not None and any(map(_digested, wanted))
+    whole = {m for m, part in marks.items() if not part} if marks else set()
+
+    def asked(pattern: str) -> bool:
+        if wanted is not None:
+            return pattern in wanted
+        if checksums is not None:
+            return _checksum(pattern) in checksums
+        return not frequent.issuperset(_pattern_words(pattern))
 
     def near(text: str) -> Iterable[tuple[int, int]]:
         """Tokens of a text; where marks are known, those around them at least."""
         low = _lower(text)
         if marks is None or len(low) != len(text):
             return _tokens(text)
-        here = {m for m in marks if m in low} if len(marks) <= 32 else marks.intersection(_PIECE.findall(low))
-        out = set()
-        for m in here:
+        here = whole if len(whole) <= 32 else whole.intersection(_PIECE.findall(low))
+        places = [m.span() for m in _LONG.finditer(low)] if long else []
+        for m in (m for some in (here, marks.keys() - whole) for m in some if m in low):
             at = low.find(m)
             while at >= 0:
                 end = at + len(m)
-                if not (m[0].isalnum() and (low[max(0, at - 1) : at].isalnum() or low[end : end + 1].isalnum())):
-                    before = _before(text, at)
-                    lo = before[-1] if before else at
-                    while lo > 0 and text[lo - 1] in _TOKEN_CHARS:
-                        lo -= 1
-                    hi = next(islice((p.end() for p in _PIECE.finditer(text, end)), LEFT, None), len(text))
-                    hi = _TOKEN.match(text, hi - 1).end() if text[hi - 1] in _TOKEN_CHARS else hi
-                    out.update((t.start(), t.start() + len(t[0].rstrip(".@/+-"))) for t in _TOKEN.finditer(text, lo, hi))
+                if marks[m] or not (m[0].isalnum() and (low[max(0, at - 1) : at].isalnum() or low[end : end + 1].isalnum())):
+                    places.append((at, end))
                 at = low.find(m, end)
+        out = set()
+        for at, end in places:
+            before = _before(text, at)
+            lo = before[-1] if before else at
+            while lo > 0 and text[lo - 1] in _TOKEN_CHARS:
+                lo -= 1
+            hi = next(islice((p.end() for p in _PIECE.finditer(text, end)), LEFT, None), len(text))
+            hi = _TOKEN.match(text, hi - 1).end() if text[hi - 1] in _TOKEN_CHARS else hi
+            out.update((t.start(), t.start() + len(t[0].rstrip(".@/+-"))) for t in _TOKEN.finditer(text, lo, hi))
         return sorted(t for t in out if t[1] > t[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,25 +375,47 @@ def _ordinary(wanted: frozenset[str] | None, frequent: frozenset[str]):
                 if plain:
                     for (s, e), beside in zip(plain, _contexts(text, plain)):
                         value = _hash(text[s:e].lower())
-                        found.update((p, value) for p in beside if (p in wanted if wanted is not None else not frequent.issuperset(_pattern_words(p))))
+                        found.update((p, value) for p in beside if asked(p))
             cols = list(zip(*found)) if found else [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64())], ["pattern", "value"])
 
     return run
 
 
+def _beside(texts: DataFrame, wanted: DataFrame, frequent: list[str]) -> DataFrame:
+    """``pattern, value``: the ordinary tokens that each of the ``wanted`` patterns stands beside, as hashes, with repeats. Texts
+    meet the patterns in the tasks that read them while the patterns are few (4 MB), and their checksums while these are; what
+    passes the checksums, or else the patterns of all texts, is joined with them."""
+    n, size = wanted.agg(F.count("*"), F.sum(F.octet_length("pattern") + 100)).first()
+    few = (size or 0) <= LISTED
+    listed = frozenset(r.pattern for r in wanted.select("pattern").collect()) if few else None
+    checksums = frozenset(r.c for r in wanted.select(F.crc32(F.col("pattern").cast("binary")).alias("c")).collect()) if not few and n <= CHECKED else None
+    seen = texts.transform(in_arrow, _ordinary(listed, frozenset(frequent), checksums), "pattern string, value long")
+    return seen if few else seen.join(wanted.select("pattern"), "pattern", "left_semi")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return only(docs, "text").where("text is not null")
+
+
+def possible(docs: DataFrame, wanted: DataFrame, frequent: list[str], confident: float = CONFIDENT, first: int = FIRST) -> DataFrame:
+    """Of ``wanted(pattern, n)``, with the number of values of each, the patterns that may reach ``confident``: all values
+    believed, and no ordinary token but those of one text in ``first``.
+
+    All texts have these tokens and more, so what is left out here would fail there as well, by a quarter more and three,
+    where a sketch's count errs by a few hundredths. The number of patterns grows with that of texts, and nearly all are of
+    words that stand beside far too many ordinary ones; without this, each of them would be looked for in all texts.
+    """
+    some = _texts(docs).where(F.pmod(F.xxhash64("text"), F.lit(first)) == 0)
+    there = _beside(some, wanted, frequent).groupBy("pattern").agg(F.count_distinct("value").alias("there"))
+    most = (F.col("n") + 0.5) * (1 - confident) / confident - 0.5
+    return wanted.join(there, "pattern", "left").where(F.coalesce("there", F.lit(0)) <= 1.25 * most + 3).select("pattern")
+
+
 def ordinary(docs: DataFrame, wanted: DataFrame, frequent: list[str]) -> DataFrame:
     """``pattern, ordinary``: beside how many different ordinary tokens each of the ``wanted`` patterns stands (a sketch's
-    count, so that nothing is shuffled but sketches). Texts meet the patterns in the tasks that read them while the
-    patterns are few (4 MB); else patterns of all texts are joined with them."""
-    texts = only(docs, "text").where("text is not null")
-    size = wanted.agg(F.sum(F.octet_length("pattern") + 100)).first()[0] or 0
-    few = size <= 4 << 20
-    listed = frozenset(r.pattern for r in wanted.collect()) if few else None
-    seen = texts.transform(in_arrow, _ordinary(listed, frozenset(frequent)), "pattern string, value long")
-    if not few:
-        seen = seen.join(wanted, "pattern", "left_semi")
-    return seen.groupBy("pattern").agg(F.approx_count_distinct("value", 0.02).alias("ordinary"))
+    count, so that nothing is shuffled but sketches)."""
+    return _beside(_texts(docs), wanted, frequent).groupBy("pattern").agg(F.approx_count_distinct("value", 0.02).alias("ordinary"))
 
 
 def patterns(scanned: DataFrame, docs: DataFrame, frequent: list[str], rounds: int = ROUNDS, least: int = LEAST_SEEDS, confident: float = CONFIDENT, held_out: int = 0) -> DataFrame:
@@ -362,11 +432,12 @@ def patterns(scanned: DataFrame, docs: DataFrame, frequent: list[str], rounds: i
     known = F.col("kind").isin(*KINDS) | (F.col("kind") == "key") & (F.pmod("value", F.lit(100)) >= held_out)
     edges = s.groupBy("pattern", "value").agg(F.max(F.when(known, 1.0).otherwise(0.0)).alias("seed"))
     # a pattern with fewer values can't ever have enough seeds
-    enough = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("pattern")
+    enough = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     words = F.regexp_extract_all(F.substring("pattern", 4, 1 << 20), F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0))
     usual = F.array(*map(F.lit, frequent)).cast("array<string>")
     letter = F.exists(words, lambda w: w.rlike(r"\p{L}"))
     enough = staged(enough.where(F.substring("pattern", 4, 1).eqNullSafe("#") & (F.length("pattern") == 36) | letter & (F.size(F.array_except(words, usual)) > 0)), "enough")
+    enough = staged(possible(docs, enough, frequent, confident), "possible")
     edges = staged(edges.join(maybe_broadcast(enough, 200), "pattern"), "edges")
     beside = staged(ordinary(docs, enough, frequent), "ordinary")
     believed, n = None, 0
