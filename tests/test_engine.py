@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from veriloom.plans import stories as S
 from veriloom.plans.nested import assembled, requirement_buckets, requirement_matches, requirement_summaries
 from veriloom.queries import QUERIES, Tables
 from veriloom.sources.graph import Graph, star_graph
+from veriloom.sources.staging import CLEANUP, staged
 
 D = "/root/testdata/sf0.001"
 NODE = "label string, key string, props map<string,string>"
@@ -192,6 +194,34 @@ def test_documents_round_trip(spark, tmp_path, kind):
         IN.write_documents(df, path, "story")
 
 
+def test_documents_of_odd_jobs_are_compressed(spark, tmp_path):
+    """Files are compressed; the manifest knows the job of each line without parsing what follows, whatever signs its name has."""
+    names = ['say "hi"', "back\\slash", "new\nline", "\u00e4\u00f6 \u4e2d", "", '"}', "plain", None]
+    df = spark.createDataFrame([({"n": "x" * 500}, name) for name in names for _ in range(20)], "doc struct<n:string>, job_id string")
+    path = str(tmp_path / "out")
+    IN.write_documents(df, path, "context", records=20)
+    files = list((tmp_path / "out" / "context").glob("data-*/*.json.gz"))
+    assert files and sum(f.stat().st_size for f in files) < 160 * 100
+    known = IN.manifest(spark, path, "context")
+    assert known.agg(F.sum("n")).first()[0] == 160 and known.count() == len(files)
+    assert rows(IN.read_staged(spark, path, "context", df.schema).select("job_id", "doc.n")) == rows(df.select("job_id", "doc.n"))
+    lines = spark.read.text([str(f) for f in files])
+    assert lines.select(IN.job_of("value").alias("j")).groupBy("j").count().where("count = 20").count() == len(names)
+    ranges = {r.r for r in df.select(IN._range().alias("r")).distinct().collect()}
+    assert {x for r in known.collect() for x in (r.low, r.high)} <= ranges
+
+
+def test_staging_keeps_no_shuffle_files(spark):
+    """What a staged table was shuffled through goes when it is written."""
+    kept = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").count("/shuffle_")
+    before, found = kept(), staged(spark.range(5000).repartition(16, "id").groupBy((F.col("id") % 7).alias("k")).count(), "shuffled")
+    for _ in range(50):
+        if kept() <= before:
+            break
+        time.sleep(0.2)
+    assert kept() <= before and found.count() == 7 and spark.conf.get(CLEANUP) == "false"
+
+
 # ---- extraction
 
 
